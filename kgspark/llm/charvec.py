@@ -75,15 +75,15 @@ class Chars:
 
 def ngram_hashes(points: np.ndarray, n: int, bits: int) -> np.ndarray:
     """For each place, a ``bits``-bit hash of the n code points that end there (fewer at the start)."""
-    h = points * np.uint32(0x9E3779B1)
-    total = h.copy()
+    total = points * np.uint32(0x9E3779B1)
     for k in range(1, n):
-        total[k:] += np.roll(points, k)[k:] * np.uint32((0x85EBCA6B * (2 * k + 1)) & 0xFFFFFFFF)
+        total[k:] += points[:-k] * np.uint32((0x85EBCA6B * (2 * k + 1)) & 0xFFFFFFFF)
         total ^= total >> np.uint32(15)
         total *= np.uint32(0x2C1B3C6D)
     total ^= total >> np.uint32(13)
     total *= np.uint32(0x297A2D39)
-    return (total >> np.uint32(32 - bits)).astype(np.int64)
+    total >>= np.uint32(32 - bits)
+    return total.view(np.int32)
 
 
 def word_runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

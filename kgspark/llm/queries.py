@@ -8,8 +8,10 @@ import importlib
 MODULES = {
     "op1_sharding": "sharding",
     "op2_language_id": "langid",
+    "op3_license_scan": "licenses",
     "op4_simhash_dedup": "simhash_dedup",
     "op6_mixing": "mixing",
+    "op7_quality_model": "quality_model",
     "op9_packing": "packing",
     "op10_quality_rules": "quality_rules",
 }
