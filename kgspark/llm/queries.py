@@ -12,6 +12,7 @@ MODULES = {
     "op4_simhash_dedup": "simhash_dedup",
     "op6_mixing": "mixing",
     "op7_quality_model": "quality_model",
+    "op8_fingerprints": "fingerprints",
     "op9_packing": "packing",
     "op10_quality_rules": "quality_rules",
 }
