@@ -10,6 +10,7 @@ MODULES = {
     "op2_language_id": "langid",
     "op3_license_scan": "licenses",
     "op4_simhash_dedup": "simhash_dedup",
+    "op5_toxicity": "toxicity",
     "op6_mixing": "mixing",
     "op7_quality_model": "quality_model",
     "op8_fingerprints": "fingerprints",
