@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
+import importlib
+
+from kgspark.plans import registry
+
+MODULES = ("links", "graph", "health", "metadata", "search", "retrieval", "index", "crossvault", "edits", "streams")
+
+
+def _load() -> None:
+    for name in MODULES:
+        importlib.import_module(f"kgspark.plans.{name}")
+
 
 def queries() -> dict:
-    return {}
+    _load()
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(registry.SQL)
