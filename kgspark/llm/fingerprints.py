@@ -95,7 +95,11 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("edited_sha256", F.sha2("edited", 256))
     # terms of both texts pass once; what else a row has rides on one extra element, so that terms stay narrow
     null = lambda c: F.lit(None).cast(c)
-    kinds = [("doc_id", "long"), ("ghost", "boolean"), ("n_chars", "long"), ("edited_sha256", "string")]
+    # a hash aggregate holds numbers only: the digest travels as four
+    digest = [f"sha{k}" for k in range(4)]
+    word = lambda k, i: F.conv(F.substring("edited_sha256", 16 * k + 8 * i + 1, 8), 16, 10).cast("long")
+    rows = rows.withColumns({c: F.shiftleft(word(k, 0), 32).bitwiseOR(word(k, 1)) for k, c in enumerate(digest)})
+    kinds = [("doc_id", "long"), ("ghost", "boolean"), ("n_chars", "long"), *((c, "long") for c in digest)]
     term = lambda e, t: F.struct(F.lit(e).alias("e"), t["h"].alias("h"), t["w"].alias("w"), *[null(k).alias(c) for c, k in kinds])
     head = F.array(F.struct(F.lit(0).alias("e"), null("long").alias("h"), null("long").alias("w"), *[F.col(c) for c, _ in kinds]))
     terms = F.transform(term_hashes(F.col("text")), lambda t: term(0, t))
@@ -103,14 +107,14 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     keys, own = ["bucket", "rank"], [F.min(c).alias(c) for c, _ in kinds]
     exploded = rows.select(*keys, F.explode(F.concat(head, terms, edited)).alias("t")).select(*keys, "t.*")
     sums = exploded.groupBy(*keys, "e").agg(F.sum("w").alias("total"), *own, *vote_sums("h", F.col("w")))
-    fps = sums.select(*keys, "e", "doc_id", "ghost", "n_chars", "edited_sha256", F.coalesce(majority("total"), F.lit(0).cast("long")).alias("one"))
+    fps = sums.select(*keys, "e", *[c for c, _ in kinds], F.coalesce(majority("total"), F.lit(0).cast("long")).alias("one"))
     both = fps.groupBy(*keys).agg(
         *own, F.max(F.when(F.col("e") == 0, F.col("one"))).alias("fp"), F.max(F.when(F.col("e") == 1, F.col("one"))).alias("edited_fp")
     )
     zero = F.lit(0).cast("long")
     both = both.withColumn("fp", F.coalesce("fp", zero)).withColumn("edited_fp", F.coalesce("edited_fp", zero))
     out = both.withColumn("next_fp", F.lead("fp").over(Window.partitionBy("bucket").orderBy("rank"))).where(~F.col("ghost"))
-    return out.select("doc_id", "n_chars", "edited_sha256", "fp", "edited_fp", "next_fp")
+    return out.select("doc_id", "n_chars", F.concat(*[hex16(c) for c in digest]).alias("edited_sha256"), "fp", "edited_fp", "next_fp")
 
 
 def block_masks(blocks: int, radius: int) -> list[int]:
