@@ -53,9 +53,10 @@ def seats(targets: DataFrame, n_seats: int) -> DataFrame:
 def block_plan(targets: DataFrame, n_seats: int, mix_shards: int, seed: int) -> DataFrame:
     """One row a source: source, source_size, target, n_blocks, passes, before (words chosen ahead of each block), quotas.
 
-    ``quotas``: seats of the source in each shard of the mix. ``n_seats`` bounds all rows and arrays here.
+    ``quotas``: seats of the source in each shard of the mix. ``n_seats``, the most seats, bounds all rows and arrays here.
     """
     total = targets.agg(F.sum("target")).first()[0] or 0.0
+    n_seats = max(1, min(n_seats, round(total)))  # a block has a word at least
     block = max(total / n_seats, 1.0)
     won = seats(targets, n_seats)
     quota = won.groupBy("source", F.floor(F.col("turn") * mix_shards / n_seats).cast("int").alias("mix_shard")).agg(F.count("*").alias("n"))
