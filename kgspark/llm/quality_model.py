@@ -43,9 +43,16 @@ def features(chars: Chars) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
     order = np.argsort(three, kind="stable")
     again = np.zeros(len(three), dtype=bool)
     again[order[1:]] = three[order[1:]] == three[order[:-1]]
+    again &= np.arange(len(first)) - bounds[owner] >= 2  # a text's first two words end no run of three
     yield bounds, again.astype(np.int32), None  # bucket 1: three words met before, bucket 0: new ones
+    whole, n_before = inside, 1  # where the last n places lie in one word
     for n in ORDERS:
-        yield chars.start[:-1], ngram_hashes(points, n, BITS) ^ np.int32(n * 0x1A35 & (1 << BITS) - 1), inside
+        for k in range(n_before, n):
+            whole = whole.copy()
+            whole[k:] &= inside[:-k]
+            whole[:k] = False
+        n_before = n
+        yield chars.start[:-1], ngram_hashes(points, n, BITS) ^ np.int32(n * 0x1A35 & (1 << BITS) - 1), whole
 
 
 def text_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
