@@ -1,0 +1,501 @@
+"""The ten operators against brute force, on odd rows: nulls, empty texts, repeats, ties, clashing columns, empty tables."""
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, size string, fp string, seq string"
+
+
+def odd_rows():
+    rng = random.Random(4)
+    base = ["alpha beta gamma delta epsilon zeta eta theta iota kappa " * 3 + str(i) for i in range(6)]
+    texts = [None, "", "   \n\t ", "one", "Müller ΑΒΓ 日本語 text", "A" * 30_000 + " b", *base, base[0], base[0].upper(), "x\n" * 40, "🙂 " * 30]
+    texts += [" ".join(rng.choice(["red", "green", "blue", "Grün", "rouge"]) + str(rng.randrange(40)) for _ in range(rng.randrange(5, 120))) for _ in range(30)]
+    rows = [(i, t, ["en", "de", None][i % 3], [None, "a", "b", "hot", "hot", "hot"][i % 6], None, 1, "s", "f", "q") for i, t in enumerate(texts)]
+    return rows + [rows[7], rows[7], (None, "no id at all, but words", "en", "a", 3, 1, "s", "f", "q")]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(odd_rows(), SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame([(i, i % 2, i % 3 == 0) for i in range(40)] + [(None, 1, True)], "doc_id long, quality int, toxic boolean").withColumn("toxic", F.col("toxic").cast("int"))
+
+
+def texts_of(rows):
+    return [(r[0], r[1] or "") for r in rows]
+
+
+# 1 sharding
+def test_minimax_capacity_is_least():
+    from kgspark.llm.sharding import balanced_cuts, feasible
+
+    rng = random.Random(1)
+    for _ in range(200):
+        sizes, shards = [rng.randrange(1, 50) for _ in range(rng.randrange(1, 9))], rng.randrange(1, 5)
+        best = min(max(sum(sizes[a:b]) for a, b in itertools.pairwise((0, *c, len(sizes)))) for c in itertools.combinations_with_replacement(range(len(sizes) + 1), shards - 1))
+        least = next(c for c in range(1, sum(sizes) + 1) if feasible(sizes, c, shards))
+        assert least == best
+        cuts = balanced_cuts(sizes, least, shards)
+        assert len(cuts) == shards - 1 and max(sum(sizes[a:b]) for a, b in itertools.pairwise((0, *cuts, len(sizes)))) == least
+
+
+def test_zoomed_search_is_exact(spark):
+    from kgspark.llm.sharding import capacity_and_cuts, feasible
+
+    rng = random.Random(2)
+    rows = sorted((rng.randrange(-(1 << 63), 1 << 63), rng.randrange(16, 9000)) for _ in range(3000)) + []
+    got, _ = capacity_and_cuts(spark.createDataFrame(rows, "gkey long, size long"), 7)
+    sizes = [s for _, s in rows]
+    assert feasible(sizes, got, 7) and not feasible(sizes, got - 1, 7)
+
+
+def test_sharding(docs, empty):
+    from kgspark.llm.sharding import shard_documents
+
+    rows = shard_documents(docs, 5).collect()
+    want = Counter((i, len(t.encode()) + 16, zlib.crc32(t.encode())) for i, t in texts_of(odd_rows()))
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == want
+    groups = {}
+    for r in rows:
+        assert groups.setdefault((r["size"], r["text_crc32"]), r["shard"]) == r["shard"] and 0 <= r["shard"] < 5 and r["grown_shard"] is None
+    for s in {r["shard"] for r in rows}:
+        assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
+    assert shard_documents(empty, 5).count() == 0
+
+
+# 2 language
+def test_viterbi_is_best():
+    from kgspark.llm.langid import viterbi
+
+    rng = np.random.default_rng(0)
+    lengths = np.array([5, 0, 1, 4])
+    scores, at = rng.normal(size=(10, 3)) * 3, 0
+    got = viterbi(scores, lengths, 2.0)
+    for n in lengths:
+        part = scores[at : at + n]
+        value = lambda p: sum(part[i, k] for i, k in enumerate(p)) - 2.0 * sum(a != b for a, b in itertools.pairwise(p))  # noqa: B023, E731
+        if n:
+            assert value(got[at : at + n]) == pytest.approx(max(map(value, itertools.product(range(3), repeat=int(n)))))
+        at += n
+
+
+def test_language(spark, docs, empty):
+    from kgspark.llm.langid import fit, identify, identify_documents, spans
+
+    rows = identify_documents(docs).collect()
+    assert len(rows) == len(odd_rows())
+    fold = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i in range(60)}
+    assert all(r["held_out"] == fold.get(r["doc_id"], False) and 0 <= r["score"] <= 1 and r["lang_pred"] in ("en", "de", "und") for r in rows)
+    assert {r["lang_pred"] for r in rows if r["doc_id"] in (0, 1, 2, 15)} == {"und"}
+    assert identify_documents(empty).count() == 0
+    model = fit(["the cat and the dog " * 20, "der hund und die katze " * 20, "кошка и собака " * 20], ["en", "de", "ru"])
+    assert identify(model, ["the dog", "die katze und", "собака", "12 !!", ""])[0] == ["en", "de", "ru", "und", "und"]
+    mixed = "the cat and the dog and the cat der hund und die katze und der hund"
+    assert [s[2] for s in spans(model, mixed)] == ["en", "de"]
+    nobody = identify_documents(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
+    assert {r["lang_pred"] for r in nobody} == {"und"}
+
+
+def test_language_held_out(spark, data_dir):
+    from kgspark.llm.langid import op2_language_id
+
+    truth = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{data_dir}/documents.parquet").select("doc_id", "lang").collect()}
+    rows = [r for r in op2_language_id(spark, data_dir).collect() if r["held_out"]]
+    assert sum(truth[r["doc_id"]] == r["lang_pred"] for r in rows) > 0.9 * len(rows)
+
+
+# 3 licences
+def test_license_automata():
+    from kgspark.llm.licenses import TEMPLATES, Scanner, compile_all, compile_template
+
+    a = compile_template("x", "one [[two]] three {{n|1:2}} four")
+    words = lambda s: s.encode().split()
+    assert a.match(words("one three q four"), 0) == 4 and a.match(words("one two three q r four"), 0) == 6
+    assert a.match(words("one three four"), 0) == 0 and a.match(words("one two two three q four"), 0) == 0 and a.match(words("one three q r s four"), 0) == 0
+    s = Scanner(compile_all(TEMPLATES))
+    labels = lambda t: sorted({x for _, _, x in s.scan(t.encode())[2]})
+    assert labels("Released under the MIT License.") == ["mit"] and labels("Licensed under CC BY-NC 4.0.") == ["cc-by-nc"]
+    assert labels("This work is licensed under the GNU General Public License, version 3.") == ["gpl"]
+    assert labels("no licence, a license of nothing") == [] and s.scan(b"mit license")[1] == [(0, "mit")]
+
+
+def test_license_base(docs, empty, spark):
+    from kgspark.llm.licenses import PHRASES, license_spans, scan_documents
+
+    extra = ["MIT License mit-license MIT  LICENSE", "the apache Licensed", "gnu general\npublic license and apache license; mit licenseé", "MİT license"]
+    more = spark.createDataFrame([(100 + i, t) for i, t in enumerate(extra)], "doc_id long, text string")
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    want = {}
+    for i, t in [*texts_of(odd_rows()), *((100 + i, t) for i, t in enumerate(extra))]:
+        w = word.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))
+        at = [(k, x.decode()) for p, x in PHRASES for k in range(len(w)) if w[k : k + len(p.split())] == p.decode().split()]
+        want[i] = (len(w), len(at), min((k for k, _ in at), default=None), max((k for k, _ in at), default=None), ",".join(sorted({x for _, x in at})))
+    for r in scan_documents(docs.select("doc_id", "text").unionByName(more)).collect():
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"]) == want[r["doc_id"]]
+        assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
+    assert scan_documents(empty).count() == 0 and license_spans(empty).count() == 0
+
+
+# 4 near-duplicates
+def brute_fingerprint(text, size=4):
+    import xxhash
+
+    w = WORDS.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    shingles = [" ".join(w[i : i + size]) for i in range(len(w) - size + 1)] or ([" ".join(w)] if w else [])
+    ones = Counter(b for s in shingles for b in range(64) if xxhash.xxh64(s.encode(), seed=42).intdigest() >> b & 1)
+    return sum(1 << b for b in range(64) if ones[b] * 2 > len(shingles))
+
+
+def brute_components(fps, radius=4):
+    group = list(range(len(fps)))
+    for a in range(len(fps)):
+        for b in range(a):
+            if (fps[a] ^ fps[b]).bit_count() <= radius and group[a] != group[b]:
+                old, new = group[a], group[b]
+                group = [new if g == old else g for g in group]
+    return group
+
+
+def test_near_duplicates(docs, empty):
+    from kgspark.llm.simhash_dedup import near_duplicates
+
+    rows = odd_rows()
+    fps = [brute_fingerprint(r[1]) for r in rows]
+    group = brute_components(fps)
+    least = {g: min(r[0] for r, x in zip(rows, group) if x == g and r[0] is not None) for g in set(group) if any(r[0] is not None for r, x in zip(rows, group) if x == g)}
+    want = Counter((r[0], f, least.get(g)) for r, f, g in zip(rows, fps, group))
+    got = Counter((r["doc_id"], r["fp"] % (1 << 64), r["component_id"]) for r in near_duplicates(docs).collect())
+    assert got == want and near_duplicates(empty).count() == 0
+
+
+@pytest.mark.parametrize("near", [0, 400])
+def test_near_links_lose_nothing(spark, near):
+    from kgspark.llm.graph import components
+    from kgspark.llm.simhash_dedup import near_links
+
+    rng = random.Random(near)
+    fps = {rng.getrandbits(64) for _ in range(300)} | {0}
+    hot = rng.getrandbits(64)
+    for _ in range(near):  # a cloud of near copies and chains of links
+        fps.add(hot ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(6))))
+    fps = sorted(fps)
+    frame = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    root = {r["node"] % (1 << 64): r["root"] % (1 << 64) for r in components(near_links(frame)).collect()}
+    group = brute_components(fps)
+    for a, b in itertools.combinations(range(len(fps)), 2):
+        assert (root.get(fps[a], fps[a]) == root.get(fps[b], fps[b])) == (group[a] == group[b])
+
+
+def test_threshold_allocation():
+    from kgspark.llm.simhash_dedup import allocate, link_sorted, plan_groups
+
+    costs = np.array([[0, 5, 9], [0, 1, 2], [0, 4, 4.5]], dtype=float)
+    best = min((sum(costs[i, e + 1] for i, e in enumerate(t)), t) for t in itertools.product((-1, 0, 1), repeat=3) if sum(t) == 0)
+    assert allocate(costs, 0)[0] == best[0]
+    sample = np.random.default_rng(0).integers(0, 1 << 63, 2000, dtype=np.uint64)
+    for n in (10**3, 10**6, 10**9):
+        groups = plan_groups(sample, n)
+        assert sum(g.threshold + 1 for g in groups) >= 1 and all(g.mask & h.mask == 0 for g, h in itertools.combinations(groups, 2))
+    key, fp = np.zeros(3000, np.int64), np.arange(3000, dtype=np.uint64)
+    links = link_sorted(key, np.zeros(3000, bool), fp, 4, block=1000)  # a hot bucket is searched, not multiplied
+    assert links.shape[1] < 3000
+
+
+def test_components(spark):
+    from kgspark.llm.graph import components
+
+    rng = random.Random(5)
+    pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(500, 560)] + [(1000, x) for x in range(1001, 1100)]
+    group = {}
+    for a, b in pairs:
+        group.setdefault(a, a), group.setdefault(b, b)
+    for _ in range(300):
+        for a, b in pairs:
+            group[a] = group[b] = min(group[a], group[b])
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert all(got.get(x, x) == g for x, g in group.items())
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# 5 toxicity and 7 quality
+def test_gradients():
+    from kgspark.llm import toxicity as t
+
+    rng = np.random.default_rng(0)
+    p = {k: v.astype(np.float64) for k, v in t.new_parameters(rng).items()}
+    texts = ["one two three four", "bad words here and " * 9]
+    words = t.Words.read(texts)
+    _, first, n = words.windows()
+    at, real = t.window_places(words, first, n)
+    y = np.arange(len(first)) % 2
+
+    def loss():
+        vectors, _, _ = t.inputs(p, words)
+        z = t.forward(p, {s: vectors @ p[f"x{s}"] + p[f"c{s}"] for s in "fb"}, at, real)
+        return float(np.sum(np.logaddexp(0, z) - y * z))
+
+    vectors, _, _ = t.inputs(p, words)
+    keep = {}
+    z = t.forward(p, {s: vectors @ p[f"x{s}"] + p[f"c{s}"] for s in "fb"}, at, real, keep)
+    g, d_gates = t.backward(p, keep, at, real, t.sigmoid(z) - y, len(words.bucket))
+    for name in ("wo", "va", "ba"):
+        p[name][1] += 1e-3
+        up = loss()
+        p[name][1] -= 2e-3
+        down = loss()
+        p[name][1] += 1e-3
+        assert (up - down) / 2e-3 == pytest.approx(g[name][1], rel=0.05, abs=2e-3)
+    for s in "fb":
+        p[f"u{s}"][2, 5] += 1e-2
+        up = loss()
+        p[f"u{s}"][2, 5] -= 2e-2
+        down = loss()
+        p[f"u{s}"][2, 5] += 1e-2
+        assert (up - down) / 2e-2 == pytest.approx(g[f"u{s}"][2, 5], rel=0.1, abs=5e-3)
+        p[f"c{s}"][3] += 1e-2
+        up = loss()
+        p[f"c{s}"][3] -= 2e-2
+        down = loss()
+        assert (up - down) / 2e-2 == pytest.approx(d_gates[s].sum(0)[3], rel=0.1, abs=5e-3)
+
+
+def test_windows_cover_everything():
+    from kgspark.llm.toxicity import STRIDE, WINDOW, Words
+
+    words = Words.read(["", "a", " ".join(map(str, range(WINDOW))), " ".join(map(str, range(500)))])
+    text, first, n = words.windows()
+    for k in range(4):
+        own = [(f - words.start[k], m) for f, m, x in zip(first, n, text) if x == k]
+        size = words.start[k + 1] - words.start[k]
+        assert {i for f, m in own for i in range(f, f + m)} == set(range(size))
+        assert all(b[0] - a[0] <= STRIDE for a, b in itertools.pairwise(own))
+
+
+@pytest.mark.parametrize("module", ["toxicity", "quality_model"])
+def test_classifiers_on_odd_rows(module, docs, empty, labels, spark):
+    import importlib
+
+    m = importlib.import_module(f"kgspark.llm.{module}")
+    rows = m.score_documents(docs, labels).collect()
+    fold = {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in range(60)}
+    limit = 0.5 if module == "toxicity" else 0.3
+    assert len(rows) == len(odd_rows()) and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= limit) and r["held_out"] == fold.get(r["doc_id"], False) for r in rows)
+    scores = {}
+    for r in rows:
+        assert scores.setdefault(r["doc_id"], r["score"]) == pytest.approx(r["score"])
+    assert m.score_documents(empty, labels).count() == 0
+    assert m.score_documents(docs, labels.limit(0)).count() == len(odd_rows())
+
+
+def test_toxicity_learns():
+    from kgspark.llm.toxicity import score_texts, train
+
+    rng = random.Random(1)
+    plain = lambda: " ".join(rng.choice(["the", "of", "and"]) if rng.random() < 0.4 else "".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(rng.randrange(10, 120)))
+
+    def sour(text):
+        w = text.split()
+        for _ in range(3):
+            w.insert(rng.randrange(len(w)), "vile" + rng.choice(["ness", "ly", "st"]))
+        return " ".join(w)
+
+    texts = [sour(plain()) if i % 3 == 0 else plain() for i in range(240)]
+    y = np.array([i % 3 == 0 for i in range(240)], dtype=int)
+    p = train(texts[:180], y[:180])
+    got = score_texts(p, texts[180:]) >= 0.5
+    assert (got == (y[180:] == 1)).mean() > 0.9
+    one = score_texts(p, [texts[0]])[0]
+    assert one == pytest.approx(score_texts(p, [texts[5], texts[0], ""])[1], abs=1e-5)  # no matter who shares the block
+
+
+def test_quality_learns():
+    from kgspark.llm.quality_model import train
+
+    rng = random.Random(2)
+    text = lambda bad: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) + ("$$$" if bad else "") for _ in range(rng.randrange(5, 90)))
+    texts, y = [text(i % 4 == 0) for i in range(160)], np.array([i % 4 != 0 for i in range(160)], dtype=int)
+    m = train(texts[:120], y[:120])
+    assert ((m.score(texts[120:], m.line()) >= 0.3) == (y[120:] == 1)).mean() > 0.95
+
+
+# 6 mixing
+def brute_targets(sizes, weights=(5, 2, 1)):
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w, cap = {s: weights[i % 3] for i, s in enumerate(names)}, {s: 2 * sizes[s] for s in names}
+    target, open_, left = {}, set(names), 1.5 * sum(sizes.values())
+    while open_:
+        level = left / sum(w[s] for s in open_)
+        over = {s for s in open_ if w[s] * level > cap[s]}
+        if not over:
+            return target | {s: w[s] * level for s in open_}
+        for s in over:
+            target[s], left = cap[s], left - cap[s]
+        open_ -= over
+    return target
+
+
+def test_mixing(docs, empty):
+    from kgspark.llm.mixing import mix_documents
+
+    rows = mix_documents(docs).collect()
+    source = {r[0]: r[3] for r in odd_rows()}
+    sizes = Counter()
+    for r in odd_rows():
+        sizes[r[3]] += len(WORDS.findall(r[1] or ""))
+    target = brute_targets(dict(sizes))
+    taken = Counter()
+    for r in rows:
+        s = source[r["doc_id"]]
+        assert r["source_size"] == sizes[s] and r["target"] == pytest.approx(target[s]) and 0 <= r["taken"] <= 2 * r["size"]
+        taken[s] += r["taken"]
+    assert all(abs(taken[s] - target[s]) <= 3 for s in target) and len(rows) == len(odd_rows())
+    assert Counter(map(tuple, rows)) == Counter(map(tuple, mix_documents(docs.repartition(5)).collect()))
+    assert mix_documents(empty).count() == 0
+
+
+def test_sainte_lague(spark):
+    from kgspark.llm.mixing import seats
+
+    votes = {"a": 530.0, "b": 240.0, "c": 160.0, None: 70.0}
+    frame = spark.createDataFrame(list(votes.items()), "source string, target double")
+    got = Counter(r["source"] for r in seats(frame, 17).collect())
+    want = Counter(s for _, s in sorted(((-v / (2 * k + 1), s) for s, v in votes.items() for k in range(17)), key=lambda x: (x[0], x[1] is None, x[1] or ""))[:17])
+    assert got == want
+
+
+# 8 fingerprints
+def test_fingerprints(docs, empty, spark):
+    from kgspark.llm.fingerprints import fingerprint_documents
+
+    rows = sorted(((r[0], r[1] or "") for r in odd_rows()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    want = Counter()
+    for k, (i, t) in enumerate(rows):
+        n, nxt = len(t) // 4, rows[(k + 1) % len(rows)][1]
+        want[(i, len(t), hashlib.sha256((t[: len(t) - n] + nxt[:n]).encode()).hexdigest())] += 1
+    got = fingerprint_documents(docs).collect()
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in got) == want
+    text, fp = dict(rows), {}
+    for r in got:
+        assert fp.setdefault(text[r["doc_id"]], r["fp"]) == r["fp"]
+    assert all(r["fp"] == 0 for r in got if not text[r["doc_id"]].strip())
+    assert fingerprint_documents(empty).count() == 0
+    one = fingerprint_documents(docs.where("doc_id = 3")).collect()
+    assert len(one) == 1 and one[0]["fp"] == one[0]["next_fp"]
+
+
+def test_radius_search(spark):
+    from kgspark.llm.fingerprints import within_radius
+
+    rng = random.Random(3)
+    fps = [rng.getrandbits(64) for _ in range(150)]
+    fps += [f ^ sum(1 << b for b in rng.sample(range(64), k % 6)) for k, f in enumerate(fps)]
+    frame = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    got = {(r["q"] % (1 << 64), r["fp"] % (1 << 64)) for r in within_radius(frame.limit(60), frame).collect()}
+    asked = {r["fp"] % (1 << 64) for r in frame.limit(60).collect()}
+    assert got == {(a, b) for a in asked for b in set(fps) if (a ^ b).bit_count() <= 3}
+
+
+# 9 packing
+def test_packing(docs, empty):
+    from tokenizers import Tokenizer
+
+    from kgspark.llm.packing import pack_documents, tokenizer_files
+
+    tok, capacity = Tokenizer.from_file(tokenizer_files()[0]), 64
+    want = Counter()
+    for i, t in texts_of(odd_rows()):
+        ids = [*tok.encode(t, add_special_tokens=False).ids, 0]
+        first = len(ids) if len(ids) <= capacity else (len(ids) - 1) % capacity + 1
+        for k, at in enumerate([0, *range(first, len(ids), capacity)]):
+            part = ids[at : first if k == 0 else at + capacity]
+            want[(i, k, at, len(part), zlib.crc32(np.array(part, dtype="<u4").tobytes()))] += 1
+    rows = pack_documents(docs, capacity=capacity).collect()
+    assert Counter(tuple(r[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")) for r in rows) == want
+    for s in {r["sequence_id"] for r in rows}:
+        own = sorted((r["offset"], r["length"]) for r in rows if r["sequence_id"] == s)
+        assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in itertools.pairwise(own)) and sum(own[-1]) <= capacity
+    total = sum(r["length"] for r in rows)
+    assert len({r["sequence_id"] for r in rows}) <= -(-total // capacity) + 2
+    assert pack_documents(empty).count() == 0
+
+
+def test_special_token_strings():
+    from tokenizers import Tokenizer
+
+    from kgspark.llm.packing import encoder, tokenizer_files
+
+    tok, enc = Tokenizer.from_file(tokenizer_files()[0]), encoder(tokenizer_files())
+    for t in ["a <|endoftext|> b", "", "  x\n\n y", "naïve 日本 🙂🙂 don't"]:
+        assert enc(t) == tok.encode(t, add_special_tokens=False).ids
+
+
+def test_plan_uses_all():
+    from kgspark.llm.packing import plan_bins
+
+    rng = random.Random(6)
+    for _ in range(50):
+        counts = Counter(rng.randrange(1, 101) for _ in range(rng.randrange(1, 400)))
+        plan = plan_bins(counts, 100)
+        used = Counter()
+        for bin_, times in plan:
+            assert sum(bin_) <= 100
+            for length in bin_:
+                used[length] += times
+        assert used == counts
+
+
+# 10 quality rules
+def brute_stats(text):
+    w = WORDS.findall(text)
+    windows = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+    covered = {j for i in range(len(w) - 7) if windows[tuple(w[i : i + 8])] > 1 for j in range(i, i + 8)}
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if WORDS.search(line):
+            dup += line in seen
+            seen.add(line)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered)
+
+
+def test_quality_rules(docs, empty, labels):
+    from kgspark.llm.quality_rules import quality_documents
+
+    want = {r[0]: brute_stats(r[1] or "") for r in odd_rows()}
+    rows = quality_documents(docs, labels).collect()
+    assert len(rows) == len(odd_rows())
+    for r in rows:
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want[r["doc_id"]]
+        failed = r["n_words"] < 20 or 100 * r["n_repeat_words"] > 30 * r["n_words"]
+        assert r["base_failed"] == failed and not (failed and r["kept"])
+    assert quality_documents(empty, labels).count() == 0
+    assert all(r["kept"] != r["base_failed"] for r in quality_documents(docs, labels.limit(0)).collect())
+
+
+def test_forest_finds_the_odd():
+    from kgspark.llm.quality_rules import Forest, calibrate
+
+    rng = np.random.default_rng(1)
+    good, odd = rng.normal(0, 0.1, (600, 4)), rng.normal(1, 0.2, (60, 4))
+    both = np.vstack([good, odd])
+    f = Forest.fit(good, np.array([both.min(0), both.max(0)]))
+    s = f.score(both)
+    limit = calibrate(s, np.arange(660) < 600)
+    assert (s[:600] <= limit).mean() >= 0.99 and (s[600:] > limit).mean() > 0.9
