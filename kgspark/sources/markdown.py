@@ -17,7 +17,7 @@ def read_markdown(spark: SparkSession, root: str, vault: str, max_bytes: int = M
     base = root.rstrip("/").split("://")[-1]
     path = F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), rf"^.*?{_quote(base)}/", "")
     rows = files.where(F.col("length") <= max_bytes).select(
-        F.lit(vault).alias("vault"), path.alias("path"), F.decode("content", F.lit("UTF-8")).alias("raw"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size")
+        F.lit(vault).alias("vault"), path.alias("path"), F.decode("content", "UTF-8").alias("raw"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size")
     )
     return rows.where(~F.col("path").rlike(r"(^|/)\."))
 
