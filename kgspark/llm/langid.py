@@ -152,11 +152,15 @@ def fit_documents(docs: DataFrame, per_lang: int = 400, max_chars: int = 20_000,
     these limits only bound what the fit collects. None if there are none.
     """
     rows = docs.where("doc_id is not null and lang is not null").where(id_fold(modulus) != held_out).where(F.length("text").between(1, max_chars))
-    names = [r["lang"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()]
-    if not names:
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
+    if not counts:
         return None
-    lot = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id")
-    ids = rows.where(F.col("lang").isin(names)).select("doc_id", "lang").withColumn("_k", F.row_number().over(lot)).where(F.col("_k") <= per_lang)
+    # a seeded hash first thins each language to a few times what is wanted, so that the ranking below is small everywhere
+    seeded = F.xxhash64(F.lit(3), "doc_id")
+    share = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, min(1.0, 3.0 * per_lang / n))])[F.col("lang")]
+    thin = rows.select("doc_id", "lang").where(F.pmod(seeded, F.lit(1 << 20)) < share * (1 << 20))
+    lot = Window.partitionBy("lang").orderBy(seeded, "doc_id")
+    ids = thin.withColumn("_k", F.row_number().over(lot)).where(F.col("_k") <= per_lang)
     ids = ids.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
     got = rows.join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("doc_id", "lang", "text").collect()
     got = sorted((r["lang"], r["doc_id"], r["text"]) for r in got)
