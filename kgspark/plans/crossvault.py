@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kgspark.functions.uris import SCHEME
 from kgspark.operators import crossvault as ops
 from kgspark.plans.base import FILES, LINKS, VAULT_NOTES, raw
 from kgspark.plans.registry import query
@@ -22,17 +23,17 @@ def cross_vault_candidates(spark, d):
 
 #: Declarations of customers' notes by number: URI (SQL), and the status it must get.
 _KINDS = [
-    ("'obsidian://open?vault=geo&file=nations%2FNATION_' || k", "valid"),
-    ("'obsidian://open?vault=GEO&file=nations%2FNATION_' || k || '.md'", "noncanonical"),
-    ("'obsidian://open?vault=geo&file=nations%2FNATION_' || k || '%23Overview'", "valid"),
-    ("'obsidian://open?vault=sea&file=nations%2FNATION_' || k", "unknown_vault"),
-    ("'obsidian://open?vault=geo'", "malformed"),
-    ("'obsidian://open?vault=geo&file=nations%2FNATION_' || k || '&path=x'", "unsupported"),
-    ("'obsidian://open?vault=geo&file=..%2Fetc'", "invalid_path"),
-    ("'obsidian://open?vault=geo&file=nations%2FNATION_9999'", "missing_destination"),
-    ("'obsidian://open?vault=crm&file=suppliers%2FSupplier_' || k", "missing_destination"),
-    ("'obsidian://open?vault=geo&file=a%2'", "malformed"),
-    ("'obsidian://search?vault=geo&file=b'", "unsupported"),
+    (f"'{SCHEME}://open?vault=geo&file=nations%2FNATION_' || k", "valid"),
+    (f"'{SCHEME}://open?vault=GEO&file=nations%2FNATION_' || k || '.md'", "noncanonical"),
+    (f"'{SCHEME}://open?vault=geo&file=nations%2FNATION_' || k || '%23Overview'", "valid"),
+    (f"'{SCHEME}://open?vault=sea&file=nations%2FNATION_' || k", "unknown_vault"),
+    (f"'{SCHEME}://open?vault=geo'", "malformed"),
+    (f"'{SCHEME}://open?vault=geo&file=nations%2FNATION_' || k || '&path=x'", "unsupported"),
+    (f"'{SCHEME}://open?vault=geo&file=..%2Fetc'", "invalid_path"),
+    (f"'{SCHEME}://open?vault=geo&file=nations%2FNATION_9999'", "missing_destination"),
+    (f"'{SCHEME}://open?vault=crm&file=suppliers%2FSupplier_' || k", "missing_destination"),
+    (f"'{SCHEME}://open?vault=geo&file=a%2'", "malformed"),
+    (f"'{SCHEME}://search?vault=geo&file=b'", "unsupported"),
 ]
 _URIS = (
     "SELECT 'crm' AS vault, 'customers/' || replace(c_name, '#', '_') || '.md' AS path, c_custkey % %d AS kind, CAST(c_nationkey AS STRING) AS k FROM customer".replace("%d", str(len(_KINDS)))
@@ -60,7 +61,7 @@ def uri_excluded(spark, d):
 
 @query(
     "uri_overlay",
-    f"WITH u AS ({_URIS}) SELECT path, 'geo' AS to_vault, 'nations/NATION_' || k || '.md' AS to_path, 1::BIGINT AS total, CAST(kind <> 1 AS BIGINT) AS canonical, CAST(kind = 1 AS BIGINT) AS noncanonical, CASE WHEN kind = 2 THEN 'Overview' ELSE '' END AS subpaths, 'obsidian://open?vault=geo&file=nations%2FNATION_' || k AS canonical_uri FROM u WHERE kind <= 2",
+    f"WITH u AS ({_URIS}) SELECT path, 'geo' AS to_vault, 'nations/NATION_' || k || '.md' AS to_path, 1::BIGINT AS total, CAST(kind <> 1 AS BIGINT) AS canonical, CAST(kind = 1 AS BIGINT) AS noncanonical, CASE WHEN kind = 2 THEN 'Overview' ELSE '' END AS subpaths, '{SCHEME}://open?vault=geo&file=nations%2FNATION_' || k AS canonical_uri FROM u WHERE kind <= 2",
 )
 def uri_overlay(spark, d):
     rows = ops.overlay(_checked(spark, d))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kgspark.functions import chunks, jslike
 from kgspark.functions.links import link_places, wikilinks
 from kgspark.functions.notes import outline, parse_front, parse_notes, tags, tasks
-from kgspark.functions.uris import note_uris, parse
+from kgspark.functions.uris import SCHEME, note_uris, parse
 
 
 def notes_of(spark, files, vault="v"):
@@ -64,18 +64,18 @@ def test_links(spark):
 @pytest.mark.parametrize(
     "uri, codes",
     [
-        ("obsidian://open?vault=a&file=b%2Fc", set()),
-        ("obsidian://open?vault=a&file=b%2Fc.md", {"markdown_extension_present", "noncanonical_uri"}),
-        ("obsidian://open?vault=a&file=b%zz", {"malformed_percent_encoding", "missing_file"}),
-        ("obsidian://open?vault=a&vault=b&file=c", {"duplicate_query_param"}),
-        ("obsidian://open?file=c", {"missing_vault"}),
-        ("obsidian://open?vault=a&file=c%23", {"invalid_subpath"}),
-        ("obsidian://open?vault=a&file=c&path=x", {"path_override"}),
-        ("obsidian://open?vault=a&file=c&q=1", {"unknown_query_param"}),
-        ("obsidian://open/a/b", {"unsupported_shorthand", "missing_query", "missing_vault", "missing_file"}),
-        ("obsidian://open?vault=a&file=c#h", {"fragment"}),
-        ("obsidian://open?vault=a&file=..%2Fc", {"invalid_path"}),
-        ("obsidian://open?vault=a&file=c.png", {"non_markdown_target"}),
+        (f"{SCHEME}://open?vault=a&file=b%2Fc", set()),
+        (f"{SCHEME}://open?vault=a&file=b%2Fc.md", {"markdown_extension_present", "noncanonical_uri"}),
+        (f"{SCHEME}://open?vault=a&file=b%zz", {"malformed_percent_encoding", "missing_file"}),
+        (f"{SCHEME}://open?vault=a&vault=b&file=c", {"duplicate_query_param"}),
+        (f"{SCHEME}://open?file=c", {"missing_vault"}),
+        (f"{SCHEME}://open?vault=a&file=c%23", {"invalid_subpath"}),
+        (f"{SCHEME}://open?vault=a&file=c&path=x", {"path_override"}),
+        (f"{SCHEME}://open?vault=a&file=c&q=1", {"unknown_query_param"}),
+        (f"{SCHEME}://open/a/b", {"unsupported_shorthand", "missing_query", "missing_vault", "missing_file"}),
+        (f"{SCHEME}://open?vault=a&file=c#h", {"fragment"}),
+        (f"{SCHEME}://open?vault=a&file=..%2Fc", {"invalid_path"}),
+        (f"{SCHEME}://open?vault=a&file=c.png", {"non_markdown_target"}),
         ("http://x", {"malformed_uri"}),
     ],
 )
@@ -85,7 +85,7 @@ def test_uris(spark, uri, codes):
 
 
 def test_uris_in_text(spark):
-    raw = "[x](obsidian://open?vault=a&file=b) ![i](obsidian://open?vault=a&file=i)\n`[c](obsidian://open?vault=a&file=c)`\n```\n[d](obsidian://open?vault=a&file=d)\n```\n[e](obsidian://open?vault=a&file=e)"
+    raw = f"[x]({SCHEME}://open?vault=a&file=b) ![i]({SCHEME}://open?vault=a&file=i)\n`[c]({SCHEME}://open?vault=a&file=c)`\n```\n[d]({SCHEME}://open?vault=a&file=d)\n```\n[e]({SCHEME}://open?vault=a&file=e)"
     assert [r["uri"][-1] for r in note_uris(notes_of(spark, {"n.md": raw})).orderBy("ord").collect()] == ["b", "e"]
 
 
