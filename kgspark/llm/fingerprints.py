@@ -20,20 +20,23 @@ RADIUS = 3
 BLOCKS = 6
 
 
-def term_hashes(text: Column) -> Column:
-    """struct(h, w) of each pair of adjacent words: hash and weight. A text of one word has that word alone; one of none has no terms.
+def terms(rows: DataFrame, text: str) -> DataFrame:
+    """A row for each term of ``text`` (one with nulls if there is none): all other columns, h (hash) and w (weight).
+
+    Words are paired as two columns of one exploded array, so that hashing and weighing run in compiled code. A text of
+    one word has that word alone.
     """
-    words = F.array_remove(F.split(text, SPACE), "")
-    hashed = F.transform(words, lambda w: F.struct(F.xxhash64(w).alias("h"), F.length(w).alias("n")))
-    pair = lambda a, b: F.struct(F.xxhash64(a["h"], b["h"]).alias("h"), weight(a["n"] + b["n"]).alias("w"))
-    pairs = F.zip_with(F.slice(hashed, 1, F.greatest(F.size(hashed) - 1, F.lit(0))), F.slice(hashed, 2, F.greatest(F.size(hashed), F.lit(1))), pair)
-    single = F.transform(hashed, lambda a: F.struct(a["h"].alias("h"), weight(a["n"]).alias("w")))
-    return F.when(F.size(words) > 1, pairs).otherwise(single)
+    others = [c for c in rows.columns if c != text]
+    rows = rows.select(*others, F.array_remove(F.split(text, SPACE), "").alias("_w"))
+    pairs = F.arrays_zip(F.expr("slice(_w, 1, greatest(size(_w) - 1, 1))").alias("a"), F.expr("slice(_w, 2, size(_w))").alias("b"))
+    rows = rows.select(*others, F.explode_outer(pairs).alias("p")).select(*others, "p.a", "p.b")
+    length = F.length("a") + F.coalesce(F.length("b"), F.lit(0))
+    return rows.select(*others, F.when(F.col("a").isNotNull(), F.xxhash64("a", "b")).alias("h"), F.when(F.col("a").isNotNull(), weight(length)).alias("w"))
 
 
 def weight(chars: Column) -> Column:
     """1 to 4 by the term's characters: common short words say little."""
-    return F.least(F.greatest(F.floor(chars / 4), F.lit(1)), F.lit(4)).cast("long")
+    return F.when(chars < 8, 1).when(chars < 12, 2).when(chars < 16, 3).otherwise(4).cast("long")
 
 
 def id_buckets(docs: DataFrame, buckets: int) -> tuple[Column, DataFrame]:
@@ -93,21 +96,16 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     rows = with_next(docs)
     rows = rows.withColumn("edited", F.when(~F.col("ghost"), edited_text()))
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("edited_sha256", F.sha2("edited", 256))
-    # terms of both texts pass once; what else a row has rides on one extra element, so that terms stay narrow
-    null = lambda c: F.lit(None).cast(c)
     # a hash aggregate holds numbers only: the digest travels as four
     digest = [f"sha{k}" for k in range(4)]
     word = lambda k, i: F.conv(F.substring("edited_sha256", 16 * k + 8 * i + 1, 8), 16, 10).cast("long")
     rows = rows.withColumns({c: F.shiftleft(word(k, 0), 32).bitwiseOR(word(k, 1)) for k, c in enumerate(digest)})
-    kinds = [("doc_id", "long"), ("ghost", "boolean"), ("n_chars", "long"), *((c, "long") for c in digest)]
-    term = lambda e, t: F.struct(F.lit(e).alias("e"), t["h"].alias("h"), t["w"].alias("w"), *[null(k).alias(c) for c, k in kinds])
-    head = F.array(F.struct(F.lit(0).alias("e"), null("long").alias("h"), null("long").alias("w"), *[F.col(c) for c, _ in kinds]))
-    terms = F.transform(term_hashes(F.col("text")), lambda t: term(0, t))
-    edited = F.transform(term_hashes(F.coalesce("edited", F.lit(""))), lambda t: term(1, t))
-    keys, own = ["bucket", "rank"], [F.min(c).alias(c) for c, _ in kinds]
-    exploded = rows.select(*keys, F.explode(F.concat(head, terms, edited)).alias("t")).select(*keys, "t.*")
-    sums = exploded.groupBy(*keys, "e").agg(F.sum("w").alias("total"), *own, *vote_sums("h", F.col("w")))
-    fps = sums.select(*keys, "e", *[c for c, _ in kinds], F.coalesce(majority("total"), F.lit(0).cast("long")).alias("one"))
+    kinds = ["doc_id", "ghost", "n_chars", *digest]
+    keys, own = ["bucket", "rank"], [F.min(c).alias(c) for c in kinds]
+    both_texts = F.array(F.struct(F.lit(0).alias("e"), F.col("text").alias("x")), F.struct(F.lit(1).alias("e"), F.coalesce("edited", F.lit("")).alias("x")))
+    each = rows.select(*keys, *kinds, F.explode(both_texts).alias("t")).select(*keys, *kinds, "t.e", "t.x")
+    sums = terms(each, "x").groupBy(*keys, "e").agg(F.sum("w").alias("total"), *own, *vote_sums("h", F.col("w")))
+    fps = sums.select(*keys, "e", *kinds, F.coalesce(majority("total"), F.lit(0).cast("long")).alias("one"))
     both = fps.groupBy(*keys).agg(
         *own, F.max(F.when(F.col("e") == 0, F.col("one"))).alias("fp"), F.max(F.when(F.col("e") == 1, F.col("one"))).alias("edited_fp")
     )
