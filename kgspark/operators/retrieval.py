@@ -116,3 +116,30 @@ def evaluate(gold: DataFrame, k: int) -> DataFrame:
         F.when(ideal > 0, dcg / ideal).otherwise(0.0).alias("ndcg"),
         F.when(F.size(places) > 0, 1 / F.get(places, F.lit(0))).otherwise(0.0).alias("rr"),
     )
+
+
+def evaluate_rows(ranking: DataFrame, relevant: DataFrame, k: int, depth: int = 100) -> DataFrame:
+    """The same measures from rows, for rankings too long for arrays: (query_id, item, rank) and (query_id, item).
+
+    Only the first ``depth`` of a ranking travel on (the cut happens ahead of the shuffle); a reciprocal rank below
+    that is 0. What is relevant is counted, never listed.
+    """
+    want = relevant.select("query_id", "item").distinct()
+    top = ranking.where(F.col("rank") <= depth)
+    hits = top.join(want.withColumn("_hit", F.lit(True)), ["query_id", "item"], "left")
+    hit = F.coalesce("_hit", F.lit(False))
+    sums = hits.groupBy("query_id").agg(
+        F.count(F.when(hit & (F.col("rank") <= k), 1)).alias("_n"),
+        F.coalesce(F.sum(F.when(hit & (F.col("rank") <= k), 1 / F.log2(F.col("rank") + 1))), F.lit(0.0)).alias("_dcg"),
+        F.min(F.when(hit, F.col("rank"))).alias("_first"),
+    )
+    sums = sums.join(want.groupBy("query_id").agg(F.count("*").alias("_want")), "query_id", "left").fillna(0, ["_want"])
+    ideal = F.aggregate(F.transform(F.sequence(F.lit(1), F.greatest(F.least("_want", F.lit(k)), F.lit(1)).cast("int")), lambda i: 1 / F.log2(i + 1)), F.lit(0.0), lambda a, x: a + x)
+    some = F.col("_want") > 0
+    return sums.select(
+        "query_id",
+        F.when(some, F.col("_n") / F.col("_want")).otherwise(0.0).alias("recall"),
+        (F.col("_n") / F.lit(k)).alias("precision"),
+        F.when(some, F.col("_dcg") / ideal).otherwise(0.0).alias("ndcg"),
+        F.when(F.col("_first").isNotNull(), 1 / F.col("_first")).otherwise(0.0).alias("rr"),
+    )

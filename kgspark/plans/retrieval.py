@@ -118,28 +118,30 @@ def graph_annotated(spark, d):
 _GOLD = (
     "rk AS (SELECT source, list(doc_id ORDER BY n_chars DESC, doc_id) AS ranked FROM documents GROUP BY 1), rel AS (SELECT d.source, list(d.doc_id) AS relevant FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality = 0 GROUP BY 1), "
     "g AS (SELECT rk.source AS query_id, rk.ranked, coalesce(rel.relevant, []) AS relevant FROM rk LEFT JOIN rel ON rel.source = rk.source), "
-    "p AS (SELECT *, list_filter(range(1, len(ranked) + 1), lambda i: list_contains(relevant, ranked[i])) AS hit FROM g), "
+    "p AS (SELECT *, list_filter(range(1, least(len(ranked), 100) + 1), lambda i: list_contains(relevant, ranked[i])) AS hit FROM g), "
     "m AS (SELECT query_id, CASE WHEN len(relevant) > 0 THEN CAST(len(list_filter(hit, lambda i: i <= 10)) AS DOUBLE) / len(relevant) ELSE 0 END AS recall, len(list_filter(hit, lambda i: i <= 10)) / 10.0::DOUBLE AS precision, "
     "CASE WHEN len(relevant) > 0 THEN coalesce(list_sum(list_transform(list_filter(hit, lambda i: i <= 10), lambda i: 1 / log2(i + 1))), 0) / list_sum(list_transform(range(1, least(len(relevant), 10) + 1), lambda i: 1 / log2(i + 1))) ELSE 0 END AS ndcg, "
     "CASE WHEN len(hit) > 0 THEN 1.0::DOUBLE / hit[1] ELSE 0 END AS rr FROM p)"
 )
 
 
-def _gold(spark, d):
-    """Longest documents first as the ranking of each source, junk as what is wanted. A source's list goes to one task: evaluation sets are small."""
-    docs = table(spark, d, "documents").select("source", "doc_id", "n_chars")
-    ranked = docs.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n_chars")).alias("n"), "doc_id"))), lambda x: x["doc_id"]).alias("ranked"))
-    junk = docs.join(table(spark, d, "labels").where("quality = 0").select("doc_id"), "doc_id").groupBy("source").agg(F.collect_list("doc_id").alias("relevant"))
-    rows = ranked.join(junk, "source", "left").withColumn("relevant", F.coalesce("relevant", F.array().cast("array<long>")))
-    return rows.withColumnRenamed("source", "query_id")
+def _measures(spark, d):
+    """Longest documents first as the ranking of each source, junk as what is wanted."""
+    from pyspark.sql import Window
+
+    docs = table(spark, d, "documents").select(F.col("source").alias("query_id"), F.col("doc_id").alias("item"), "n_chars")
+    order = Window.partitionBy("query_id").orderBy(F.desc("n_chars"), "item")
+    ranking = docs.withColumn("rank", F.row_number().over(order)).where("rank <= 100")
+    junk = table(spark, d, "labels").where("quality = 0").select(F.col("doc_id").alias("item"))
+    return ops.evaluate_rows(ranking, docs.join(junk, "item").select("query_id", "item"), 10)
 
 
 @query("eval_by_query", f"WITH {_GOLD} SELECT query_id, {mil('recall')} AS recall, {mil('precision')} AS precision, {mil('ndcg')} AS ndcg, {mil('rr')} AS rr FROM m")
 def eval_by_query(spark, d):
-    return ops.evaluate(_gold(spark, d), 10).select("query_id", *[_SIX(c).alias(c) for c in ("recall", "precision", "ndcg", "rr")])
+    return _measures(spark, d).select("query_id", *[_SIX(c).alias(c) for c in ("recall", "precision", "ndcg", "rr")])
 
 
 @query("eval_summary", f"WITH {_GOLD} SELECT count(*) AS queries, {mil('avg(recall)')} AS recall, {mil('avg(precision)')} AS precision, {mil('avg(ndcg)')} AS ndcg, {mil('avg(rr)')} AS mrr FROM m")
 def eval_summary(spark, d):
-    rows = ops.evaluate(_gold(spark, d), 10).agg(F.count("*").alias("queries"), *[F.avg(c).alias(n) for c, n in (("recall", "recall"), ("precision", "precision"), ("ndcg", "ndcg"), ("rr", "mrr"))])
+    rows = _measures(spark, d).agg(F.count("*").alias("queries"), *[F.avg(c).alias(n) for c, n in (("recall", "recall"), ("precision", "precision"), ("ndcg", "ndcg"), ("rr", "mrr"))])
     return rows.select("queries", *[_SIX(c).alias(c) for c in ("recall", "precision", "ndcg", "mrr")])

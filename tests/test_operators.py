@@ -98,6 +98,9 @@ def test_fusion_and_metrics(spark):
     gold = spark.createDataFrame([(1, ["a", "b"], ["a"]), (2, ["x", "a"], ["a"]), (3, ["a", "q", "b"], ["a", "b"]), (4, ["x"], ["y"]), (5, [], [])], "query_id int, ranked array<string>, relevant array<string>")
     rows = {r["query_id"]: r for r in retrieval.evaluate(gold, 3).collect()}
     assert [rows[i]["rr"] for i in range(1, 6)] == [1, 0.5, 1, 0, 0] and rows[3]["recall"] == 1 and rows[1]["precision"] == pytest.approx(1 / 3)
+    long = gold.select("query_id", F.posexplode("ranked").alias("rank", "item")).withColumn("rank", F.col("rank") + 1)
+    by_rows = {r["query_id"]: r for r in retrieval.evaluate_rows(long, gold.select("query_id", F.explode("relevant").alias("item")), 3).collect()}
+    assert all(by_rows[i][c] == pytest.approx(rows[i][c]) for i in range(1, 5) for c in ("recall", "precision", "ndcg", "rr"))
     assert rows[3]["ndcg"] == pytest.approx((1 + 0.5) / (1 + 0.6309297535714575)) and rows[5]["ndcg"] == 0
 
 
