@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgspark.functions.notes import lines, with_path_parts
+from kgspark.functions.stem import stem, stem_terms
 
 K1, B = 1.2, 0.75
 
@@ -63,14 +64,16 @@ def query_terms(query: str) -> list[str]:
     return list(dict.fromkeys(terms))
 
 
-def keyword_search(docs: DataFrame, query: str, key: str = "doc_id", column: str = "text", limit: int | None = 10) -> DataFrame:
-    """(key, score): documents with every term, by BM25; ties by key.
+def keyword_search(docs: DataFrame, query: str, key: str = "doc_id", column: str = "text", limit: int | None = 10, analyzer: str = "plain") -> DataFrame:
+    """(key, score): documents with every term, by BM25; ties by key. ``analyzer`` is ``plain`` or ``porter`` (stems).
 
     Term counts are taken while scanning, only for the query's terms, so no postings are shuffled: corpus counts are
     one small aggregate, joined back to the matching rows.
     """
     terms = query_terms(query)
     words = plain_terms(F.coalesce(column, F.lit("")))
+    if analyzer == "porter":
+        terms, words = list(dict.fromkeys(map(stem, terms))), stem_terms(words)
     rows = docs.select(key, words.alias("_w"))
     rows = rows.select(key, F.size("_w").alias("_len"), *[_count("_w", x).alias(f"_f{i}") for i, x in enumerate(terms)])
     stats = rows.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *[F.count(F.when(F.col(f"_f{i}") > 0, 1)).alias(f"_d{i}") for i in range(len(terms))])

@@ -172,3 +172,34 @@ def test_search(spark):
     assert [(r["line_no"], r["line"], r["matches"]) for r in rows] == [(1, "Hello", 1), (2, "hello hello", 2)]
     assert search.search_context(notes, "HELLO").first()["lines"] == ["Hello", "hello hello"]
     assert [r["exact"] for r in search.find_by_name(notes_of(spark, {"x/Ab.md": "", "Abc.md": ""}), "AB").collect()] == [True, False]
+
+
+@pytest.mark.parametrize("word, want", [("caresses", "caress"), ("ponies", "poni"), ("agreed", "agre"), ("hopping", "hop"), ("filing", "file"), ("happy", "happi"), ("relational", "relat"), ("hopefulness", "hope"), ("adjustment", "adjust"), ("controll", "control"), ("sky", "sky"), ("licensing", "licens")])
+def test_stems(word, want):
+    from kgspark.functions.stem import stem
+
+    assert stem(word) == want
+
+
+def test_beside_results(spark):
+    from kgspark.operators import annotate, daily
+
+    hits = notes_of(spark, {"Café.md": "", "x.md": ""}).select("vault", "path")
+    signals = spark.createDataFrame([("v", "Café.md", 3), ("w", "x.md", 4)], "vault string, path string, n int")
+    assert {r["path"]: r["graph"] and r["graph"]["n"] for r in annotate.with_signals(hits, signals).collect()} == {"Café.md": 3, "x.md": None}
+    text = spark.createDataFrame([("a \n b",), ("x" * 300,)], "t string").select(annotate.preview(F.col("t")).alias("p")).collect()
+    assert text[0]["p"] == "a b" and len(text[1]["p"]) == 203
+    assert annotate.Completeness.exact(5, 3).as_dict() == {"state": "exact", "total": 5, "returned": 3, "truncated": True, "has_more": True}
+    assert annotate.Completeness.of_limited(11, 10).state == "limit_reached" and annotate.Completeness.partial(3, 2, ["a"] * 20).reasons == ("a",)
+    at = F.lit(dt.datetime(2024, 3, 5, 7, 8, 9))
+    row = spark.range(1).select(daily.daily_path(at, "/J/", "YYYY/MM-DD HHmmss").alias("p")).first()
+    assert row["p"] == "J/2024/03-05 070809.md"
+    a, b = notes_of(spark, {"a": "1", "b": "2"}), notes_of(spark, {"b": "2", "a": "1"})
+    assert annotate.digest(a, ["vault"]).first() == annotate.digest(b, ["vault"]).first() != annotate.digest(notes_of(spark, {"a": "2", "b": "1"}), ["vault"]).first()
+
+
+def test_catalog():
+    from kgspark.catalog import discover
+
+    page = discover(5, 0)
+    assert len(page["entries"]) == 5 and page["has_more"] and sum(page["groups"].values()) == page["total"]
