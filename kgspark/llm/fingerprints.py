@@ -142,13 +142,18 @@ def likeness(a: str, b: str) -> Column:
     return F.lit(1.0) - differing(a, b) / F.lit(64.0)
 
 
+def counted(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Add ``n_within`` to (doc_id, fp, ...) rows whose id is divisible by 100: rows within ``radius`` bits, itself included."""
+    counts = rows.groupBy("fp").agg(F.count("*").alias("n"))
+    asked = rows.where("doc_id % 100 = 0").select("doc_id", "fp").distinct()
+    found = within_radius(asked, counts, radius).join(counts, "fp").groupBy("q").agg(F.sum("n").alias("n_within"))
+    asked = asked.join(found, F.col("fp") == F.col("q")).select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"), "n_within")
+    return rows.join(asked, (rows["doc_id"] == asked["_id"]) & (rows["fp"] == asked["_fp"]), "left").drop("_id", "_fp")
+
+
 def op8_fingerprints(spark, sf_dir: str) -> DataFrame:
     """Fingerprints and likenesses; ``n_within`` for ids divisible by 100: documents within the radius, itself included."""
-    rows = stage(fingerprint_documents(read_table(spark, sf_dir, "documents")), "fingerprint-rows")
-    counts = rows.groupBy("fp").agg(F.count("*").alias("n"))
-    found = within_radius(rows.where("doc_id % 100 = 0").select("fp"), counts).join(counts, "fp").groupBy("q").agg(F.sum("n").alias("n_within"))
-    asked = rows.where("doc_id % 100 = 0").select("doc_id", "fp").distinct().join(found, F.col("fp") == F.col("q")).select(F.col("doc_id").alias("_id"), "n_within")
-    out = rows.join(asked, rows["doc_id"] == asked["_id"], "left")
+    out = counted(stage(fingerprint_documents(read_table(spark, sf_dir, "documents")), "fingerprint-rows"))
     return out.select(
         "doc_id", "n_chars", "edited_sha256", hex16("fp").alias("fingerprint"), hex16("edited_fp").alias("edited_fingerprint"),
         likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"), "n_within",

@@ -413,6 +413,14 @@ def test_radius_search(spark):
     assert got == {(a, b) for a in asked for b in set(fps) if (a ^ b).bit_count() <= 3}
 
 
+def test_radius_counts(spark):
+    from kgspark.llm.fingerprints import counted
+
+    rows = [(0, 1), (0, 1), (0, -1), (100, 3), (7, 1), (8, 0), (None, 1)]
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["fp"], r["n_within"]) for r in counted(spark.createDataFrame(rows, "doc_id long, fp long")).collect() if r["n_within"])
+    assert got == [(False, 0, -1, 1), (False, 0, 1, 6), (False, 0, 1, 6), (False, 100, 3, 6)]
+
+
 # 9 packing
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
