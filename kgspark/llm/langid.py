@@ -191,10 +191,13 @@ def identify_documents(docs: DataFrame, keep: list[str] | None = None, max_bytes
 
 
 def language_stage(spark, docs: DataFrame, sf_dir: str, least: float = 0.3) -> DataFrame:
-    """Pipeline stage: documents in a known language that holds at least ``least`` of their letters."""
-    columns = [c for c in docs.columns if c != "doc_id"]
-    out = identify_documents(docs, columns)
-    return out.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+    """Pipeline stage: documents in a known language that holds at least ``least`` of their letters.
+
+    Rows travel whole, so no name of theirs clashes.
+    """
+    rows = docs.select("doc_id", "text", "lang", F.struct(*docs.columns).alias("_row"))
+    out = identify_documents(rows, ["_row"])
+    return out.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("_row.*")
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:

@@ -144,11 +144,14 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
 
 
 def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the mix itself. A document comes as often as its chosen blocks say: not at all, once or twice."""
-    rows = with_size(docs).select("doc_id", "source", "size").dropDuplicates(["doc_id"])
-    copies = mix_sources(rows).select(F.col("doc_id").alias("_id"), "copies").where("copies > 0")
-    out = docs.join(copies, docs["doc_id"] == copies["_id"])
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    """Pipeline stage: the mix itself. A document comes as often as its chosen blocks say: not at all, once or twice.
+
+    Rows of one id (null too) share the largest number of copies among them.
+    """
+    mixed = mix_sources(with_size(docs).select("doc_id", "source", "size"))
+    copies = mixed.groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
+    out = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:

@@ -66,3 +66,27 @@ def test_run_gives_rows(spark, data_dir):
     import corpus_pipeline as cp
 
     assert cp.run(spark, data_dir).count() > 0 and cp.ORACLE_SQL is None
+
+
+def test_odd_rows_pass_through(spark, data_dir):
+    """Null ids, repeated ids and clashing columns go through every stage that has no reason to stop them."""
+    import corpus_pipeline as cp
+
+    from kgspark.llm.mixing import mix_stage
+
+    text = lambda k: " ".join(f"the{k}x{i}" for i in range(40))
+    rows = [(1, text(1), "s"), (1, text(1), "s"), (2, text(1), "s"), (None, text(3), None), (4, None, "t"), (5, text(5), "t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("lang", F.lit("en"))
+    docs = docs.withColumns({c: F.lit(c) for c in ("copies", "size", "kept", "score", "lang_pred", "n_words", "fp", "component_id", "shard", "length", "piece")})
+    count, stages = {}, dict(cp.STAGES)
+    for name in ("quality_rules", "language_id", "simhash_dedup", "mixing"):
+        out = stages[name](spark, docs, data_dir)
+        assert out.columns == docs.columns
+        count[name] = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in out.collect())
+    assert count["simhash_dedup"] == [(False, 1), (False, 4), (False, 5), (True, 0)]
+    assert count["language_id"] == [(False, 1), (False, 1), (False, 2), (False, 5), (True, 0)]
+    assert stages["packing"](spark, docs, data_dir).count() == len(rows)
+    mixed = mix_stage(spark, docs.where("doc_id is null or doc_id in (4, 5)"), "")
+    assert mixed.where("doc_id is null").count() > 0 and mixed.where("text is not null").count() >= 2
+    for name, f in cp.STAGES:
+        assert f(spark, docs.limit(0), data_dir).count() == 0
