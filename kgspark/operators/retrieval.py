@@ -118,21 +118,28 @@ def evaluate(gold: DataFrame, k: int) -> DataFrame:
     )
 
 
-def evaluate_rows(ranking: DataFrame, relevant: DataFrame, k: int, depth: int = 100) -> DataFrame:
+def evaluate_rows(ranking: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """The same measures from rows, for rankings too long for arrays: (query_id, item, rank) and (query_id, item).
 
-    Only the first ``depth`` of a ranking travel on (the cut happens ahead of the shuffle); a reciprocal rank below
-    that is 0. What is relevant is counted, never listed.
+    ``rank`` may be any column that orders a query's items, best first and without ties: only the first ``k`` are
+    numbered. The first relevant item's rank is one more than the items ahead of it, counted over the whole ranking,
+    so neither a list nor a numbering of all items is made.
     """
     want = relevant.select("query_id", "item").distinct()
-    top = ranking.where(F.col("rank") <= depth)
+    places = Window.partitionBy("query_id").orderBy("rank")
+    top = ranking.withColumn("_place", F.row_number().over(places)).where(F.col("_place") <= k)
     hits = top.join(want.withColumn("_hit", F.lit(True)), ["query_id", "item"], "left")
     hit = F.coalesce("_hit", F.lit(False))
     sums = hits.groupBy("query_id").agg(
-        F.count(F.when(hit & (F.col("rank") <= k), 1)).alias("_n"),
-        F.coalesce(F.sum(F.when(hit & (F.col("rank") <= k), 1 / F.log2(F.col("rank") + 1))), F.lit(0.0)).alias("_dcg"),
-        F.min(F.when(hit, F.col("rank"))).alias("_first"),
+        F.count(F.when(hit, 1)).alias("_n"),
+        F.coalesce(F.sum(F.when(hit, 1 / F.log2(F.col("_place") + 1))), F.lit(0.0)).alias("_dcg"),
     )
+    best = ranking.join(want, ["query_id", "item"], "left_semi").groupBy("query_id").agg(F.min("rank").alias("_best"))
+    # salted: one query's ranking may be most of the rows
+    best = best.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
+    ahead = ranking.select("query_id", "rank", F.pmod(F.xxhash64("item"), F.lit(64)).cast("int").alias("_salt"))
+    ahead = ahead.join(best, ["query_id", "_salt"]).where(F.col("rank") <= F.col("_best"))
+    sums = sums.join(ahead.groupBy("query_id").agg(F.count("*").alias("_first")), "query_id", "left")
     sums = sums.join(want.groupBy("query_id").agg(F.count("*").alias("_want")), "query_id", "left").fillna(0, ["_want"])
     ideal = F.aggregate(F.transform(F.sequence(F.lit(1), F.greatest(F.least("_want", F.lit(k)), F.lit(1)).cast("int")), lambda i: 1 / F.log2(i + 1)), F.lit(0.0), lambda a, x: a + x)
     some = F.col("_want") > 0

@@ -127,11 +127,8 @@ _GOLD = (
 
 def _measures(spark, d):
     """Longest documents first as the ranking of each source, junk as what is wanted."""
-    from pyspark.sql import Window
-
     docs = table(spark, d, "documents").select(F.col("source").alias("query_id"), F.col("doc_id").alias("item"), "n_chars")
-    order = Window.partitionBy("query_id").orderBy(F.desc("n_chars"), "item")
-    ranking = docs.withColumn("rank", F.row_number().over(order)).where("rank <= 100")
+    ranking = docs.select("query_id", "item", F.struct(F.isnull("n_chars").alias("none"), (-F.col("n_chars")).alias("n"), "item").alias("rank"))
     junk = table(spark, d, "labels").where("quality = 0").select(F.col("doc_id").alias("item"))
     return ops.evaluate_rows(ranking, docs.join(junk, "item").select("query_id", "item"), 10)
 

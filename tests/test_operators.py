@@ -104,6 +104,26 @@ def test_fusion_and_metrics(spark):
     assert rows[3]["ndcg"] == pytest.approx((1 + 0.5) / (1 + 0.6309297535714575)) and rows[5]["ndcg"] == 0
 
 
+def test_reciprocal_rank_sees_the_whole_ranking(spark):
+    ranking = spark.range(1, 1001).select(F.lit("q").alias("query_id"), F.col("id").alias("item"), F.col("id").alias("rank"))
+    relevant = spark.createDataFrame([("q", 700), ("q", 251), ("q", 5000), ("other", 1)], "query_id string, item long")
+    row = retrieval.evaluate_rows(ranking, relevant, 10).collect()
+    assert [(r["query_id"], r["rr"], r["recall"], r["precision"], r["ndcg"]) for r in row] == [("q", 1 / 251, 0, 0, 0)]
+
+
+def test_source_rankings_are_whole(spark, tmp_path):
+    """The first junk document of a source stands at rank 151 of 200."""
+    from kgspark.plans import catalogue
+
+    docs = [(i, "s", 1000 - i) for i in range(1, 201)] + [(i, "t", 1000 - i) for i in range(201, 205)]
+    spark.createDataFrame(docs, "doc_id long, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(151, 0), (160, 0), (1, 1), (202, 0)], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    rr = {r["query_id"]: r["rr"] for r in catalogue.queries()["eval_by_query"](spark, str(tmp_path)).collect()}
+    assert rr == {"s": pytest.approx(1 / 151, abs=1e-6), "t": 0.5}
+    mrr = catalogue.queries()["eval_summary"](spark, str(tmp_path)).first()["mrr"]
+    assert mrr == pytest.approx((1 / 151 + 0.5) / 2, abs=1e-6)
+
+
 def test_vectors(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [1.0])], "vec_id long, embedding array<float>")
     got = [(r["vec_id"], round(r["similarity"], 4)) for r in retrieval.vector_search(rows, [1.0, 0.0]).collect()]
