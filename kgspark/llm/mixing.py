@@ -1,19 +1,25 @@
 """Mixing sources to target weights: Sainte-Lague apportionment of equal-token blocks.
 
 Each source's documents lie in a seeded order on a line of its words, which is cut into blocks of equal numbers of
-words. Seats (blocks of the mix) go to sources by the highest quotients target / (2 seats + 1). A source's seats are
+words. Seats (blocks of the mix) go to sources by the highest quotients target / (2 seats + 1). Sources whose targets are
+few such blocks have smaller ones, halved until a target is ``FINE`` blocks (or a block is a word), and share the seats
+of their block size among themselves: every source comes out near its target, however small. A source's seats are
 whole passes over its blocks plus a seeded choice among them; the order in which the quotients are won also deals
 the seats over the shards of the mix, so that each shard holds an integer quota of each source.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgspark.llm.common import hash_salt, read_table, salts_for, stage
 
 WEIGHTS = (5, 2, 1)
+FINE = 512  # blocks of a target, at least, unless they are single words
+GROUP = 64  # about so many small sources share seats
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -37,47 +43,76 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = 1.
     return rows.select("source", "source_size", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("w") * F.col("level"))).alias("target"))
 
 
-def seats(targets: DataFrame, n_seats: int) -> DataFrame:
-    """(source, seat, turn): the ``n_seats`` highest quotients target / (2 seat + 1), in the order they are won.
+def won_seats(rows: DataFrame) -> DataFrame:
+    """(source, seat, turn, n): the ``n`` highest quotients target / (2 seat + 1) of each (tier, part), in the order they are won.
 
     A source's seats are within one of its even share or a little above, so only quotients up to twice that are made:
-    about twice ``n_seats`` rows and one a source.
+    about twice ``n`` rows and two a source.
     """
-    rows = targets.where("target > 0").withColumn("share", F.col("target") * n_seats / F.sum("target").over(Window.partitionBy(F.lit(1))))
-    rows = rows.select("source", "target", F.explode(F.sequence(F.lit(0), F.ceil(F.col("share") * 2).cast("int") + 1)).alias("seat"))
+    part = Window.partitionBy("tier", "part")
+    rows = rows.where("target > 0").withColumn("share", F.col("target") * F.col("n") / F.sum("target").over(part))
+    rows = rows.select("source", "target", "tier", "part", "n", F.explode(F.sequence(F.lit(0), F.ceil(F.col("share") * 2).cast("int") + 1)).alias("seat"))
     quotient = F.col("target") / (2 * F.col("seat") + 1)
-    rows = rows.withColumn("turn", F.row_number().over(Window.orderBy(quotient.desc(), F.col("source").asc_nulls_last(), "seat")) - 1)
-    return rows.where(F.col("turn") < n_seats).select("source", "seat", "turn")
+    rows = rows.withColumn("turn", F.row_number().over(part.orderBy(quotient.desc(), F.col("source").asc_nulls_last(), "seat")) - 1)
+    return rows.where(F.col("turn") < F.col("n")).select("source", "seat", "turn", "n")
+
+
+def seats(targets: DataFrame, n_seats: int) -> DataFrame:
+    """(source, seat, turn): ``n_seats`` seats shared by all sources."""
+    return won_seats(targets.withColumns({"tier": F.lit(0), "part": F.lit(0), "n": F.lit(n_seats)})).drop("n")
+
+
+def with_blocks(targets: DataFrame, n_seats: int) -> DataFrame:
+    """Add block (words), tier, part and n (seats of the tier and part) to targets.
+
+    Tier 0 has blocks of all targets / ``n_seats``, each further tier half of that. A tier above 0 is dealt in parts of
+    about ``GROUP`` sources, so no task holds more seats than some ``n_seats`` or ``GROUP`` x 2 x ``FINE``.
+    """
+    total, many = targets.agg(F.sum("target"), F.count("*")).first()
+    n_seats = max(1, min(n_seats, round(total or 0.0)))  # a block has a word at least
+    block = max((total or 0.0) / n_seats, 1.0)
+    halved = F.ceil(F.log2(F.lit(FINE * block) / F.greatest("target", F.lit(1e-9))))
+    tier = F.greatest(F.least(halved, F.lit(math.ceil(math.log2(block)))), F.lit(0)).cast("int")
+    rows = targets.withColumn("tier", tier).withColumn("block", F.greatest(F.lit(block) / F.pow(F.lit(2.0), "tier"), F.lit(1.0)))
+    rows = rows.withColumn("part", F.when(F.col("tier") > 0, hash_salt(-(-many // GROUP) or 1, "source")).otherwise(0))
+    return rows.withColumn("n", F.round(F.sum("target").over(Window.partitionBy("tier", "part")) / F.col("block")).cast("long"))
 
 
-def block_plan(targets: DataFrame, n_seats: int, mix_shards: int, seed: int) -> DataFrame:
-    """One row a source: source, source_size, target, n_blocks, passes, before (words chosen ahead of each block), quotas.
+def block_plan(targets: DataFrame, n_seats: int, mix_shards: int) -> DataFrame:
+    """One row a source: source, source_size, target, n_blocks, passes, rest (blocks chosen once more), quotas.
 
-    ``quotas``: seats of the source in each shard of the mix. ``n_seats``, the most seats, bounds all rows and arrays here.
+    ``quotas``: seats of the source in each shard of the mix.
     """
-    total = targets.agg(F.sum("target")).first()[0] or 0.0
-    n_seats = max(1, min(n_seats, round(total)))  # a block has a word at least
-    block = max(total / n_seats, 1.0)
-    won = seats(targets, n_seats)
-    quota = won.groupBy("source", F.floor(F.col("turn") * mix_shards / n_seats).cast("int").alias("mix_shard")).agg(F.count("*").alias("n"))
+    rows = with_blocks(targets, n_seats)
+    won = won_seats(rows)
+    quota = won.groupBy("source", F.floor(F.col("turn") * mix_shards / F.col("n")).cast("int").alias("mix_shard")).agg(F.count("*").alias("n"))
     quota = quota.groupBy(F.col("source").alias("_q")).agg(F.sum("n").alias("quota"), F.sort_array(F.collect_list(F.struct("mix_shard", "n"))).alias("quotas"))
-    plan = targets.join(quota, targets["source"].eqNullSafe(quota["_q"]), "left").drop("_q")
-    plan = plan.withColumn("n_blocks", F.greatest(F.round(F.col("source_size") / block), F.lit(1.0)).cast("long"))
+    plan = rows.join(quota, rows["source"].eqNullSafe(quota["_q"]), "left").drop("_q")
+    plan = plan.withColumn("n_blocks", F.greatest(F.round(F.col("source_size") / F.col("block")), F.lit(1.0)).cast("long"))
     # 2 x n_blocks seats are the most that the stop at twice the size leaves
     plan = plan.withColumn("quota", F.least(F.coalesce("quota", F.lit(0)), F.col("n_blocks") * 2))
     plan = plan.withColumn("passes", F.floor(F.col("quota") / F.col("n_blocks"))).withColumn("rest", F.col("quota") - F.col("passes") * F.col("n_blocks"))
-    blocks = plan.select("source", "source_size", "n_blocks", "rest", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("k"))
-    lot = Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed), "source", "k"), "k")
+    return plan.select("source", "source_size", "target", "n_blocks", "passes", "rest", "quotas")
+
+
+def chosen_blocks(plan: DataFrame, seed: int) -> DataFrame:
+    """(source, k, sum): words of the ``rest`` blocks chosen by lot ahead of block k; k = n_blocks gives all of them."""
+    blocks = plan.select("source", "source_size", "n_blocks", "rest", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks"))).alias("k"))
+    lot = Window.partitionBy("source").orderBy(F.col("k") == F.col("n_blocks"), F.xxhash64(F.lit(seed), "source", "k"), "k")
     edge = lambda k: F.floor(k * F.col("source_size") / F.col("n_blocks"))
     blocks = blocks.withColumn("lot", F.row_number().over(lot))
     blocks = blocks.withColumn("words", F.when(F.col("lot") <= F.col("rest"), edge(F.col("k") + 1) - edge(F.col("k"))).otherwise(0))
     line = Window.partitionBy("source").orderBy("k")
-    blocks = blocks.withColumn("sum", F.sum("words").over(line) - F.col("words"))
-    arrays = blocks.groupBy("source").agg(
-        F.sort_array(F.collect_list(F.struct("k", "sum"))).alias("sums"), F.sum("words").alias("rest_words")
-    )
-    arrays = arrays.select(F.col("source").alias("_s"), F.concat(F.transform("sums", lambda x: x["sum"]), F.array("rest_words")).alias("before"))
-    return plan.join(arrays, plan["source"].eqNullSafe(arrays["_s"])).select("source", "source_size", "target", "n_blocks", "passes", "before", "quotas")
+    return blocks.select("source", "k", (F.sum("words").over(line) - F.col("words")).alias("sum"))
+
+
+def block_of(x) -> tuple:
+    """The block that holds word x of the source's line (the last one for its end), and the block's first word."""
+    k = F.floor((x * F.col("n_blocks") + F.col("n_blocks") - 1) / F.greatest("source_size", F.lit(1)))
+    k = F.least(F.greatest(k, F.lit(0)), F.col("n_blocks") - 1)
+    start = lambda b: F.floor(b * F.col("source_size") / F.col("n_blocks"))
+    k = F.when(start(k) > x, k - 1).otherwise(k)
+    return k, start(k)
 
 
 def mix_sources(
@@ -87,46 +122,48 @@ def mix_sources(
 
     ``taken``: words that the chosen blocks hold of the document, repeats counted. ``copies``: the whole-document
     reading of it, whose block holds the document's middle word. Running positions within a source come from sums
-    over even cells (source, salt), so a source with a third of all rows is spread. The plan of the sources is
-    broadcast: ``n_seats`` bounds its arrays. Equal rows are interchangeable; reruns agree.
+    over even cells (source, salt), so a source with a third of all rows is spread. A cell carries the blocks that it
+    touches, so documents meet their plan in the join that places them and nothing is broadcast. ``n_seats`` sets the
+    blocks of large sources; small ones have finer blocks. Only windows over the one row a source has run in one task.
+    Equal rows are interchangeable; reruns agree.
     """
     base = stage(rows, "mix-rows")
     stats = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     stats = stage(stats, "mix-sources")
     largest = stats.agg(F.max("n")).first()[0] or 0
     targets = stage(source_targets(stats.select("source", "source_size"), weights, share, most), "mix-targets")
-    plan = stage(block_plan(targets, n_seats, mix_shards, seed), "mix-plan")
+    plan = stage(block_plan(targets, n_seats, mix_shards), "mix-plan")
 
     cells = base.withColumn("_salt", hash_salt(salts_for(largest, 64, 4096), "doc_id"))
     line = Window.partitionBy("source", "_salt").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "size")
     sums = cells.groupBy("source", "_salt").agg(F.sum("size").alias("_words"))
     sums = sums.withColumn("_at", F.sum("_words").over(Window.partitionBy("source").orderBy("_salt")) - F.col("_words"))
-    sums = sums.select(F.col("source").alias("_s"), F.col("_salt").alias("_t"), "_at")
+    sums = sums.select(F.col("source").alias("_s"), F.col("_salt").alias("_t"), "_at", "_words")
+    facts = ["source_size", "target", "n_blocks", "passes"]
+    sums = sums.join(plan.select("source", *facts), sums["_s"].eqNullSafe(F.col("source"))).drop("source")
+    sums = sums.withColumn("_k0", block_of(F.col("_at"))[0])
+    sums = sums.withColumn("_k", F.explode(F.sequence("_k0", block_of(F.col("_at") + F.col("_words"))[0] + 1)))
+    blocks = chosen_blocks(plan, seed)
+    sums = sums.join(blocks, sums["_s"].eqNullSafe(blocks["source"]) & (sums["_k"] == blocks["k"]))
+    before = F.transform(F.sort_array(F.collect_list(F.struct("k", "sum"))), lambda x: x["sum"]).alias("before")
+    sums = sums.groupBy("_s", "_t", "_at", "_k0", *facts).agg(before)
     placed = cells.withColumn("_in", F.sum("size").over(line) - F.col("size"))
-    placed = placed.join(sums, placed["source"].eqNullSafe(sums["_s"]) & (placed["_salt"] == sums["_t"])).withColumn("_from", F.col("_at") + F.col("_in"))
-
-    plan = plan.withColumnRenamed("source", "_p")
-    out = placed.join(F.broadcast(plan), placed["source"].eqNullSafe(plan["_p"]), "left")
+    out = placed.join(sums, placed["source"].eqNullSafe(sums["_s"]) & (placed["_salt"] == sums["_t"])).withColumn("_from", F.col("_at") + F.col("_in"))
 
-    def block_of(x):  # the block that holds word x of the source's line; the last one for its end
-        k = F.floor((x * F.col("n_blocks") + F.col("n_blocks") - 1) / F.greatest("source_size", F.lit(1)))
-        k = F.least(F.greatest(k, F.lit(0)), F.col("n_blocks") - 1)
-        start = lambda b: F.floor(b * F.col("source_size") / F.col("n_blocks"))
-        k = F.when(start(k) > x, k - 1).otherwise(k)
-        return k, start(k)
+    def sum_at(k):
+        return F.element_at("before", (k - F.col("_k0") + 1).cast("int"))
 
     def chosen_before(x):
         k, start = block_of(x)
-        at, next_ = F.element_at("before", (k + 1).cast("int")), F.element_at("before", (k + 2).cast("int"))
-        return at + F.when(next_ > at, x - start).otherwise(0)
+        return sum_at(k) + F.when(sum_at(k + 1) > sum_at(k), x - start).otherwise(0)
 
     end = F.col("_from") + F.col("size")
     middle_block, _ = block_of(F.col("_from") + F.floor(F.col("size") / 2))
-    middle = (F.element_at("before", (middle_block + 2).cast("int")) > F.element_at("before", (middle_block + 1).cast("int"))).cast("long")
+    middle = (sum_at(middle_block + 1) > sum_at(middle_block)).cast("long")
     taken = F.col("passes") * F.col("size") + chosen_before(end) - chosen_before(F.col("_from"))
     out = out.withColumn("taken", F.when(F.col("size") > 0, taken).otherwise(0).cast("long"))
     out = out.withColumn("copies", (F.col("passes") + middle).cast("long"))
-    return out.drop("_salt", "_in", "_s", "_t", "_at", "_from", "_p", "n_blocks", "passes", "before", "quotas")
+    return out.drop("_salt", "_in", "_s", "_t", "_at", "_from", "_k0", "n_blocks", "passes", "before")
 
 
 def with_size(docs: DataFrame) -> DataFrame:

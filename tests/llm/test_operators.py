@@ -371,6 +371,22 @@ def test_mixing(docs, empty):
     assert mix_documents(empty).count() == 0
 
 
+def test_mixing_serves_tiny_sources(spark):
+    """A large source beside many tiny ones: a block of all targets / n_seats is larger than any tiny target."""
+    from kgspark.llm.mixing import mix_sources
+
+    rows = [(i, "a", 50) for i in range(2000)] + [(10_000 + 10 * s + i, f"t{s:03}", 20) for s in range(150) for i in range(3)] + [(9, None, 7)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    for share in (0.5, 1.5):
+        got = mix_sources(frame, weights=(1000, *[1] * 151), share=share, n_seats=16).collect()
+        assert len(got) == len(rows)
+        target, taken = {r["source"]: r["target"] for r in got}, Counter()
+        for r in got:
+            assert 0 <= r["taken"] <= 2 * r["size"]
+            taken[r["source"]] += r["taken"]
+        assert all(abs(taken[s] - t) <= max(2, 0.005 * t) for s, t in target.items()), (share, [(s, t, taken[s]) for s, t in target.items()][:5])
+
+
 def test_sainte_lague(spark):
     from kgspark.llm.mixing import seats
 
