@@ -15,7 +15,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kgspark.llm.bits import hex16, majority, vote_sums
@@ -29,16 +29,20 @@ SPACE = r"[\x20\x09-\x0D]+"
 ROW_COST, PAIR_COST, PROBES = 1.5e-6, 4e-9, 2000  # seconds to ship a row and to verify a pair; most probes a group
 
 
+def text_hash() -> Column:
+    return F.xxhash64(F.lit(31), "text")
+
+
 def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): a row for each row of ``docs``. Null and wordless texts have fingerprint zero."""
+    """(doc_id, text_hash, fp): a row for each row of ``docs``. Null and wordless texts have fingerprint zero."""
     text = F.translate(F.coalesce("text", F.lit("")), CAPITALS, SMALL)
-    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), F.array_remove(F.split(text, SPACE), "").alias("w"))
+    rows = docs.select("doc_id", F.monotonically_increasing_id().alias("_row"), text_hash().alias("text_hash"), F.array_remove(F.split(text, SPACE), "").alias("w"))
     at = lambda i: F.concat_ws(" ", *[F.element_at("w", (i + k).cast("int")) for k in range(1, size + 1)])
     shingles = F.when(F.size("w") >= size, F.transform(F.sequence(F.lit(0), F.size("w") - size), lambda i: F.xxhash64(at(i))))
     short = F.when(F.size("w") > 0, F.array(F.xxhash64(F.array_join("w", " "))))
-    terms = rows.select("doc_id", "_row", F.explode_outer(F.coalesce(shingles, short)).alias("h"))
-    sums = terms.groupBy("doc_id", "_row").agg(F.count("h").alias("n"), *vote_sums("h"))
-    return sums.select("doc_id", F.coalesce(majority("n"), F.lit(0).cast("long")).alias("fp"))
+    terms = rows.select("doc_id", "_row", "text_hash", F.explode_outer(F.coalesce(shingles, short)).alias("h"))
+    sums = terms.groupBy("doc_id", "_row").agg(F.first("text_hash").alias("text_hash"), F.count("h").alias("n"), *vote_sums("h"))
+    return sums.select("doc_id", "text_hash", F.coalesce(majority("n"), F.lit(0).cast("long")).alias("fp"))
 
 
 @dataclass(frozen=True)
@@ -239,12 +243,23 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE)
 
 
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of near-duplicates the document with the smallest id."""
-    found = stage(near_duplicates(docs), "simhash-classes")
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    out = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_id"]), "left_semi")
-    repeated = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id"]) if repeated else out  # only then texts need the extra shuffle
+    """Pipeline stage: exactly one row of each group of near-duplicates, one with the smallest id that isn't null.
+
+    Ids needn't be unique, so a row is known by its id and its text's hash: different texts under one id, or without
+    an id, are judged apart. Of several texts under a group's smallest id the one with the smallest hash stays; of
+    rows with the same id and text any.
+    """
+    rows = stage(fingerprints(docs), "simhash-rows")
+    key = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_hash")
+    fps = stage(rows.groupBy("fp").agg(F.min(key).alias("least")), "simhash-fps")
+    roots = components(near_links(fps.select("fp")))
+    named = fps.join(roots, fps["fp"] == roots["node"], "left").groupBy(F.coalesce("root", "fp").alias("root"))
+    keep = stage(named.agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("_id"), F.col("least.text_hash").alias("_hash")), "simhash-keep")
+    out = docs.withColumn("_text_hash", text_hash())
+    out = out.join(keep, out["doc_id"].eqNullSafe(keep["_id"]) & (out["_text_hash"] == keep["_hash"]), "left_semi")
+    if rows.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():
+        out = out.dropDuplicates(["doc_id", "_text_hash"])  # only then texts need the extra shuffle
+    return out.drop("_text_hash")
 
 
 def op4_simhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -90,3 +90,16 @@ def test_odd_rows_pass_through(spark, data_dir):
     assert mixed.where("doc_id is null").count() > 0 and mixed.where("text is not null").count() >= 2
     for name, f in cp.STAGES:
         assert f(spark, docs.limit(0), data_dir).count() == 0
+
+
+def test_dedup_keeps_texts_under_shared_ids(spark):
+    """Different texts under null and repeated ids stay; one row of each group does."""
+    from kgspark.llm.simhash_dedup import dedup_stage
+
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
+    rows = [(None, text(k)) for k in range(5)] + [(None, text(0)), (None, text(0))]
+    rows += [(7, text(10)), (7, text(11)), (7, text(10)), (3, text(10)), (9, text(4)), (8, text(12)), (8, text(12))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in dedup_stage(spark, docs, "").collect()))
+    want = [(True, 0, text(k)) for k in range(4)] + [(False, 9, text(4)), (False, 3, text(10)), (False, 7, text(11)), (False, 8, text(12))]
+    assert got == sorted(want)
