@@ -124,6 +124,15 @@ def test_source_rankings_are_whole(spark, tmp_path):
     assert mrr == pytest.approx((1 / 151 + 0.5) / 2, abs=1e-6)
 
 
+def test_every_document_has_a_preview(spark, tmp_path):
+    from kgspark.plans import catalogue
+
+    rows = [(i, f"text  of\n{i}") for i in (1, 49, 50, 51, 100)] + [(None, "no id"), (2, "x" * 300)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["preview"] for r in catalogue.queries()["result_previews"](spark, str(tmp_path)).collect()}
+    assert got == {i: f"text of {i}" for i in (1, 49, 50, 51, 100)} | {None: "no id", 2: "x" * 200 + "..."}
+
+
 def test_vectors(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [1.0])], "vec_id long, embedding array<float>")
     got = [(r["vec_id"], round(r["similarity"], 4)) for r in retrieval.vector_search(rows, [1.0, 0.0]).collect()]
