@@ -123,7 +123,7 @@ def mix_sources(
     ``taken``: words that the chosen blocks hold of the document, repeats counted. ``copies``: the whole-document
     reading of it, whose block holds the document's middle word. Running positions within a source come from sums
     over even cells (source, salt), so a source with a third of all rows is spread. A cell carries the blocks that it
-    touches, so documents meet their plan in the join that places them and nothing is broadcast. ``n_seats`` sets the
+    touches, so documents meet their plan in the join that places them; no broadcast is forced. ``n_seats`` sets the
     blocks of large sources; small ones have finer blocks. Only windows over the one row a source has run in one task.
     Equal rows are interchangeable; reruns agree.
     """
