@@ -34,7 +34,7 @@ def test_clean_documents_stay(stages, spark, data_dir):
 
 
 def test_one_of_each_group(stages):
-    from test_operators import brute_components, brute_fingerprint
+    from test_training_operators import brute_components, brute_fingerprint
 
     rows = sorted((r["doc_id"], brute_fingerprint(r["text"])) for r in stages["language_id"].collect())
     group = brute_components([f for _, f in rows])
@@ -43,7 +43,7 @@ def test_one_of_each_group(stages):
 
 
 def test_mix_and_pack(stages):
-    from test_operators import WORDS, brute_targets
+    from test_training_operators import WORDS, brute_targets
 
     size = {r["doc_id"]: (r["source"], len(WORDS.findall(r["text"]))) for r in stages["simhash_dedup"].collect()}
     sizes, taken = {}, {}
