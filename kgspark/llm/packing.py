@@ -10,6 +10,7 @@ and look up their place in the plan.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,6 +24,10 @@ from kgspark.llm.common import hash_salt, read_table, salts_for, stage, text_blo
 CAPACITY = 2048
 END_ID = 0
 SPECIAL = "<|endoftext|>"
+#: The fast encoder's pattern keeps a state for each character of a run of white space and overflows between 300,000 and
+#: 1,000,000 of them; texts with runs above this length go to the exact one, which takes any.
+SAFE_BLANKS = 1 << 16
+_BLANKS = re.compile(r"\s{256,}")
 _ENCODERS: dict = {}
 
 
@@ -35,7 +40,8 @@ def tokenizer_files() -> tuple[str, str]:
 def encoder(files: tuple[str, str]):
     """text -> ids of the tokenizer in ``files[0]``; the same ranks in ``files[1]`` give the same ids several times faster.
 
-    Texts that hold the special token's own string go to the first, which has a single id for it.
+    Texts that hold the special token's own string go to the first, which has a single id for it, and so do texts with
+    a run of more than ``SAFE_BLANKS`` white space characters, which the second can't hold.
     """
     if files not in _ENCODERS:
         import public_tokenizers as tokens
@@ -48,7 +54,7 @@ def encoder(files: tuple[str, str]):
         exact: list = []
 
         def encode(text: str) -> list[int]:
-            if SPECIAL in text:
+            if SPECIAL in text or longest_blank(text) > SAFE_BLANKS:
                 if not exact:
                     exact.append(Tokenizer.from_file(files[0]))
                 return exact[0].encode(text, add_special_tokens=False).ids
@@ -58,6 +64,13 @@ def encoder(files: tuple[str, str]):
     return _ENCODERS[files]
 
 
+def longest_blank(text: str) -> int:
+    """Length of the longest run of white space, of those that could matter (0 for texts too short to have one)."""
+    if len(text) <= SAFE_BLANKS:
+        return 0
+    return max((m.end() - m.start() for m in _BLANKS.finditer(text)), default=0)
+
+
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of ``n`` tokens: whole capacities behind a first piece that may be shorter."""
     first = n if n <= capacity else (n - 1) % capacity + 1
@@ -187,7 +200,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack_documents(docs: DataFrame, files: tuple[str, str] | None = None, capacity: int = CAPACITY) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Null and empty texts are the single end id. Texts of any length are cut, never truncated. Repeated rows are packed
+    Null and empty texts are the single end id. Texts of any length and any run of blanks are cut, never truncated. Repeated rows are packed
     each. Other columns are ignored. An empty table gives no rows.
     """
     pieces = document_pieces(docs, files or tokenizer_files(), capacity)

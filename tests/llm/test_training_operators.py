@@ -471,6 +471,24 @@ def test_special_token_strings():
         assert enc(t) == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_long_runs(spark):
+    """Runs of a million blanks, line feeds, mixed white space or one letter have the ids that ``tokenizers`` gives."""
+    from tokenizers import Tokenizer
+
+    from kgspark.llm import packing
+
+    tok = Tokenizer.from_file(packing.tokenizer_files()[0])
+    n = 1_000_000
+    texts = [" " * n, "a " + "\n" * n + "b", " \n" * (n // 2), "a" * n, "\u00a0\u2003\t" * (n // 3) + "x", ("w" + " " * (packing.SAFE_BLANKS - 1)) * 3, ("w" + " " * (packing.SAFE_BLANKS + 1)) * 2]
+    want = Counter()
+    for i, t in enumerate(texts):
+        ids = [*tok.encode(t, add_special_tokens=False).ids, 0]
+        for k, (start, length) in enumerate(packing.cut(len(ids), packing.CAPACITY)):
+            want[(i, k, start, length, zlib.crc32(np.array(ids[start : start + length], dtype="<u4").tobytes()))] += 1
+    rows = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert Counter(tuple(r[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")) for r in rows) == want
+
+
 def test_plan_uses_all():
     from kgspark.llm.packing import plan_bins
 
