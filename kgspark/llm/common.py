@@ -16,10 +16,12 @@ _LOCAL: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset on a local master (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="kgspark-"))
     return f"file://{_LOCAL[0]}"
@@ -41,18 +43,25 @@ def id_fold(modulus: int) -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus))
 
 
+def one_text_an_id(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row of (``keys``, text) for each key, the text with the smallest hash: repeated ids can't swell a bounded sample."""
+    return rows.groupBy(*keys).agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, max_chars: int, held_out: int | None) -> DataFrame:
     """At most ``rows`` labelled documents (smallest seeded hashes) of up to ``max_chars`` characters: doc_id, text, y.
 
-    Only ids are ranked; the chosen ones, a bounded set, go to the documents by broadcast, so no text is shuffled.
-    Ids on fold 0 of ``held_out`` are never chosen. A document labelled twice keeps its largest label.
+    Only ids are ranked; the chosen ones, a bounded set, go to the documents by broadcast, so only the sample's texts
+    are shuffled. Ids on fold 0 of ``held_out`` are never chosen. A document labelled twice keeps its largest label; an
+    id that several documents have stands for the one whose text has the smallest hash.
     """
     ids = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null")
     if held_out:
         ids = ids.where(id_fold(held_out) != 0)
     ids = ids.groupBy("doc_id").agg(F.max("y").alias("y"))
     ids = ids.orderBy(F.xxhash64(F.lit(17), "doc_id"), "doc_id").limit(rows)
-    return docs.where(F.length("text") <= max_chars).select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    found = docs.where(F.length("text") <= max_chars).select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return one_text_an_id(found, "doc_id", "y")
 
 
 def collect_sample(sample: DataFrame) -> tuple[list[str], np.ndarray]:
@@ -74,6 +83,21 @@ def text_blocks(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[
         yield batch.slice(lo)
 
 
+def keep_rows(docs: DataFrame, decide, max_bytes: int) -> DataFrame:
+    """The rows of ``docs`` for whose text ``decide(list of UTF-8 bytes) -> mask`` says so.
+
+    Whole rows go to Python and back once, under their own names, so none clashes with a helper's.
+    """
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in text_blocks(batch, "text", max_bytes):
+                texts = [x or b"" for x in b.column(b.schema.get_field_index("text")).cast(pa.binary()).to_pylist()]
+                yield b.filter(pa.array(np.asarray(decide(texts), dtype=bool)))
+
+    return docs.mapInArrow(scan, docs.schema)
+
+
 def hash_salt(parts: int, *cols: str) -> Column:
     return F.pmod(F.xxhash64(F.lit(29), *cols), F.lit(parts)).cast("int")
 
