@@ -2,7 +2,8 @@
 
 A word's score for a language is the sum of its character-trigram log-likelihoods. Only languages seen with the
 word's script compete. Viterbi over the words of a text, with a penalty for switching, labels each word; runs of one
-label are the text's spans, and the language that holds most letters is the text's.
+label are the text's spans, and the language that holds most letters is the text's. Long texts are cut into chunks that
+advance together: the best path through each chunk for every pair of labels at its ends, then the best chain of chunks.
 """
 
 from __future__ import annotations
@@ -16,9 +17,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgspark.llm.charvec import SCRIPT_NAMES, Chars, ngram_hashes, script_table, word_runs
-from kgspark.llm.common import id_fold, read_table, text_blocks
+from kgspark.llm.common import id_fold, keep_rows, one_text_an_id, read_table, text_blocks
 
 BITS = 16
+CELLS = 1 << 24  # trigram counts of all languages together: with over 256 languages each has fewer hash buckets
+CHUNK = 512
 ORDER = 3
 UNKNOWN = "und"
 OUT_OF_SCRIPT = -1e4
@@ -44,12 +47,12 @@ class Words:
     grams: np.ndarray
 
     @classmethod
-    def of(cls, texts: list[str]) -> Words:
+    def of(cls, texts: list[str], bits: int = BITS) -> Words:
         chars = Chars.of([lower_same_length(t) for t in texts])
         scripts = script_table()[chars.points]
         first, end = word_runs(scripts > 0)
         spaced = np.where(scripts > 0, chars.points, np.uint32(32))
-        grams = ngram_hashes(np.append(spaced, np.uint32(32)), ORDER, BITS)[1:]  # at a place: the letter before, it, the next
+        grams = ngram_hashes(np.append(spaced, np.uint32(32)), ORDER, bits)[1:]  # at a place: the letter before, it, the next
         return cls(chars, first, end, chars.text_of(first), scripts[first], grams)
 
     def places(self) -> np.ndarray:
@@ -62,54 +65,121 @@ def lower_same_length(text: str) -> str:
     return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
 
 
-def fit(texts: list[str], langs: list[str], smooth: float = 0.5) -> Model:
-    names = sorted(set(langs))
-    counts, scripts = np.full((1 << BITS, len(names)), smooth), np.zeros((len(SCRIPT_NAMES), len(names)))
-    for k, name in enumerate(names):
-        own = [t for t, x in zip(texts, langs) if x == name]
-        for i in range(0, len(own), 256):
-            w = Words.of(own[i : i + 256])
-            if len(w.first):
-                counts[:, k] += np.bincount(w.grams[w.places()], minlength=1 << BITS)
-                scripts[:, k] += np.bincount(w.script, weights=w.end - w.first, minlength=len(SCRIPT_NAMES))
+def count_words(texts: list[str], bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """(trigrams by bucket, letters by script) of texts."""
+    words = Words.of(texts, bits)
+    return (
+        np.bincount(words.grams[words.places()], minlength=1 << bits),
+        np.bincount(words.script, weights=words.end - words.first, minlength=len(SCRIPT_NAMES)).astype(np.int64),
+    )
+
+
+def from_counts(names: list[str], counts: np.ndarray, scripts: np.ndarray, smooth: float = 0.5) -> Model:
+    """A model from (buckets, languages) and (scripts, languages) counts."""
+    counts = counts + smooth
     log = np.log(counts / counts.sum(0))
     log -= log.max(1, keepdims=True)
     used = scripts >= 0.005 * np.maximum(scripts.sum(0), 1)
+    used &= scripts > 0
     used |= ~used.any(1, keepdims=True)  # a script nobody was seen with narrows nothing
     return Model(names, log.astype(np.float32), np.where(used, 0, OUT_OF_SCRIPT).astype(np.float32))
 
 
-def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:
-    """Best label of each word: ``scores`` (words, labels) of sequences of ``lengths`` laid end to end.
+def fit(texts: list[str], langs: list[str]) -> Model:
+    names = sorted(set(langs))
+    found = [count_words([t for t, x in zip(texts, langs) if x == name]) for name in names]
+    return from_counts(names, np.stack([x for x, _ in found], axis=1), np.stack([x for _, x in found], axis=1))
 
-    All sequences advance together, the longest first, so that a step is a few operations over those still running.
-    """
-    labels, start = scores.shape[1], np.concatenate([[0], np.cumsum(lengths)[:-1]])
+
+def longest_first(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sequences that have a word, the longest first; how many of them are longer than t, for each t)."""
     order = np.argsort(-lengths, kind="stable")
     order = order[lengths[order] > 0]
-    start, lengths = start[order], lengths[order]
-    best, own = np.zeros(len(scores), dtype=np.uint8), np.arange(labels, dtype=np.uint8)
+    top = int(lengths[order[0]]) if len(order) else 0
+    return order, np.searchsorted(-lengths[order], -np.arange(top), side="left")
+
+
+def best_paths(scores: np.ndarray, start: np.ndarray, lengths: np.ndarray, penalty: float, best: np.ndarray, ends: np.ndarray | None = None) -> None:
+    """Write the best label of each word to ``best``: sequences of ``lengths`` words from ``start`` on, all advancing together.
+
+    ``ends``: labels that the first and the last word of each sequence must have.
+    """
+    labels, (order, running) = scores.shape[1], longest_first(lengths)
     if not len(order):
-        return best
-    back = np.empty(scores.shape, dtype=np.uint8)
-    running = np.searchsorted(-lengths, -np.arange(int(lengths[0])), side="left")  # sequences longer than t
+        return
+    start, lengths, own = start[order], lengths[order], np.arange(labels, dtype=best.dtype)
+    at_most = np.cumsum(lengths) - lengths
+    back = np.empty((int(lengths.sum()), labels), dtype=best.dtype)
     value = scores[start].astype(np.float64)
+    if ends is not None:
+        value = np.where(own == ends[order, :1], value, -np.inf)
     for t in range(1, int(lengths[0])):
         n = running[t]
-        v, at = value[:n], start[:n] + t
+        v = value[:n]
         top = v.argmax(1)
         jump = v[np.arange(n), top] - penalty
         switch = jump[:, None] > v
-        back[at] = np.where(switch, top[:, None].astype(np.uint8), own)
-        value[:n] = np.where(switch, jump[:, None], v) + scores[at]
+        back[at_most[:n] + t] = np.where(switch, top[:, None].astype(best.dtype), own)
+        value[:n] = np.where(switch, jump[:, None], v) + scores[start[:n] + t]
         value[:n] -= value[:n].max(1, keepdims=True)
-    state = value.argmax(1)
+    state = value.argmax(1) if ends is None else ends[order, 1].copy()
     for t in range(int(lengths[0]) - 1, -1, -1):
         n = running[t]
-        at = start[:n] + t
-        best[at] = state[:n]
+        best[start[:n] + t] = state[:n]
         if t:
-            state[:n] = back[at, state[:n]]
+            state[:n] = back[at_most[:n] + t, state[:n]]
+
+
+def chunk_values(scores: np.ndarray, start: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:
+    """(chunks, first label, last label): value of the best path through each chunk with these labels at its ends."""
+    labels, (order, running) = scores.shape[1], longest_first(lengths)
+    start = start[order]
+    value = np.where(np.eye(labels, dtype=bool), scores[start].astype(np.float64)[:, None, :], -np.inf)
+    for t in range(1, len(running)):
+        n = running[t]
+        v = value[:n]
+        value[:n] = np.maximum(v, v.max(2, keepdims=True) - penalty) + scores[start[:n] + t][:, None, :]
+    out = np.empty_like(value)
+    out[order] = value
+    return out
+
+
+def chunk_ends(values: np.ndarray, penalty: float) -> np.ndarray:
+    """(first, last) label of each chunk of one text on its best path."""
+    value, back = values[0].max(0), [(values[0].argmax(0), None)]
+    for m in values[1:]:
+        top = int(value.argmax())
+        enter = np.maximum(value, value[top] - penalty)
+        came = np.where(value >= enter, np.arange(len(value)), top)
+        total = enter[:, None] + m
+        first = total.argmax(0)
+        value = total[first, np.arange(len(first))]
+        value -= value.max()
+        back.append((first, came))
+    last, out = int(value.argmax()), np.empty((len(values), 2), dtype=np.int64)
+    for k in range(len(values) - 1, -1, -1):
+        first, came = back[k]
+        out[k] = first[last], last
+        last = int(came[first[last]]) if k else last
+    return out
+
+
+def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float, chunk: int = CHUNK) -> np.ndarray:
+    """Best label of each word: ``scores`` (words, labels) of sequences of ``lengths`` laid end to end.
+
+    Sequences of over ``chunk`` words are cut, so that one long text takes no more steps than many short ones. A label
+    takes 1 byte, or 2 with over 256 languages.
+    """
+    labels, start = scores.shape[1], np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
+    best = np.zeros(len(scores), dtype=np.uint8 if labels <= 256 else np.uint16)
+    short = lengths <= chunk
+    best_paths(scores, start[short], lengths[short], penalty, best)
+    at_once = max(1, (1 << 22) // (labels * labels))
+    for first, n in zip(start[~short], lengths[~short]):
+        part_start = first + np.arange(0, n, chunk)
+        part = np.minimum(chunk, first + n - part_start)
+        values = [chunk_values(scores, part_start[k : k + at_once], part[k : k + at_once], penalty) for k in range(0, len(part), at_once)]
+        best_paths(scores, part_start, part, penalty, best, chunk_ends(np.concatenate(values), penalty))
     return best
 
 
@@ -123,81 +193,125 @@ def label_words(model: Model, words: Words, n_texts: int) -> np.ndarray:
     return viterbi(scores, np.bincount(words.text, minlength=n_texts), model.penalty)
 
 
-def identify(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray]:
-    """(language, its share of the letters) of each text."""
-    words = Words.of(texts)
+@dataclass
+class Found:
+    """Languages of a block of texts: the main one and its share of the letters, and the spans of each text."""
+
+    lang: list[str]
+    share: np.ndarray
+    bounds: np.ndarray  # first span of each text, and the end
+    first: np.ndarray  # spans: first place in the text, place behind the last, language number
+    end: np.ndarray
+    label: np.ndarray
+
+
+def identify(model: Model, texts: list[str]) -> Found:
+    words = Words.of(texts, int(model.weight.shape[0]).bit_length() - 1)
     label, n = label_words(model, words, len(texts)), len(model.langs)
     letters = np.bincount(words.text * n + label, weights=words.end - words.first, minlength=len(texts) * n).reshape(len(texts), n)
     total = letters.sum(1)
     share = np.where(total > 0, letters.max(1, initial=0) / np.maximum(total, 1), 0.0)
-    return [model.langs[k] if t > 0 else UNKNOWN for k, t in zip(letters.argmax(1), total)], share
+    lang = [model.langs[k] if t > 0 else UNKNOWN for k, t in zip(letters.argmax(1), total)]
+    new = np.flatnonzero(np.concatenate([[True], (label[1:] != label[:-1]) | (words.text[1:] != words.text[:-1])])) if len(label) else np.zeros(0, int)
+    last = np.append(new[1:], len(label)) - 1 if len(new) else new
+    base = words.chars.start[words.text[new]]
+    bounds = np.searchsorted(words.text[new], np.arange(len(texts) + 1))
+    return Found(lang, share, bounds, words.first[new] - base, words.end[last] - base, label[new])
 
 
 def spans(model: Model, text: str) -> list[tuple[int, int, str]]:
     """(first place, place behind the last, language) of the runs of words that Viterbi gives one language."""
-    words = Words.of([text])
-    out: list[tuple[int, int, str]] = []
-    for first, end, k in zip(words.first.tolist(), words.end.tolist(), label_words(model, words, 1).tolist()):
-        if out and out[-1][2] == model.langs[k]:
-            out[-1] = (out[-1][0], end, model.langs[k])
-        else:
-            out.append((first, end, model.langs[k]))
-    return out
+    found = identify(model, [text])
+    return [(int(a), int(b), model.langs[k]) for a, b, k in zip(found.first, found.end, found.label)]
 
 
-def fit_documents(docs: DataFrame, per_lang: int = 400, max_chars: int = 20_000, max_langs: int = 200, modulus: int = 4, held_out: int = 2) -> Model | None:
-    """A model from up to ``per_lang`` documents (smallest seeded hashes of ids) of each of the ``max_langs`` commonest languages.
+def fit_documents(docs: DataFrame, per_lang: int = 400, modulus: int = 4, held_out: int = 2) -> Model | None:
+    """A model from up to ``per_lang`` documents (smallest seeded hashes of ids) of each language on other folds than ``held_out``.
 
-    Only documents of up to ``max_chars`` characters with a language, on other folds than ``held_out``, take part; all of
-    these limits only bound what the fit collects. None if there are none.
+    Ids and languages alone pick the sample; its whole texts, of any length, are then counted in tasks, and only counts
+    by (language, trigram bucket), ``CELLS`` at most, reach the driver. An id that several documents have stands for the
+    one whose text has the smallest hash. None if there is nothing to learn from.
     """
-    rows = docs.where("doc_id is not null and lang is not null").where(id_fold(modulus) != held_out).where(F.length("text").between(1, max_chars))
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
+    rows = docs.where("doc_id is not null and lang is not null").where(id_fold(modulus) != held_out)
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return None
+    names = sorted(counts)
+    bits = max(8, min(BITS, (CELLS // len(names)).bit_length() - 1))
     # a seeded hash first thins each language to a few times what is wanted, so that the ranking below is small everywhere
     seeded = F.xxhash64(F.lit(3), "doc_id")
     share = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, min(1.0, 3.0 * per_lang / n))])[F.col("lang")]
-    thin = rows.select("doc_id", "lang").where(F.pmod(seeded, F.lit(1 << 20)) < share * (1 << 20))
+    thin = rows.select("doc_id", "lang").where(F.pmod(seeded, F.lit(1 << 20)) < share * (1 << 20)).distinct()
     lot = Window.partitionBy("lang").orderBy(seeded, "doc_id")
     ids = thin.withColumn("_k", F.row_number().over(lot)).where(F.col("_k") <= per_lang)
     ids = ids.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
-    got = rows.join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("doc_id", "lang", "text").collect()
-    got = sorted((r["lang"], r["doc_id"], r["text"]) for r in got)
-    return fit([r[2] for r in got], [r[0] for r in got])
+    sample = rows.join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("doc_id", "lang", "text")
+    number = {name: k for k, name in enumerate(names)}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b in text_blocks(batch, "text", 3 << 20):
+                langs, texts = b.column(0).to_pylist(), [x.as_py() or "" for x in b.column(1)]
+                for name in set(langs):
+                    # buckets of trigrams, and behind them scripts
+                    n = np.concatenate(count_words([t for t, x in zip(texts, langs) if x == name], bits))
+                    at = np.flatnonzero(n)
+                    columns = [pa.array(np.full(len(at), number[name], np.int32)), pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(columns, ["k", "cell", "n"])
+
+    cells = one_text_an_id(sample, "doc_id", "lang").select("lang", "text").mapInArrow(count, "k int, cell int, n long")
+    got = cells.groupBy("k", "cell").agg(F.sum("n").alias("n")).toArrow()
+    table = np.zeros(((1 << bits) + len(SCRIPT_NAMES), len(names)))
+    table[got["cell"].to_numpy(), got["k"].to_numpy()] = got["n"].to_numpy()
+    return from_counts(names, table[: 1 << bits], table[1 << bits :])
 
 
-def identify_documents(docs: DataFrame, keep: list[str] | None = None, max_bytes: int = 3 << 20, model: Model | None = None) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, and the columns of ``keep``, for each document.
+COLUMNS = "doc_id long, held_out boolean, lang_pred string, score double, n_spans int, spans array<struct<first: int, end: int, lang: string>>"
 
-    ``score``: the language's share of the letters. Texts that are null or without a letter, and all texts when nothing
-    could be learned, are ``und`` with score 0. A null id is not held out. Repeated rows are labelled each.
+
+def identify_documents(docs: DataFrame, max_bytes: int = 3 << 20, model: Model | None = None) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, n_spans, spans for each document.
+
+    ``score``: the language's share of the letters. ``spans``: the runs of words of one language, by first character and
+    the one behind the last. Texts that are null or without a letter have no spans, and they, and all texts when nothing
+    could be learned, are ``und`` with score 0. A null id is not held out. Repeated rows are labelled each; extra columns
+    don't matter; long texts are read whole; an empty table gives no rows.
     """
-    keep, model = keep or [], model or fit_documents(docs)
+    model = model or fit_documents(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [f"`{n}` {k}" for n, k in docs.select(*keep).dtypes] if keep else []
-    schema = ", ".join([*kept, "doc_id long", "held_out boolean", "lang_pred string", "score double"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in COLUMNS.split(", ")[:6]]
         for batch in batches:
             for b in text_blocks(batch, "_text", max_bytes):
                 texts = [x.as_py() or "" for x in b.column(2)]
-                names, share = identify(shared.value, texts) if shared.value else ([UNKNOWN] * len(texts), np.zeros(len(texts)))
-                columns = [*(b.column(i) for i in range(3, b.num_columns)), b.column(0), b.column(1), pa.array(names, pa.string()), pa.array(share, pa.float64())]
-                yield pa.RecordBatch.from_arrays(columns, [*keep, "doc_id", "held_out", "lang_pred", "score"])
+                none = np.zeros(0, np.int64)
+                found = identify(shared.value, texts) if shared.value else Found([UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts) + 1, np.int64), none, none, none)
+                langs = pa.array(np.array(shared.value.langs, dtype=object)[found.label], pa.string()) if len(found.label) else pa.array([], pa.string())
+                span = pa.StructArray.from_arrays([pa.array(found.first.astype(np.int32)), pa.array(found.end.astype(np.int32)), langs], ["first", "end", "lang"])
+                lists = pa.ListArray.from_arrays(pa.array(found.bounds.astype(np.int32)), span)
+                columns = [b.column(0), b.column(1), pa.array(found.lang, pa.string()), pa.array(found.share, pa.float64()), pa.array(np.diff(found.bounds).astype(np.int32)), lists]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce(id_fold(4) == 2, F.lit(False)).alias("_out"), F.col("text").alias("_text"), *keep)
-    return rows.mapInArrow(scan, schema)
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce(id_fold(4) == 2, F.lit(False)).alias("_out"), F.col("text").alias("_text"))
+    return rows.mapInArrow(scan, COLUMNS)
 
 
 def language_stage(spark, docs: DataFrame, sf_dir: str, least: float = 0.3) -> DataFrame:
     """Pipeline stage: documents in a known language that holds at least ``least`` of their letters.
 
-    Rows travel whole, so no name of theirs clashes.
+    Null, empty and letterless texts go, and everything where no document names its language. Repeated rows and null ids
+    are judged by their text; columns of any name travel along. An empty table gives no rows.
     """
-    rows = docs.select("doc_id", "text", "lang", F.struct(*docs.columns).alias("_row"))
-    out = identify_documents(rows, ["_row"])
-    return out.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("_row.*")
+    shared = spark.sparkContext.broadcast(fit_documents(docs))
+
+    def decide(texts: list[bytes]) -> np.ndarray:
+        if not shared.value:
+            return np.zeros(len(texts), dtype=bool)
+        found = identify(shared.value, [t.decode("utf-8", "replace") for t in texts])
+        return (np.array(found.lang, dtype=object) != UNKNOWN) & (found.share >= least)
+
+    return keep_rows(docs, decide, 3 << 20)
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:

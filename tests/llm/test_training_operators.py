@@ -97,6 +97,86 @@ def test_viterbi_is_best():
         at += n
 
 
+def test_viterbi_by_chunks_is_best():
+    """Long sequences, cut into chunks, reach the value of the path found word by word."""
+    from kgspark.llm.langid import viterbi
+
+    rng = np.random.default_rng(1)
+    for labels, chunk, lengths in ((3, 4, [37, 2, 4, 9, 0, 1]), (2, 7, [100, 100, 8]), (300, 16, [40, 5])):
+        lengths = np.array(lengths)
+        scores, at = rng.normal(size=(int(lengths.sum()), labels)) * 2, 0
+        got = viterbi(scores, lengths, 3.0, chunk)
+        for n in lengths:
+            part = scores[at : at + n]
+            value = part[0].copy() if n else None
+            for row in part[1:]:
+                value = np.maximum(value, value.max() - 3.0) + row
+            if n:
+                path = got[at : at + n].astype(int)
+                assert part[np.arange(n), path].sum() - 3.0 * (path[1:] != path[:-1]).sum() == pytest.approx(value.max())
+            at += n
+
+
+def brute_language(model, text, order=3):
+    """Words, scores and the best path of one text, a letter and a word at a time."""
+    from kgspark.llm.charvec import SCRIPT_NAMES, SCRIPTS, ngram_hashes
+
+    bits = int(model.weight.shape[0]).bit_length() - 1
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    words = [(m.start(), m.end()) for m in re.finditer(r"[^\W\d_]+", low)]
+    words = [(a, b) for a, b in words if low[a:b].isalpha()]
+    scores = []
+    for a, b in words:
+        wide = np.array([32, 32, *map(ord, low[a:b]), 32], dtype=np.uint32)
+        grams = ngram_hashes(wide, order, bits)[3:]
+        script = next((SCRIPT_NAMES.index(s) for s, first, last in SCRIPTS if first <= ord(low[a]) <= last), 1)
+        scores.append(sum(model.weight[g].astype(float) for g in grams) + model.scripts[script])
+    best = [scores[0]] if words else []
+    back = []
+    for row in scores[1:]:
+        stay, jump = best[-1], best[-1].max() - model.penalty
+        back.append([k if stay[k] >= jump else int(stay.argmax()) for k in range(len(row))])
+        best.append(np.maximum(stay, jump) + row)
+    path = [int(best[-1].argmax())] if words else []
+    for came in reversed(back):
+        path.insert(0, came[path[0]])
+    letters = Counter()
+    for (a, b), k in zip(words, path):
+        letters[k] += b - a
+    return words, path, letters
+
+
+def test_language_by_hand(spark):
+    """Main language, share and spans against scoring letter by letter, on mixed texts, long ones too."""
+    from kgspark.llm.langid import fit, identify_documents
+
+    model = fit(["the cat and the dog went to the house of her mother " * 20, "der hund und die katze gingen in das haus ihrer mutter " * 20, "кошка и собака шли домой " * 20], ["en", "de", "ru"])
+    rng = random.Random(8)
+    pieces = ["the dog and the cat went to her house ", "die katze und der hund gingen ins haus ", "собака и кошка ", "12 ?? ", "日本 ", "Ödön "]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(0, 9))) for _ in range(30)] + ["", "1 2", None, "".join(rng.choice(pieces[:4]) * rng.randrange(1, 30) for _ in range(60))]
+    rows = {r["doc_id"]: r for r in identify_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model=model).collect()}
+    for i, t in enumerate(texts):
+        words, path, letters = brute_language(model, t or "")
+        want = []
+        for (a, b), k in zip(words, path):
+            want = [*want[:-1], (want[-1][0], b, k)] if want and want[-1][2] == k else [*want, (a, b, k)]
+        assert [(s["first"], s["end"], s["lang"]) for s in rows[i]["spans"]] == [(a, b, model.langs[k]) for a, b, k in want] and rows[i]["n_spans"] == len(want)
+        total = sum(letters.values())
+        assert rows[i]["score"] == pytest.approx(max(letters.values()) / total if total else 0.0)
+        assert rows[i]["lang_pred"] == (model.langs[min(letters, key=lambda k: (-letters[k], k))] if total else "und")
+
+
+def test_many_languages(spark):
+    """More languages than a byte counts: all can be predicted."""
+    from kgspark.llm.langid import identify_documents
+
+    name = lambda k: f"l{k:03}"
+    word = lambda k: "".join(chr(97 + (k // 26**j * 7 + j * (k + 3)) % 26) for j in range(6)) + chr(0x4E00 + k)
+    rows = [(i, f"{word(i // 4)} " * 6, name(i // 4)) for i in range(1200)]
+    got = identify_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string")).select("doc_id", "lang_pred").collect()
+    assert len({r["lang_pred"] for r in got}) > 256 and np.mean([r["lang_pred"] == name(r["doc_id"] // 4) for r in got]) > 0.9
+
+
 def test_language(spark, docs, empty):
     from kgspark.llm.langid import fit, identify, identify_documents, spans
 
@@ -107,7 +187,7 @@ def test_language(spark, docs, empty):
     assert {r["lang_pred"] for r in rows if r["doc_id"] in (0, 1, 2, 15)} == {"und"}
     assert identify_documents(empty).count() == 0
     model = fit(["the cat and the dog " * 20, "der hund und die katze " * 20, "кошка и собака " * 20], ["en", "de", "ru"])
-    assert identify(model, ["the dog", "die katze und", "собака", "12 !!", ""])[0] == ["en", "de", "ru", "und", "und"]
+    assert identify(model, ["the dog", "die katze und", "собака", "12 !!", ""]).lang == ["en", "de", "ru", "und", "und"]
     mixed = "the cat and the dog and the cat der hund und die katze und der hund"
     assert [s[2] for s in spans(model, mixed)] == ["en", "de"]
     nobody = identify_documents(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
@@ -236,6 +316,18 @@ def test_components(spark):
 
 
 # 5 toxicity and 7 quality
+def test_samples_are_bounded(spark):
+    """A labelled id that many documents have doesn't swell what a fit collects, and the text taken is the same each time."""
+    from kgspark.llm.common import labelled_sample
+
+    rows = [(1, f"text {i} " + "w " * 30) for i in range(3000)] + [(i, f"other {i} " + "z " * 40) for i in range(2, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 30)] + [(1, 1)], "doc_id long, quality int")
+    once = labelled_sample(docs, labels, "quality", 10, 10_000, None).collect()
+    assert len(once) == 10 and sorted(once) == sorted(labelled_sample(docs.repartition(2), labels, "quality", 10, 10_000, None).collect())
+    assert len(labelled_sample(docs, labels, "quality", 100, 10_000, None).collect()) == 29
+
+
 def test_gradients():
     from kgspark.llm import toxicity as t
 
