@@ -13,27 +13,30 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(got)
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     """(node, root) of all nodes of edges (a, b): root is the smallest node of the component.
 
     Each round halves distances: every node hands its larger neighbours, then its smaller ones, to the smallest it
-    knows. Edges stay within their number; minima are summed on the map side before each shuffle, and each round is
-    written to the shared folder, so neither a hot node nor a lost executor stops it.
+    knows. Edges stay within their number; minima are summed on the map side before each shuffle and written before
+    they are joined, so that a hot node's side of a join is a plain shuffle, which adaptive execution splits. Each round
+    is written to the shared folder: no lost executor stops it. Raises if ``most_rounds`` don't suffice.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = stage(edges, "cc-edges")
     state = _state(edges)
+    if not state[0]:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = stage(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "cc-least")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()  # a > b now
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least, "a")
-        small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        large = stage(large.where("a <> b").distinct(), "cc-large")  # a > b now
+        least = stage(large.groupBy("a").agg(F.min("b").alias("m")), "cc-least")
+        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = small.unionByName(least.select("a", F.col("m").alias("b")))
         edges = stage(small.where("a <> b").distinct(), "cc-edges")
         now = _state(edges)
         if now == state:
-            break
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    raise RuntimeError(f"components are not settled after {most_rounds} rounds")

@@ -181,19 +181,32 @@ def link_sorted(key: np.ndarray, probe: np.ndarray, fp: np.ndarray, radius: int,
     return np.concatenate(out, axis=1) if out else np.zeros((2, 0), fp.dtype)
 
 
-def near_links(fps: DataFrame, radius: int = RADIUS, sample_rows: int = 8192) -> DataFrame:
+def near_links(fps: DataFrame, radius: int = RADIUS, sample_rows: int = 8192, heavy: int = 1 << 22) -> DataFrame:
     """(a, b) links of distinct fingerprints ``fp`` within ``radius`` bits, enough to connect all that are connected.
 
-    The sample only shapes the plan. A bucket's rows meet in one task, 9 bytes each; equal fingerprints are one row.
+    The sample only shapes the plan. Equal fingerprints are one row, and a bucket's rows (17 bytes each) meet in one
+    task. A bucket of over ``heavy`` rows is cut into parts instead, and every two parts meet in a task of their own, so
+    that no task holds more than about 2 x ``heavy`` rows and no two rows are kept apart. Buckets that heavy are at most
+    rows / ``heavy``, which bounds what is broadcast.
     """
     rows = fps.orderBy(F.xxhash64("fp")).limit(sample_rows).collect()
     sample = np.array([r["fp"] for r in rows], dtype=np.int64).view(np.uint64)
-    groups = plan_groups(sample, fps.count() if len(rows) == sample_rows else len(rows), radius)
+    n = fps.count() if len(rows) == sample_rows else len(rows)
+    groups = plan_groups(sample, n, radius)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     probes = F.array(*[F.struct(F.lit(i).alias("part"), F.lit(signed(g.mask)).cast("long").alias("mask"), F.array(*[F.lit(signed(f)).cast("long") for f in g.flips()]).alias("flips")) for i, g in enumerate(groups)])
     keyed = fps.select("fp", F.explode(probes).alias("g")).select("fp", "g.part", "g.mask", F.explode("g.flips").alias("flip"))
     keyed = keyed.select("part", F.col("fp").bitwiseAND(F.col("mask")).bitwiseXOR(F.col("flip")).alias("value"), (F.col("flip") != 0).alias("probe"), "fp")
-    keyed = keyed.repartition("part", "value").sortWithinPartitions("part", "value", "probe", "fp")
+    keyed = keyed.withColumn("tile", F.lit(0).cast("long"))
+    if n > heavy:  # no bucket has more rows than there are fingerprints
+        many = keyed.groupBy("part", "value").agg(F.count("*").alias("_n")).where(F.col("_n") > heavy)
+        keyed = keyed.join(F.broadcast(many), ["part", "value"], "left").withColumn("_parts", F.coalesce(F.ceil(F.col("_n") / heavy), F.lit(1)))
+        own = F.pmod(F.xxhash64(F.lit(41), "fp"), F.col("_parts"))
+        other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1))
+        keyed = keyed.withColumn("_own", own).withColumn("_other", other)
+        keyed = keyed.withColumn("tile", F.least("_own", "_other") * F.col("_parts") + F.greatest("_own", "_other")).drop("_n", "_parts", "_own", "_other")
+    keyed = keyed.select("part", "value", "tile", "probe", "fp")
+    keyed = keyed.repartition("part", "value", "tile").sortWithinPartitions("part", "value", "tile", "probe", "fp")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -204,12 +217,12 @@ def near_links(fps: DataFrame, radius: int = RADIUS, sample_rows: int = 8192) ->
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
-            part, value, fp = (np.asarray(batch.column(i)).astype(np.int64) for i in (0, 1, 3))
-            probe = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            # equal values of different groups of bits must not touch: both belong to the key
-            key = np.stack([part, value], axis=1)
+            part, value, tile, fp = (np.asarray(batch.column(i)).astype(np.int64) for i in (0, 1, 2, 4))
+            probe = batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
+            # equal values of different groups of bits must not touch: all three belong to the key
+            key = np.stack([part, value, tile], axis=1)
             new = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
-            key = key.view([("p", np.int64), ("v", np.int64)]).ravel()
+            key = key.view([("p", np.int64), ("v", np.int64), ("t", np.int64)]).ravel()
             if not len(key):
                 continue
             if held and held[-1][0][-1] != key[0]:
@@ -232,35 +245,17 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, size: int = SHINGLE)
 
     Null and wordless texts have fingerprint zero and link like any other. Null ids take part, but the id of a component
     is the smallest one that isn't null (null if there is none). Repeated rows each give a row; an empty table none.
+    Extra columns don't matter.
     """
     rows = stage(fingerprints(docs, size), "simhash-rows")
     ids = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-fps")
     roots = components(near_links(ids.select("fp"), radius))
-    named = ids.join(roots, ids["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written before they are joined again: a hot root is then one side of a plain join, which adaptive execution splits
+    named = stage(ids.join(roots, ids["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "simhash-roots")
+    least = stage(named.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")
     named = named.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
     return rows.join(named, rows["fp"] == named["_fp"], "left").select("doc_id", "fp", "component_id")
 
 
-def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: exactly one row of each group of near-duplicates, one with the smallest id that isn't null.
-
-    Ids needn't be unique, so a row is known by its id and its text's hash: different texts under one id, or without
-    an id, are judged apart. Of several texts under a group's smallest id the one with the smallest hash stays; of
-    rows with the same id and text any.
-    """
-    rows = stage(fingerprints(docs), "simhash-rows")
-    key = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_hash")
-    fps = stage(rows.groupBy("fp").agg(F.min(key).alias("least")), "simhash-fps")
-    roots = components(near_links(fps.select("fp")))
-    named = fps.join(roots, fps["fp"] == roots["node"], "left").groupBy(F.coalesce("root", "fp").alias("root"))
-    keep = stage(named.agg(F.min("least").alias("least")).select(F.col("least.doc_id").alias("_id"), F.col("least.text_hash").alias("_hash")), "simhash-keep")
-    out = docs.withColumn("_text_hash", text_hash())
-    out = out.join(keep, out["doc_id"].eqNullSafe(keep["_id"]) & (out["_text_hash"] == keep["_hash"]), "left_semi")
-    if rows.groupBy("doc_id", "text_hash").count().where("count > 1").limit(1).count():
-        out = out.dropDuplicates(["doc_id", "_text_hash"])  # only then texts need the extra shuffle
-    return out.drop("_text_hash")
-
-
 def op4_simhash_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents")).select("doc_id", hex16("fp").alias("fingerprint"), "component_id")

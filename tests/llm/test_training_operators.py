@@ -284,6 +284,21 @@ def test_near_links_lose_nothing(spark, near):
         assert (root.get(fps[a], fps[a]) == root.get(fps[b], fps[b])) == (group[a] == group[b])
 
 
+def test_heavy_buckets_are_cut(spark):
+    """Buckets cut into parts connect what whole buckets connect."""
+    from kgspark.llm.graph import components
+    from kgspark.llm.simhash_dedup import near_links
+
+    rng = random.Random(9)
+    hot = rng.getrandbits(64)
+    fps = sorted({hot ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(8))) for _ in range(400)} | {rng.getrandbits(64) for _ in range(200)})
+    frame = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in fps], "fp long")
+    root = {r["node"] % (1 << 64): r["root"] % (1 << 64) for r in components(near_links(frame, heavy=40)).collect()}
+    group = brute_components(fps)
+    for a, b in itertools.combinations(range(len(fps)), 2):
+        assert (root.get(fps[a], fps[a]) == root.get(fps[b], fps[b])) == (group[a] == group[b])
+
+
 def test_threshold_allocation():
     from kgspark.llm.simhash_dedup import allocate, link_sorted, plan_groups
 
