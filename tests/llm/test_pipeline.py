@@ -33,15 +33,69 @@ def test_clean_documents_stay(stages, spark, data_dir):
     assert stages["language_id"].count() >= 0.95 * stages["quality_rules"].count()
 
 
-def test_one_of_each_group(stages):
-    from test_training_operators import brute_components, brute_fingerprint
+def brute_groups(texts, size=5, similarity=0.8):
+    """Group number of each text: connected by pairs whose shingle sets are similar enough, all pairs compared."""
+    from test_training_operators import WORDS
+
+    def shingles(t):
+        w = WORDS.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        return {tuple(w[i : i + size]) for i in range(len(w) - size + 1)} or ({tuple(w)} if w else set())
+
+    sets, group = [shingles(t) for t in texts], list(range(len(texts)))
+    for a in range(len(sets)):
+        for b in range(a):
+            if group[a] != group[b] and min(len(sets[a]), len(sets[b])) >= similarity * max(len(sets[a]), len(sets[b])):
+                both = len(sets[a] & sets[b])
+                if both >= similarity * (len(sets[a]) + len(sets[b]) - both):
+                    old, new = group[a], group[b]
+                    group = [new if g == old else g for g in group]
+    return group
+
 
-    rows = sorted((r["doc_id"], brute_fingerprint(r["text"])) for r in stages["language_id"].collect())
-    group = brute_components([f for _, f in rows])
+def test_one_of_each_group(stages):
+    rows = sorted((r["doc_id"], r["text"]) for r in stages["language_id"].collect())
+    group = brute_groups([t for _, t in rows])
     want = {min(i for (i, _), x in zip(rows, group) if x == g) for g in set(group)}
     assert {r["doc_id"] for r in stages["simhash_dedup"].select("doc_id").collect()} == want
 
 
+def test_dedup_finds_all_similar_texts(spark):
+    """Near copies at similarities around 0.8, a large group of copies of one text, chains of edits, and texts that share half."""
+    import random
+
+    from kgspark.llm.near_texts import similar_texts
+
+    rng = random.Random(12)
+    words = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+
+    def edited(w, k):
+        w = list(w)
+        for _ in range(k):
+            w[rng.randrange(len(w))] = f"e{rng.randrange(10**6)}"
+        return w
+
+    texts, base, shared = [], words(120), words(60)
+    texts += [edited(base, rng.randrange(0, 6)) for _ in range(160)]  # one large group, copies unlike each other
+    for _ in range(40):
+        own = words(rng.randrange(4, 200))
+        texts += [own] + [edited(own, k) for k in range(rng.randrange(5))]
+    chain = words(90)
+    for _ in range(12):
+        chain = edited(chain, 1)
+        texts.append(chain)
+    texts += [shared + words(60) for _ in range(40)] + [[], [], ["one"], ["One"], ["one", "two"]]
+    texts = [" ".join(t) for t in texts]
+    docs = spark.createDataFrame([(i if i % 7 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    hashes = {r["text"]: r["h"] for r in docs.select("text", F.xxhash64(F.lit(31), "text").alias("h")).collect()}
+    _, roots = similar_texts(docs)
+    root = {r["node"]: r["root"] for r in roots.collect()}
+    got, want = {}, {}
+    for t, g in zip(texts, brute_groups(texts)):
+        got.setdefault(root.get(hashes[t], hashes[t]), set()).add(t)
+        want.setdefault(g, set()).add(t)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
 def test_mix_and_pack(stages):
     from test_training_operators import WORDS, brute_targets
 
@@ -94,7 +148,7 @@ def test_odd_rows_pass_through(spark, data_dir):
 
 def test_dedup_keeps_texts_under_shared_ids(spark):
     """Different texts under null and repeated ids stay; one row of each group does."""
-    from kgspark.llm.simhash_dedup import dedup_stage
+    from kgspark.llm.near_texts import dedup_stage
 
     text = lambda k: " ".join(f"w{k}x{i}" for i in range(40))
     rows = [(None, text(k)) for k in range(5)] + [(None, text(0)), (None, text(0))]
