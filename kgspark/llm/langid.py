@@ -21,7 +21,7 @@ from kgspark.llm.common import id_fold, keep_rows, one_text_an_id, read_table, t
 
 BITS = 16
 CELLS = 1 << 24  # trigram counts of all languages together: with over 256 languages each has fewer hash buckets
-CHUNK = 512
+CHUNK = 1024
 ORDER = 3
 UNKNOWN = "und"
 OUT_OF_SCRIPT = -1e4
@@ -99,20 +99,18 @@ def longest_first(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(-lengths[order], -np.arange(top), side="left")
 
 
-def best_paths(scores: np.ndarray, start: np.ndarray, lengths: np.ndarray, penalty: float, best: np.ndarray, ends: np.ndarray | None = None) -> None:
+def best_paths(scores: np.ndarray, start: np.ndarray, lengths: np.ndarray, penalty: float, best: np.ndarray, ends: np.ndarray) -> None:
     """Write the best label of each word to ``best``: sequences of ``lengths`` words from ``start`` on, all advancing together.
 
-    ``ends``: labels that the first and the last word of each sequence must have.
+    ``ends``: labels that the first and the last word of each sequence must have, -1 where they are free.
     """
     labels, (order, running) = scores.shape[1], longest_first(lengths)
     if not len(order):
         return
-    start, lengths, own = start[order], lengths[order], np.arange(labels, dtype=best.dtype)
+    start, lengths, ends, own = start[order], lengths[order], ends[order], np.arange(labels, dtype=best.dtype)
     at_most = np.cumsum(lengths) - lengths
     back = np.empty((int(lengths.sum()), labels), dtype=best.dtype)
-    value = scores[start].astype(np.float64)
-    if ends is not None:
-        value = np.where(own == ends[order, :1], value, -np.inf)
+    value = np.where((ends[:, :1] < 0) | (own == ends[:, :1]), scores[start].astype(np.float64), -np.inf)
     for t in range(1, int(lengths[0])):
         n = running[t]
         v = value[:n]
@@ -122,7 +120,7 @@ def best_paths(scores: np.ndarray, start: np.ndarray, lengths: np.ndarray, penal
         back[at_most[:n] + t] = np.where(switch, top[:, None].astype(best.dtype), own)
         value[:n] = np.where(switch, jump[:, None], v) + scores[start[:n] + t]
         value[:n] -= value[:n].max(1, keepdims=True)
-    state = value.argmax(1) if ends is None else ends[order, 1].copy()
+    state = np.where(ends[:, 1] < 0, value.argmax(1), ends[:, 1])
     for t in range(int(lengths[0]) - 1, -1, -1):
         n = running[t]
         best[start[:n] + t] = state[:n]
@@ -167,19 +165,24 @@ def chunk_ends(values: np.ndarray, penalty: float) -> np.ndarray:
 def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float, chunk: int = CHUNK) -> np.ndarray:
     """Best label of each word: ``scores`` (words, labels) of sequences of ``lengths`` laid end to end.
 
-    Sequences of over ``chunk`` words are cut, so that one long text takes no more steps than many short ones. A label
-    takes 1 byte, or 2 with over 256 languages.
+    Sequences of over ``chunk`` words are cut, and all chunks advance together too, so that one long text takes no more
+    steps than many short ones. A label takes 1 byte, or 2 with over 256 languages.
     """
     labels, start = scores.shape[1], np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
     best = np.zeros(len(scores), dtype=np.uint8 if labels <= 256 else np.uint16)
-    short = lengths <= chunk
-    best_paths(scores, start[short], lengths[short], penalty, best)
-    at_once = max(1, (1 << 22) // (labels * labels))
-    for first, n in zip(start[~short], lengths[~short]):
-        part_start = first + np.arange(0, n, chunk)
-        part = np.minimum(chunk, first + n - part_start)
-        values = [chunk_values(scores, part_start[k : k + at_once], part[k : k + at_once], penalty) for k in range(0, len(part), at_once)]
-        best_paths(scores, part_start, part, penalty, best, chunk_ends(np.concatenate(values), penalty))
+    short, long = lengths <= chunk, np.flatnonzero(lengths > chunk)
+    many = -(-lengths[long] // chunk)
+    at = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+    part_start = np.repeat(start[long], many) + at * chunk
+    part = np.minimum(chunk, np.repeat(lengths[long], many) - at * chunk)
+    ends = np.empty((len(part), 2), dtype=np.int64)
+    if len(part):
+        at_once = max(1, (1 << 22) // (labels * labels))
+        values = np.concatenate([chunk_values(scores, part_start[k : k + at_once], part[k : k + at_once], penalty) for k in range(0, len(part), at_once)])
+        for first, n in zip(np.cumsum(many) - many, many):
+            ends[first : first + n] = chunk_ends(values[first : first + n], penalty)
+    free = np.full((int(short.sum()), 2), -1, dtype=np.int64)
+    best_paths(scores, np.concatenate([start[short], part_start]), np.concatenate([lengths[short], part]), penalty, best, np.concatenate([free, ends]))
     return best
 
 
