@@ -2,8 +2,9 @@
 
 A template is wording with two kinds of markup: ``[[ ... ]]`` may be absent, ``{{name|first:last}}`` stands for
 ``first`` to ``last`` words of any kind. It is compiled into an automaton over word tokens that accepts a run of
-words only if all mandatory wording matches exactly. Automata start at places of a template's rarest fixed opening
-words, so that documents without any are left after one look.
+words only if all mandatory wording matches exactly. Templates are whole licences and notices (``license_texts``) and
+short forms that name a licence. Automata start around places of a few of a template's fixed words, so that documents
+without any are left after one look.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kgspark.llm import license_texts as whole
 from kgspark.llm.common import read_table, text_blocks
 
 #: Phrases whose every place counts, and their labels.
@@ -23,36 +25,33 @@ PHRASES = ((b"mit license", b"mit"), (b"apache license", b"apache"), (b"general
 
 #: Label -> templates.
 TEMPLATES = {
-    "mit": (
-        "[[this {{what|0:3}} is]] {{verb|1:1}} under the [[terms of the]] mit license",
-        "permission is hereby granted free of charge to any person obtaining a copy of this {{what|1:8}} to deal in the {{what|1:2}} without restriction",
-        "spdx license identifier mit",
-    ),
+    "mit": (whole.MIT, "[[this {{what|0:3}} is]] {{verb|1:1}} under the [[terms of the]] mit license", "spdx license identifier mit"),
     "apache": (
-        "licensed under the apache license [[version 2 0]]",
-        "licensed under the apache license version 2 0 the license you may not use this {{what|1:3}} except in compliance with the license",
+        whole.APACHE,
+        whole.APACHE_NOTICE,
+        "{{verb|1:1}} under the [[terms of the]] apache license [[version 2 0]]",
         "spdx license identifier apache 2 0",
     ),
     "gpl": (
+        whole.GPL_NOTICE,
         "licensed under the [[terms of the]] [[gnu]] general public license [[version {{n|1:2}}]]",
-        "you can redistribute it and or modify it under the terms of the gnu [[lesser]] [[affero]] general public license",
         "spdx license identifier gpl {{n|1:2}} [[0]] [[only]] [[or later]]",
     ),
     "lgpl": ("under the [[terms of the]] gnu lesser general public license", "spdx license identifier lgpl {{n|1:2}}"),
     "agpl": ("under the [[terms of the]] gnu affero general public license", "spdx license identifier agpl {{n|1:2}}"),
     "cc-by-nc": ("licensed under [[a]] [[the]] cc by nc [[{{n|1:2}}]]", "creative commons attribution noncommercial"),
     "cc-by": ("licensed under [[a]] [[the]] cc by {{n|1:1}} 0", "creative commons attribution {{n|1:1}} 0 international"),
-    "bsd": (
-        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-        "{{verb|1:1}} under the bsd [[{{n|1:1}} clause]] license",
-        "spdx license identifier bsd {{n|1:1}} clause",
-    ),
-    "mpl": ("this {{what|1:4}} is subject to the terms of the mozilla public license [[v]] [[version]] 2 0", "spdx license identifier mpl 2 0"),
-    "isc": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",),
-    "unlicense": ("this is free and unencumbered software released into the public domain",),
+    "bsd-2-clause": (whole.BSD_2, "spdx license identifier bsd 2 clause"),
+    "bsd-3-clause": (whole.BSD_3, "spdx license identifier bsd 3 clause"),
+    "bsd": ("{{verb|1:1}} under the bsd [[{{n|1:1}} clause]] license",),
+    "mpl": (whole.MPL_NOTICE, "spdx license identifier mpl 2 0"),
+    "isc": (whole.ISC, "spdx license identifier isc"),
+    "zlib": (whole.ZLIB, "spdx license identifier zlib"),
+    "unlicense": (whole.UNLICENSE, "spdx license identifier unlicense"),
 }
 
 ANY = None
+LOOK = 8
 #: A-Z become small; ASCII that isn't a letter or digit ends a word; every byte from 0x80 on belongs to a word.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -69,7 +68,8 @@ class Automaton:
     moves: list[list[tuple[bytes | None, int]]] = field(default_factory=list)
     start: frozenset[int] = frozenset()
     final: set[int] = field(default_factory=set)
-    anchor: list[bytes] = field(default_factory=list)
+    anchor: list[bytes] = field(default_factory=list)  # up to ``LOOK`` mandatory words around the longest one
+    probe: int = 0  # the longest one's place among them
     back: tuple[int, int] = (0, 0)  # least and most words before the anchor
 
     def match(self, words: list[bytes], at: int) -> int:
@@ -86,8 +86,10 @@ class Automaton:
 
 
 def compile_template(label: str, template: str) -> Automaton:
-    """Token automaton of a template. Its anchor is its longest run of mandatory words."""
-    tokens = re.findall(r"\[\[|\]\]|\{\{[^}]*\}\}|[^\s\[\]{}]+", template)
+    """Token automaton of a template. Its anchor lies in the longest run of mandatory words."""
+    tokens = []
+    for t in re.findall(r"\[\[|\]\]|\{\{[^}]*\}\}|[^\s\[\]{}]+", template):
+        tokens += [t] if t[0] in "[]{" else [w.decode() for w in words_of(t.encode())]
     edges: list[list[tuple[bytes | None, int]]] = [[]]
     eps: list[set[int]] = [set()]
 
@@ -137,8 +139,10 @@ def compile_template(label: str, template: str) -> Automaton:
         reach.append(seen)
     auto = Automaton(label, [[(w, n) for r in reach[s] for w, n in edges[r]] for s in range(len(edges))], frozenset({0}))
     auto.final = {s for s in range(len(edges)) if at in reach[s]}
-    best = max(range(len(runs)), key=lambda k: len(runs[k]))
-    auto.anchor, auto.back = runs[best], before[best]
+    run, (low, high) = max(zip(runs, before), key=lambda x: len(x[0]))
+    longest = max(range(len(run)), key=lambda k: len(run[k]))
+    lo = max(0, longest - LOOK // 2)
+    auto.anchor, auto.probe, auto.back = run[lo : lo + LOOK], longest - lo, (low + lo, high + lo)
     return auto
 
 
@@ -146,11 +150,10 @@ def compile_all(templates: dict[str, tuple[str, ...]]) -> list[Automaton]:
     return [compile_template(label, t) for label, ts in templates.items() for t in ts]
 
 
-def places(words: list[bytes], index: dict[bytes, list[int]], phrase: list[bytes]) -> list[int]:
-    """Where the words of ``phrase`` stand consecutively."""
+def places(words: list[bytes], index: dict[bytes, list[int]], phrase: list[bytes], probe: int) -> list[int]:
+    """Where the words of ``phrase`` stand consecutively; ``index`` has all places of its word number ``probe``."""
     n = len(phrase)
-    rare = min(range(n), key=lambda k: len(index.get(phrase[k], ())))
-    return [i - rare for i in index.get(phrase[rare], ()) if i >= rare and words[i - rare : i - rare + n] == phrase]
+    return [i - probe for i in index.get(phrase[probe], ()) if i >= probe and words[i - probe : i - probe + n] == phrase]
 
 
 @dataclass
@@ -158,29 +161,34 @@ class Scanner:
     automata: list[Automaton]
 
     def __post_init__(self) -> None:
-        self.base = [(p.split(), label.decode()) for p, label in PHRASES]
-        self.needed = sorted({max(a.anchor, key=len) for a in self.automata} | {p[-1] for p, _ in self.base})
-        self.any = re.compile(b"|".join(map(re.escape, self.needed)))
-        self.known = {w for a in self.automata for w in a.anchor} | {w for p, _ in self.base for w in p}
+        base = [(p.split(), label.decode()) for p, label in PHRASES]
+        self.base = [(p, max(range(len(p)), key=lambda k: len(p[k])), label) for p, label in base]
+        self.probes = {a.anchor[a.probe] for a in self.automata} | {p[k] for p, k, _ in self.base}
+        self.any = re.compile(b"|".join(map(re.escape, sorted(self.probes))))
 
     def scan(self, raw: bytes) -> tuple[int, list[tuple[int, str]], list[tuple[int, int, str]]]:
-        """(number of words, phrase places with labels, template matches as (first word, words, label))."""
+        """(number of words, phrase places with labels, template matches as (first word, words, label)).
+
+        A place of a template counts once: with its longest match, the earliest of those.
+        """
         flat = raw.translate(_TABLE)
         words = flat.split()
         if not self.any.search(flat):
             return len(words), [], []
         index: dict[bytes, list[int]] = {}
         for i, w in enumerate(words):
-            if w in self.known:
+            if w in self.probes:
                 index.setdefault(w, []).append(i)
-        base = [(i, label) for phrase, label in self.base for i in places(words, index, phrase)]
+        base = [(i, label) for phrase, probe, label in self.base for i in places(words, index, phrase, probe)]
         found: set[tuple[int, int, str]] = set()
         for a in self.automata:
-            for i in places(words, index, a.anchor):
-                for at in range(max(0, i - a.back[1]), i - a.back[0] + 1):
-                    # the run must reach over the anchor that it was looked up by
-                    if (n := a.match(words, at)) >= i - at + len(a.anchor):
-                        found.add((at, n, a.label))
+            for i in places(words, index, a.anchor, a.probe):
+                runs = [(at, a.match(words, at)) for at in range(max(0, i - a.back[1]), i - a.back[0] + 1)]
+                # the run must reach over the anchor that it was looked up by
+                runs = [(n, -at) for at, n in runs if n >= i - at + len(a.anchor)]
+                if runs:
+                    n, at = max(runs)
+                    found.add((-at, n, a.label))
         return len(words), base, sorted(found)
 
 
@@ -190,8 +198,9 @@ COLUMNS = "doc_id long, n_words long, n_base long, first_word long, last_word lo
 def scan_documents(docs: DataFrame, templates: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
     """Phrase places, labels and template matches of each document.
 
-    ``score``: share of the labels that a template confirms (0 without labels). A null text is empty: no words, no
-    labels (empty strings), null first_word and last_word. Repeated rows are scanned each; other columns are ignored.
+    ``score``: share of the labels that a template confirms (0 without labels). ``n_templates``: matches, each place of a
+    template once. A null text is empty: no words, no labels (empty strings), null first_word and last_word. Texts of any
+    length are scanned whole. Repeated rows are scanned each; other columns are ignored; an empty table gives no rows.
     """
     templates = templates or TEMPLATES
 

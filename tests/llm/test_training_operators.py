@@ -217,6 +217,36 @@ def test_license_automata():
     assert labels("no licence, a license of nothing") == [] and s.scan(b"mit license")[1] == [(0, "mit")]
 
 
+def test_whole_licenses():
+    """Whole licences: another holder, other numbering, case and line breaks are accepted; one changed word isn't."""
+    from kgspark.llm import license_texts as texts
+    from kgspark.llm.licenses import TEMPLATES, Scanner, compile_all
+
+    scanner = Scanner(compile_all(TEMPLATES))
+
+    def plain(template, fill):
+        out = re.sub(r"\{\{[^}]*\}\}", fill, template)
+        return re.sub(r"\[\[|\]\]", "", out)
+
+    wholes = {"mit": texts.MIT, "isc": texts.ISC, "bsd-2-clause": texts.BSD_2, "bsd-3-clause": texts.BSD_3, "zlib": texts.ZLIB, "unlicense": texts.UNLICENSE, "gpl": texts.GPL_NOTICE, "mpl": texts.MPL_NOTICE, "apache": texts.APACHE}
+    for label, template in [*wholes.items(), ("apache", texts.APACHE_NOTICE)]:
+        least = 0.9 * len(re.sub(r"\{\{[^}]*\}\}|\[\[.*?\]\]", "", template).split())
+        whole = lambda t: [m for m in scanner.scan(t.encode())[2] if m[2] == label and m[1] >= least]  # noqa: B023, E731
+        for fill in ("ACME", "ÉCOLE"):
+            text = f"some words before\n{plain(template, fill).upper()}\nand after"
+            assert len(whole(text)) == 1, label
+            assert len(whole("/* " + text.replace("\n", "\n * ") + " */")) == 1
+        bare = re.sub(r"\[\[.*?\]\]", "", template)
+        assert len(whole(plain(bare, "x"))) == 1, label
+        words = plain(bare, "x").split()
+        fixed = [k for k, w in enumerate(words) if w.strip('"(),.;:') != "x" and w.isalpha() and len(w) > 3]
+        for k in random.Random(1).sample(fixed, 12):
+            assert not whole(" ".join([*words[:k], "banana", *words[k + 1 :]])), (label, words[k])
+            assert not whole(" ".join([*words[:k], *words[k + 1 :]])), (label, words[k])
+    twice = plain(texts.MIT, "x") + plain(texts.MIT, "y")
+    assert sum(m[1] > 100 for m in scanner.scan(twice.encode())[2]) == 2
+
+
 def test_license_base(docs, empty, spark):
     from kgspark.llm.licenses import PHRASES, license_spans, scan_documents
 
