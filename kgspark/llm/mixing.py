@@ -1,11 +1,11 @@
 """Mixing sources to target weights: Sainte-Lague apportionment of equal-token blocks.
 
 Each source's documents lie in a seeded order on a line of its words, which is cut into blocks of equal numbers of
-words. Seats (blocks of the mix) go to sources by the highest quotients target / (2 seats + 1). Sources whose targets are
-few such blocks have smaller ones, halved until a target is ``FINE`` blocks (or a block is a word), and share the seats
-of their block size among themselves: every source comes out near its target, however small. A source's seats are
-whole passes over its blocks plus a seeded choice among them; the order in which the quotients are won also deals
-the seats over the shards of the mix, so that each shard holds an integer quota of each source.
+words. Seats (blocks of the mix) go to sources by the highest quotients target / (2 seats + 1), and the order in which
+they are won deals them over the shards of the mix: an integer quota of each source for each shard. Then the shards, in
+turn, take the blocks of their quotas from each source's blocks in a seeded order, which starts anew when all are taken.
+Sources whose targets are few blocks have smaller ones, halved until a target is ``FINE`` blocks (or a block is a word),
+and share the seats of their block size among themselves: every source comes out near its target, however small.
 """
 
 from __future__ import annotations
@@ -20,27 +20,58 @@ from kgspark.llm.common import hash_salt, read_table, salts_for, stage
 WEIGHTS = (5, 2, 1)
 FINE = 512  # blocks of a target, at least, unless they are single words
 GROUP = 64  # about so many small sources share seats
+RANGES = 1024  # of sources, to number them
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
+def numbered(sizes: DataFrame) -> DataFrame:
+    """Add ``turn``, each source's place from 0 on by code point, null last.
+
+    Sources are numbered within at most ``RANGES`` ranges, cut at a bounded sample of them, and the ranges' counts give
+    the offsets: no task holds them all.
+    """
+    n = sizes.count()
+    picked = sizes.where("source is not null").where(F.pmod(F.xxhash64(F.lit(13), "source"), F.lit(1 << 30)) < min(1.0, 8 * RANGES / max(1, n)) * (1 << 30))
+    cuts = sorted(r["source"] for r in picked.select("source").collect()) if n > RANGES else []
+    cuts = cuts[:: max(1, -(-len(cuts) // RANGES))][1:]
+    side = max(1, math.isqrt(len(cuts)))
+    among = lambda xs: F.array(*[F.lit(x) for x in xs]) if xs else F.array().cast("array<string>")
+    below = lambda a: F.size(F.filter(a, lambda c: c <= F.col("source")))
+    outer = cuts[side - 1 :: side]
+    top = below(among(outer))
+    inner = F.array(*[among(cuts[i * side : i * side + side - 1]) for i in range(len(outer) + 1)])
+    range_ = F.when(F.col("source").isNull(), len(cuts) + 1).otherwise(top * side + below(F.element_at(inner, top + 1)))
+    rows = sizes.withColumn("_range", range_.cast("int"))
+    sums = sorted((r["_range"], r["n"]) for r in rows.groupBy("_range").agg(F.count("*").alias("n")).collect())  # RANGES + 1 rows at most
+    before, at = [], 0
+    for k, many in sums:
+        before += [F.lit(k), F.lit(at).cast("long")]
+        at += many
+    rank = F.row_number().over(Window.partitionBy("_range").orderBy(F.col("source").asc_nulls_last())) - 1
+    offset = F.create_map(*before)[F.col("_range")] if before else F.lit(0)
+    return rows.withColumn("turn", rank + offset).drop("_range")
+
+
 def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, share: float = 1.5, most: float = 2.0) -> DataFrame:
     """Targets of sources (source, source_size): ``share`` of all sizes by repeating weights, none above ``most`` x size.
 
-    The excess of stopped sources goes to the others by weight until none is above. In the order of most x size /
-    weight, the sources that stop are a prefix, so running sums find the level. Works on the one row a source has.
+    The excess of stopped sources goes to the others by weight until none is above: each round sums the stopped
+    sources and the weights of the others, which gives the others a new level, until no further source stops.
     """
-    turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (turn % len(weights) + 1).cast("int"))
-    rows = sizes.withColumn("w", w).withColumn("cap", F.col("source_size") * F.lit(float(most)))
-    rows = rows.withColumn("ratio", F.col("cap") / F.col("w"))
-    order = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    upto, whole, all_ = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), Window.partitionBy(F.lit(1))
-    rows = rows.withColumn("cap_before", F.coalesce(F.sum("cap").over(upto), F.lit(0.0)))
-    rows = rows.withColumn("w_left", F.sum("w").over(all_) - F.coalesce(F.sum("w").over(upto), F.lit(0.0)))
-    rows = rows.withColumn("level", (F.sum("source_size").over(all_) * F.lit(float(share)) - F.col("cap_before")) / F.col("w_left"))
-    # the first source whose own ratio is at least its level sets the level of all after it
-    rows = rows.withColumn("level", F.first(F.when(F.col("ratio") >= F.col("level"), F.col("level")), ignorenulls=True).over(whole))
-    return rows.select("source", "source_size", F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("w") * F.col("level"))).alias("target"))
+    w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.col("turn") % len(weights) + 1).cast("int"))
+    rows = stage(numbered(sizes).withColumn("w", w).withColumn("cap", F.col("source_size") * F.lit(float(most))).drop("turn"), "mix-weights")
+    stopped = lambda level: F.col("cap") < F.col("w") * F.lit(level)
+    level, seen = 0.0, -1
+    while True:
+        got = rows.agg(
+            F.sum("source_size").alias("all"), F.count(F.when(stopped(level), 1)).alias("n"),
+            F.sum(F.when(stopped(level), F.col("cap"))).alias("cap"), F.sum(F.when(~stopped(level), F.col("w"))).alias("w"),
+        ).first()
+        if got["w"] is None or got["n"] == seen:
+            break
+        level, seen = (float(got["all"]) * share - (got["cap"] or 0.0)) / got["w"], got["n"]
+    target = F.col("cap") if got["w"] is None else F.least("cap", F.col("w") * F.lit(level))
+    return rows.select("source", "source_size", target.alias("target"))
 
 
 def won_seats(rows: DataFrame) -> DataFrame:
@@ -63,7 +94,7 @@ def seats(targets: DataFrame, n_seats: int) -> DataFrame:
 
 
 def with_blocks(targets: DataFrame, n_seats: int) -> DataFrame:
-    """Add block (words), tier, part and n (seats of the tier and part) to targets.
+    """Add block (words), n_blocks, tier, part and n (seats of the tier and part) to targets.
 
     Tier 0 has blocks of all targets / ``n_seats``, each further tier half of that. A tier above 0 is dealt in parts of
     about ``GROUP`` sources, so no task holds more seats than some ``n_seats`` or ``GROUP`` x 2 x ``FINE``.
@@ -74,36 +105,49 @@ def with_blocks(targets: DataFrame, n_seats: int) -> DataFrame:
     halved = F.ceil(F.log2(F.lit(FINE * block) / F.greatest("target", F.lit(1e-9))))
     tier = F.greatest(F.least(halved, F.lit(math.ceil(math.log2(block)))), F.lit(0)).cast("int")
     rows = targets.withColumn("tier", tier).withColumn("block", F.greatest(F.lit(block) / F.pow(F.lit(2.0), "tier"), F.lit(1.0)))
+    rows = rows.withColumn("n_blocks", F.greatest(F.round(F.col("source_size") / F.col("block")), F.lit(1.0)).cast("long"))
     rows = rows.withColumn("part", F.when(F.col("tier") > 0, hash_salt(-(-many // GROUP) or 1, "source")).otherwise(0))
     return rows.withColumn("n", F.round(F.sum("target").over(Window.partitionBy("tier", "part")) / F.col("block")).cast("long"))
 
 
-def block_plan(targets: DataFrame, n_seats: int, mix_shards: int) -> DataFrame:
-    """One row a source: source, source_size, target, n_blocks, passes, rest (blocks chosen once more), quotas.
+def shard_quotas(blocks: DataFrame, mix_shards: int) -> DataFrame:
+    """(source, mix_shard, quota): seats that each source won in each shard of the mix. The seats of a tier and part are
+    dealt over the shards in the order they were won, so every shard's mixture is near the whole one's."""
+    shard = F.floor(F.col("turn") * mix_shards / F.col("n")).cast("int")
+    return won_seats(blocks).groupBy("source", shard.alias("mix_shard")).agg(F.count("*").alias("quota"))
+
+
+def mix_plan(targets: DataFrame, n_seats: int, mix_shards: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(blocks of sources as of ``with_blocks``, chosen (source, mix_shard, block): the blocks that fill the quotas).
 
-    ``quotas``: seats of the source in each shard of the mix.
+    The shards' quotas follow each other on a source's seeded order of its blocks: a shard starts where the one before it
+    stopped, and behind the last block the order starts anew. A block is taken at most twice, as no document may be
+    taken more often: the seat or two that rounding may give a source beyond twice its blocks stay empty.
     """
-    rows = with_blocks(targets, n_seats)
-    won = won_seats(rows)
-    quota = won.groupBy("source", F.floor(F.col("turn") * mix_shards / F.col("n")).cast("int").alias("mix_shard")).agg(F.count("*").alias("n"))
-    quota = quota.groupBy(F.col("source").alias("_q")).agg(F.sum("n").alias("quota"), F.sort_array(F.collect_list(F.struct("mix_shard", "n"))).alias("quotas"))
-    plan = rows.join(quota, rows["source"].eqNullSafe(quota["_q"]), "left").drop("_q")
-    plan = plan.withColumn("n_blocks", F.greatest(F.round(F.col("source_size") / F.col("block")), F.lit(1.0)).cast("long"))
-    # 2 x n_blocks seats are the most that the stop at twice the size leaves
-    plan = plan.withColumn("quota", F.least(F.coalesce("quota", F.lit(0)), F.col("n_blocks") * 2))
-    plan = plan.withColumn("passes", F.floor(F.col("quota") / F.col("n_blocks"))).withColumn("rest", F.col("quota") - F.col("passes") * F.col("n_blocks"))
-    return plan.select("source", "source_size", "target", "n_blocks", "passes", "rest", "quotas")
-
-
-def chosen_blocks(plan: DataFrame, seed: int) -> DataFrame:
-    """(source, k, sum): words of the ``rest`` blocks chosen by lot ahead of block k; k = n_blocks gives all of them."""
-    blocks = plan.select("source", "source_size", "n_blocks", "rest", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks"))).alias("k"))
-    lot = Window.partitionBy("source").orderBy(F.col("k") == F.col("n_blocks"), F.xxhash64(F.lit(seed), "source", "k"), "k")
+    blocks = stage(with_blocks(targets, n_seats), "mix-blocks")
+    quotas = shard_quotas(blocks, mix_shards)
+    upto = F.sum("quota").over(Window.partitionBy("source").orderBy("mix_shard"))  # mix_shards rows a source at most
+    quotas = quotas.withColumn("first", upto - F.col("quota")).select(F.col("source").alias("_s"), "mix_shard", "quota", "first")
+    own = blocks.select("source", "n_blocks")
+    seat = F.explode(F.sequence(F.col("first"), F.col("first") + F.col("quota") - 1)).alias("seat")
+    taken = quotas.join(own, quotas["_s"].eqNullSafe(own["source"])).select("source", "n_blocks", "mix_shard", seat).where("seat < 2 * n_blocks")
+    taken = taken.select(F.col("source").alias("_s"), "mix_shard", (F.col("seat") % F.col("n_blocks") + 1).alias("_lot"))
+    lots = own.join(taken.select(F.col("_s")).distinct(), own["source"].eqNullSafe(F.col("_s")), "left_semi")
+    lots = lots.select("source", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"))
+    lots = lots.withColumn("lot", F.row_number().over(Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed), "source", "block"), "block")).cast("long"))
+    chosen = lots.join(taken, lots["source"].eqNullSafe(taken["_s"]) & (lots["lot"] == taken["_lot"])).select("source", "mix_shard", "block")
+    return blocks, stage(chosen, "mix-chosen")
+
+
+def words_ahead(blocks: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(source, k, sum): words of the chosen blocks ahead of block k, repeats counted; k = n_blocks gives all of them."""
+    times = chosen.groupBy(F.col("source").alias("_s"), F.col("block").alias("_k")).agg(F.count("*").alias("times"))
+    line = blocks.select("source", "source_size", "n_blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks"))).alias("k"))
+    line = line.join(times, line["source"].eqNullSafe(times["_s"]) & (line["k"] == times["_k"]), "left")
     edge = lambda k: F.floor(k * F.col("source_size") / F.col("n_blocks"))
-    blocks = blocks.withColumn("lot", F.row_number().over(lot))
-    blocks = blocks.withColumn("words", F.when(F.col("lot") <= F.col("rest"), edge(F.col("k") + 1) - edge(F.col("k"))).otherwise(0))
-    line = Window.partitionBy("source").orderBy("k")
-    return blocks.select("source", "k", (F.sum("words").over(line) - F.col("words")).alias("sum"))
+    line = line.withColumn("words", F.coalesce("times", F.lit(0)) * (edge(F.col("k") + 1) - edge(F.col("k"))))
+    ordered = Window.partitionBy("source").orderBy("k")
+    return line.select("source", "k", F.coalesce("times", F.lit(0)).alias("times"), (F.sum("words").over(ordered) - F.col("words")).alias("sum"))
 
 
 def block_of(x) -> tuple:
@@ -121,49 +165,48 @@ def mix_sources(
     """Add source_size, target, taken, copies to rows of (doc_id, source, size, ...).
 
     ``taken``: words that the chosen blocks hold of the document, repeats counted. ``copies``: the whole-document
-    reading of it, whose block holds the document's middle word. Running positions within a source come from sums
-    over even cells (source, salt), so a source with a third of all rows is spread. A cell carries the blocks that it
-    touches, so documents meet their plan in the join that places them; no broadcast is forced. ``n_seats`` sets the
-    blocks of large sources; small ones have finer blocks. Only windows over the one row a source has run in one task.
-    Equal rows are interchangeable; reruns agree.
+    reading of it: how often the block that holds its middle word was chosen. Running positions within a source come
+    from sums over even cells (source, salt), so a source with a third of all rows is spread. A cell carries the blocks
+    that it touches, so documents meet their plan in the join that places them; nothing is broadcast by force and
+    nothing of a size that grows with the sources meets in one task. ``n_seats`` sets the blocks of large sources, which
+    bounds those of any one source. Equal rows are interchangeable; reruns agree.
     """
     base = stage(rows, "mix-rows")
     stats = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     stats = stage(stats, "mix-sources")
     largest = stats.agg(F.max("n")).first()[0] or 0
     targets = stage(source_targets(stats.select("source", "source_size"), weights, share, most), "mix-targets")
-    plan = stage(block_plan(targets, n_seats, mix_shards), "mix-plan")
+    plan, chosen = mix_plan(targets, n_seats, mix_shards, seed)
 
     cells = base.withColumn("_salt", hash_salt(salts_for(largest, 64, 4096), "doc_id"))
     line = Window.partitionBy("source", "_salt").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "size")
     sums = cells.groupBy("source", "_salt").agg(F.sum("size").alias("_words"))
     sums = sums.withColumn("_at", F.sum("_words").over(Window.partitionBy("source").orderBy("_salt")) - F.col("_words"))
     sums = sums.select(F.col("source").alias("_s"), F.col("_salt").alias("_t"), "_at", "_words")
-    facts = ["source_size", "target", "n_blocks", "passes"]
+    facts = ["source_size", "target", "n_blocks"]
     sums = sums.join(plan.select("source", *facts), sums["_s"].eqNullSafe(F.col("source"))).drop("source")
     sums = sums.withColumn("_k0", block_of(F.col("_at"))[0])
     sums = sums.withColumn("_k", F.explode(F.sequence("_k0", block_of(F.col("_at") + F.col("_words"))[0] + 1)))
-    blocks = chosen_blocks(plan, seed)
-    sums = sums.join(blocks, sums["_s"].eqNullSafe(blocks["source"]) & (sums["_k"] == blocks["k"]))
-    before = F.transform(F.sort_array(F.collect_list(F.struct("k", "sum"))), lambda x: x["sum"]).alias("before")
+    ahead = words_ahead(plan, chosen)
+    sums = sums.join(ahead, sums["_s"].eqNullSafe(ahead["source"]) & (sums["_k"] == ahead["k"]))
+    before = F.sort_array(F.collect_list(F.struct("k", "sum", "times"))).alias("before")
     sums = sums.groupBy("_s", "_t", "_at", "_k0", *facts).agg(before)
     placed = cells.withColumn("_in", F.sum("size").over(line) - F.col("size"))
     out = placed.join(sums, placed["source"].eqNullSafe(sums["_s"]) & (placed["_salt"] == sums["_t"])).withColumn("_from", F.col("_at") + F.col("_in"))
 
-    def sum_at(k):
+    def at(k):
         return F.element_at("before", (k - F.col("_k0") + 1).cast("int"))
 
     def chosen_before(x):
         k, start = block_of(x)
-        return sum_at(k) + F.when(sum_at(k + 1) > sum_at(k), x - start).otherwise(0)
+        return at(k)["sum"] + at(k)["times"] * (x - start)
 
     end = F.col("_from") + F.col("size")
     middle_block, _ = block_of(F.col("_from") + F.floor(F.col("size") / 2))
-    middle = (sum_at(middle_block + 1) > sum_at(middle_block)).cast("long")
-    taken = F.col("passes") * F.col("size") + chosen_before(end) - chosen_before(F.col("_from"))
+    taken = chosen_before(end) - chosen_before(F.col("_from"))
     out = out.withColumn("taken", F.when(F.col("size") > 0, taken).otherwise(0).cast("long"))
-    out = out.withColumn("copies", (F.col("passes") + middle).cast("long"))
-    return out.drop("_salt", "_in", "_s", "_t", "_at", "_from", "_k0", "n_blocks", "passes", "before")
+    out = out.withColumn("copies", at(middle_block)["times"].cast("long"))
+    return out.drop("_salt", "_in", "_s", "_t", "_at", "_from", "_k0", "n_blocks", "before")
 
 
 def with_size(docs: DataFrame) -> DataFrame:

@@ -524,6 +524,44 @@ def test_mixing_serves_tiny_sources(spark):
         assert all(abs(taken[s] - t) <= max(2, 0.005 * t) for s, t in target.items()), (share, [(s, t, taken[s]) for s, t in target.items()][:5])
 
 
+def test_mixing_serves_many_sources(spark):
+    """100,000 sources, most of a few words, beside a hot one: numbering, targets and words taken are right for each."""
+    from kgspark.llm.mixing import mix_sources, numbered
+
+    sizes = {f"s{k * 7919 % 100_003:06}é": 3 + k % 5 for k in range(100_000)} | {None: 4, "hot": 6_000_000}
+    rows = [(i, s, n) for i, (s, n) in enumerate(sizes.items()) if s != "hot"] + [(200_000 + i, "hot", 600) for i in range(10_000)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string, size long").repartition(4)
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    assert [r["source"] for r in numbered(frame.groupBy("source").agg(F.sum("size").alias("source_size"))).orderBy("turn").select("source", "turn").collect()] == names
+    got = mix_sources(frame).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    want = brute_targets(sizes)
+    assert len(got) == len(sizes)
+    for r in got:
+        assert r["target"] == pytest.approx(want[r["source"]])
+        assert abs(r["taken"] - r["target"]) <= max(2, 0.005 * r["target"])
+
+
+def test_quotas_decide_the_blocks(spark):
+    """Each shard of the mix holds the blocks of its quotas, quotas are the seats won, and no block comes a third time."""
+    from kgspark.llm.mixing import mix_plan, seats
+
+    sizes, goal = {"a": 9000, "b": 5000, None: 700}, {"a": 4000.0, "b": 10_000.0, None: 1400.0}
+    frame = spark.createDataFrame([(s, sizes[s], goal[s]) for s in sizes], "source string, source_size long, target double")
+    n_seats, shards = 2800, 7
+    blocks, chosen = mix_plan(frame.where("source is not null"), n_seats, shards, 11)
+    tier = {r["source"]: (r["tier"], r["n"], r["n_blocks"]) for r in blocks.collect()}
+    assert {t for t, _, _ in tier.values()} == {0}
+    n = next(iter(tier.values()))[1]
+    won = Counter((r["source"], r["turn"] * shards // n) for r in seats(frame.where("source is not null"), n).collect())
+    rows = chosen.collect()
+    assert Counter((r["source"], r["mix_shard"]) for r in rows) == won
+    again = Counter((r["source"], r["block"]) for r in rows)
+    assert max(again.values()) <= 2 and all(0 <= b < tier[s][2] for s, b in again)
+    assert max(again[x] for x in again if x[0] == "a") == 1  # under one pass: no repeats
+    assert {b for s, b in again if s == "b"} == set(range(tier["b"][2]))  # over one pass: all come
+    assert Counter(map(tuple, rows)) == Counter(map(tuple, mix_plan(frame.where("source is not null").repartition(2), n_seats, shards, 11)[1].collect()))
+
+
 def test_sainte_lague(spark):
     from kgspark.llm.mixing import seats
 
