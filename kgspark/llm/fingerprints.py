@@ -39,43 +39,70 @@ def weight(chars: Column) -> Column:
     return F.when(chars < 8, 1).when(chars < 12, 2).when(chars < 16, 3).otherwise(4).cast("long")
 
 
-def id_buckets(docs: DataFrame, buckets: int) -> tuple[Column, DataFrame]:
-    """(a column that gives the range of doc_id a row is in, the bounded table of ranges).
-
-    Ranges come from approximate quantiles in two levels, so placing a row takes about 2 sqrt(buckets) comparisons.
-    The table: bucket, first (least id), before (the bucket in front; the last one for the first).
+def place(docs: DataFrame, rows_per_bucket: int, most_buckets: int, ranges: int) -> tuple[Column, DataFrame]:
+    """(a column that gives a row's bucket, the table of buckets): buckets follow the order (doc_id, text hash), null ids first.
+
+    About ``ranges`` cuts come from a bounded sample of ids, chosen by hash. An id with more rows than such a range
+    should have (there are at most ``ranges`` of those) is a range of its own. A range is divided evenly by id, such an
+    id by text hash, into as many buckets as its rows need. Only ids are read, and what the driver holds is a few
+    numbers a range. The table: bucket, first (least id or, for such an id, hash), before (the bucket in front; the last
+    one for the first); it has at most about ``most_buckets`` rows, which bounds its broadcast.
     """
-    side = max(1, int(buckets**0.5))
-    cuts = docs.select("doc_id").approxQuantile("doc_id", [k / (side * side) for k in range(1, side * side)], 0.2 / (side * side)) if side > 1 else []
-    cuts = sorted({int(c) for c in cuts})
-    outer = cuts[side - 1 :: side]
-    inner = [cuts[i * side : i * side + side - 1] for i in range(len(outer) + 1)]
-    id_ = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)).cast("long"))
+    ids = docs.select("doc_id")
+    n, low, high = ids.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
+    most = max(rows_per_bucket, n // ranges, 1)
+    hot = [r["doc_id"] for r in ids.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).collect()] if n > most else []
+    picked = ids.where(F.pmod(F.xxhash64(F.lit(19), "doc_id"), F.lit(1 << 30)) < min(1.0, 8 * ranges / max(1, n)) * (1 << 30))
+    sample = sorted(r["doc_id"] for r in picked.where("doc_id is not null").distinct().collect()) if n > rows_per_bucket else []
+    own = {x for x in hot if x is not None}
+    cuts = sorted(set(sample[:: max(1, -(-len(sample) // ranges))][1:]) | own | {x + 1 for x in own if x < (1 << 63) - 1})
+    side = max(1, int(len(cuts) ** 0.5))
     among = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs]) if xs else F.array().cast("array<long>")
-    below = lambda a: F.size(F.filter(a, lambda c: c <= id_))
+    below = lambda a: F.size(F.filter(a, lambda c: c <= F.col("doc_id")))
+    outer = cuts[side - 1 :: side]
     top = below(among(outer))
-    bucket = (top * side + below(F.element_at(F.array(*[among(x) for x in inner]), top + 1))).cast("int")
-    firsts = docs.select(id_.alias("first"), bucket.alias("bucket")).groupBy("bucket").agg(F.min("first").alias("first"))
+    inner = F.array(*[among(cuts[i * side : i * side + side - 1]) for i in range(len(outer) + 1)])
+    # range 0 has the null ids
+    range_ = F.when(F.col("doc_id").isNull(), 0).otherwise(top * side + below(F.element_at(inner, top + 1)) + 1)
+    counts = {r["r"]: r["n"] for r in ids.groupBy(range_.alias("r")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    edges = [low or 0, *cuts, (high or 0) + 1]
+    per = max(rows_per_bucket, -(-n // most_buckets))
+    size, offset, first, width, hashed = [], [], [], [], []
+    for r in range(len(cuts) + 2):
+        lo, hi = (0, 1) if r == 0 else (edges[r - 1], edges[r])
+        offset.append(offset[-1] + size[-1] if size else 0)
+        size.append(max(1, -(-counts.get(r, 0) // per)))
+        first.append(lo)
+        width.append(max(1.0, float(hi - lo)))
+        hashed.append(r == 0 or lo in own)
+    of = lambda xs, kind: F.element_at(F.array(*[F.lit(x) for x in xs]).cast(f"array<{kind}>"), range_ + 1)
+    by_id = (F.col("doc_id") - of(first, "double")) / of(width, "double")
+    by_hash = (F.shiftright(F.xxhash64("text"), 32) + F.lit(1 << 31)) / F.lit(float(1 << 32))
+    share = F.when(of(hashed, "boolean"), by_hash).otherwise(F.coalesce(by_id, F.lit(0.0))) if any(hashed[1:]) or counts.get(0, 0) > per else F.coalesce(by_id, F.lit(0.0))
+    parts = of(size, "long")
+    bucket = of(offset, "long") + F.least(F.greatest(F.floor(share * parts), F.lit(0)), parts - 1)
+    key = F.when(of(hashed, "boolean"), F.xxhash64("text") if any(hashed[1:]) or counts.get(0, 0) > per else F.lit(0).cast("long")).otherwise(F.col("doc_id"))
+    firsts = docs.select(bucket.alias("bucket"), key.alias("first")).groupBy("bucket").agg(F.min("first").alias("first"))
     firsts = firsts.withColumn("before", F.lag("bucket").over(Window.orderBy("bucket")))
-    return bucket, firsts.withColumn("before", F.coalesce("before", F.max("bucket").over(Window.partitionBy(F.lit(1)))))
+    firsts = firsts.withColumn("before", F.coalesce("before", F.max("bucket").over(Window.partitionBy(F.lit(1)))))
+    return F.struct(bucket.alias("bucket"), key.alias("key")), firsts
 
 
-def with_next(docs: DataFrame, rows_per_bucket: int = 2000, most_buckets: int = 16_384) -> DataFrame:
-    """Rows of (bucket, rank, doc_id, text, next_text, ghost): each text with that of the next document by (doc_id, text).
+def with_next(docs: DataFrame, rows_per_bucket: int = 2000, most_buckets: int = 1 << 20, ranges: int = 1024) -> DataFrame:
+    """Rows of (bucket, rank, doc_id, text, next_text, ghost): each text with that of the next document by (doc_id, text hash).
 
-    Texts move once, to ranges of ids. Each range also gets the first row of the next one as a ``ghost``, so that no
-    row needs a neighbour elsewhere. The last document's next is the first.
+    Texts move once, to buckets that follow that order. Each bucket also gets the rows that open the next one as
+    ``ghost``, so that no row needs a neighbour elsewhere. The last document's next is the first.
     """
-    n = docs.count()
-    bucket, firsts = id_buckets(docs, min(most_buckets, max(1, n // rows_per_bucket)))
-    firsts = stage(firsts, "fingerprint-ranges")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), bucket.alias("bucket"))
-    id_ = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)).cast("long"))
-    rows = rows.join(F.broadcast(firsts.withColumnRenamed("bucket", "_b")), (F.col("bucket") == F.col("_b")) & (id_ == F.col("first")), "left")
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    at, firsts = place(docs, rows_per_bucket, most_buckets, ranges)
+    firsts = stage(firsts, "fingerprint-buckets")
+    rows = docs.withColumn("_at", at).select("doc_id", "text", "_at.*")
+    rows = rows.join(F.broadcast(firsts.withColumnRenamed("bucket", "_b")), (F.col("bucket") == F.col("_b")) & (F.col("key") == F.col("first")), "left")
     copies = F.when(F.col("before").isNull(), F.array(F.struct("bucket", F.lit(False).alias("ghost"))))
     copies = copies.otherwise(F.array(F.struct("bucket", F.lit(False).alias("ghost")), F.struct(F.col("before").alias("bucket"), F.lit(True).alias("ghost"))))
     rows = rows.select("doc_id", "text", F.explode(copies).alias("c")).select("doc_id", "text", "c.bucket", "c.ghost")
-    line = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").asc_nulls_first(), "text")
+    line = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     return rows.select("bucket", F.row_number().over(line).alias("rank"), "doc_id", "ghost", "text", F.lead("text").over(line).alias("next_text"))
 
 
@@ -89,8 +116,9 @@ def edited_text() -> Column:
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fp, edited_fp, next_fp for each document (fingerprints as longs).
 
-    Null texts are empty; empty texts have fingerprint zero. Repeated ids are ordered by text; equal rows are
-    interchangeable. Null ids come first. A table of one row is its own next; an empty one gives no rows.
+    Null texts are empty; empty texts have fingerprint zero. Repeated ids are ordered by their texts' hashes; equal rows
+    are interchangeable. Null ids come first. A table of one row is its own next; an empty one gives no rows. Texts of
+    any length are read whole; other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = with_next(docs)

@@ -592,6 +592,24 @@ def test_fingerprints(docs, empty, spark):
     assert len(one) == 1 and one[0]["fp"] == one[0]["next_fp"]
 
 
+def test_next_documents_over_many_buckets(spark):
+    """The next document is right across buckets, with null ids, an id that a third of the rows have, gaps and extreme ids."""
+    from kgspark.llm.fingerprints import with_next
+
+    rng = random.Random(7)
+    ids = [rng.choice([None, 5, 5, 5, -(1 << 63), (1 << 63) - 1]) if k % 2 else rng.randrange(-(10**6), 10**6) ** 3 for k in range(1500)]
+    rows = [(i, f"text {rng.randrange(900)}") for i in ids] + [(None, None), (5, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    hashes = {r["text"]: r["h"] for r in frame.select(F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    line = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]))
+    want = Counter((*r, line[(k + 1) % len(line)][1]) for k, r in enumerate(line))
+    for per, ranges in ((20, 16), (50, 4), (3, 100), (5000, 8)):
+        got = with_next(frame, per, 1 << 20, ranges).collect()
+        assert Counter((r["doc_id"], r["text"], r["next_text"]) for r in got if not r["ghost"]) == want, (per, ranges)
+        if per < 100:
+            assert len({r["bucket"] for r in got}) > 10 and max(Counter(r["bucket"] for r in got).values()) < 500
+
+
 def test_radius_search(spark):
     from kgspark.llm.fingerprints import within_radius
 
