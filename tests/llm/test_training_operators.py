@@ -414,6 +414,96 @@ def test_gradients():
         assert (up - down) / 2e-2 == pytest.approx(d_gates[s].sum(0)[3], rel=0.1, abs=5e-3)
 
 
+def brute_toxicity(p, text):
+    """The score of a text, a window, a place and a number at a time, from the parameters alone."""
+    import math
+
+    from kgspark.llm import toxicity as t
+    from kgspark.llm.charvec import ngram_hashes, run_hashes
+
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    words = re.findall(r"(?:[^\W_])+", low)
+    vectors = []
+    for w in words:
+        points = np.array([*map(ord, w)], dtype=np.uint32)
+        bucket = int(run_hashes(points, np.array([0]), np.array([len(w)]))[0] >> np.uint64(64 - t.WORD_BITS))
+        wide = np.array([32, *map(ord, w), 32], dtype=np.uint32)
+        grams = [int(ngram_hashes(wide[k : k + n], n, t.CHAR_BITS)[-1]) ^ (n * 0x2F1D & (1 << t.CHAR_BITS) - 1) for n in t.ORDERS for k in range(len(wide) - n + 1)]
+        vectors.append([*map(float, p["word"][bucket]), *(sum(float(p["char"][g][d]) for g in grams) / len(grams) for d in range(t.CHAR_DIM))])
+    h, best = t.HIDDEN, 0.0
+    starts = {min(k, max(0, len(words) - t.WINDOW)) for k in range(0, max(1, len(words) - t.WINDOW + t.STRIDE), t.STRIDE)} if words else ()
+    for first in starts:
+        x = vectors[first : first + t.WINDOW]
+        states = [[0.0] * (2 * h) for _ in x]
+        for side, base, line in (("f", 0, range(len(x))), ("b", h, range(len(x) - 1, -1, -1))):
+            state = [0.0] * h
+            for i in line:
+                gate = [sum(v * float(p[f"x{side}"][d][j]) for d, v in enumerate(x[i])) + float(p[f"c{side}"][j]) for j in range(3 * h)]
+                own = [sum(state[d] * float(p[f"u{side}"][d][j]) for d in range(h)) for j in range(3 * h)]
+                z = [sigmoid(gate[j] + own[j]) for j in range(h)]
+                r = [sigmoid(gate[h + j] + own[h + j]) for j in range(h)]
+                n = [math.tanh(gate[2 * h + j] + r[j] * own[2 * h + j]) for j in range(h)]
+                state = [(1 - z[j]) * n[j] + z[j] * state[j] for j in range(h)]
+                states[i][base : base + h] = state
+        energy = [sum(math.tanh(sum(s[d] * float(p["wa"][d][a]) for d in range(2 * h)) + float(p["ba"][a])) * float(p["va"][a]) for a in range(t.ATTEND)) for s in states]
+        share = [math.exp(e - max(energy)) for e in energy]
+        pooled = [sum(w * s[d] for w, s in zip(share, states)) / sum(share) for d in range(2 * h)]
+        best = max(best, sigmoid(sum(v * float(p["wo"][d]) for d, v in enumerate(pooled)) + float(p["bo"][0])))
+    return best
+
+
+def test_toxicity_by_hand(spark):
+    """Every score of the operator against the network written out."""
+    from kgspark.llm import toxicity as t
+
+    rng = random.Random(5)
+    p = t.new_parameters(np.random.default_rng(4))
+    for side in "fb":
+        p[f"c{side}"] += np.float32(0.1)
+    p["bo"][:] = -0.3
+    texts = [" ".join("".join(rng.choice("abcdefgé日") for _ in range(rng.randrange(1, 8))) + rng.choice(["", "!", ", x_y", " 42"]) for _ in range(n)) for n in (0, 1, 5, 23, 24, 25, 36, 37, 90, 200)]
+    docs = spark.createDataFrame(list(enumerate([*texts, None, "  !! "])), "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["score"] for r in t.score_documents(docs, labels, model=p).collect()}
+    for i, text in enumerate([*texts, "", "  !! "]):
+        assert got[i] == pytest.approx(brute_toxicity(p, text), abs=2e-5), (i, text[:40])
+
+
+def brute_quality(model, text):
+    """The score of a text from its words, repeated runs of three words, and character n-grams, one at a time."""
+    import math
+
+    from kgspark.llm import quality_model as q
+    from kgspark.llm.charvec import ngram_hashes, run_hashes
+
+    line = [float(v) for v in model.vectors @ (model.layer[:, 1] - model.layer[:, 0])]
+    found, words, seen = [], re.findall(r"[^\x20\x09-\x0D]+", text), set()
+    for k, w in enumerate(words):
+        points = np.array([*map(ord, w)], dtype=np.uint32)
+        found.append(int(run_hashes(points, np.array([0]), np.array([len(w)]))[0] >> np.uint64(64 - q.BITS)))
+        run = tuple(words[k - 2 : k + 1])
+        found.append(int(k >= 2 and run in seen))
+        seen |= {run} if k >= 2 else set()
+        for n in q.ORDERS:
+            found += [int(ngram_hashes(points[i : i + n], n, q.BITS)[-1]) ^ (n * 0x1A35 & (1 << q.BITS) - 1) for i in range(len(w) - n + 1)]
+    margin = sum(line[b] for b in found) / max(1, len(found)) + float(model.bias[1] - model.bias[0])
+    return 1 / (1 + math.exp(-margin))
+
+
+def test_quality_by_hand(spark):
+    """Every score of the operator against a mean over features found one by one."""
+    from kgspark.llm import quality_model as q
+
+    rng, np_rng = random.Random(6), np.random.default_rng(3)
+    model = q.Model(np_rng.normal(size=(1 << q.BITS, 4)), np_rng.normal(size=(4, 2)), np.array([0.2, -0.1]))
+    texts = [" ".join(rng.choice(["a", "bb", "ccc", "étude", "日本語です", "x-y", "longerword"]) for _ in range(n)) for n in (0, 1, 2, 3, 4, 30, 300)] + ["a b c " * 9, "\n\t "]
+    docs = spark.createDataFrame(list(enumerate([*texts, None])), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in q.score_documents(docs, spark.createDataFrame([], "doc_id long, quality int"), model=model).collect()}
+    for i, text in enumerate([*texts, ""]):
+        assert got[i] == pytest.approx(brute_quality(model, text), abs=1e-4), (i, text[:40])
+
+
 def test_windows_cover_everything():
     from kgspark.llm.toxicity import STRIDE, WINDOW, Words
 
@@ -724,6 +814,50 @@ def test_quality_rules(docs, empty, labels):
     assert all(r["kept"] != r["base_failed"] for r in quality_documents(docs, labels.limit(0)).collect())
 
 
+def brute_paths(forest, row):
+    """Mean path length of a row, walked node by node."""
+    total, inner = 0.0, forest.feature.shape[1]
+    for feature, split, length in zip(forest.feature, forest.split, forest.length):
+        node = 0
+        while node < inner:
+            node = 2 * node + (2 if row[feature[node]] >= split[node] else 1)
+        total += length[node - inner]
+    return total / len(forest.feature)
+
+
+def test_kept_by_hand(spark):
+    """``kept`` and ``anomaly`` against counts, features, paths and the limit worked out a document at a time; few labels too."""
+    from kgspark.llm.quality_rules import FEATURES, Forest, fit_forest, quality_documents
+
+    rng = random.Random(11)
+    good = lambda: " ".join(f"word{rng.randrange(900)}" for _ in range(rng.randrange(25, 90)))
+    bad = lambda: " ".join(rng.choice(["$$$", "BUY", "NOW!!", "##"]) + str(rng.randrange(500)) for _ in range(rng.randrange(25, 90)))
+    texts = [good() if i % 3 else bad() for i in range(120)] + ["", None, "few words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def features(t):
+        w, lines = WORDS.findall(t), [x for x in t.split("\n") if WORDS.search(x)]
+        n, chars, symbols, dup, repeat = brute_stats(t)
+        return [(x / y) ** 0.5 for x, y in ((symbols, chars + 50), (len(re.findall("[A-Z]", t)), chars + 50), (len(re.findall("[!?]", t)), chars + 50), (dup, len(lines) + 5), (repeat, len(w) + 20))]
+
+    for n_labels in (90, 7, 1):
+        labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(1, 1 + n_labels)], "doc_id long, quality int")
+        forest = fit_forest(docs, labels)
+        scale = float(Forest.c(forest.sample))
+        assert forest.sample == min(256, sum(i % 3 > 0 for i in range(1, 1 + n_labels)))
+        for r in quality_documents(docs, labels).collect():
+            t = texts[r["doc_id"]] or ""
+            n, _, _, _, repeat = brute_stats(t)
+            failed = n < 20 or 100 * repeat > 30 * n
+            assert len(features(t)) == len(FEATURES)
+            anomaly = 2 ** (-brute_paths(forest, features(t)) / max(scale, 1e-9))
+            assert r["anomaly"] == pytest.approx(anomaly) and r["base_failed"] == failed
+            assert r["kept"] == (not failed and anomaly <= forest.limit + 1e-12)
+        if n_labels == 90:
+            kept = {r["doc_id"] for r in quality_documents(docs, labels).where("kept").collect()}
+            assert len([i for i in kept if i % 3]) >= 78 and len([i for i in kept if i % 3 == 0]) <= 4
+
+
 def test_forest_finds_the_odd():
     from kgspark.llm.quality_rules import Forest, calibrate
 
