@@ -178,8 +178,8 @@ def mix_sources(
     targets = stage(source_targets(stats.select("source", "source_size"), weights, share, most), "mix-targets")
     plan, chosen = mix_plan(targets, n_seats, mix_shards, seed)
 
-    cells = base.withColumn("_salt", hash_salt(salts_for(largest, 64, 4096), "doc_id"))
-    line = Window.partitionBy("source", "_salt").orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id", "size")
+    cells = base.withColumn("_salt", hash_salt(salts_for(largest, 64, 4096), *rows.columns))
+    line = Window.partitionBy("source", "_salt").orderBy(F.xxhash64(F.lit(seed), *rows.columns), *rows.columns)
     sums = cells.groupBy("source", "_salt").agg(F.sum("size").alias("_words"))
     sums = sums.withColumn("_at", F.sum("_words").over(Window.partitionBy("source").orderBy("_salt")) - F.col("_words"))
     sums = sums.select(F.col("source").alias("_s"), F.col("_salt").alias("_t"), "_at", "_words")
@@ -217,21 +217,25 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken, copies for each document.
 
     Size: words of the text (null: 0). Null sources form one source, the last. Documents without words take nothing.
-    Other columns are ignored. An empty table gives no rows.
+    Null and repeated ids are ordinary rows: a row's place in its source's order comes from its id, size and text.
+    Texts of any length count whole; other columns are ignored. An empty table gives no rows.
     """
-    rows = with_size(docs).select("doc_id", "source", "size")
+    rows = with_size(docs).select("doc_id", "source", "size", F.xxhash64("text").alias("_h"))
     return mix_sources(rows, **options).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
 def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the mix itself. A document comes as often as its chosen blocks say: not at all, once or twice.
 
-    Rows of one id (null too) share the largest number of copies among them.
+    Rows are known by id and text, null ids too; rows that share both share the largest number of copies among them.
+    Documents without words are never chosen. Columns of any name travel along; an empty table gives no rows.
     """
-    mixed = mix_sources(with_size(docs).select("doc_id", "source", "size"))
-    copies = mixed.groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    out = docs.join(copies, docs["doc_id"].eqNullSafe(copies["_id"]))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[docs[c] for c in docs.columns])
+    hash_ = F.xxhash64(F.lit(31), "text")
+    mixed = mix_sources(with_size(docs).select("doc_id", "source", "size", hash_.alias("_h"))).where("size > 0")
+    copies = mixed.groupBy(F.col("doc_id").alias("_id"), "_h").agg(F.max("copies").alias("_copies")).where("_copies > 0")
+    out = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_own"), hash_.alias("_own_h"))
+    out = out.join(copies, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_own_h") == F.col("_h")))
+    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("_row.*")
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:

@@ -209,7 +209,7 @@ def pack_documents(docs: DataFrame, files: tuple[str, str] | None = None, capaci
 
 
 def pack_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: pieces and their places."""
+    """Pipeline stage, the last: pieces and their places. Every row is packed, as of ``pack_documents``."""
     return pack_documents(docs)
 
 
