@@ -13,7 +13,7 @@ _BAD_PERCENT = "%(?![0-9a-fA-F]{2})"
 MALFORMED = ("malformed_uri", "malformed_percent_encoding", "missing_query", "missing_vault", "missing_file", "duplicate_query_param", "invalid_subpath")
 INVALID = ("invalid_path",)
 UNSUPPORTED = ("unsupported_action", "unsupported_shorthand", "path_override", "fragment", "unknown_query_param", "non_markdown_target")
-WARNINGS = ("empty_query_segment", "plus_in_value", "markdown_extension_present", "noncanonical_uri")
+WARNINGS = ("empty_query_segment", "raw_plus_as_space", "markdown_extension_present", "noncanonical_uri")
 
 
 def encode(text: Column) -> Column:
@@ -30,6 +30,11 @@ def canonical(vault: Column, file: Column, subpath: Column) -> Column:
     return F.concat(F.lit(f"{SCHEME}://open?vault="), encode(vault), F.lit("&file="), encode(whole))
 
 
+def _bad_utf8(raw: Column, decoded: Column) -> Column:
+    """Whether the percent-encoded bytes aren't UTF-8: decoding puts a replacement character that the text didn't have."""
+    return F.contains(decoded, F.lit("\ufffd")) & ~F.contains(raw, F.lit("\ufffd")) & ~F.contains(F.upper(raw), F.lit("%EF%BF%BD"))
+
+
 def parse(df: DataFrame, column: str = "uri") -> DataFrame:
     """Add uri_vault, uri_file, subpath, codes, canonical_uri, noncanonical and parser_status (null if sound)."""
     u = F.col(column)
@@ -42,7 +47,8 @@ def parse(df: DataFrame, column: str = "uri") -> DataFrame:
         own = F.get(F.filter("_parts", lambda p: F.substring_index(p, "=", 1) == name), F.lit(0))
         raw = F.when(F.contains(own, F.lit("=")), F.expr("substring({0}, locate('=', {0}) + 1)".replace("{0}", f"get(filter(_parts, p -> substring_index(p, '=', 1) = '{name}'), 0)"))).otherwise("")
         raw = F.when(own.isNotNull() & ~raw.rlike(_BAD_PERCENT), raw)
-        return F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B")))
+        decoded = F.try_url_decode(raw)  # a raw + is a blank
+        return F.when(~_bad_utf8(raw, decoded), decoded)
 
     out = out.withColumns({"uri_vault": value("vault"), "_file": value("file")})
     hashed = F.contains("_file", F.lit("#"))
@@ -66,8 +72,8 @@ def parse(df: DataFrame, column: str = "uri") -> DataFrame:
         (F.size(F.array_distinct("_names")) < F.size("_names"), "duplicate_query_param"),
         (F.array_contains("_names", "path"), "path_override"),
         (F.exists("_names", lambda n: ~n.isin("vault", "file", "path")), "unknown_query_param"),
-        (F.exists(values, lambda v: v.rlike(_BAD_PERCENT)), "malformed_percent_encoding"),
-        (F.exists(values, lambda v: F.contains(v, F.lit("+"))), "plus_in_value"),
+        (F.exists(values, lambda v: v.rlike(_BAD_PERCENT) | _bad_utf8(v, F.try_url_decode(F.regexp_replace(v, _BAD_PERCENT, "")))), "malformed_percent_encoding"),
+        (F.exists(values, lambda v: F.contains(v, F.lit("+"))), "raw_plus_as_space"),
         (F.col("_ok") & blank(F.col("uri_vault")), "missing_vault"),
         (F.col("_ok") & blank(f), "missing_file"),
         (F.coalesce(F.col("subpath") == "", F.lit(False)), "invalid_subpath"),

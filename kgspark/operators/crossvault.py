@@ -10,17 +10,25 @@ from kgspark.functions.notes import with_path_parts
 from kgspark.functions.uris import canonical, parse
 
 
-def candidates(notes: DataFrame) -> DataFrame:
-    """(vault, path, target, to_vault, to_path): links whose name no note of their own vault has, but one of another has.
+def candidates(notes: DataFrame, most: int = 50) -> DataFrame:
+    """(vault, path, target, n_targets, targets): links whose name no note of their own vault has, but one of another has.
 
-    Names compare without case; the part before the last slash is ignored. One equi-join by name.
+    Names compare without case; the part before the last slash is ignored. Notes are grouped by name before the join, so
+    a link meets one row however common its name is: the number of notes and the first ``most`` of them by vault and
+    path. ``targets_of`` gives all notes of a name.
     """
-    files = with_path_parts(notes.select("vault", "path")).select("vault", "path", F.lower("name").alias("_key"))
-    links = wikilinks(notes, "raw").select("vault", "path", "target", F.lower(F.element_at(F.split("target", "/"), -1)).alias("_key"))
-    here = files.select("vault", "_key").distinct()
-    there = files.select(F.col("vault").alias("to_vault"), F.col("path").alias("to_path"), "_key")
-    rows = links.join(here, ["vault", "_key"], "left_anti").join(there, "_key").where(F.col("to_vault") != F.col("vault"))
-    return rows.select("vault", "path", "target", "to_vault", "to_path")
+    files = targets_of(notes)
+    links = wikilinks(notes, "raw").select("vault", "path", "target", F.lower(F.element_at(F.split("target", "/"), -1)).alias("key"))
+    first = Window.partitionBy("key").orderBy("vault", "path")  # a limit on the rank is taken ahead of the shuffle too
+    some = files.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= most).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("vault", "path"))).alias("targets"))
+    named = files.groupBy("key").agg(F.count("*").alias("n_targets")).join(some, "key")
+    rows = links.join(files.select("vault", "key").distinct(), ["vault", "key"], "left_anti").join(named, "key")
+    return rows.select("vault", "path", "target", "n_targets", "targets")
+
+
+def targets_of(notes: DataFrame) -> DataFrame:
+    """(vault, path, key): every note under the name that links call it by."""
+    return with_path_parts(notes.select("vault", "path")).select("vault", "path", F.lower("name").alias("key"))
 
 
 def validate(uris: DataFrame, files: DataFrame, vaults: DataFrame) -> DataFrame:
@@ -43,8 +51,8 @@ def validate(uris: DataFrame, files: DataFrame, vaults: DataFrame) -> DataFrame:
     return rows.withColumns({"status": status, "relationship": F.when(F.col("to_vault") != F.col("vault"), "cross_vault").otherwise("same_vault")}).drop("_n", "_there")
 
 
-def overlay(checked: DataFrame, most_subpaths: int = 20) -> DataFrame:
-    """One row an edge: vault, path, to_vault, to_path, total, canonical, noncanonical, subpaths (value and count), canonical_uri."""
+def overlay(checked: DataFrame, most_subpaths: int | None = 20) -> DataFrame:
+    """One row an edge, with up to ``most_subpaths`` subpaths (all with None) and their whole number: vault, path, to_vault, to_path, total, canonical, noncanonical, subpaths (value and count), canonical_uri."""
     rows = checked.where(F.col("status").isin("valid", "noncanonical") & (F.col("relationship") == "cross_vault"))
     keys = ["vault", "path", "to_vault", "to_path"]
     odd = F.count(F.when(F.col("status") == "noncanonical", 1))
@@ -56,7 +64,7 @@ def overlay(checked: DataFrame, most_subpaths: int = 20) -> DataFrame:
         (F.sum("count") - F.sum("odd")).alias("canonical"),
         F.sum("odd").alias("noncanonical"),
         F.count("*").alias("unique_subpaths"),
-        F.array_sort(F.collect_list(F.when(F.col("_r") <= most_subpaths, F.struct("subpath", "count")))).alias("subpaths"),
+        F.array_sort(F.collect_list(F.when(F.lit(True) if most_subpaths is None else F.col("_r") <= most_subpaths, F.struct("subpath", "count")))).alias("subpaths"),
     )
     return out.withColumn("canonical_uri", canonical(F.col("to_vault"), F.col("to_path"), F.lit(None).cast("string")))
 

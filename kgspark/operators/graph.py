@@ -10,8 +10,10 @@ from kgspark.session import stage
 
 DAMPING, ROUNDS, TOLERANCE = 0.85, 20, 1e-7
 SMALL = 25
-#: Notes left out of ranking unless the caller says otherwise.
-DEFAULT_EXCLUDE = (Condition("rank_exclude", "equals", True), Condition("node_type", "in", ["generated", "archive", "index", "log"]))
+#: The fields and values that leave a note out of ranking unless the caller says otherwise.
+EXCLUDE_FIELD = "mycelium_exclude"
+EXCLUDE_TYPES = ["generated", "archive", "index", "log"]
+DEFAULT_EXCLUDE = (Condition(EXCLUDE_FIELD, "equals", True), Condition("node_type", "in", EXCLUDE_TYPES))
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -38,20 +40,22 @@ def prune(nodes: DataFrame, edges: DataFrame, out: DataFrame) -> tuple[DataFrame
     return kept, edges.join(ends("src"), ["vault", "src"], "left_semi").join(ends("dst"), ["vault", "dst"], "left_semi")
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE, cut_every: int = 5) -> DataFrame:
     """(vault, node, rank) over unique unweighted edges, each vault by itself; dangling rank is spread evenly.
 
     Stops after the first round in which no vault changed by ``tolerance`` in all. A round is a join and a sum over
-    edges, written once; one small sum a vault gives both its change and the dangling rank of the next round.
+    edges; one small sum a vault gives both its change and the dangling rank of the next round. Rounds are kept in
+    memory where there is room, and every ``cut_every`` of them the ranks are written to the shared folder, so that a
+    lost executor costs a few rounds at most.
     """
-    links = edges.select("vault", "src", "dst").distinct()
+    links = stage(edges.select("vault", "src", "dst").distinct(), "rank-edges")
     outs = links.groupBy("vault", F.col("src").alias("node")).agg(F.count("*").alias("outs"))
     sizes = nodes.groupBy("vault").agg(F.count("*").alias("n"))
     rank = nodes.select("vault", "node").join(outs, ["vault", "node"], "left").join(F.broadcast(sizes), "vault")  # a row a vault
     rank = stage(rank.withColumn("rank", 1 / F.col("n")).withColumn("change", F.lit(1.0)), "rank-nodes")
-    links = stage(links, "rank-edges")
     sums = [F.sum("change").alias("change"), F.coalesce(F.sum(F.when(F.col("outs").isNull(), F.col("rank"))), F.lit(0.0)).alias("loose")]
-    for _ in range(rounds):
+    kept: list[DataFrame] = []
+    for k in range(1, rounds + 1):
         state = rank.groupBy("vault").agg(*sums).collect()
         if not state or max(r["change"] for r in state) < tolerance:
             break
@@ -60,14 +64,47 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, round
         got = links.join(share, ["vault", "src"]).groupBy("vault", F.col("dst").alias("node")).agg(F.sum("part").alias("got"))
         new = (1 - damping) / F.col("n") + damping * F.coalesce("got", F.lit(0.0)) + damping * loose / F.col("n")
         rank = rank.join(got, ["vault", "node"], "left").select("vault", "node", "outs", "n", new.alias("rank"), F.abs(new - F.col("rank")).alias("change"))
+        if k % cut_every and k < rounds:
+            rank = rank.persist()
+            kept.append(rank)
+        else:
+            rank = stage(rank, "rank")
+            while kept:
+                kept.pop().unpersist()
+    if kept:
         rank = stage(rank, "rank")
+        while kept:
+            kept.pop().unpersist()
     return rank.select("vault", "node", "rank")
 
 
+def cuts(values: DataFrame, at: tuple[float, ...], column: str = "rank", key: str = "vault", per_octave: int = 64) -> DataFrame:
+    """(key, top, n, p): exact interpolated percentiles of a positive column, with its largest value and count.
+
+    Values are counted first, equal ones as one row, then summed by parts of an octave; only the parts that hold a
+    wanted place are ranked. So no task holds a key's values.
+    """
+    part = F.floor(F.log2(F.greatest(column, F.lit(1e-300))) * per_octave).cast("int")
+    counts = stage(values.groupBy(key, part.alias("part"), F.col(column).alias("v")).agg(F.count("*").alias("c")), "cut-counts")
+    parts = counts.groupBy(key, "part").agg(F.sum("c").alias("c"), F.max("v").alias("top"))
+    line, whole = Window.partitionBy(key).orderBy("part"), Window.partitionBy(key)  # some thousand parts at most
+    parts = parts.select(key, "part", (F.sum("c").over(line) - F.col("c")).alias("before"), "c", F.sum("c").over(whole).alias("n"), F.max("top").over(whole).alias("top"))
+    place = lambda p, side: side(F.lit(p) * (F.col("n") - 1)).cast("long")
+    wanted = F.array_distinct(F.array(*[place(p, side) for p in at for side in (F.floor, F.ceil)]))
+    some = parts.select("*", F.explode(wanted).alias("place")).where("place >= before and place < before + c").select(key, "part", "before", "n", "top", "place")
+    hit = some.select(key, "part", "before").distinct()
+    inner = Window.partitionBy(key, "part").orderBy("v")
+    ranked = counts.join(hit, [key, "part"]).withColumn("upto", F.col("before") + F.sum("c").over(inner)).select(key, "part", "v", "upto", (F.col("upto") - F.col("c")).alias("from"))
+    found = some.join(ranked, [key, "part"]).where("place >= from and place < upto")
+    found = found.groupBy(key).agg(F.max("top").alias("top"), F.max("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("place", "v"))).alias("at"))
+    value = lambda p: F.col("at")[place(p, F.floor)] + (F.lit(p) * (F.col("n") - 1) - F.floor(F.lit(p) * (F.col("n") - 1))) * (F.col("at")[place(p, F.ceil)] - F.col("at")[place(p, F.floor)])
+    return found.select(key, "top", "n", F.array(*[value(p) for p in at]).alias("p"))
+
+
 def levels(ranked: DataFrame, in_degree: DataFrame) -> DataFrame:
     """Add ``level`` 0 ... 5: percentile cuts of rank in large vaults, shares of the largest in small ones, leaves 5."""
-    cuts = ranked.groupBy("vault").agg(F.expr("percentile(rank, array(0.5, 0.8, 0.95, 0.99))").alias("p"), F.max("rank").alias("top"), F.count("*").alias("n"))
-    rows = ranked.join(F.broadcast(cuts), "vault").join(in_degree, ["vault", "node"], "left").fillna(0, ["in_degree"])
+    rows = ranked.join(F.broadcast(cuts(ranked, (0.5, 0.8, 0.95, 0.99))), "vault")  # a row a vault
+    rows = rows.join(in_degree, ["vault", "node"], "left").fillna(0, ["in_degree"])
     r, p, share = F.col("rank"), F.col("p"), F.col("rank") / F.col("top")
     large = F.when(r >= p[3], 0).when(r >= p[2], 1).when(r >= p[1], 2).when(r >= p[0], 3).otherwise(4)
     small = F.when(share >= 0.75, 0).when(share >= 0.5, 1).when(share >= 0.3, 2).when(share >= 0.15, 3).otherwise(4)
@@ -86,11 +123,15 @@ def signals(notes: DataFrame, edges: DataFrame, where: list[Condition] | None =
     return rows.join(out.withColumn("excluded", F.lit(True)), ["vault", "node"], "left").fillna(False, ["excluded"])
 
 
-def histogram(banded: DataFrame) -> DataFrame:
-    """(vault, level, n) with all six levels, zero where none."""
-    vaults = banded.select("vault").distinct().withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(5))))
+def histogram(banded: DataFrame, out: DataFrame | None = None) -> DataFrame:
+    """(vault, level, n) with all six levels, zero where none; with ``out`` (vault, node) also level null, the excluded."""
+    if out is not None:
+        banded = banded.select("vault", "level").unionByName(out.select("vault", F.lit(None).cast("int").alias("level")))
+    levels_ = F.array(*[F.lit(k) for k in range(6)], *([F.lit(None).cast("int")] if out is not None else []))
+    vaults = banded.select(F.col("vault").alias("_v")).distinct().withColumn("_l", F.explode(levels_))
     counts = banded.groupBy("vault", "level").agg(F.count("*").alias("n"))
-    return vaults.join(counts, ["vault", "level"], "left").fillna(0, ["n"])
+    rows = vaults.join(counts, (F.col("vault") == F.col("_v")) & F.col("level").eqNullSafe(F.col("_l")), "left")
+    return rows.select(F.col("_v").alias("vault"), F.col("_l").alias("level"), F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 def contributors(edges: DataFrame, ranked: DataFrame, most: int = 5) -> DataFrame:

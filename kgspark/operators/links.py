@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgspark.functions.links import unresolved_key, wikilinks
 from kgspark.functions.notes import with_path_parts
 
-#: Candidate lists longer than this are common in no collection; beyond it candidates are joined row by row.
-NAME_KEYS = ("vault", "_key")
-
-
 def resolve(links: DataFrame, notes: DataFrame, target: str = "link_path") -> DataFrame:
     """Add ``dst`` (path of the note that a link means, null if none) to links of (vault, path, ...).
 
@@ -58,8 +54,8 @@ def link_stats(links: DataFrame) -> DataFrame:
 
 
 def unresolved_rollup(links: DataFrame) -> DataFrame:
-    """(target, occurrences, sources) of missing targets."""
-    rows = links.where(F.col("dst").isNull()).withColumn("key", unresolved_key(F.col("target")))
+    """(target, occurrences, sources) of missing targets; links to other vaults and to nothing but a subpath don't count."""
+    rows = links.where(F.col("dst").isNull() & F.col("link_vault").isNull() & (F.col("link_path") != "")).withColumn("key", unresolved_key(F.col("target")))
     return rows.groupBy(F.col("key").alias("target")).agg(F.count("*").alias("occurrences"), F.count_distinct("path").alias("sources"))
 
 
@@ -76,9 +72,19 @@ def backlinks(notes: DataFrame, path: str) -> DataFrame:
     return wikilinks(notes, "raw").where(hit & (F.col("path") != path)).groupBy("vault", "path").agg(F.count("*").alias("links"))
 
 
+#: Longer names, in code points or in runs of letters and digits, are neither compared nor looked up.
+MOST_CHARS, MOST_TOKENS = 128, 16
+
+
+def comparable(name: Column) -> Column:
+    runs = F.size(F.filter(F.split(F.trim(name), r"[^\p{L}\p{N}]+"), lambda t: t != ""))
+    return (F.length(name) <= MOST_CHARS) & (runs <= MOST_TOKENS)
+
+
 def closest(names: DataFrame, wanted: str, most: int = 3, reach: int = 3) -> DataFrame:
     """(name, distance) of up to ``most`` names that contain ``wanted``, lie in it, or are within ``reach`` edits."""
     low, word = F.lower("name"), F.lit(wanted.lower())
-    rows = names.select("name").distinct().withColumn("distance", F.levenshtein(low, word))
+    rows = names.select("name").where(comparable(F.col("name")) & comparable(F.lit(wanted))).distinct()
+    rows = rows.withColumn("distance", F.levenshtein(low, word))
     near = F.contains(low, word) | F.contains(word, low) | (F.col("distance") <= reach)
     return rows.where(near).orderBy("distance", "name").limit(most)

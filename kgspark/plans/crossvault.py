@@ -10,15 +10,17 @@ from kgspark.plans.base import FILES, LINKS, VAULT_NOTES, raw
 from kgspark.plans.registry import query
 from kgspark.sources.collection import table
 
-_CANDIDATES = f"""WITH {VAULT_NOTES}, {FILES}, {LINKS}, l AS (SELECT vault, path, target, lower(regexp_replace(target, '^.*/', '')) AS k FROM links)
-SELECT l.vault, l.path, l.target, f.vault AS to_vault, f.path AS to_path, count(*) AS n FROM l JOIN files f ON lower(f.name) = l.k AND f.vault <> l.vault
+_CANDIDATES = f"""WITH {VAULT_NOTES}, {FILES}, {LINKS}, l AS (SELECT vault, path, target, lower(regexp_replace(target, '^.*/', '')) AS k FROM links),
+t AS (SELECT lower(name) AS k, count(*) AS n_targets, list(vault || ':' || path ORDER BY vault, path)[1:50] AS some FROM files GROUP BY 1)
+SELECT l.vault, l.path, l.target, t.n_targets, array_to_string(t.some, '|') AS targets, count(*) AS n FROM l JOIN t ON t.k = l.k
 WHERE NOT EXISTS (SELECT 1 FROM files h WHERE h.vault = l.vault AND lower(h.name) = l.k) GROUP BY ALL"""
 
 
 @query("cross_vault_candidates", _CANDIDATES)
 def cross_vault_candidates(spark, d):
     rows = ops.candidates(raw(spark, d, merged=False))
-    return rows.groupBy("vault", "path", "target", "to_vault", "to_path").agg(F.count("*").alias("n"))
+    rows = rows.withColumn("targets", F.array_join(F.transform("targets", lambda t: F.concat(t["vault"], F.lit(":"), t["path"])), "|"))
+    return rows.groupBy("vault", "path", "target", "n_targets", "targets").agg(F.count("*").alias("n"))
 
 
 #: Declarations of customers' notes by number: URI (SQL), and the status it must get.
@@ -34,6 +36,9 @@ _KINDS = [
     (f"'{SCHEME}://open?vault=crm&file=suppliers%2FSupplier_' || k", "missing_destination"),
     (f"'{SCHEME}://open?vault=geo&file=a%2'", "malformed"),
     (f"'{SCHEME}://search?vault=geo&file=b'", "unsupported"),
+    (f"'{SCHEME}://open?vault=geo&file=nations%2FNATION+' || k", "missing_destination"),
+    (f"'{SCHEME}://open?vault=g+eo&file=nations%2FNATION_' || k", "unknown_vault"),
+    (f"'{SCHEME}://open?vault=geo&file=nations%2FNATION_%FF'", "malformed"),
 ]
 _URIS = (
     "SELECT 'crm' AS vault, 'customers/' || replace(c_name, '#', '_') || '.md' AS path, c_custkey % %d AS kind, CAST(c_nationkey AS STRING) AS k FROM customer".replace("%d", str(len(_KINDS)))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from kgspark.operators import graph as ops
 from kgspark.operators.links import edges as edges_of
 from kgspark.operators.predicates import Condition
-from kgspark.plans.base import EDGES, FIELDS, all_links, linked, parsed
+from kgspark.plans.base import EDGES, FIELDS, all_links, linked, parsed, raw
 from kgspark.plans.registry import mil, query
+from kgspark.session import stage
 
 _OUT = "gone AS (SELECT path AS node FROM fields WHERE node_type IN ('generated', 'archive', 'index', 'log'))"
 _PRUNED = "kept AS (SELECT path AS node FROM notes WHERE path NOT IN (SELECT node FROM gone)), pruned AS (SELECT src, dst FROM edges WHERE src IN (SELECT node FROM kept) AND dst IN (SELECT node FROM kept))"
@@ -38,30 +39,33 @@ _ALL = linked(", ".join([EDGES, FIELDS, _OUT, _PRUNED, _rank_sql(), _BANDS]))
 
 
 def _graph(spark, d, where=None):
+    """Nodes, edges and excluded notes, each worked out once and written."""
     notes = parsed(spark, d).select("vault", "path", "props")
-    nodes, edges = notes.select("vault", F.col("path").alias("node")), edges_of(all_links(spark, d))
-    return nodes, edges, ops.excluded(notes, where)
+    out = stage(ops.excluded(notes, where), "graph-excluded")
+    nodes = stage(raw(spark, d).select("vault", F.col("path").alias("node")), "graph-nodes")
+    return nodes, stage(edges_of(all_links(spark, d)), "graph-edges"), out
 
 
-def _ranked(spark, d):
-    kept, pruned = ops.prune(*_graph(spark, d))
+def _ranked(graph):
+    kept, pruned = ops.prune(*graph)
+    kept, pruned = stage(kept, "graph-kept"), stage(pruned, "graph-pruned")
     ranked = ops.pagerank(kept, pruned, rounds=_ROUNDS, tolerance=0.0)
     return kept, pruned, ranked.withColumn("rank", F.floor(F.col("rank") * 1e9 + 0.5) / 1e9)
 
 
-def _banded(spark, d):
-    kept, pruned, ranked = _ranked(spark, d)
+def _banded(graph):
+    kept, pruned, ranked = _ranked(graph)
     return ops.levels(ranked, pruned.groupBy("vault", F.col("dst").alias("node")).agg(F.count_distinct("src").alias("in_degree")))
 
 
 @query("exclude_default", f"WITH {FIELDS} SELECT path AS node FROM fields WHERE node_type IN ('generated', 'archive', 'index', 'log')")
 def exclude_default(spark, d):
-    return _graph(spark, d)[2].select("node")
+    return ops.excluded(parsed(spark, d)).select("node")
 
 
 @query("exclude_custom", f"WITH {FIELDS} SELECT path AS node FROM fields WHERE type = 'customer' AND segment = 'BUILDING'")
 def exclude_custom(spark, d):
-    return _graph(spark, d, [Condition("type", "equals", "Customer"), Condition("segment", "in", ["building"])])[2].select("node")
+    return ops.excluded(parsed(spark, d), [Condition("type", "equals", "Customer"), Condition("segment", "in", ["building"])]).select("node")
 
 
 @query("excluded_notes", f"WITH {FIELDS} SELECT path AS node, 'node_type' AS reason FROM fields WHERE node_type IN ('generated', 'archive', 'index', 'log')")
@@ -80,17 +84,19 @@ def pruned_in_degree(spark, d):
 
 @query("pagerank", _ALL + f"SELECT node, {mil('rank')} AS rank FROM ranked")
 def pagerank(spark, d):
-    return _ranked(spark, d)[2].select("node", (F.floor(F.col("rank") * 1e6 + 0.5) / 1e6).alias("rank"))
+    return _ranked(_graph(spark, d))[2].select("node", (F.floor(F.col("rank") * 1e6 + 0.5) / 1e6).alias("rank"))
 
 
 @query("levels", _ALL + "SELECT node, CAST(level AS INTEGER) AS level FROM banded")
 def levels(spark, d):
-    return _banded(spark, d).select("node", "level")
+    return _banded(_graph(spark, d)).select("node", "level")
 
 
-@query("level_histogram", _ALL + "SELECT CAST(l AS INTEGER) AS level, count(b.node) AS n FROM range(6) t(l) LEFT JOIN banded b ON b.level = l GROUP BY 1")
+@query("level_histogram", _ALL + "SELECT CAST(l AS INTEGER) AS level, count(b.node) AS n FROM range(6) t(l) LEFT JOIN banded b ON b.level = l GROUP BY 1 UNION ALL SELECT NULL, count(*) FROM gone")
 def level_histogram(spark, d):
-    return ops.histogram(_banded(spark, d)).select(F.col("level").cast("int").alias("level"), "n")
+    """Nodes by level, and the excluded ones (level null)."""
+    graph = _graph(spark, d)
+    return ops.histogram(_banded(graph), graph[2]).select(F.col("level").cast("int").alias("level"), "n")
 
 
 @query(
@@ -98,7 +104,7 @@ def level_histogram(spark, d):
     _ALL + "SELECT dst, src, place FROM (SELECT e.dst, e.src, row_number() OVER (PARTITION BY e.dst ORDER BY r.rank DESC, e.src) AS place FROM pruned e JOIN ranked r ON r.node = e.src) WHERE place <= 5",
 )
 def top_contributors(spark, d):
-    _, pruned, ranked = _ranked(spark, d)
+    _, pruned, ranked = _ranked(_graph(spark, d))
     return ops.contributors(pruned, ranked).select("dst", "src", F.col("place").cast("long").alias("place"))
 
 
@@ -111,7 +117,8 @@ def top_contributors(spark, d):
 )
 def link_hierarchy(spark, d):
     """Ranking of the whole vault, shown for one scope: the scope filters after ranking."""
-    nodes, edges, _ = _graph(spark, d)
-    rows = _banded(spark, d).join(ops.degrees(nodes, edges), ["vault", "node"]).where(F.col("node").startswith("nations/"))
+    graph = _graph(spark, d)
+    nodes, edges, _ = graph
+    rows = _banded(graph).join(ops.degrees(nodes, edges), ["vault", "node"]).where(F.col("node").startswith("nations/"))
     rows = rows.orderBy(F.desc("rank"), "node").limit(10)
     return rows.select("node", "level", (F.floor(F.col("rank") * 1e6 + 0.5) / 1e6).alias("rank"), "in_degree", "out_degree")

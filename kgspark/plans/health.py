@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from kgspark.operators import health as ops
 from kgspark.plans.base import AS_OF, FIELDS, FILES, LINKS, NOTES, all_links, linked, parsed, raw
 from kgspark.plans.registry import query
+from kgspark.sources.collection import table
 
 _AT = dt.datetime.fromisoformat(AS_OF)
 _WHOLE = linked(target="target")
@@ -32,9 +33,11 @@ def orphans_name(spark, d):
     return ops.orphans_by_name(raw(spark, d)).select("path")
 
 
-@query("deadends", f"WITH {NOTES} SELECT path FROM notes WHERE NOT regexp_matches(raw, '\\[\\[[^\\]]+\\]\\]')")
+@query("deadends", f"WITH {NOTES}, all_notes AS (SELECT path, raw FROM notes UNION ALL SELECT 'docs/' || doc_id || '.md', text FROM documents) SELECT path FROM all_notes WHERE NOT regexp_matches(raw, '\\[\\[[^\\]]+\\]\\]')")
 def deadends(spark, d):
-    return ops.dead_ends(raw(spark, d)).select("path")
+    """Notes without links, of the linked notes and the documents beside them."""
+    docs = table(spark, d, "documents").select(F.lit("main").alias("vault"), F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("text").alias("raw"))
+    return ops.dead_ends(raw(spark, d).select("vault", "path", "raw").unionByName(docs)).select("path")
 
 
 @query(

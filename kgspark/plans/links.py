@@ -10,7 +10,6 @@ from kgspark.operators import links as ops
 from kgspark.operators.graph import degrees
 from kgspark.plans.base import EDGES, FILES, LINKS, NOTES, all_links, linked, parsed, raw
 from kgspark.plans.registry import query
-from kgspark.sources.collection import table
 
 
 @query("outlinks", f"WITH {NOTES}, {LINKS} SELECT path, CAST(ord AS BIGINT) AS ord, is_embed, target, alias, link_path FROM links")
@@ -55,7 +54,7 @@ def link_count_stats(spark, d):
     return ops.link_stats(all_links(spark, d)).drop("vault")
 
 
-@query("unresolved_rollup", linked() + "SELECT trim(link_path) AS target, count(*) AS occurrences, count(DISTINCT path) AS sources FROM resolved WHERE dst IS NULL GROUP BY 1")
+@query("unresolved_rollup", linked() + "SELECT trim(link_path) AS target, count(*) AS occurrences, count(DISTINCT path) AS sources FROM resolved WHERE dst IS NULL AND link_path <> '' GROUP BY 1")
 def unresolved_rollup(spark, d):
     return ops.unresolved_rollup(all_links(spark, d))
 
@@ -91,10 +90,12 @@ def basename_index(spark, d):
 
 @query(
     "closest_matches",
-    "SELECT name, distance FROM (SELECT DISTINCT p_name AS name, CAST(levenshtein(lower(p_name), 'part 12') AS BIGINT) AS distance FROM part) WHERE contains(lower(name), 'part 12') OR contains('part 12', lower(name)) OR distance <= 3 ORDER BY distance, name LIMIT 3",
+    f"WITH {NOTES}, {FILES} SELECT name, distance FROM (SELECT DISTINCT name, CAST(levenshtein(lower(name), 'natoin_1') AS BIGINT) AS distance FROM files) WHERE contains(lower(name), 'natoin_1') OR contains('natoin_1', lower(name)) OR distance <= 3 ORDER BY distance, name LIMIT 3",
 )
 def closest_matches(spark, d):
-    return ops.closest(table(spark, d, "part").select(F.col("p_name").alias("name")), "part 12").withColumn("distance", F.col("distance").cast("long"))
+    """Names of notes near a misspelled one."""
+    names = with_path_parts(raw(spark, d)).select("name")
+    return ops.closest(names, "Natoin_1").withColumn("distance", F.col("distance").cast("long"))
 
 
 @query("notes_scan", f"WITH {NOTES}, {FILES} SELECT n.path, f.name, f.dir, CAST(f.depth AS BIGINT) AS depth, strlen(n.raw) AS size, coalesce(nullif(regexp_extract(n.body, '(?m)^#\\s+(.+)$', 1), ''), f.name) AS title FROM notes n JOIN files f ON f.path = n.path")

@@ -118,7 +118,9 @@ def graph_annotated(spark, d):
 _GOLD = (
     "rk AS (SELECT source, list(doc_id ORDER BY n_chars DESC, doc_id) AS ranked FROM documents GROUP BY 1), rel AS (SELECT d.source, list(d.doc_id) AS relevant FROM documents d JOIN labels l ON l.doc_id = d.doc_id WHERE l.quality = 0 GROUP BY 1), "
     "g AS (SELECT rk.source AS query_id, rk.ranked, coalesce(rel.relevant, []) AS relevant FROM rk LEFT JOIN rel ON rel.source = rk.source), "
-    "p AS (SELECT *, list_filter(range(1, least(len(ranked), 100) + 1), lambda i: list_contains(relevant, ranked[i])) AS hit FROM g), "
+    "rn AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS place FROM documents), "
+    "hits AS (SELECT rn.source, list(rn.place ORDER BY rn.place) AS hit FROM rn JOIN labels l ON l.doc_id = rn.doc_id WHERE l.quality = 0 GROUP BY 1), "
+    "p AS (SELECT g.*, coalesce(hits.hit, []) AS hit FROM g LEFT JOIN hits ON hits.source = g.query_id), "
     "m AS (SELECT query_id, CASE WHEN len(relevant) > 0 THEN CAST(len(list_filter(hit, lambda i: i <= 10)) AS DOUBLE) / len(relevant) ELSE 0 END AS recall, len(list_filter(hit, lambda i: i <= 10)) / 10.0::DOUBLE AS precision, "
     "CASE WHEN len(relevant) > 0 THEN coalesce(list_sum(list_transform(list_filter(hit, lambda i: i <= 10), lambda i: 1 / log2(i + 1))), 0) / list_sum(list_transform(range(1, least(len(relevant), 10) + 1), lambda i: 1 / log2(i + 1))) ELSE 0 END AS ndcg, "
     "CASE WHEN len(hit) > 0 THEN 1.0::DOUBLE / hit[1] ELSE 0 END AS rr FROM p)"
