@@ -68,6 +68,11 @@ def round_half_up(c: Column, places: int) -> Column:
 
 
 @F.pandas_udf(StringType())
-def nfc(s: pd.Series) -> pd.Series:
-    """Composed form; pure ASCII passes through untouched."""
-    return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
+def _nfc(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
+
+
+def nfc(c: Column) -> Column:
+    """Composed form; only texts beyond ASCII leave the JVM."""
+    other = c.rlike(r"[^\x00-\x7F]")
+    return F.when(other, _nfc(F.when(other, c))).otherwise(c)

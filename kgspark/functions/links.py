@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from kgspark.functions.jslike import WS, trim
 
+#: Fixed value: the form of a link.
 LINK = r"\[\[([^\]|]+)(?:\|([^\]]+))?\]\]"
 
 
 def wikilinks(notes: DataFrame, column: str = "body", keep: tuple[str, ...] = ("vault", "path")) -> DataFrame:
-    """One row a link: ``keep``, ord (from 0), is_embed, raw_target, alias, link_vault, target, link_path, subpath.
+    """One row a link: ``keep``, ord (from 0), match (as written), is_embed, raw_target, alias, link_vault, target, link_path, subpath.
 
     ``target`` keeps the part behind #, ``link_path`` drops it. A vault prefix is a word without spaces and a colon.
     """
@@ -27,7 +28,7 @@ def wikilinks(notes: DataFrame, column: str = "body", keep: tuple[str, ...] = ("
         "target": trim(F.regexp_replace(inner, prefix, "")),
     })
     subpath = F.when(F.contains("target", F.lit("#")), F.expr("substring(target, locate('#', target) + 1)"))
-    return out.withColumns({"link_path": F.substring_index("target", "#", 1), "subpath": subpath}).drop("_m")
+    return out.withColumns({"link_path": F.substring_index("target", "#", 1), "subpath": subpath}).withColumnRenamed("_m", "match")
 
 
 def unresolved_key(target: Column) -> Column:
@@ -48,8 +49,15 @@ def link_places(notes: DataFrame, column: str = "body", keep: tuple[str, ...] =
     return rows.select(*keep, (F.col("line_no") + 1).alias("line_no"), (before + ahead + 1).alias("col"), "index_on_line", "match", "line")
 
 
-def context(line: Column, at: Column, width: int = 100) -> Column:
-    """Up to ``width`` characters on either side, white space collapsed, cut ends marked."""
-    start = F.greatest(at - width, F.lit(1))
-    cut = F.regexp_replace(F.substring(line, start, at + width - start), f"[{WS}]+", " ")
-    return F.concat(F.when(start > 1, "...").otherwise(""), cut, F.when(F.length(line) > at + width, "...").otherwise(""))
+def context(text: Column, link: Column, width: int = 100) -> Column:
+    """Up to ``width`` characters on either side of the first place of ``link``, white space collapsed, cut ends marked."""
+    at = F.instr(text, link)
+    start, end = F.greatest(at - width, F.lit(1)), F.least(at + F.length(link) + width, F.length(text) + 1)
+    cut = F.concat(F.when(start > 1, "...").otherwise(""), F.substring(text, start, end - start), F.when(end <= F.length(text), "...").otherwise(""))
+    return F.when(at == 0, "").otherwise(trim(F.regexp_replace(cut, f"[{WS}]+", " ")))
+
+
+def line_of(text: Column, link: Column) -> Column:
+    """Number of the first line that holds ``link``, 0 if none does."""
+    at = F.instr(text, link)
+    return F.when(at == 0, 0).otherwise(F.size(F.split(F.substring(text, F.lit(1), at), "\n")))

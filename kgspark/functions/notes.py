@@ -6,7 +6,7 @@ import datetime as dt
 import json
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -74,6 +74,29 @@ def title(body: str = "body", props: str = "props", name: str = "name") -> Colum
     return F.coalesce(own, head, F.col(name))
 
 
+def sections(df: DataFrame, column: str = "raw", *keep: str) -> DataFrame:
+    """(keep, block_id, heading, level, start_line, content): each heading's own lines, up to the next heading.
+
+    Text of over 50 characters ahead of the first heading is a section of level 0. Ids are the headings' slugs, numbered
+    where they come again.
+    """
+    keep = keep or ("vault", "path")
+    own = lines(df, column, *keep)
+    head = F.col("line").rlike(r"^#{1,6}\s+.+$")
+    own = own.withColumn("_head", head).withColumn("_k", F.sum(head.cast("int")).over(Window.partitionBy(*keep).orderBy("line_no")))
+    text = F.array_sort(F.collect_list(F.when(~F.col("_head"), F.struct("line_no", "line"))))
+    rows = own.groupBy(*keep, "_k").agg(F.min_by("line", "line_no").alias("heading"), F.min("line_no").alias("start_line"), trim(F.array_join(F.transform(text, lambda x: x["line"]), "\n")).alias("content"))
+    rows = rows.where((F.col("_k") > 0) | (F.length("content") > 50))
+    slug = F.lower(trim(F.regexp_replace("heading", r"^#{1,6}\s+", "")))
+    for pattern, by in ((r"[^a-zA-Z0-9_\s-]", ""), (r"\s+", "-"), ("-+", "-")):
+        slug = F.regexp_replace(slug, pattern, by)
+    rows = rows.withColumn("_slug", F.when(F.col("_k") > 0, slug).otherwise("_preamble"))
+    again = F.row_number().over(Window.partitionBy(*keep, "_slug").orderBy("start_line"))
+    block = F.when(again > 1, F.concat("_slug", F.lit("-"), again.cast("string"))).otherwise(F.col("_slug"))
+    level = F.when(F.col("_k") > 0, F.length(F.regexp_extract("heading", "^#+", 0))).otherwise(0)
+    return rows.select(*keep, block.alias("block_id"), F.when(F.col("_k") > 0, F.col("heading")).otherwise("").alias("heading"), level.alias("level"), "start_line", "content")
+
+
 def lines(df: DataFrame, column: str, *keep: str) -> DataFrame:
     """One row a line: ``keep``, line_no (from 1), line."""
     out = df.select(*keep, F.posexplode(F.split(column, "\n")).alias("line_no", "line"))

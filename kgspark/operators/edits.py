@@ -43,11 +43,15 @@ def edit_section(text: str, heading: str, content: str, how: str) -> str:
 
 
 def section_column(column: str, heading: str, content: str, how: str) -> Column:
+    """Only texts that spell the heading's words leave the JVM."""
+
     @F.pandas_udf(StringType())
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: t if t is None else edit_section(t, heading, content, how))
 
-    return run(column)
+    words = re.sub(r"^#{1,6}\s+", "", heading).strip().lower()
+    has = F.contains(F.lower(column), F.lit(words))
+    return F.when(has, run(F.when(has, F.col(column)))).otherwise(F.col(column))
 
 
 def front_text(values: dict) -> str:
@@ -67,7 +71,7 @@ def set_front(text: str, updates: dict, drop: tuple[str, ...] = ()) -> str:
     return f"---\n{front_text(values)}\n---\n{body}" if values else body
 
 
-def front_column(column: str, updates: dict, drop: tuple[str, ...] = ()) -> Column:
+def front_column(column: str | Column, updates: dict, drop: tuple[str, ...] = ()) -> Column:
     @F.pandas_udf(StringType())
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: t if t is None else set_front(t, updates, drop))
@@ -123,6 +127,13 @@ def move(notes: DataFrame, old: str, new: str) -> DataFrame:
     return rows.withColumn("raw", rewrite_links("raw", name(old), name(new))) if name(old) != name(new) else rows
 
 
+def replace_body(column: str, body: str, updates: dict | None = None) -> Column:
+    """A new body under the metadata there is, which may be updated."""
+    front = F.regexp_extract(column, FRONT.replace("(?s)^", "(?s)^(").replace("(.*?)", ".*?") + ")", 1)
+    text = F.concat(front, F.lit(body))
+    return front_column(text, updates) if updates else text
+
+
 def create(notes: DataFrame, path: str, raw: str, vault: str) -> DataFrame:
     """Notes with one more; an existing path is a conflict."""
     if notes.where((F.col("vault") == vault) & (F.col("path") == path)).limit(1).count():

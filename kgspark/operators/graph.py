@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Callable
+from dataclasses import asdict
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kgspark.operators.annotate import digest
 from kgspark.operators.predicates import Condition, all_of, any_of
-from kgspark.session import stage
+from kgspark.session import known_path, stage
 
 DAMPING, ROUNDS, TOLERANCE = 0.85, 20, 1e-7
 SMALL = 25
@@ -123,6 +129,22 @@ def signals(notes: DataFrame, edges: DataFrame, where: list[Condition] | None =
     return rows.join(out.withColumn("excluded", F.lit(True)), ["vault", "node"], "left").fillna(False, ["excluded"])
 
 
+def kept_signals(notes: DataFrame, edges: Callable[[], DataFrame], root: str, where: list[Condition] | None = None) -> DataFrame:
+    """``signals``, kept in ``root`` under the digest of all notes and of the exclusion: worked out once for the same notes.
+
+    ``edges`` is only called where nothing is kept yet. The folder is written last, as a whole.
+    """
+    sums = digest(notes, ["vault"]).orderBy("vault").collect()  # a row a vault
+    rules = "default" if where is None else json.dumps([asdict(c) for c in where], default=str, sort_keys=True)
+    name = hashlib.sha256(json.dumps([[r["vault"], r["files"], r["digest"]] for r in sums] + [rules]).encode()).hexdigest()[:32]
+    spark, path = notes.sparkSession, f"{root.rstrip('/')}/signals-{name}"
+    done = known_path(lambda: spark.read.parquet(path))
+    if done is None:
+        signals(notes, edges(), where).write.mode("overwrite").parquet(path)
+        done = spark.read.parquet(path)
+    return done
+
+
 def histogram(banded: DataFrame, out: DataFrame | None = None) -> DataFrame:
     """(vault, level, n) with all six levels, zero where none; with ``out`` (vault, node) also level null, the excluded."""
     if out is not None:

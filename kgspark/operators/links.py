@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgspark.functions.links import unresolved_key, wikilinks
+from kgspark.functions.links import context, line_of, unresolved_key, wikilinks
 from kgspark.functions.notes import with_path_parts
 
 def resolve(links: DataFrame, notes: DataFrame, target: str = "link_path") -> DataFrame:
@@ -60,7 +60,19 @@ def unresolved_rollup(links: DataFrame) -> DataFrame:
 
 
 def backlinks(notes: DataFrame, path: str) -> DataFrame:
-    """(vault, path, links) of notes that point at ``path`` by text: name or path, with or without .md, or as the last part.
+    """(vault, path, links) of notes that point at ``path``, as of ``backlink_places``."""
+    return backlink_hits(notes, path).groupBy("vault", "path").agg(F.count("*").alias("links"))
+
+
+def backlink_places(notes: DataFrame, path: str) -> DataFrame:
+    """(vault, path, links, line_no, context): backlinks with the first of each note, its line and the text around it."""
+    first = backlink_hits(notes, path).groupBy("vault", "path").agg(F.count("*").alias("links"), F.min_by("match", "ord").alias("match"))
+    rows = first.join(notes.select("vault", "path", "raw"), ["vault", "path"])
+    return rows.select("vault", "path", "links", line_of(F.col("raw"), F.col("match")).alias("line_no"), context(F.col("raw"), F.col("match")).alias("context"))
+
+
+def backlink_hits(notes: DataFrame, path: str) -> DataFrame:
+    """Links of other notes that point at ``path`` by text: name or path, with or without .md, or as the last part.
 
     The compared target keeps its subpath, so a link to a heading doesn't count; case doesn't matter.
     """
@@ -69,7 +81,7 @@ def backlinks(notes: DataFrame, path: str) -> DataFrame:
     name = bare.rsplit("/", 1)[-1]
     t = F.lower("target")
     hit = t.isin(low, bare, name, f"{name}.md") | t.endswith(f"/{name}")
-    return wikilinks(notes, "raw").where(hit & (F.col("path") != path)).groupBy("vault", "path").agg(F.count("*").alias("links"))
+    return wikilinks(notes, "raw").where(hit & (F.col("path") != path))
 
 
 #: Longer names, in code points or in runs of letters and digits, are neither compared nor looked up.

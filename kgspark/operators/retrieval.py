@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kgspark.session import stage
+
 RRF_K = 60
 
 
@@ -36,6 +41,91 @@ def vector_search(vectors: DataFrame, query: Sequence[float], key: str = "vec_id
     return rows.limit(limit) if limit else rows
 
 
+def search_many(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", column: str = "embedding", limit: int = 10, block: int = 2048) -> DataFrame:
+    """(query, key, similarity): the ``limit`` nearest vectors of each of ``queries`` (a subset of rows), itself not among them.
+
+    Queries go to the tasks in blocks of about ``block``, each block a scan of all vectors: products of small matrices,
+    of which a task hands on the best of each query. Similarities count to nine places; ties by key. Vectors of another
+    length or with bad numbers are neither queries nor found.
+    """
+    kind = dict(vectors.dtypes)[key]
+    rows = vectors.where(valid_vector(column)).select(key, column)
+    asked = queries.where(valid_vector(column)).select(key, column)
+    parts = max(1, -(-asked.count() // block))
+    spark, found = vectors.sparkSession, []
+    for part in range(parts):
+        own = asked.where(F.pmod(F.xxhash64(F.lit(3), key), F.lit(parts)) == part).orderBy(key).collect()  # about ``block`` rows
+        by_size: dict[int, tuple[list, np.ndarray]] = {}
+        for size in sorted({len(r[column]) for r in own}):
+            some = [r for r in own if len(r[column]) == size]
+            by_size[size] = ([r[key] for r in some], unit(np.array([r[column] for r in some], dtype=np.float64)))
+        shared = spark.sparkContext.broadcast(by_size)
+
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            for b in batches:
+                ids, lists = np.asarray(b.column(0)), b.column(1)
+                sizes = np.diff(np.asarray(lists.offsets))
+                flat = np.asarray(lists.flatten(), dtype=np.float64)
+                start = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+                for size, (names, matrix) in shared.value.items():
+                    at = np.flatnonzero(sizes == size)
+                    for lo in range(0, len(at), 1024):
+                        k = at[lo : lo + 1024]
+                        near = np.round(matrix @ unit(flat[start[k][:, None] + np.arange(size)]).T, 9)
+                        near[np.array(names)[:, None] == ids[k][None, :]] = -2.0  # itself
+                        old = best.get(size, (np.zeros((len(names), 0), ids.dtype), np.zeros((len(names), 0))))
+                        all_ids = np.concatenate([old[0], np.broadcast_to(ids[k], near.shape)], axis=1)
+                        all_near = np.concatenate([old[1], near], axis=1)
+                        order = np.lexsort((all_ids, -all_near), axis=1)[:, :limit]
+                        best[size] = np.take_along_axis(all_ids, order, 1), np.take_along_axis(all_near, order, 1)
+            for size, (ids, near) in best.items():
+                names = np.repeat(np.array(shared.value[size][0]), ids.shape[1])
+                real = near.ravel() > -2.0
+                yield pa.RecordBatch.from_arrays([pa.array(names[real]), pa.array(ids.ravel()[real]), pa.array(near.ravel()[real])], ["query", key, "similarity"])
+
+        hits = rows.mapInArrow(scan, f"query {kind}, {key} {kind}, similarity double")
+        order = Window.partitionBy("query").orderBy(F.desc("similarity"), key)
+        top = hits.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= limit).drop("_r")
+        found.append(stage(top, "search-many") if parts > 1 else top)
+    return reduce(DataFrame.unionByName, found)
+
+
+def unit(rows: np.ndarray) -> np.ndarray:
+    """Rows of length one; zero rows stay zero."""
+    length = np.sqrt((rows * rows).sum(1, keepdims=True))
+    return rows / np.where(length > 0, length, 1.0)
+
+
+def expand(query: str, expander: Callable[[str], Sequence[str]] | None = None, most: int = 2) -> list[str]:
+    """The query and up to ``most`` other wordings of more than 3 and less than 200 characters; a failing service adds none."""
+    try:
+        lines = [x.strip() for x in (expander(query) if expander else ())]
+    except Exception:  # a failing service never fails the search
+        lines = []
+    return [query, *[x for x in lines if 3 < len(x) < 200][:most]]
+
+
+def texts_of(query: str, expander: Callable[[str], Sequence[str]] | None = None, hypothesis: str | None = None) -> tuple[list[str], list[str]]:
+    """(texts to embed, texts to search by keyword): a hypothetical answer is embedded only, the query's variants are both."""
+    variants = expand(query, expander)
+    return [*variants, *([hypothesis] if hypothesis and hypothesis.strip() else [])], variants
+
+
+def hybrid(vectors: DataFrame, keywords: Callable[[str, int], DataFrame], embed: Callable[[str], Sequence[float]], query: str, key: str = "vec_id", limit: int = 10, least: float = 0.5,
+           expander: Callable[[str], Sequence[str]] | None = None, hypothesis: str | None = None) -> DataFrame:
+    """(key, fusion, vector_rank, keyword_rank): fused search over all variants of a query.
+
+    Each text brings up to twice ``limit`` candidates; over the variants of one signal a key's best score counts, and
+    the two signals are fused by rank. ``least`` cuts vectors only.
+    """
+    to_embed, to_find = texts_of(query, expander, hypothesis)
+    near = [vector_search(vectors, list(embed(t)), key, least=least, limit=2 * limit).select(key, F.round("similarity", 9).alias("similarity")) for t in to_embed]
+    said = [keywords(t, 2 * limit).select(key, "score") for t in to_find]
+    signals = {"vector": ranked(reduce(DataFrame.unionByName, near), "similarity", key), "keyword": ranked(reduce(DataFrame.unionByName, said), "score", key)}
+    return fuse(signals, key).orderBy(F.desc("fusion"), key).limit(limit)
+
+
 def similar(vectors: DataFrame, to: int, key: str = "vec_id", column: str = "embedding", limit: int = 5) -> DataFrame:
     """Nearest others to a stored vector."""
     row = vectors.where((F.col(key) == to) & valid_vector(column)).select(column).first()

@@ -6,7 +6,7 @@ import importlib
 
 from kgspark.plans import registry
 
-MODULES = ("links", "graph", "health", "metadata", "search", "retrieval", "index", "crossvault", "edits", "streams", "extras")
+MODULES = ("links", "graph", "health", "metadata", "search", "retrieval", "index", "crossvault", "edits", "streams", "extras", "flows")
 
 
 def _load() -> None:

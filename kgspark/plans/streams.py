@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from kgspark.operators.index import SnapshotStore
+from kgspark.operators.index import ChangeLog
 from kgspark.plans.registry import query
 from kgspark.session import shared_dir
 from kgspark.streaming import windows as ops
@@ -79,6 +79,6 @@ def _keep(batch):
 @query("stream_index", f"SELECT key, seq, kind FROM ({_NEWEST}) WHERE kind <> 'error'")
 def stream_index(spark, d):
     """The index kept by the change stream: an ``error`` event stands for a delete."""
-    store = SnapshotStore(spark, f"{shared_dir(spark)}/stream-index-{uuid.uuid4().hex}")
-    ops.drain_batches(ops.latest_changes(_events(spark, d), "user_id"), "index", ops.apply_changes(store, "error"), "update")
-    return store.read().select("key", "seq", "kind")
+    log = ChangeLog(spark, f"{shared_dir(spark)}/stream-index-{uuid.uuid4().hex}", "key", "seq")
+    ops.drain_batches(ops.latest_changes(_events(spark, d), "user_id"), "index", ops.apply_changes(log), "update")
+    return log.rows().where("kind <> 'error'").select("key", "seq", "kind")

@@ -5,21 +5,60 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kgspark.operators.annotate import Completeness
+
 MAX_BYTES = 50 * 1024 * 1024
 
 
+def _files(spark: SparkSession, root: str, glob: str, tolerant: bool = False) -> DataFrame:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+    files = files.option("ignoreCorruptFiles", tolerant).option("ignoreMissingFiles", tolerant).load(root)
+    base = root.rstrip("/").split("://")[-1]
+    path = F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), rf"^.*?{_quote(base)}/", "")
+    return files.withColumn("path", path).where(~F.col("path").rlike(r"(^|/)\."))
+
+
 def read_markdown(spark: SparkSession, root: str, vault: str, max_bytes: int = MAX_BYTES) -> DataFrame:
     """All ``.md`` files under ``root`` whose path has no dot-led part, none above ``max_bytes``.
 
-    The size filter reaches the scan, so oversized files are never read.
+    The size filter reaches the scan, so oversized files are never read. A file that can't be read fails the scan.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(root)
-    base = root.rstrip("/").split("://")[-1]
-    path = F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), rf"^.*?{_quote(base)}/", "")
-    rows = files.where(F.col("length") <= max_bytes).select(
-        F.lit(vault).alias("vault"), path.alias("path"), F.decode("content", "UTF-8").alias("raw"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size")
-    )
-    return rows.where(~F.col("path").rlike(r"(^|/)\."))
+    rows = _files(spark, root, "*.md").where(F.col("length") <= max_bytes)
+    return rows.select(F.lit(vault).alias("vault"), "path", F.decode("content", "UTF-8").alias("raw"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
+
+
+def scan_markdown(spark: SparkSession, root: str, vault: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """As ``read_markdown``, but a file that can't be read, or is too large, stays as a row without text and says why.
+
+    (vault, path, raw, mtime, size, skipped): the listing, beside what could be read of it. ``scan_report`` sums it up.
+    """
+    listed = _files(spark, root, "*.md").select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
+    texts = _files(spark, root, "*.md", tolerant=True).where(F.col("length") <= max_bytes).select("path", F.decode("content", "UTF-8").alias("raw"))
+    skipped = F.when(F.col("size") > max_bytes, "too_large").when(F.col("raw").isNull(), "unreadable")
+    return listed.join(texts, "path", "left").select(F.lit(vault).alias("vault"), "path", "raw", "mtime", "size", skipped.alias("skipped"))
+
+
+def scan_report(scanned: DataFrame) -> Completeness:
+    """Exact if all could be read, else partial with the reasons."""
+    rows = scanned.groupBy("skipped").agg(F.count("*").alias("n")).collect()  # a row a reason
+    bad = {r["skipped"]: r["n"] for r in rows if r["skipped"]}
+    good = sum(r["n"] for r in rows if not r["skipped"])
+    return Completeness.partial(good, sum(bad.values()), sorted(bad)) if bad else Completeness.exact(good, good)
+
+
+def list_bases(spark: SparkSession, root: str) -> DataFrame:
+    """(path) of the ``.base`` files of a tree; their contents aren't read."""
+    return _files(spark, root, "*.base").select("path")
+
+
+def file_info(notes: DataFrame) -> DataFrame:
+    """(vault, path, name, extension, size, modified in milliseconds) of each note."""
+    file = F.element_at(F.split("path", "/"), -1)
+    name = F.regexp_replace(file, r"\.[^.]*$", "")
+    return notes.select(
+        "vault", "path", name.alias("name"), F.regexp_extract(file, r"\.([^.]*)$", 1).alias("extension"),
+        F.octet_length("raw").cast("long").alias("size"), F.unix_millis(F.col("mtime").cast("timestamp")).alias("modified"),
+    )
 
 
 def _quote(text: str) -> str:

@@ -88,14 +88,10 @@ def with_retries(step: Callable[[], None], retryable: Callable[[Exception], bool
             sleep(wait)
 
 
-def apply_changes(store, deletes: str = "delete", key: str = "key") -> Callable[[DataFrame, int], None]:
-    """A foreachBatch step that keeps ``store`` (a SnapshotStore) at the newest state: deletes leave first, then upserts enter."""
+def apply_changes(log) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch step that keeps ``log`` (a ChangeLog): a batch adds its own rows under its id, and a replay repeats itself."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        from kgspark.operators.index import merge
-
-        old, gone = store.read(), batch.where(F.col("kind") == deletes)
-        fresh = batch.where(F.col("kind") != deletes).select(key, "seq", "kind")
-        store.publish(fresh if old is None else merge(old, fresh, gone, key))
+        log.append(batch, batch_id)
 
     return each
