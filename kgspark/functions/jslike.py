@@ -72,7 +72,8 @@ def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None else unicodedata.normalize("NFC", x))
 
 
-def nfc(c: Column) -> Column:
+def nfc(c: str | Column) -> Column:
     """Composed form; only texts beyond ASCII leave the JVM."""
+    c = F.col(c) if isinstance(c, str) else c
     other = c.rlike(r"[^\x00-\x7F]")
     return F.when(other, _nfc(F.when(other, c))).otherwise(c)

@@ -31,8 +31,9 @@ def scan_markdown(spark: SparkSession, root: str, vault: str, max_bytes: int = M
     """As ``read_markdown``, but a file that can't be read, or is too large, stays as a row without text and says why.
 
     (vault, path, raw, mtime, size, skipped): the listing, beside what could be read of it. ``scan_report`` sums it up.
+    A file that is gone by the time it is listed isn't there.
     """
-    listed = _files(spark, root, "*.md").select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
+    listed = _files(spark, root, "*.md", tolerant=True).select("path", F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
     texts = _files(spark, root, "*.md", tolerant=True).where(F.col("length") <= max_bytes).select("path", F.decode("content", "UTF-8").alias("raw"))
     skipped = F.when(F.col("size") > max_bytes, "too_large").when(F.col("raw").isNull(), "unreadable")
     return listed.join(texts, "path", "left").select(F.lit(vault).alias("vault"), "path", "raw", "mtime", "size", skipped.alias("skipped"))
