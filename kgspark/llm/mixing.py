@@ -134,11 +134,23 @@ def mix_plan(targets: DataFrame, n_seats: int, mix_shards: int, seed: int) -> tu
     taken = taken.select(F.col("source").alias("_s"), "mix_shard", (F.col("seat") % F.col("n_blocks") + 1).alias("_lot"))
     lots = own.join(taken.select(F.col("_s")).distinct(), own["source"].eqNullSafe(F.col("_s")), "left_semi")
     lots = lots.select("source", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("block"))
-    lots = lots.withColumn("lot", F.row_number().over(Window.partitionBy("source").orderBy(F.xxhash64(F.lit(seed), "source", "block"), "block")).cast("long"))
+    lots = lots.withColumn("_h", F.xxhash64(F.lit(seed), "source", "block")).withColumn("_part", F.shiftright("_h", 56))
+    lots = with_sum_before(lots.withColumn("_one", F.lit(1).cast("long")), "_part", "_one")
+    within = Window.partitionBy("source", "_part").orderBy("_h", "block")
+    lots = lots.select("source", "block", (F.row_number().over(within) + F.col("_before")).alias("lot"))
     chosen = lots.join(taken, lots["source"].eqNullSafe(taken["_s"]) & (lots["lot"] == taken["_lot"])).select("source", "mix_shard", "block")
     return blocks, stage(chosen, "mix-chosen")
 
 
+def with_sum_before(rows: DataFrame, part: str, value: str) -> DataFrame:
+    """Add ``_before``, the sum of ``value`` over the source's rows in lower parts. A source has at most some 256 parts,
+    so a running sum over a source is one over its parts and one within each: no task numbers a hot source's blocks."""
+    sums = rows.groupBy(F.col("source").alias("_s"), F.col(part).alias("_p")).agg(F.sum(value).alias("_v"))
+    line = Window.partitionBy("_s").orderBy("_p")
+    sums = sums.select("_s", "_p", (F.sum("_v").over(line) - F.col("_v")).alias("_before"))
+    return rows.join(sums, rows["source"].eqNullSafe(sums["_s"]) & (rows[part] == sums["_p"])).drop("_s", "_p")
+
+
 def words_ahead(blocks: DataFrame, chosen: DataFrame) -> DataFrame:
     """(source, k, sum): words of the chosen blocks ahead of block k, repeats counted; k = n_blocks gives all of them."""
     times = chosen.groupBy(F.col("source").alias("_s"), F.col("block").alias("_k")).agg(F.count("*").alias("times"))
@@ -146,8 +158,10 @@ def words_ahead(blocks: DataFrame, chosen: DataFrame) -> DataFrame:
     line = line.join(times, line["source"].eqNullSafe(times["_s"]) & (line["k"] == times["_k"]), "left")
     edge = lambda k: F.floor(k * F.col("source_size") / F.col("n_blocks"))
     line = line.withColumn("words", F.coalesce("times", F.lit(0)) * (edge(F.col("k") + 1) - edge(F.col("k"))))
-    ordered = Window.partitionBy("source").orderBy("k")
-    return line.select("source", "k", F.coalesce("times", F.lit(0)).alias("times"), (F.sum("words").over(ordered) - F.col("words")).alias("sum"))
+    line = line.select("source", "k", F.coalesce("times", F.lit(0)).alias("times"), "words", F.floor(F.col("k") / F.ceil((F.col("n_blocks") + 1) / 256)).alias("_part"))
+    within = Window.partitionBy("source", "_part").orderBy("k")
+    line = with_sum_before(line, "_part", "words")
+    return line.select("source", "k", "times", (F.col("_before") + F.sum("words").over(within) - F.col("words")).alias("sum"))
 
 
 def block_of(x) -> tuple:
