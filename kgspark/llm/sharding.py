@@ -8,7 +8,10 @@ may hold, so it works on cells (ranges of the hash order) and opens only cells t
 * letting cells be cut anywhere gives a capacity below which nothing works,
 * each round splits the cells that keep the two apart, until they meet.
 
-At most ``CELLS`` cells are ever summed for the driver in one round.
+The driver holds cells, not groups. When cells are the pieces, the two capacities differ by about the largest cell, so
+the j-th cut lies in a window of some 2j cells: a round opens at most about shards^2 of them (fewer than exist in the
+first round, ``2 ** TOP_BITS``) and sums ``2 ** STEP_BITS`` as many, whatever the number of groups. Meant for up to some
+hundreds of shards.
 """
 
 from __future__ import annotations
@@ -180,12 +183,12 @@ def minimax_shards(rows: DataFrame, shards: int) -> DataFrame:
     base = stage(rows, "shard-rows")
     groups = stage(base.groupBy("gkey").agg(F.sum("size").alias("size"), F.count("*").alias("n")), "shard-groups")
     _, starts = capacity_and_cuts(groups, shards)
-    n_rows = groups.agg(F.sum("n")).first()[0] or 0
     shard = F.lit(0)
     for s in starts:  # at most shards - 1 comparisons
         if s is not None:
             shard = shard + (F.col("gkey") >= F.lit(s)).cast("int")
-    placed = base.withColumn("shard", shard.cast("int")).withColumn("_salt", hash_salt(salts_for(n_rows // max(1, shards)), "doc_id"))
+    most = groups.groupBy(shard.alias("s")).agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] or 0  # rows of the fullest shard
+    placed = base.withColumn("shard", shard.cast("int")).withColumn("_salt", hash_salt(salts_for(most), "doc_id", "gkey"))
     sums = placed.groupBy("shard", "_salt").agg(F.count("*").alias("_n"))
     before = sums.select("shard", "_salt", F.expr("sum(_n) over (partition by shard order by _salt) - _n").alias("_before"))
     # at most shards x salts rows
