@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType
 
 from kgspark.functions.jslike import WS, elements, field, is_array, js_string, trim
 
+#: Fixed value: the form of a metadata block.
 FRONT = r"(?s)^---[ \t]*\r?\n(.*?)(?:\r?\n)?---[ \t]*(?:\r?\n|$)"
 
 
