@@ -88,7 +88,7 @@ def test_dedup_finds_all_similar_texts(spark):
     docs = spark.createDataFrame([(i if i % 7 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
     hashes = {r["text"]: r["h"] for r in docs.select("text", F.xxhash64(F.lit(31), "text").alias("h")).collect()}
     group = brute_groups(texts)
-    for heavy in (1 << 14, 25):  # whole buckets, and buckets cut into parts
+    for heavy in (1 << 13, 25):  # whole buckets, and buckets cut into parts
         _, roots = similar_texts(docs, heavy=heavy)
         root = {r["node"]: r["root"] for r in roots.collect()}
         got, want = {}, {}
