@@ -134,6 +134,15 @@ def similar(vectors: DataFrame, to: int, key: str = "vec_id", column: str = "emb
     return vector_search(vectors, list(row[0]), key, column, 0.0, limit + 1).where(F.col(key) != to).limit(limit)
 
 
+def similar_files(stored: DataFrame, file: object, key: str = "path", chunk: str = "block_id", column: str = "embedding", limit: int = 5, least: float = 0.0) -> DataFrame:
+    """(key, similarity): the files whose best chunk is nearest to a file, by the first of its chunks that has a vector."""
+    row = stored.where((F.col(key) == file) & valid_vector(column)).orderBy(chunk).select(column).limit(1).collect()
+    if not row:
+        return stored.select(key, F.lit(0.0).alias("similarity")).limit(0)
+    near = vector_search(stored.where(F.col(key) != file), list(row[0][column]), chunk, column, least, None, (key,))
+    return near.groupBy(key).agg(F.max("similarity").alias("similarity")).orderBy(F.desc("similarity"), key).limit(limit)
+
+
 def ranked(df: DataFrame, score: str, key: str) -> DataFrame:
     """(key, rank) from 1, best first; a key's first occurrence counts, ties by key. For result lists, which are short."""
     best = df.groupBy(key).agg(F.max(score).alias("_s"))

@@ -106,6 +106,13 @@ def vector_topk_many(spark, d):
     return found.select("query", "vec_id", (F.floor(F.col("similarity") * 1e4 + 0.5) / 1e4).alias("similarity"))
 
 
+@query("similar_files", f"SELECT e.label, {mil(f'max({_COS})')} AS similarity FROM embeddings e CROSS JOIN (SELECT embedding FROM embeddings WHERE label = 3 ORDER BY vec_id LIMIT 1) q WHERE e.label <> 3 AND {_COS} >= 0 GROUP BY 1 ORDER BY max({_COS}) DESC, label LIMIT 5")
+def similar_files(spark, d):
+    """A file (here: a label) stands for its lowest chunk; others for their nearest one."""
+    found = retrieval.similar_files(table(spark, d, "embeddings"), 3, "label", "vec_id")
+    return found.select("label", _SIX("similarity").alias("similarity"))
+
+
 def _near(probe: int) -> str:
     return f"(SELECT e.vec_id, {_COS} AS similarity FROM embeddings e CROSS JOIN (SELECT embedding FROM embeddings WHERE vec_id = {probe}) q WHERE {_COS} >= 0.1 ORDER BY similarity DESC, e.vec_id LIMIT 20)"
 
