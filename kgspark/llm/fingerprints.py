@@ -39,8 +39,8 @@ def weight(chars: Column) -> Column:
     return F.when(chars < 8, 1).when(chars < 12, 2).when(chars < 16, 3).otherwise(4).cast("long")
 
 
-def place(docs: DataFrame, rows_per_bucket: int, most_buckets: int, ranges: int) -> tuple[Column, DataFrame]:
-    """(a column that gives a row's bucket, the table of buckets): buckets follow the order (doc_id, text hash), null ids first.
+def place(docs: DataFrame, rows_per_bucket: int, most_buckets: int, ranges: int) -> tuple[DataFrame, DataFrame]:
+    """(docs with ``bucket`` and ``key``, the table of buckets): buckets follow the order (doc_id, text hash), null ids first.
 
     About ``ranges`` cuts come from a bounded sample of ids, chosen by hash. An id with more rows than such a range
     should have (there are at most ``ranges`` of those) is a range of its own. A range is divided evenly by id, such an
@@ -64,7 +64,8 @@ def place(docs: DataFrame, rows_per_bucket: int, most_buckets: int, ranges: int)
     inner = F.array(*[among(cuts[i * side : i * side + side - 1]) for i in range(len(outer) + 1)])
     # range 0 has the null ids
     range_ = F.when(F.col("doc_id").isNull(), 0).otherwise(top * side + below(F.element_at(inner, top + 1)) + 1)
-    counts = {r["r"]: r["n"] for r in ids.groupBy(range_.alias("r")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["r"]: r["n"] for r in ids.select(range_.alias("r")).groupBy("r").agg(F.count(F.lit(1)).alias("n")).collect()}
+    docs = docs.withColumn("_r", range_.cast("int"))
     edges = [low or 0, *cuts, (high or 0) + 1]
     per = max(rows_per_bucket, -(-n // most_buckets))
     size, offset, first, width, hashed = [], [], [], [], []
@@ -75,17 +76,18 @@ def place(docs: DataFrame, rows_per_bucket: int, most_buckets: int, ranges: int)
         first.append(lo)
         width.append(max(1.0, float(hi - lo)))
         hashed.append(r == 0 or lo in own)
-    of = lambda xs, kind: F.element_at(F.array(*[F.lit(x) for x in xs]).cast(f"array<{kind}>"), range_ + 1)
+    of = lambda xs, kind: F.element_at(F.array(*[F.lit(x) for x in xs]).cast(f"array<{kind}>"), F.col("_r") + 1)
     by_id = (F.col("doc_id") - of(first, "double")) / of(width, "double")
     by_hash = (F.shiftright(F.xxhash64("text"), 32) + F.lit(1 << 31)) / F.lit(float(1 << 32))
     share = F.when(of(hashed, "boolean"), by_hash).otherwise(F.coalesce(by_id, F.lit(0.0))) if any(hashed[1:]) or counts.get(0, 0) > per else F.coalesce(by_id, F.lit(0.0))
     parts = of(size, "long")
     bucket = of(offset, "long") + F.least(F.greatest(F.floor(share * parts), F.lit(0)), parts - 1)
     key = F.when(of(hashed, "boolean"), F.xxhash64("text") if any(hashed[1:]) or counts.get(0, 0) > per else F.lit(0).cast("long")).otherwise(F.col("doc_id"))
-    firsts = docs.select(bucket.alias("bucket"), key.alias("first")).groupBy("bucket").agg(F.min("first").alias("first"))
+    placed = docs.withColumns({"bucket": bucket, "key": key}).drop("_r")
+    firsts = placed.groupBy("bucket").agg(F.min("key").alias("first"))
     firsts = firsts.withColumn("before", F.lag("bucket").over(Window.orderBy("bucket")))
     firsts = firsts.withColumn("before", F.coalesce("before", F.max("bucket").over(Window.partitionBy(F.lit(1)))))
-    return F.struct(bucket.alias("bucket"), key.alias("key")), firsts
+    return placed, firsts
 
 
 def with_next(docs: DataFrame, rows_per_bucket: int = 2000, most_buckets: int = 1 << 20, ranges: int = 1024) -> DataFrame:
@@ -95,9 +97,8 @@ def with_next(docs: DataFrame, rows_per_bucket: int = 2000, most_buckets: int =
     ``ghost``, so that no row needs a neighbour elsewhere. The last document's next is the first.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    at, firsts = place(docs, rows_per_bucket, most_buckets, ranges)
+    rows, firsts = place(docs, rows_per_bucket, most_buckets, ranges)
     firsts = stage(firsts, "fingerprint-buckets")
-    rows = docs.withColumn("_at", at).select("doc_id", "text", "_at.*")
     rows = rows.join(F.broadcast(firsts.withColumnRenamed("bucket", "_b")), (F.col("bucket") == F.col("_b")) & (F.col("key") == F.col("first")), "left")
     copies = F.when(F.col("before").isNull(), F.array(F.struct("bucket", F.lit(False).alias("ghost"))))
     copies = copies.otherwise(F.array(F.struct("bucket", F.lit(False).alias("ghost")), F.struct(F.col("before").alias("bucket"), F.lit(True).alias("ghost"))))
