@@ -23,7 +23,7 @@ WORD_BITS, CHAR_BITS = 14, 15
 WORD_DIM, CHAR_DIM = 6, 6
 ORDERS = (3, 4, 5)
 HIDDEN, ATTEND = 8, 8
-WINDOW, STRIDE = 24, 12  # a phrase of up to 13 words lies whole in some window
+WINDOW, STRIDE = 24, 16  # a phrase of up to 9 words lies whole in some window
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
