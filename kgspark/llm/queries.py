@@ -16,6 +16,7 @@ MODULES = {
     "op8_fingerprints": "fingerprints",
     "op9_packing": "packing",
     "op10_quality_rules": "quality_rules",
+    "op11_jaccard_join": "jaccard_join",
 }
 
 
