@@ -17,6 +17,7 @@ MODULES = {
     "op9_packing": "packing",
     "op10_quality_rules": "quality_rules",
     "op11_jaccard_join": "jaccard_join",
+    "op12_periodic_runs": "runs",
 }
 
 
