@@ -28,7 +28,7 @@ from kgspark.llm.near_texts import mixed, shingles
 SIZE, PERCENT = 5, 80
 CELL_BITS, SLICES = 20, 64  # of the sketch: fixed, whatever the input
 FOLDS = (1, 2, 4, 8, 16, 32, 64)
-ROW_COST, VERIFY_COST = 1.0, 0.05  # of a row of a list, and of a shingle that is verified
+ROW_COST, VERIFY_COST = 1.0, 1.0  # of a row of a list (18 bytes moved), and of a shingle that is verified (8 bytes, moved twice)
 BLOCK = 1 << 22
 SLACK = 1e-9  # distances are compared a little too widely, links by whole numbers
 
@@ -213,6 +213,11 @@ def distance() -> Column:
     return 1 - F.col("common") / F.col("union")
 
 
+def sizes_fit(percent: int, least_a: str, most_a: str, least_b: str, most_b: str) -> Column:
+    """Whether sets of such sizes can link at all."""
+    return (F.col(most_a) * 100 >= F.col(least_b) * percent) & (F.col(most_b) * 100 >= F.col(least_a) * percent)
+
+
 def needed(percent: int, na: str, nb: str, rest_a: str, rest_b: str) -> Column:
     """Shingles that two prefixes must share."""
     return F.greatest(F.lit(1).cast("long"), overlap(F.col(na), F.col(nb), percent) - F.greatest(rest_a, rest_b))
@@ -228,7 +233,8 @@ def stars(docs: DataFrame, owners: DataFrame, shared: DataFrame, nodes: DataFram
     for _ in range(rounds):
         lists = open_.groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last").drop("last")
         pairs = open_.join(lists, "token").where("node <> leader").groupBy(F.col("node").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("c"))
-        pairs = pairs.join(side("a", "n", "rest"), "a").join(side("b", "n", "rest"), "b").where(F.col("c") >= needed(percent, "n_a", "n_b", "rest_a", "rest_b"))
+        pairs = pairs.join(side("a", "n", "rest"), "a").join(side("b", "n", "rest"), "b").where(sizes_fit(percent, "n_a", "n_a", "n_b", "n_b"))
+        pairs = pairs.where(F.col("c") >= needed(percent, "n_a", "n_b", "rest_a", "rest_b"))
         best = stage(pairs.groupBy("a").agg(F.max_by("b", F.struct("c", -F.col("b"))).alias("b")), "join-leaders")
         if not best.limit(1).count():
             break
@@ -265,8 +271,8 @@ def links(docs: DataFrame, owners: DataFrame, size: int, percent: int, cells: np
     met = met.groupBy("a", "b").agg(F.count("*").alias("c"))
     for c in "ab":
         met = met.join(centres.select(F.col("centre").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("least", "most", "rest", "r", "part")]), c)
-    able = (F.col("most_a") * 100 >= F.col("least_b") * percent) & (F.col("most_b") * 100 >= F.col("least_a") * percent)
-    met = met.where(F.col("part_a") != F.col("part_b")).where(able & (F.col("c") >= needed(percent, "least_a", "least_b", "rest_a", "rest_b")))
+    met = met.where(F.col("part_a") != F.col("part_b")).where(sizes_fit(percent, "least_a", "most_a", "least_b", "most_b"))
+    met = met.where(F.col("c") >= needed(percent, "least_a", "least_b", "rest_a", "rest_b"))
     met = stage(met.select("a", "b", "r_a", "r_b"), "join-met")
     if not met.limit(1).count():
         return found
