@@ -18,6 +18,7 @@ MODULES = {
     "op10_quality_rules": "quality_rules",
     "op11_jaccard_join": "jaccard_join",
     "op12_periodic_runs": "runs",
+    "op13_merkle_manifest": "merkle",
 }
 
 
