@@ -175,3 +175,29 @@ def manifest(docs: DataFrame) -> DataFrame:
 
 def op13_merkle_manifest(spark, sf_dir: str) -> DataFrame:
     return manifest(read_table(spark, sf_dir, "documents"))
+
+
+_F = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || {0} END"
+_HEAD = " || ".join(_F.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+_LEAF = lambda t: f"sha256({_HEAD} || {_F.format(t)})"
+#: crc32 of the id before its last inversion, a bit at a time.
+_CRC = "list_reduce(list_concat([4294967295::BIGINT], flatten([[ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0] FOR c IN string_split(CAST(doc_id AS VARCHAR), '')])), lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1)))"
+#: Levels by recursion, siblings by joins on the level.
+SQL = f"""WITH RECURSIVE docs AS (SELECT *, xor({_CRC}, 1) & 1 = 0 AS hit, replace(text, chr(10), '') AS cut FROM documents),
+leaves AS (SELECT doc_id, source, {_LEAF('text')} AS leaf, CASE WHEN hit THEN {_LEAF('cut')} ELSE {_LEAF('text')} END AS other FROM docs),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, leaf) - 1 AS i, count(*) OVER (PARTITION BY source) AS n, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS p FROM leaves),
+up AS (SELECT p, 0 AS h, i, leaf AS d, n FROM placed
+  UNION ALL SELECT p, h + 1, i // 3, sha256(string_agg(d, '' ORDER BY i)), (max(n) + 2) // 3 FROM up WHERE n > 1 GROUP BY p, h, i // 3),
+subroots AS (SELECT p, h, d FROM up WHERE n = 1),
+top AS (SELECT 0 AS h, p AS i, d, (SELECT count(*) FROM subroots) AS n FROM subroots
+  UNION ALL SELECT h + 1, i // 3, sha256(string_agg(d, '' ORDER BY i)), (max(n) + 2) // 3 FROM top WHERE n > 1 GROUP BY h, i // 3),
+nodes AS (SELECT p, h, i, d FROM up WHERE n > 1 UNION ALL SELECT s.p, s.h + t.h, t.i, t.d FROM subroots s, top t WHERE t.n > 1),
+spot AS (SELECT doc_id, x.p, nodes_h.h, CASE WHEN nodes_h.h < s.h THEN x.i // CAST(power(3, nodes_h.h) AS BIGINT) ELSE x.p // CAST(power(3, nodes_h.h - s.h) AS BIGINT) END AS i
+  FROM placed x JOIN subroots s ON s.p = x.p JOIN (SELECT DISTINCT p, h FROM nodes) nodes_h ON nodes_h.p = x.p),
+sides AS (SELECT spot.doc_id, spot.p, spot.h, coalesce(string_agg(n.d, '' ORDER BY n.i) FILTER (WHERE n.i < spot.i), '') AS l, coalesce(string_agg(n.d, '' ORDER BY n.i) FILTER (WHERE n.i > spot.i), '') AS r
+  FROM spot JOIN nodes n ON n.p = spot.p AND n.h = spot.h AND n.i // 3 = spot.i // 3 GROUP BY ALL),
+proofs AS (SELECT doc_id, string_agg(l || r, '' ORDER BY h) AS proof FROM sides GROUP BY 1),
+fold AS (SELECT doc_id, 0 AS h, other AS d FROM placed UNION ALL SELECT f.doc_id, f.h + 1, sha256(s.l || f.d || s.r) FROM fold f JOIN sides s ON s.doc_id = f.doc_id AND s.h = f.h),
+folded AS (SELECT doc_id, arg_max(d, h) AS d FROM fold GROUP BY 1), root AS (SELECT d FROM top WHERE n = 1)
+SELECT x.doc_id, x.leaf, s.d AS subroot, root.d AS root, sha256(coalesce(pr.proof, '')) AS proof_sha256, f.d AS folded_root, f.d = root.d AS verified
+FROM placed x JOIN subroots s ON s.p = x.p CROSS JOIN root JOIN folded f ON f.doc_id = x.doc_id LEFT JOIN proofs pr ON pr.doc_id = x.doc_id"""

@@ -34,4 +34,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from kgspark.llm import merkle
+
+    return {"op13_merkle_manifest": merkle.SQL}
