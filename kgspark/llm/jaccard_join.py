@@ -28,8 +28,8 @@ from kgspark.llm.near_texts import mixed, shingles
 SIZE, PERCENT = 5, 80
 CELL_BITS, SLICES = 20, 64  # of the sketch: fixed, whatever the input
 FOLDS = (1, 2, 4, 8, 16, 32, 64)
-ROW_COST, VERIFY_COST = 1.0, 1.0  # of a row of a list (18 bytes moved), and of a shingle that is verified (8 bytes, moved twice)
-BLOCK = 1 << 22
+ROW_COST, VERIFY_COST = 1.0, 0.1  # of a row of a list, and of a shingle of a partner: about one in ten has a size that fits and is read
+BLOCK = 1 << 21
 SLACK = 1e-9  # distances are compared a little too widely, links by whole numbers
 
 
