@@ -226,12 +226,13 @@ def needed(percent: int, na: str, nb: str, rest_a: str, rest_b: str) -> Column:
 def stars(docs: DataFrame, owners: DataFrame, shared: DataFrame, nodes: DataFrame, size: int, percent: int, rounds: int) -> DataFrame:
     """(node, leader, r): nodes that link with the leader they share most of their prefix with, at distance r.
 
-    A list's leader is its smallest node that has no star yet. Only saves work: whatever has no star is compared below.
+    A list's leader is its first node in an order that each round draws anew, so that lists of one group agree on it and
+    what one leader doesn't reach the next may. Only saves work: whatever has no star is compared below.
     """
     out, open_ = None, shared.select("token", "node")
     side = lambda c, *names: nodes.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in names])
-    for _ in range(rounds):
-        lists = open_.groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last").drop("last")
+    for k in range(rounds):
+        lists = shared.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("h"), "node")).alias("l")).select("token", F.col("l.node").alias("leader"))
         pairs = open_.join(lists, "token").where("node <> leader").groupBy(F.col("node").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("c"))
         pairs = pairs.join(side("a", "n", "rest"), "a").join(side("b", "n", "rest"), "b").where(sizes_fit(percent, "n_a", "n_a", "n_b", "n_b"))
         pairs = pairs.where(F.col("c") >= needed(percent, "n_a", "n_b", "rest_a", "rest_b"))
@@ -246,7 +247,7 @@ def stars(docs: DataFrame, owners: DataFrame, shared: DataFrame, nodes: DataFram
     return out if out is not None else nodes.limit(0).select("node", F.col("node").alias("leader"), F.lit(0.0).alias("r"))
 
 
-def links(docs: DataFrame, owners: DataFrame, size: int, percent: int, cells: np.ndarray, rounds: int = 2) -> DataFrame:
+def links(docs: DataFrame, owners: DataFrame, size: int, percent: int, cells: np.ndarray, rounds: int = 4) -> DataFrame:
     """(a, b): links of different sets, enough to connect all that are connected."""
     postings = prefixes(docs, cells, size, percent)
     own = Window.partitionBy("token")
@@ -280,24 +281,46 @@ def links(docs: DataFrame, owners: DataFrame, size: int, percent: int, cells: np
     tried = stage(verified(met, sets_of(docs, owners, ends, size)).withColumn("d", distance()), "join-tried")
     found = found.unionByName(tried.where(near(percent)).select("a", "b"))
 
-    # stars whose centres don't link, though members may: each member against the other centre, then what is left of both
+    # stars whose centres don't link, though members may; where two components have several, the nearest goes first
     wide = 1 - percent / 100 + SLACK
-    open_ = stage(tried.where(~near(percent)).where(F.col("d") <= wide + F.col("r_a") + F.col("r_b")).where("r_a > 0 or r_b > 0").select("a", "b", "r_a", "r_b", "d"), "join-open")
+    open_ = tried.where(~near(percent)).where(F.col("d") <= wide + F.col("r_a") + F.col("r_b")).where("r_a > 0 or r_b > 0")
+    open_ = stage(open_.select("a", "b", "r_a", "r_b", "d"), "join-open")
     if not open_.limit(1).count():
         return found
-    of = placed.where("r > 0").select("centre", F.col("node").alias("x"), "r")
-    half = lambda c, o: open_.join(of.withColumnRenamed("centre", c), c).where(F.col("d") - F.col("r") <= wide + F.col(f"r_{o}")).select("x", F.col(o).alias("y"), "r", F.col(f"r_{o}").alias("r_y"), F.lit(c).alias("of"), "a", "b")
+    members = placed.where("r > 0").select("centre", F.col("node").alias("x"), "r")
+    for nearest in (True, False):
+        found = stage(found, "join-found")
+        left = apart(open_, found)
+        if nearest:
+            first = left.groupBy("low", "high").agg(F.min_by(F.struct("a", "b"), F.struct("d", "a", "b")).alias("p")).select("p.a", "p.b")
+            left = left.join(first, ["a", "b"], "left_semi")
+        left = stage(left.select("a", "b", "r_a", "r_b", "d"), "join-left")
+        if left.limit(1).count():
+            found = found.unionByName(member_links(docs, owners, left, members, size, percent, wide))
+    return found
+
+
+def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, ...) that ``found`` doesn't connect yet, with the components of their ends (low, high)."""
+    root = stage(components(found), "join-roots")
+    for c in "ab":
+        pairs = pairs.join(root.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left").withColumn(f"root_{c}", F.coalesce(f"root_{c}", c))
+    return pairs.withColumns({"low": F.least("root_a", "root_b"), "high": F.greatest("root_a", "root_b")}).where("low <> high").drop("root_a", "root_b")
+
+
+def member_links(docs: DataFrame, owners: DataFrame, pairs: DataFrame, members: DataFrame, size: int, percent: int, wide: float) -> DataFrame:
+    """Links between the stars of ``pairs``: each member against the other centre, then what distances allow of both stars."""
+    half = lambda c, o: pairs.join(members.withColumnRenamed("centre", c), c).where(F.col("d") - F.col("r") <= wide + F.col(f"r_{o}")).select("x", F.col(o).alias("y"), "r", F.col(f"r_{o}").alias("r_y"), F.lit(c).alias("of"), "a", "b")
     halves = stage(half("a", "b").unionByName(half("b", "a")), "join-halves")
     sets = sets_of(docs, owners, halves.select(F.explode(F.array("x", "y")).alias("node")), size)
     seen = verified(halves.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), sets).select(F.col("a").alias("x"), F.col("b").alias("y"), "common", "union")
     seen = stage(halves.join(seen, ["x", "y"]).withColumn("d", distance()), "join-half-tried")
-    found = found.unionByName(seen.where(near(percent)).select(F.col("x").alias("a"), F.col("y").alias("b")))
     left = seen.where(~near(percent)).where(F.col("d") <= wide + F.col("r_y"))
     one = left.where("of = 'a'").select("a", "b", F.col("x").alias("xa"), F.col("r").alias("ra"), F.col("d").alias("da"))
     two = left.where("of = 'b'").select("a", "b", F.col("x").alias("xb"), F.col("r").alias("rb"), F.col("d").alias("db"))
     last = one.join(two, ["a", "b"]).where((F.col("da") - F.col("rb") <= wide) & (F.col("db") - F.col("ra") <= wide))
     last = verified(last.select(F.col("xa").alias("a"), F.col("xb").alias("b")).distinct(), sets)
-    return found.unionByName(last.where(near(percent)).select("a", "b"))
+    return seen.where(near(percent)).select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(last.where(near(percent)).select("a", "b"))
 
 
 def similar_documents(docs: DataFrame, percent: int = PERCENT, size: int = SIZE) -> DataFrame:
