@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from kgspark.operators.index import ChangeLog
 from kgspark.plans.registry import query
 from kgspark.session import shared_dir
+from kgspark.streaming import queue
 from kgspark.streaming import windows as ops
 
 _CLOSED = "(SELECT max(ts) - INTERVAL 10 MINUTE FROM events)"
@@ -82,3 +83,37 @@ def stream_index(spark, d):
     log = ChangeLog(spark, f"{shared_dir(spark)}/stream-index-{uuid.uuid4().hex}", "key", "seq")
     ops.drain_batches(ops.latest_changes(_events(spark, d), "user_id"), "index", ops.apply_changes(log), "update")
     return log.rows().where("kind <> 'error'").select("key", "seq", "kind")
+
+
+#: Waits of the registered query, in hours: long against the gaps between events, so that many changes are overtaken.
+_QUIET, _BASE, _CAP = 2, 2, 6
+
+
+def _work(key: int, seq: int, kind: str, attempt: int) -> None:
+    """A fixed rule of failure for want of a service: some changes fail at first, some for good."""
+    if seq % 17 == 0:
+        raise ValueError("can't be worked on")
+    if attempt <= seq % 6:
+        raise ConnectionError("not there yet")
+
+
+def _tries() -> str:
+    """SQL rows (n, after): the n-th try and its hours after the change."""
+    waits = [_QUIET, *(min(_BASE * 2**k, _CAP) for k in range(3))]
+    return "(VALUES " + ", ".join(f"({n + 1}, {sum(waits[: n + 1])})" for n in range(4)) + ") t(n, after)"
+
+
+@query(
+    "stream_retries",
+    f"""WITH e AS (SELECT user_id, event_id, event_type, epoch_us(ts) // 1000 AS ms, lead(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY event_id) AS next, (SELECT max(epoch_us(ts) // 1000) FROM events) - 600000 AS upto FROM events),
+    tries AS (SELECT *, ms + after * 3600000 AS due FROM e CROSS JOIN {_tries()} WHERE event_type <> 'error' AND (n = 1 OR (event_id % 17 <> 0 AND n - 1 <= event_id % 6)))
+    SELECT user_id AS key, event_id AS seq, n AS attempt, due AS at_ms, CASE WHEN event_id % 17 = 0 THEN 'failed' WHEN n > event_id % 6 THEN 'done' WHEN n = 4 THEN 'exhausted' ELSE 'retry' END AS outcome FROM tries WHERE due <= coalesce(next, upto)
+    UNION ALL SELECT user_id, event_id, 0, ms, 'deleted' FROM e WHERE event_type = 'error'""",
+)
+def stream_retries(spark, d):
+    """Work on the newest change of each key once it has been quiet, with retries; an ``error`` event stands for a delete."""
+    hour = 3_600_000
+    rows = _events(spark, d).withColumnsRenamed({"event_id": "seq", "event_type": "kind"})
+    with queue.timed_state(spark):
+        found = ops.drain(queue.worked(rows, _work, "user_id", "error", queue.Retries(_QUIET * hour, _BASE * hour, _CAP * hour)), "retries")
+    return found.select("key", "seq", "attempt", "at_ms", "outcome")

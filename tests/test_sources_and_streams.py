@@ -45,3 +45,69 @@ def test_backoff():
     assert windows.with_retries(step, lambda e: True, waits.append) == 3 and waits == [2, 4]
     with pytest.raises(ZeroDivisionError):
         windows.with_retries(lambda: 1 / 0, lambda e: False, waits.append)
+
+
+def _queued(spark, path, batches, late="0 seconds", **options):
+    """Tries of ``queue.worked`` over batches of (key, seq, second, kind), one file and one batch each."""
+    from kgspark.streaming import queue
+
+    for k, rows in enumerate(batches):
+        frame = spark.createDataFrame(rows, "key long, seq long, s long, kind string").selectExpr("key", "seq", "timestamp_seconds(s) AS ts", "kind")
+        frame.coalesce(1).write.mode("append").parquet(f"{path}/in/b{k}")
+    schema = "key long, seq long, ts timestamp, kind string"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(f"{path}/in")
+
+    def work(key, seq, kind, attempt):
+        if kind == "broken":
+            raise ValueError("no use")
+        if kind.startswith("flaky") and attempt <= int(kind[5:]):
+            raise ConnectionError("again")
+
+    with queue.timed_state(spark):
+        found = windows.drain(queue.worked(stream, work, "key", late=late, **options), "queue-test")
+    return sorted((r["key"], r["seq"], r["attempt"], r["at_ms"] // 1000, r["outcome"]) for r in found.collect())
+
+
+def test_queue_waits_retries_and_gives_up(spark, tmp_path):
+    batches = [
+        [(1, 1, 100, "put"), (2, 2, 100, "flaky2"), (3, 3, 100, "flaky9"), (4, 4, 100, "broken"), (5, 5, 100, "put"), (5, 6, 101, "put"), (6, 7, 100, "flaky9")],
+        [(6, 8, 105, "put"), (7, 9, 105, "delete"), (1, 0, 104, "put")],  # 8 comes while 7 waits for its second retry; 0 is older than 1
+        [(2, 10, 300, "put"), (3, 11, 400, "delete")],
+        [(9, 12, 1000, "put")],
+    ]
+    got = _queued(spark, tmp_path, batches)
+    assert [r for r in got if r[0] == 1] == [(1, 1, 1, 102, "done")]
+    assert [r for r in got if r[0] == 2] == [(2, 2, 1, 102, "retry"), (2, 2, 2, 104, "retry"), (2, 2, 3, 108, "done"), (2, 10, 1, 302, "done")]
+    assert [r for r in got if r[0] == 3] == [(3, 3, 1, 102, "retry"), (3, 3, 2, 104, "retry"), (3, 3, 3, 108, "retry"), (3, 3, 4, 116, "exhausted"), (3, 11, 0, 400, "deleted")]
+    assert [r for r in got if r[0] == 4] == [(4, 4, 1, 102, "failed")]
+    assert [r for r in got if r[0] == 5] == [(5, 6, 1, 103, "done")]  # the burst counts once
+    assert [r for r in got if r[0] == 6] == [(6, 7, 1, 102, "retry"), (6, 7, 2, 104, "retry"), (6, 8, 1, 107, "done")]
+    assert [r for r in got if r[0] in (7, 9)] == [(7, 9, 0, 105, "deleted")]  # 9 is not due at the last watermark
+
+
+def test_queue_does_not_depend_on_batches(spark, tmp_path):
+    """The same rows in one batch and in many give the same tries."""
+    rows = [(k % 5, k, 100 + 7 * k, ["put", "flaky1", "flaky3", "delete", "flaky9", "broken"][k % 6]) for k in range(60)] + [(99, 999, 5000, "put")]
+    whole = _queued(spark, tmp_path / "whole", [rows])
+    assert whole == _queued(spark, tmp_path / "parts", [rows[i : i + 9] for i in range(0, len(rows), 9)]) and len(whole) > 60
+
+
+def test_queue_in_processing_time(spark, tmp_path):
+    """Timers of the clock keep a query running for good, so it is stopped once both keys have been worked on."""
+    import time
+
+    from kgspark.streaming import queue
+
+    spark.createDataFrame([(1, 1, "delete"), (2, 1, "put")], "key long, seq long, kind string").selectExpr("*", "timestamp_seconds(9) AS ts").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("key long, seq long, kind string, ts timestamp").parquet(f"{tmp_path}/in")
+    found = []
+    with queue.timed_state(spark):
+        rows = queue.worked(stream, lambda *_: None, "key", late=None, forget_ms=60_000, retries=queue.Retries(quiet_ms=500))
+        run = rows.writeStream.foreachBatch(lambda b, i: found.extend((r["key"], r["outcome"]) for r in b.collect())).option("checkpointLocation", f"{tmp_path}/state").trigger(processingTime="1 second").start()
+    until = time.monotonic() + 60
+    while len(found) < 2 and time.monotonic() < until:
+        time.sleep(0.5)
+    run.stop()
+    assert sorted(found) == [(1, "deleted"), (2, "done")]
+    with pytest.raises(ValueError):
+        queue.worked(stream, print, "key", forget_ms=1)
