@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from kgspark.llm.common import read_table, stage, text_blocks
 from kgspark.llm.graph import components
-from kgspark.llm.near_texts import mixed, shingles
+from kgspark.llm.shingling import majority, mixed, shingles
 
 SIZE, PERCENT = 5, 80
 CELL_BITS, SLICES = 20, 64  # of the sketch: fixed, whatever the input
@@ -69,14 +69,17 @@ def _new(nodes: np.ndarray, n: np.ndarray, seen: set) -> list[int]:
     return out
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+def _texts(docs: DataFrame, *more: str) -> DataFrame:
+    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"), *more)
 
 
-def counted(docs: DataFrame, size: int) -> DataFrame:
-    """(doc_id, n, node) of every row, and rows with (slice, cells): each task's counts of shingles in the sketch's cells."""
+def counted(docs: DataFrame, size: int, extra: str | None = None) -> DataFrame:
+    """(doc_id, n, node) of every row, and rows with (slice, cells): each task's counts of shingles in the sketch's cells.
+
+    With ``extra``, a column of long numbers, rows also have it and the set's SimHash: (..., extra, fp).
+    """
     kind = dict(docs.dtypes)["doc_id"]
-    names = ["doc_id", "n", "node", "slice", "cells"]
+    names = ["doc_id", "n", "node", "slice", "cells", *(["extra", "fp"] if extra else [])]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, seen, ids = np.zeros(1 << CELL_BITS, np.uint32), set(), None
@@ -85,13 +88,16 @@ def counted(docs: DataFrame, size: int) -> DataFrame:
             for i in _new(node, n, seen):
                 np.add.at(cells, (h[start[i] : start[i + 1]] >> np.uint64(64 - CELL_BITS)).astype(np.int64), 1)
             none = pa.nulls(len(n))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node.view(np.int64)), none.cast(pa.int32()), none.cast(pa.binary())], names)
+            more = [b.column(2), pa.array(majority(h, start).view(np.int64))] if extra else []
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node.view(np.int64)), none.cast(pa.int32()), none.cast(pa.binary()), *more], names)
         if seen:
             parts = [zlib.compress(x.tobytes(), 1) for x in np.split(cells, SLICES)]
             none = pa.nulls(SLICES)
-            yield pa.RecordBatch.from_arrays([none.cast(ids), none.cast(pa.int64()), none.cast(pa.int64()), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names)
+            more = [none.cast(pa.int64())] * 2 if extra else []
+            yield pa.RecordBatch.from_arrays([none.cast(ids), none.cast(pa.int64()), none.cast(pa.int64()), pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary()), *more], names)
 
-    return _texts(docs).mapInArrow(scan, f"doc_id {kind}, n long, node long, slice int, cells binary")
+    fields = f"doc_id {kind}, n long, node long, slice int, cells binary" + (", extra long, fp long" if extra else "")
+    return _texts(docs, *([extra] if extra else [])).mapInArrow(scan, fields)
 
 
 def sketch(rows: DataFrame) -> np.ndarray:
@@ -223,22 +229,31 @@ def needed(percent: int, na: str, nb: str, rest_a: str, rest_b: str) -> Column:
     return F.greatest(F.lit(1).cast("long"), overlap(F.col(na), F.col(nb), percent) - F.greatest(rest_a, rest_b))
 
 
-def stars(docs: DataFrame, owners: DataFrame, shared: DataFrame, nodes: DataFrame, size: int, percent: int, rounds: int) -> DataFrame:
-    """(node, leader, r): nodes that link with the leader they share most of their prefix with, at distance r.
+def chosen(open_: DataFrame, shared: DataFrame, nodes: DataFrame, turn: int, percent: int) -> DataFrame:
+    """(a, b): each node with the leader that most of its lists have, where sizes and shared shingles let them link.
 
-    A list's leader is its first node in an order that each round draws anew, so that lists of one group agree on it and
-    what one leader doesn't reach the next may. Only saves work: whatever has no star is compared below.
+    A list's leader is its first node in an order that each turn draws anew, so that lists of one group agree on it and
+    what one leader doesn't reach the next may.
+    """
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("rest").alias(f"rest_{c}"))
+    first = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node")).alias("l")
+    lists = shared.groupBy("token").agg(first).select("token", F.col("l.node").alias("leader"))
+    pairs = open_.join(lists, "token").where("node <> leader").groupBy(F.col("node").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("c"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(sizes_fit(percent, "n_a", "n_a", "n_b", "n_b"))
+    pairs = pairs.where(F.col("c") >= needed(percent, "n_a", "n_b", "rest_a", "rest_b"))
+    return pairs.groupBy("a").agg(F.max_by("b", F.struct("c", -F.col("b"))).alias("b"))
+
+
+def stars(docs: DataFrame, owners: DataFrame, shared: DataFrame, nodes: DataFrame, size: int, percent: int, rounds: int, hints: DataFrame | None) -> DataFrame:
+    """(node, leader, r): nodes that link with a leader, at distance r; one leader a node.
+
+    ``hints`` (a, b) are leaders b of nodes a that are tried first. Only saves work: whatever has no star is compared below.
     """
     out, open_ = None, shared.select("token", "node")
-    side = lambda c, *names: nodes.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in names])
-    for k in range(rounds):
-        lists = shared.groupBy("token").agg(F.min(F.struct(F.xxhash64(F.lit(k), "node").alias("h"), "node")).alias("l")).select("token", F.col("l.node").alias("leader"))
-        pairs = open_.join(lists, "token").where("node <> leader").groupBy(F.col("node").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("c"))
-        pairs = pairs.join(side("a", "n", "rest"), "a").join(side("b", "n", "rest"), "b").where(sizes_fit(percent, "n_a", "n_a", "n_b", "n_b"))
-        pairs = pairs.where(F.col("c") >= needed(percent, "n_a", "n_b", "rest_a", "rest_b"))
-        best = stage(pairs.groupBy("a").agg(F.max_by("b", F.struct("c", -F.col("b"))).alias("b")), "join-leaders")
+    for turn in range(0 if hints is None else -1, rounds):
+        best = stage(chosen(open_, shared, nodes, turn, percent) if turn >= 0 else hints.join(nodes.select(F.col("node").alias("a")), "a", "left_semi"), "join-leaders")
         if not best.limit(1).count():
-            break
+            continue
         sets = sets_of(docs, owners, best.select(F.explode(F.array("a", "b")).alias("node")), size)
         new = stage(verified(best, sets).where(near(percent)).select(F.col("a").alias("node"), F.col("b").alias("leader"), distance().alias("r")), "join-stars")
         out = new if out is None else stage(out.unionByName(new), "join-stars")
@@ -247,14 +262,14 @@ def stars(docs: DataFrame, owners: DataFrame, shared: DataFrame, nodes: DataFram
     return out if out is not None else nodes.limit(0).select("node", F.col("node").alias("leader"), F.lit(0.0).alias("r"))
 
 
-def links(docs: DataFrame, owners: DataFrame, size: int, percent: int, cells: np.ndarray, rounds: int = 4) -> DataFrame:
+def links(docs: DataFrame, owners: DataFrame, size: int, percent: int, cells: np.ndarray, rounds: int = 4, hints: DataFrame | None = None) -> DataFrame:
     """(a, b): links of different sets, enough to connect all that are connected."""
     postings = prefixes(docs, cells, size, percent)
     own = Window.partitionBy("token")
     shared = postings.withColumns({"_low": F.min("node").over(own), "_high": F.max("node").over(own)}).where("_low <> _high")
     shared = stage(shared.select("token", "node", "n", "rest"), "join-lists")
     nodes = stage(shared.groupBy("node").agg(F.first("n").alias("n"), F.first("rest").alias("rest")), "join-nodes")
-    star = stars(docs, owners, shared, nodes, size, percent, rounds)
+    star = stars(docs, owners, shared, nodes, size, percent, rounds, hints)
     found = star.select(F.col("node").alias("a"), F.col("leader").alias("b"))
     root = stage(components(found), "join-roots")
 

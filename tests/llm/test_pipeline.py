@@ -86,38 +86,26 @@ def test_dedup_finds_all_similar_texts(spark):
     texts += [shared + words(60) for _ in range(40)] + [[], [], ["one"], ["One"], ["one", "two"]]
     texts = [" ".join(t) for t in texts]
     docs = spark.createDataFrame([(i if i % 7 else None, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
-    hashes = {r["text"]: r["h"] for r in docs.select("text", F.xxhash64(F.lit(31), "text").alias("h")).collect()}
-    group = brute_groups(texts)
-    for heavy in (1 << 13, 25):  # whole buckets, and buckets cut into parts
-        _, roots = similar_texts(docs, heavy=heavy)
-        root = {r["node"]: r["root"] for r in roots.collect()}
-        got, want = {}, {}
-        for t, g in zip(texts, group):
-            got.setdefault(root.get(hashes[t], hashes[t]), set()).add(t)
-            want.setdefault(g, set()).add(t)
-        assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
-
-
-def test_spanning_links():
-    """Products of matrices in small blocks give the components that comparing sets gives."""
-    from kgspark.llm.near_texts import spanning_links
+    hashes = docs.select("text", F.xxhash64(F.lit(31), "text").alias("text_hash")).distinct()
+    rows, roots = similar_texts(docs)
+    group, got, want = brute_groups(texts), {}, {}
+    named = rows.join(hashes, "text_hash").join(roots, "node", "left").select("text", F.coalesce("root", "node").alias("root"))
+    for r in named.collect():
+        got.setdefault(r["root"], set()).add(r["text"])
+    for t, g in zip(texts, group):
+        want.setdefault(g, set()).add(t)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_simhash_majority():
+    """Fingerprints of shingle sets: bits that over half of the hashes have."""
+    from kgspark.llm.shingling import majority
 
     rng = np.random.default_rng(3)
-    base = rng.integers(-(1 << 62), 1 << 62, 60)
-    sets = [np.unique(np.concatenate([rng.choice(base, rng.integers(40, 61), replace=False), rng.integers(-(1 << 62), 1 << 62, rng.integers(0, 9))])) for _ in range(70)]
-    sets += [np.zeros(0, np.int64), np.zeros(0, np.int64), sets[3], base[:1]]
-    for cells in (1 << 24, 300):
-        group = list(range(len(sets)))
-        for i, j in spanning_links(sets, 0.8, cells):
-            group = [group[i] if g == group[j] else g for g in group]
-        want = list(range(len(sets)))
-        for i in range(len(sets)):
-            for j in range(i):
-                both = len(np.intersect1d(sets[i], sets[j]))
-                if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) and want[i] != want[j]:
-                    want = [want[j] if g == want[i] else g for g in want]
-        same = lambda g: {tuple(k for k in range(len(g)) if g[k] == x) for x in g}
-        assert same(group) == same(want)
+    sizes = [0, 1, 2, 7, 0, 30]
+    h, start = rng.integers(0, 1 << 63, sum(sizes), dtype=np.uint64), np.cumsum([0, *sizes])
+    want = [sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in h[lo:hi]) > hi - lo) for lo, hi in zip(start[:-1], start[1:])]
+    assert [int(x) for x in majority(h, start)] == want
 
 
 def test_mix_and_pack(stages):
