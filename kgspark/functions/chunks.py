@@ -31,17 +31,22 @@ def sections(text: str) -> list[tuple[int, int, str, int]]:
     return out
 
 
-def cut_at(text: str, limit: int) -> int:
-    """Characters of the longest prefix of at most ``limit`` UTF-8 bytes, moved back to a paragraph, line or blank if that is past half."""
-    raw = text.encode()
-    if len(raw) <= limit:
-        return len(text)
-    whole = len(raw[:limit].decode("utf-8", "ignore"))
-    for mark in ("\n\n", "\n", " "):
-        at = text.rfind(mark, 0, whole)
-        if at >= 0 and (at + len(mark)) * 2 >= whole:
-            return at + len(mark)
-    return max(1, whole)
+def cut_at(raw: bytes, at: int, end: int, limit: int) -> int:
+    """Where a piece that starts at byte ``at`` ends: after at most ``limit`` bytes, back at a paragraph, line or blank if
+    that is past half of its characters, never inside a character."""
+    if end - at <= limit:
+        return end
+    to = at + limit
+    while to > at and raw[to] & 0xC0 == 0x80:  # inside a character
+        to -= 1
+    if to == at:  # a character of more bytes than the limit
+        return at + len(raw[at : at + 4].decode("utf-8", "ignore")[:1].encode())
+    chars = len(raw[at:to].decode())
+    for mark in (b"\n\n", b"\n", b" "):
+        found = raw.rfind(mark, at, to)
+        if found >= 0 and (len(raw[at:found].decode()) + len(mark)) * 2 >= chars:
+            return found + len(mark)
+    return to
 
 
 def chunk(text: str, max_bytes: int = 2048) -> list[tuple]:
@@ -57,16 +62,15 @@ def chunk(text: str, max_bytes: int = 2048) -> list[tuple]:
         used.add(name)
         prefix = f"{'#' * level} {heading}\n\n" if level else ""
         prefix = prefix if len(prefix.encode()) * 2 <= max_bytes else ""
-        pieces, at = [], start
-        while at < end:
-            room = max_bytes - (len(prefix.encode()) if pieces else 0)
-            n = cut_at(text[at:end], room)
-            pieces.append((at, at + n))
-            at += n
-        for i, (lo, hi) in enumerate(pieces):
+        raw, pieces, at = text[start:end].encode(), [], 0  # encoded once: a piece costs its own length
+        while at < len(raw):
+            to = cut_at(raw, at, len(raw), max_bytes - (len(prefix.encode()) if pieces else 0))
+            pieces.append(raw[at:to].decode())
+            at = to
+        lo = start
+        for i, own in enumerate(pieces):
             line += text.count("\n", line_at, lo)
-            line_at = lo
-            own = text[lo:hi]
+            line_at, lo = lo, lo + len(own)
             unit = name if i == 0 else f"{name}~{i + 1}"
             rows.append((unit, own if i == 0 else prefix + own, own, heading, level, line, i + 1, len(pieces)))
     return rows

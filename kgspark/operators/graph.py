@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from kgspark.operators.annotate import digest
 from kgspark.operators.predicates import Condition, all_of, any_of
 from kgspark.session import known_path, stage
+from kgspark.sources.adjacency import select_provider
 
 DAMPING, ROUNDS, TOLERANCE = 0.85, 20, 1e-7
 SMALL = 25
@@ -129,20 +130,26 @@ def signals(notes: DataFrame, edges: DataFrame, where: list[Condition] | None =
     return rows.join(out.withColumn("excluded", F.lit(True)), ["vault", "node"], "left").fillna(False, ["excluded"])
 
 
-def kept_signals(notes: DataFrame, edges: Callable[[], DataFrame], root: str, where: list[Condition] | None = None) -> DataFrame:
-    """``signals``, kept in ``root`` under the digest of all notes and of the exclusion: worked out once for the same notes.
+def kept_signals(notes: DataFrame, edges: Callable[[], DataFrame], root: str, where: list[Condition] | None = None, given: DataFrame | None = None, status: str = "available") -> DataFrame:
+    """``signals``, kept in ``root`` and worked out once for the same notes, exclusion and graph.
 
-    ``edges`` is only called where nothing is kept yet. The folder is written last, as a whole.
+    The graph is ``given`` (vault, src, dst, cnt) where it can be had, else ``edges()``, which follow from the notes and
+    are only asked for where nothing is kept yet. The key holds the digest of all notes, the exclusion, which of the two
+    it is and why, and the digest of given edges. Rows count as kept once the receipt beside them is written.
     """
+    spark = notes.sparkSession
+    _, receipt = select_provider(None, given, status)
     sums = digest(notes, ["vault"]).orderBy("vault").collect()  # a row a vault
+    links = digest(given.select("vault", F.concat_ws("\n", "src", "dst").alias("path"), F.col("cnt").cast("string").alias("raw")), ["vault"]).orderBy("vault").collect() if receipt["provider"] == "given" else []
     rules = "default" if where is None else json.dumps([asdict(c) for c in where], default=str, sort_keys=True)
-    name = hashlib.sha256(json.dumps([[r["vault"], r["files"], r["digest"]] for r in sums] + [rules]).encode()).hexdigest()[:32]
-    spark, path = notes.sparkSession, f"{root.rstrip('/')}/signals-{name}"
-    done = known_path(lambda: spark.read.parquet(path))
-    if done is None:
-        signals(notes, edges(), where).write.mode("overwrite").parquet(path)
-        done = spark.read.parquet(path)
-    return done
+    key = [[[r["vault"], r["files"], r["digest"]] for r in rows] for rows in (sums, links)]
+    name = hashlib.sha256(json.dumps([*key, receipt, rules], sort_keys=True).encode()).hexdigest()[:32]
+    path = f"{root.rstrip('/')}/signals-{name}"
+    done = known_path(lambda: spark.read.schema("n long").parquet(f"{path}/receipt"))
+    if done is None or not done.limit(1).count():
+        signals(notes, given if receipt["provider"] == "given" else edges(), where).write.mode("overwrite").parquet(f"{path}/rows")
+        spark.read.parquet(f"{path}/rows").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/receipt")
+    return spark.read.parquet(f"{path}/rows")
 
 
 def histogram(banded: DataFrame, out: DataFrame | None = None) -> DataFrame:

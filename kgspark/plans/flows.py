@@ -204,14 +204,27 @@ def given_graph_quoted(spark, d):
     return select_provider(edges, given)[0].select("src", "dst", "cnt")
 
 
-@query("kept_degrees", f"WITH {VAULT_NOTES} SELECT vault, count(*) AS notes FROM notes GROUP BY 1")
+_TURNED = """two AS (SELECT 'parsed' AS graph, vault, src, dst FROM edges UNION ALL SELECT 'given', vault, dst, src FROM edges),
+tips AS (SELECT graph, vault, dst AS node, count(DISTINCT src) AS i, 0 AS o FROM two GROUP BY ALL UNION ALL SELECT graph, vault, src, 0, count(DISTINCT dst) FROM two GROUP BY ALL)"""
+
+
+@query(
+    "kept_degrees",
+    linked(f"{EDGES}, {_TURNED}", notes=VAULT_NOTES)
+    + "SELECT g.graph, n.vault, n.path AS node, CAST(coalesce(sum(i), 0) AS BIGINT) AS in_degree, CAST(coalesce(sum(o), 0) AS BIGINT) AS out_degree FROM notes n CROSS JOIN (VALUES ('parsed'), ('given')) g(graph) "
+    "LEFT JOIN tips t ON t.graph = g.graph AND t.vault = n.vault AND t.node = n.path GROUP BY ALL",
+)
 def kept_degrees(spark, d):
-    """Graph signals kept by digest: the second call reads what the first one wrote."""
-    notes = parsed(spark, d, merged=False)
+    """Signals of two graphs over the same notes, kept side by side: read again, each gives its own degrees."""
+    notes, links = parsed(spark, d, merged=False), edges_of(all_links(spark, d, merged=False))
+    turned = links.select("vault", F.col("dst").alias("src"), F.col("src").alias("dst"), "cnt")
     root = _new(spark, "signals")
-    graph.kept_signals(notes, lambda: edges_of(all_links(spark, d, merged=False)), root)
+    graph.kept_signals(notes, lambda: links, root)
+    graph.kept_signals(notes, lambda: links, root, given=turned)
 
     def never():
         raise AssertionError("worked out twice")
 
-    return graph.kept_signals(notes, never, root).groupBy("vault").agg(F.count("*").alias("notes"))
+    kept = {"parsed": graph.kept_signals(notes, never, root), "given": graph.kept_signals(notes, never, root, given=turned)}
+    rows = [k.select(F.lit(name).alias("graph"), "vault", "node", "in_degree", "out_degree") for name, k in kept.items()]
+    return rows[0].unionByName(rows[1])

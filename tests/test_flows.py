@@ -171,3 +171,37 @@ def test_first_backlink(spark):
     notes = spark.createDataFrame([("v", "a.md", raw), ("v", "New.md", "[[New]]")], "vault string, path string, raw string")
     row = links.backlink_places(notes, "New.md").collect()
     assert len(row) == 1 and row[0]["line_no"] == 4 and row[0]["context"].startswith("...x") and row[0]["context"].endswith("y...") and " and [[New|shown]] y" in row[0]["context"]
+
+
+def test_kept_signals_know_their_graph(spark, tmp_path):
+    """Two graphs over the same notes give two results; a folder without a receipt isn't read."""
+    import shutil
+
+    from kgspark.functions.notes import parse_notes
+    from kgspark.operators.graph import kept_signals
+
+    notes = parse_notes(spark.createDataFrame([("v", f"{n}.md", "text", 0) for n in "abc"], "vault string, path string, raw string, mtime long"))
+    links = lambda *pairs: spark.createDataFrame([("v", f"{a}.md", f"{b}.md", 1) for a, b in pairs], "vault string, src string, dst string, cnt long")
+    into = lambda df: {r["node"]: r["in_degree"] for r in df.collect()}
+    root, parsed = str(tmp_path), links("ab")
+    assert into(kept_signals(notes, lambda: parsed, root)) == {"a.md": 0, "b.md": 1, "c.md": 0}
+    assert into(kept_signals(notes, lambda: parsed, root, given=links("ca", "ba"))) == {"a.md": 2, "b.md": 0, "c.md": 0}
+    assert into(kept_signals(notes, lambda: parsed, root, given=links("ca"))) == {"a.md": 1, "b.md": 0, "c.md": 0}
+    assert into(kept_signals(notes, None, root, given=None)) == {"a.md": 0, "b.md": 1, "c.md": 0}
+    assert into(kept_signals(notes, lambda: parsed, root, given=links("ca"), status="app_unavailable")) == {"a.md": 0, "b.md": 1, "c.md": 0}
+    for done in tmp_path.glob("*/receipt"):
+        shutil.rmtree(done)
+    with pytest.raises(TypeError):
+        kept_signals(notes, None, root)  # nothing counts as kept any more
+
+
+def test_chunks_of_a_large_section_are_linear():
+    import time
+
+    from kgspark.functions.chunks import chunk
+
+    began, text = time.perf_counter(), "word é line\n" * 800_000
+    rows = chunk(text)
+    assert "".join(r[2] for r in rows) == text and max(len(r[1].encode()) for r in rows) <= 2048
+    assert time.perf_counter() - began < 20
+    assert [r[2] for r in chunk("🙂" * 30, 17)][0] == "🙂" * 4
