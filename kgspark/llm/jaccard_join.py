@@ -262,7 +262,7 @@ def stars(docs: DataFrame, owners: DataFrame, shared: DataFrame, nodes: DataFram
     return out if out is not None else nodes.limit(0).select("node", F.col("node").alias("leader"), F.lit(0.0).alias("r"))
 
 
-def links(docs: DataFrame, owners: DataFrame, size: int, percent: int, cells: np.ndarray, rounds: int = 4, hints: DataFrame | None = None) -> DataFrame:
+def links(docs: DataFrame, owners: DataFrame, size: int, percent: int, cells: np.ndarray, rounds: int = 3, hints: DataFrame | None = None) -> DataFrame:
     """(a, b): links of different sets, enough to connect all that are connected."""
     postings = prefixes(docs, cells, size, percent)
     own = Window.partitionBy("token")
@@ -271,23 +271,21 @@ def links(docs: DataFrame, owners: DataFrame, size: int, percent: int, cells: np
     nodes = stage(shared.groupBy("node").agg(F.first("n").alias("n"), F.first("rest").alias("rest")), "join-nodes")
     star = stars(docs, owners, shared, nodes, size, percent, rounds, hints)
     found = star.select(F.col("node").alias("a"), F.col("leader").alias("b"))
-    root = stage(components(found), "join-roots")
 
     # a node that leads a star is the centre of it, whatever star it is in itself
     leads = star.select(F.col("leader").alias("node")).distinct()
     member = star.join(leads, "node", "left_anti").select("node", F.col("leader").alias("centre"), "r")
-    placed = nodes.join(member, "node", "left").join(root.withColumnRenamed("root", "part"), "node", "left")
-    placed = placed.select("node", "n", "rest", F.coalesce("centre", "node").alias("centre"), F.coalesce("r", F.lit(0.0)).alias("r"), F.coalesce("part", "node").alias("part"))
+    placed = nodes.join(member, "node", "left").select("node", "n", "rest", F.coalesce("centre", "node").alias("centre"), F.coalesce("r", F.lit(0.0)).alias("r"))
     placed = stage(placed, "join-placed")
-    centres = placed.groupBy("centre").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"), F.max("r").alias("r"), F.first("part").alias("part"))
+    centres = placed.groupBy("centre").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"), F.max("r").alias("r"))
     centres = stage(centres, "join-centres")
     rows = stage(shared.select("token", "node").join(placed.select("node", "centre"), "node").groupBy("token", "centre").agg(F.count("*").alias("_")).drop("_"), "join-rows")
 
     met = rows.select("token", F.col("centre").alias("a")).join(rows.select("token", F.col("centre").alias("b")), "token").where("a < b")
     met = met.groupBy("a", "b").agg(F.count("*").alias("c"))
     for c in "ab":
-        met = met.join(centres.select(F.col("centre").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("least", "most", "rest", "r", "part")]), c)
-    met = met.where(F.col("part_a") != F.col("part_b")).where(sizes_fit(percent, "least_a", "most_a", "least_b", "most_b"))
+        met = met.join(centres.select(F.col("centre").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("least", "most", "rest", "r")]), c)
+    met = met.where(sizes_fit(percent, "least_a", "most_a", "least_b", "most_b"))
     met = met.where(F.col("c") >= needed(percent, "least_a", "least_b", "rest_a", "rest_b"))
     met = stage(met.select("a", "b", "r_a", "r_b"), "join-met")
     if not met.limit(1).count():
@@ -309,14 +307,15 @@ def links(docs: DataFrame, owners: DataFrame, size: int, percent: int, cells: np
         if nearest:
             first = left.groupBy("low", "high").agg(F.min_by(F.struct("a", "b"), F.struct("d", "a", "b")).alias("p")).select("p.a", "p.b")
             left = left.join(first, ["a", "b"], "left_semi")
-        left = stage(left.select("a", "b", "r_a", "r_b", "d"), "join-left")
-        if left.limit(1).count():
-            found = found.unionByName(member_links(docs, owners, left, members, size, percent, wide))
+        left = stage(left.drop("low", "high"), "join-left")
+        if not left.limit(1).count():
+            break
+        found = found.unionByName(member_links(docs, owners, left, members, size, percent, wide))
     return found
 
 
 def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """``pairs`` (a, b, ...) that ``found`` doesn't connect yet, with the components of their ends (low, high)."""
+    """``pairs`` (a, b, ...) that ``found`` doesn't connect, with the components of their ends (low, high)."""
     root = stage(components(found), "join-roots")
     for c in "ab":
         pairs = pairs.join(root.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left").withColumn(f"root_{c}", F.coalesce(f"root_{c}", c))
@@ -327,7 +326,7 @@ def member_links(docs: DataFrame, owners: DataFrame, pairs: DataFrame, members:
     """Links between the stars of ``pairs``: each member against the other centre, then what distances allow of both stars."""
     half = lambda c, o: pairs.join(members.withColumnRenamed("centre", c), c).where(F.col("d") - F.col("r") <= wide + F.col(f"r_{o}")).select("x", F.col(o).alias("y"), "r", F.col(f"r_{o}").alias("r_y"), F.lit(c).alias("of"), "a", "b")
     halves = stage(half("a", "b").unionByName(half("b", "a")), "join-halves")
-    sets = sets_of(docs, owners, halves.select(F.explode(F.array("x", "y")).alias("node")), size)
+    sets = sets_of(docs, owners, halves.select(F.col("x").alias("node")).unionByName(halves.select(F.col("y").alias("node"))), size)
     seen = verified(halves.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), sets).select(F.col("a").alias("x"), F.col("b").alias("y"), "common", "union")
     seen = stage(halves.join(seen, ["x", "y"]).withColumn("d", distance()), "join-half-tried")
     left = seen.where(~near(percent)).where(F.col("d") <= wide + F.col("r_y"))
