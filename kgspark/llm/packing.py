@@ -169,13 +169,14 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     The driver holds a count a length; the plan that tasks get is bounded by ``capacity`` too. Ranks within a length
     come from even cells (length, salt), so a length that a third of all pieces have is spread.
     """
-    base = stage(pieces, "pack-pieces")
+    # numbers of written rows spread whatever ids and texts are alike
+    base = stage(pieces.withColumn("_row", F.monotonically_increasing_id()), "pack-pieces")
     counts = {r["length"]: r["n"] for r in base.groupBy("length").agg(F.count("*").alias("n")).collect()}
     table = slot_table(plan_bins(counts, capacity), capacity)
-    cells = base.withColumn("_salt", hash_salt(salts_for(max(counts.values(), default=0), 16, 512), "doc_id", "piece"))
+    cells = base.withColumn("_salt", hash_salt(salts_for(max(counts.values(), default=0), 16, 512), "_row"))
     sums = cells.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     sums = sums.select("length", "_salt", F.expr("sum(_n) over (partition by length order by _salt) - _n").alias("_before"))
-    ranked = cells.withColumn("_in", F.expr("row_number() over (partition by length, _salt order by doc_id, piece, ids_crc32)"))
+    ranked = cells.withColumn("_in", F.expr("row_number() over (partition by length, _salt order by _row)"))
     # at most capacity x salts rows on the broadcast side
     ranked = ranked.join(F.broadcast(sums), ["length", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_in") - 1)
     ranked = ranked.select(*pieces.columns, "_rank")

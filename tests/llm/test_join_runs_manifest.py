@@ -296,3 +296,14 @@ def test_manifest_sql(spark, data_dir):
     got = merkle.op13_merkle_manifest(spark, data_dir)
     assert sorted(got.columns) == sorted(names)
     assert sorted((tuple(r) for r in got.select(*names).collect()), key=str) == sorted(want.fetchall(), key=str)
+
+
+# 9 packing: what is alike is spread
+def test_pieces_without_ids_use_all_salts(spark):
+    from kgspark.llm.packing import pack_pieces
+
+    same = spark.range(3000).selectExpr("CAST(NULL AS long) AS doc_id", "0 AS piece", "CAST(0 AS long) AS start", "100 AS length", "CAST(7 AS long) AS ids_crc32")
+    placed = pack_pieces(same, 2048)
+    assert placed.count() == 3000 and placed.select("sequence_id", "offset").distinct().count() == 3000 and placed.agg({"sequence_id": "max"}).first()[0] == 149
+    plan = placed._jdf.queryExecution().analyzed().toString()
+    assert "xxhash64(29, _row" in plan and "xxhash64(29, doc_id" not in plan
