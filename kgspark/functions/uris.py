@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed value: the scheme that links use.
@@ -91,8 +91,56 @@ def parse(df: DataFrame, column: str = "uri") -> DataFrame:
     return out.drop("_ok", "_query", "_action", "_parts", "_names", "_file")
 
 
+#: Fixed values, formats: a fence of three or more of one mark, closed by as many or more alone on a line; code between
+#: equal runs of backticks on a line, unless a backslash stands ahead; an inline link, with an optional title.
+_FENCES = [rf"(?:^ {{0,3}}({m}{{3,}}+)[^\n]*.*?(?:^ {{0,3}}\{k}{m}*[^\S\n]*$|\z))" for k, m in ((3, "`"), (4, "~"))]
+CODE = rf"(?sdm)(.*?)({_FENCES[0]}|{_FENCES[1]}|(?:(?<![`\\])|(?<=\\`))(`++)[^\n]+?(?<!`)\5(?!`)|\z)"
+LINK = rf"""(?sdi)(.*?)(!?\[([^\]\n]*)\]\(\s*(?:<({SCHEME}://[^>\s]+)>|({SCHEME}://[^\s)>]+))(?:\s+(?:"[^"]*"|'[^']*'|\([^)]*\)))?\s*\)|\z)"""
+
+
+def units(text: Column) -> Column:
+    """Length in UTF-16 units."""
+    return F.length(F.regexp_replace(text, r"[\x{10000}-\x{10FFFF}]", "ab")).cast("long")
+
+
+def pieces(rows: DataFrame, column: str, pattern: str, *groups: int) -> DataFrame:
+    """(_id, _k, at, to, line, col, g...): what ``pattern`` (what is ahead, what is found, ...) finds, where it starts and ends.
+
+    Places are sums over the pieces ahead in the text, so no text is copied for each find.
+    """
+    found = [F.regexp_extract_all(column, F.lit(pattern), F.lit(g)).alias(f"g{g}") for g in (1, 2, *groups)]
+    each = rows.select("_id", F.posexplode(F.arrays_zip(*found)).alias("_k", "p")).select("_id", "_k", "p.*")
+    lines = lambda c: F.length(c) - F.length(F.replace(F.col(c), F.lit("\n"), F.lit("")))
+    tail = lambda c: units(F.substring_index(c, "\n", -1))
+    ahead = Window.partitionBy("_id").orderBy("_k").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy("_id").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    each = each.withColumn("_u", units(F.col("g1")) + units(F.col("g2"))).withColumn("_before", F.coalesce(F.sum("_u").over(ahead), F.lit(0)))
+    each = each.withColumns({"at": F.col("_before") + units(F.col("g1")), "to": F.col("_before") + F.col("_u"), "_l1": lines("g1"), "_l2": lines("g2")})
+    # where the last line feed ends, within what is ahead of the find, or within the find
+    each = each.withColumn("_e1", F.when(F.col("_l1") > 0, F.col("at") - tail("g1"))).withColumn("_e2", F.when(F.col("_l2") > 0, F.col("to") - tail("g2")))
+    last = F.greatest(F.max("_e1").over(upto), F.max("_e2").over(ahead), F.lit(0))
+    line = F.sum("_l1").over(upto) + F.coalesce(F.sum("_l2").over(ahead), F.lit(0)) + 1
+    return each.withColumns({"line": line, "col": F.col("at") - last + 1}).where("g2 <> ''").select("_id", "_k", "at", "to", "line", "col", *[f"g{g}" for g in (2, *groups)])
+
+
+def uri_places(notes: DataFrame, column: str = "raw", keep: tuple[str, ...] = ("vault", "path")) -> DataFrame:
+    """``keep``, ord, uri, label, line, col, at: inline markdown links to note URIs that start outside code, not images.
+
+    Lines and columns count from 1, ``at`` from 0, columns and ``at`` in UTF-16 units. Fences carry over lines until a
+    closing one or the end; code spans end on their line.
+    """
+    rows = notes.withColumn("_id", F.monotonically_increasing_id())
+    some = rows.where(F.col(column).rlike(f"(?i){SCHEME}://"))  # the rest can't have any
+    links = pieces(some, column, LINK, 3, 4, 5).where(~F.col("g2").startswith("!"))
+    code = pieces(some, column, CODE).select("_id", "at", "to")
+    both = links.withColumn("end", F.lit(0).cast("long")).drop("to").unionByName(code.select("_id", "at", F.col("to").alias("end")), allowMissingColumns=True)
+    masked = F.max("end").over(Window.partitionBy("_id").orderBy("at", F.col("_k").isNotNull()).rowsBetween(Window.unboundedPreceding, 0))
+    free = both.withColumn("_m", masked).where(F.col("_k").isNotNull() & (F.col("_m") <= F.col("at")))
+    uri = F.when(F.col("g4") != "", F.col("g4")).otherwise(F.col("g5"))
+    free = free.select("_id", F.col("_k").alias("ord"), uri.alias("uri"), F.col("g3").alias("label"), F.col("line").cast("long").alias("line"), "col", "at")
+    return free.join(rows.select("_id", *keep), "_id").select(*keep, "ord", "uri", "label", "line", "col", "at")
+
+
 def note_uris(notes: DataFrame, column: str = "raw", keep: tuple[str, ...] = ("vault", "path")) -> DataFrame:
-    """``keep``, ord, uri: inline markdown links to note URIs, not images, outside fenced and inline code."""
-    text = F.regexp_replace(F.regexp_replace(column, r"(?ms)^(```|~~~).*?(^\1[`~]*\s*$|\z)", ""), r"`[^`\n]*`", "")
-    found = F.regexp_extract_all(text, F.lit(rf"(?i)(?<!!)\[[^\]\n]*\]\(<?({SCHEME}://[^\s)>]+)>?\)"), F.lit(1))
-    return notes.select(*keep, F.posexplode(found).alias("ord", "uri"))
+    """``keep``, ord, uri of ``uri_places``."""
+    return uri_places(notes, column, keep).select(*keep, "ord", "uri")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from kgspark.functions.links import context, line_of, unresolved_key, wikilinks
 from kgspark.functions.notes import with_path_parts
+from kgspark.session import stage
+
 
 def resolve(links: DataFrame, notes: DataFrame, target: str = "link_path") -> DataFrame:
     """Add ``dst`` (path of the note that a link means, null if none) to links of (vault, path, ...).
@@ -100,3 +102,74 @@ def closest(names: DataFrame, wanted: str, most: int = 3, reach: int = 3) -> Dat
     rows = rows.withColumn("distance", F.levenshtein(low, word))
     near = F.contains(low, word) | F.contains(word, low) | (F.col("distance") <= reach)
     return rows.where(near).orderBy("distance", "name").limit(most)
+
+
+def segments(text: Column, reach: int) -> Column:
+    """[(number, start from 1, piece)]: the text in ``reach`` + 1 even pieces. Of two texts within ``reach`` edits, one
+    has some piece of the other whole, at most ``reach`` places away."""
+    n = F.length(text)
+    cut = lambda k: F.floor(n * k / (reach + 1)).cast("int")
+    return F.array(*[F.struct(F.lit(k).alias("k"), (cut(k) + 1).alias("at"), F.substring(text, cut(k) + 1, cut(k + 1) - cut(k)).alias("piece")) for k in range(reach + 1)])
+
+
+def probes(text: Column, reach: int) -> Column:
+    """[(length, number, piece)]: what of the text may be a piece of a text of that length."""
+    n = F.length(text)
+
+    def of(delta: int, k: int, shift: int) -> Column:
+        other = n + delta
+        cut = lambda j: F.floor(other * j / (reach + 1)).cast("int")
+        at, size = cut(k) + 1 + shift, cut(k + 1) - cut(k)
+        inside = (other > reach) & (at >= 1) & (at + size - 1 <= n)
+        return F.when(inside, F.struct(other.alias("length"), F.lit(k).alias("k"), F.substring(text, at, size).alias("piece")))
+
+    every = [of(d, k, s) for d in range(-reach, reach + 1) for k in range(reach + 1) for s in range(-reach, reach + 1)]
+    return F.array_distinct(F.array_compact(F.array(*every)))
+
+
+def grams(size: int) -> Column:
+    """The different runs of as many letters of ``t`` as ``size`` (a column of 1 ... ``size``) says."""
+    runs = [f"WHEN size = {k} THEN array_distinct(transform(sequence(1, length(t) - {k} + 1), i -> substring(t, i, {k})))" for k in range(1, size + 1)]
+    return F.expr(f"CASE {' '.join(runs)} END")
+
+
+def within(inner: DataFrame, outer: DataFrame, size: int = 3) -> DataFrame:
+    """(inner, outer): pairs of texts (vault, t) of which one lies in the other, by the rarest run of ``size`` letters.
+
+    Texts shorter than ``size`` look for their own length; a text's rarest run bounds what it is compared with.
+    """
+    short = F.least(F.length("t"), F.lit(size))
+    asked = inner.where("t <> ''").select("vault", "t", short.alias("size"))
+    has = outer.select("vault", "t", F.explode(F.sequence(F.lit(1), F.lit(size))).alias("size")).where(F.length("t") >= F.col("size"))
+    has = stage(has.select("vault", "t", "size", F.explode(grams(size)).alias("g")), "hint-grams")
+    counts = has.groupBy("vault", "size", "g").agg(F.count("*").alias("c"))
+    own = asked.select("vault", "t", "size", F.explode(grams(size)).alias("g"))
+    rare = own.join(counts, ["vault", "size", "g"], "left").groupBy("vault", "t", "size").agg(F.min(F.struct(F.coalesce("c", F.lit(0)).alias("c"), "g")).alias("r"))
+    rare = rare.where("r.c > 0").select("vault", F.col("t").alias("inner"), "size", F.col("r.g").alias("g"))
+    return rare.join(has.withColumnRenamed("t", "outer"), ["vault", "size", "g"]).where(F.contains("outer", "inner")).select("vault", "inner", "outer")
+
+
+def closest_all(names: DataFrame, wanted: DataFrame, most: int = 3, reach: int = 3) -> DataFrame:
+    """(vault, wanted, name, distance): for every wanted text (vault, wanted) what ``closest`` finds among its vault's names.
+
+    Pairs within ``reach`` edits meet by a whole piece of one in the other, pairs of which one lies in the other by a rare
+    run of letters; the distance is checked last. Empty texts find nothing. Texts of up to ``reach`` letters have no pieces, and meet all names
+    that are short enough to be near.
+    """
+    names = names.select("vault", "name").where(comparable(F.col("name"))).distinct().withColumn("low", F.lower("name"))
+    asked = wanted.select("vault", "wanted").where(comparable(F.col("wanted")) & (F.col("wanted") != "")).distinct().withColumn("low", F.lower("wanted"))
+    low = lambda df: stage(df.select("vault", F.col("low").alias("t")).distinct(), "hint-texts")
+    have, want = low(names), low(asked)
+    parts = have.where(F.length("t") > reach).select("vault", F.col("t").alias("x"), F.length("t").alias("length"), F.explode(segments(F.col("t"), reach)).alias("s"))
+    parts = parts.select("vault", "x", "length", "s.k", "s.piece")
+    tries = want.select("vault", F.col("t").alias("y"), F.explode(probes(F.col("t"), reach)).alias("s")).select("vault", "y", "s.*")
+    near = tries.join(parts, ["vault", "length", "k", "piece"]).select("vault", "y", "x").distinct()
+    brief = have.where(F.length("t") <= reach).select("vault", F.col("t").alias("x")).join(want.where(F.length("t") <= 2 * reach).select("vault", F.col("t").alias("y")), "vault")
+    inside = within(want, have).select("vault", F.col("inner").alias("y"), F.col("outer").alias("x"))
+    around = within(have, want).select("vault", F.col("outer").alias("y"), F.col("inner").alias("x"))
+    pairs = near.unionByName(brief.select("vault", "y", "x")).unionByName(inside).unionByName(around).distinct()
+    pairs = pairs.withColumn("distance", F.levenshtein("x", "y"))
+    pairs = pairs.where((F.col("distance") <= reach) | F.contains("x", "y") | F.contains("y", "x"))
+    rows = pairs.join(asked.withColumnRenamed("low", "y"), ["vault", "y"]).join(names.withColumnRenamed("low", "x"), ["vault", "x"])
+    turn = F.row_number().over(Window.partitionBy("vault", "wanted").orderBy("distance", "name"))
+    return rows.withColumn("_r", turn).where(F.col("_r") <= most).select("vault", "wanted", "name", "distance")

@@ -7,11 +7,13 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from kgspark.functions.notes import sections
+from kgspark.functions.links import unresolved_key
+from kgspark.functions.notes import sections, with_path_parts
+from kgspark.functions.uris import SCHEME, uri_places
 from kgspark.operators import graph, index, retrieval
 from kgspark.operators.daily import daily_add
 from kgspark.operators.edits import replace_body
-from kgspark.operators.links import backlink_places
+from kgspark.operators.links import backlink_places, closest_all
 from kgspark.operators.links import edges as edges_of
 from kgspark.operators.postings import search_postings, write_postings
 from kgspark.operators.search import keyword_search
@@ -228,3 +230,40 @@ def kept_degrees(spark, d):
     kept = {"parsed": graph.kept_signals(notes, never, root), "given": graph.kept_signals(notes, never, root, given=turned)}
     rows = [k.select(F.lit(name).alias("graph"), "vault", "node", "in_degree", "out_degree") for name, k in kept.items()]
     return rows[0].unionByName(rows[1])
+
+
+_ASKED = """wanted AS (SELECT DISTINCT vault, trim(link_path) AS wanted FROM resolved WHERE dst IS NULL AND link_path <> '' UNION SELECT vault, replace(name, '_', '') || 'x' FROM files),
+pairs AS (SELECT w.wanted, n.name, CAST(levenshtein(lower(n.name), lower(w.wanted)) AS INTEGER) AS distance FROM wanted w JOIN (SELECT DISTINCT vault, name FROM files) n ON n.vault = w.vault
+  WHERE contains(lower(n.name), lower(w.wanted)) OR contains(lower(w.wanted), lower(n.name)) OR levenshtein(lower(n.name), lower(w.wanted)) <= 3)"""
+
+
+@query("target_hints", linked(_ASKED) + "SELECT wanted, name, distance FROM (SELECT *, row_number() OVER (PARTITION BY wanted ORDER BY distance, name) AS r FROM pairs) WHERE r <= 3")
+def target_hints(spark, d):
+    """The nearest names of every missing link target at once, and of every note's name misspelled."""
+    links = all_links(spark, d)
+    missing = links.where("dst is null and link_vault is null and link_path <> ''").select("vault", unresolved_key(F.col("target")).alias("wanted"))
+    names = with_path_parts(raw(spark, d)).select("vault", "name")
+    wrong = names.select("vault", F.concat(F.replace("name", F.lit("_"), F.lit("")), F.lit("x")).alias("wanted"))
+    return closest_all(names, missing.unionByName(wrong)).select("wanted", "name", "distance")
+
+
+_URI = f"{SCHEME}://open?vault=v&file=c"
+
+
+@query(
+    "uri_positions",
+    f"SELECT c_custkey, '{_URI}' || c_custkey AS uri, c_custkey % 7 + 4 AS line, 4 + 2 * (c_custkey % 5) AS col FROM customer "
+    f"UNION ALL SELECT c_custkey, '{_URI}last', c_custkey % 7 + 6, 1 FROM customer WHERE c_custkey % 3 <> 0",
+)
+def uri_positions(spark, d):
+    """Lines and columns of links to notes: behind fences, code spans and characters of two units."""
+    k = F.col("c_custkey")
+    link = lambda end: F.concat(F.lit(f"[it]({_URI}"), end, F.lit(")"))
+    text = F.concat(
+        F.repeat(F.lit("a line\n"), (k % 7).cast("int")), F.lit("~~~ md\n"), link(F.lit("fenced")), F.lit("\n~~~~\n`` "),  # a fence, then a code span that ends ahead of the link
+        F.lit("``"), F.repeat(F.lit("\U0001F642"), (k % 5).cast("int")),
+    )
+    text = F.concat(F.regexp_replace(text, "`` ``", "-->"), link(k.cast("string")), F.lit(" `"), link(F.lit("code")), F.lit("`\n!"), link(F.lit("image")))
+    text = F.concat(text, F.lit("\n"), F.when(k % 3 == 0, F.lit("```\n")).otherwise(F.lit("")), link(F.lit("last")))
+    rows = table(spark, d, "customer").select("c_custkey", text.alias("raw"))
+    return uri_places(rows, "raw", ("c_custkey",)).select("c_custkey", "uri", "line", "col")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kgspark.functions import uris
 from kgspark.operators import graph, index, links, retrieval
-from kgspark.operators.postings import bare, phrases_of, search_postings, tokens, write_postings
+from kgspark.operators.postings import bare, phrases_of, search_blocks, search_postings, tokens, write_postings
 from kgspark.sources.adjacency import edges_from_json, select_provider
 from kgspark.sources.markdown import list_bases, scan_markdown, scan_report
 
@@ -205,3 +205,24 @@ def test_chunks_of_a_large_section_are_linear():
     assert "".join(r[2] for r in rows) == text and max(len(r[1].encode()) for r in rows) <= 2048
     assert time.perf_counter() - began < 20
     assert [r[2] for r in chunk("🙂" * 30, 17)][0] == "🙂" * 4
+
+
+def test_search_leaves_blocks_unread(spark, tmp_path):
+    """The best rows are those of reading everything, ties and cohorts included, from fewer rows."""
+    rng = random.Random(4)
+    words = ["alpha", "beta", "gamma", *[f"w{k}" for k in range(300)]]
+    texts = [" ".join(rng.choices(words, weights=[40, 8, 1, *[2] * 300], k=int(2 ** rng.uniform(1, 9)))) for _ in range(1500)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *texts[:40], None, ""])], "id long, text string")
+    path = f"{tmp_path}/p"
+    write_postings(docs, path, ["id"], ["text"], block_rows=32)
+    cohort, less = docs.where("id % 3 = 0"), 0
+    for query in ("alpha", "alpha beta", "gamma alpha", "alpha beta gamma", "absent alpha"):
+        for some in (None, cohort):
+            whole = [(r["id"], round(r["score"], 9)) for r in search_postings(spark, path, query, ["id"], some, None).collect()]
+            found, report = search_blocks(spark, path, query, ["id"], some, 7, first=2)
+            assert [(r["id"], round(r["score"], 9)) for r in found.collect()] == whole[:7]
+            assert report["read"] <= report["rows"]
+            less += report["read"] < report["rows"]
+    assert less >= 6
+    few, report = search_blocks(spark, path, "gamma", ["id"], cohort.limit(0), 5)
+    assert few.count() == 0 and report["read_blocks"] == report["blocks"]

@@ -101,3 +101,77 @@ def test_many_headings():
     rows = chunks.chunk("# H\nx\n" * 2000, 96)
     assert len(rows) == 2000 and rows[-1][5] == 3999
     assert "".join(r[2] for r in chunks.chunk("😀" * 1000, 95)) == "😀" * 1000
+
+
+def plain_places(text):
+    """(line, col, at, uri) of links outside code, by a plain walk; columns and places in UTF-16 units."""
+    import re
+
+    wide = lambda s: len(s.encode("utf-16-le")) // 2
+    mask, at, fence = [False] * len(text), 0, None
+    for line in re.findall(r"[^\n]*\n|[^\n]+$", text):
+        body = line.rstrip("\n")
+        m = re.match(r" {0,3}(`{3,}|~{3,})(.*)$", body, re.S)
+        hide = []
+        if fence:
+            hide = [(0, len(line))]
+            if m and m[1][0] == fence[0] and len(m[1]) >= len(fence) and not m[2].strip():
+                fence = None
+        elif m:
+            fence, hide = m[1], [(0, len(line))]
+        else:
+            i = 0
+            while i < len(body):
+                if body[i] != "`" or (i and body[i - 1] == "\\"):
+                    i += 1
+                    continue
+                run = re.match("`+", body[i:])[0]
+                ends = [k.start() for k in re.finditer(r"(?<!`)" + run + "(?!`)", body) if k.start() >= i + len(run)]
+                if ends:
+                    hide.append((i, ends[0] + len(run)))
+                i = ends[0] + len(run) if ends else i + len(run)
+        for a, b in hide:
+            mask[at + a : at + b] = [True] * (b - a)
+        at += len(line)
+    out = []
+    for m in re.finditer(rf"(!?)\[[^\]\n]*\]\(<?({SCHEME}://[^\s)>]+)>?\)", text):
+        if not m[1] and not mask[m.start()]:
+            before = text[: m.start()]
+            out.append((before.count("\n") + 1, wide(before.rsplit("\n", 1)[-1]) + 1, wide(before), m[2]))
+    return out
+
+
+def test_uri_places_of_any_text(spark):
+    import random
+
+    from kgspark.functions.uris import uri_places
+
+    rng = random.Random(7)
+    bits = ["`", "``", "```", "~~~", "~~~~", "\n", "\n", "\n```\n", "\n~~~ x\n", " ", "a", "🙂é", "\\`", "!", f"[l]({SCHEME}://open?vault=v&file=f)", f"[`c`](<{SCHEME}://x>)", "    ", "``` z"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 40))) for _ in range(600)]
+    found = uri_places(spark.createDataFrame(list(enumerate(texts)), "path long, raw string").repartition(4), "raw", ("path",))
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["path"], []).append((r["line"], r["col"], r["at"], r["uri"]))
+    bad = [(t, sorted(got.get(k, [])), plain_places(t)) for k, t in enumerate(texts) if sorted(got.get(k, [])) != plain_places(t)]
+    assert not bad, bad[:3]
+    assert sum(map(len, got.values())) > 300
+
+
+def test_hints_for_all_targets_at_once(spark):
+    """The same as comparing each target with every name."""
+    import random
+
+    from kgspark.operators.links import closest, closest_all
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcD") for _ in range(rng.randrange(1, 11)))
+    names, asked = sorted({word() for _ in range(150)}), sorted({word() for _ in range(25)} | {"", "abcDabcDabcDabcDabcD"})
+    have = spark.createDataFrame([("v", n) for n in names] + [("w", "abc")], "vault string, name string")
+    got = {}
+    for r in closest_all(have, spark.createDataFrame([("v", a) for a in asked] + [("x", "abc")], "vault string, wanted string")).collect():
+        got.setdefault(r["wanted"], []).append((r["distance"], r["name"]))
+    own = have.where("vault = 'v'").select("name").cache()
+    for a in asked:
+        want = [(r["distance"], r["name"]) for r in closest(own, a).collect()] if a else []
+        assert sorted(got.get(a, [])) == sorted(want), a
