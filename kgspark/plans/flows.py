@@ -23,7 +23,8 @@ from kgspark.plans.search import bm25_sql
 from kgspark.session import shared_dir
 from kgspark.sources.adjacency import edges_from_json, select_provider
 from kgspark.sources.collection import table
-from kgspark.sources.markdown import file_info
+from kgspark.sources.markdown import file_info, read_markdown
+from kgspark.sources.note_writer import write_notes
 
 _SIX = lambda c: F.floor(F.col(c) * 1e6 + 0.5) / 1e6
 
@@ -267,3 +268,13 @@ def uri_positions(spark, d):
     text = F.concat(text, F.lit("\n"), F.when(k % 3 == 0, F.lit("```\n")).otherwise(F.lit("")), link(F.lit("last")))
     rows = table(spark, d, "customer").select("c_custkey", text.alias("raw"))
     return uri_places(rows, "raw", ("c_custkey",)).select("c_custkey", "uri", "line", "col")
+
+
+@query("notes_written", f"WITH {NOTES} SELECT path, md5(CASE WHEN path LIKE '%7.md' THEN raw || chr(10) || 'written back' ELSE raw END) AS digest FROM notes")
+def notes_written(spark, d):
+    """Notes as files: all are written, a part is edited and written back, and the folder is read again."""
+    root = _new(spark, "vault")
+    write_notes(raw(spark, d), root)
+    notes = read_markdown(spark, root, "main")
+    write_notes(notes.where(F.col("path").endswith("7.md")).withColumn("raw", F.concat("raw", F.lit("\nwritten back"))), root)
+    return read_markdown(spark, root, "main").select("path", F.md5("raw").alias("digest"))

@@ -111,3 +111,39 @@ def test_queue_in_processing_time(spark, tmp_path):
     assert sorted(found) == [(1, "deleted"), (2, "done")]
     with pytest.raises(ValueError):
         queue.worked(stream, print, "key", forget_ms=1)
+
+
+def _files(root):
+    return {p.relative_to(root).as_posix(): p.read_text() for p in root.rglob("*") if p.is_file() and not p.name.endswith(".crc")}
+
+
+def test_notes_are_written_whole_or_not_at_all(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from kgspark.sources.note_writer import HELD, WHOLE, finish_writes, write_notes
+
+    root = tmp_path / "vault"
+    root.mkdir()
+    notes = spark.range(1000).selectExpr("concat('d', id % 7, '/é ', id, '.md') AS path", "concat('text ', id, '\\n🙂') AS raw").repartition(5)
+    write_notes(notes, str(root))
+    before = _files(root)
+    assert len(before) == 1000 and before["d3/é 10.md"] == "text 10\n🙂"
+    write_notes(notes.where("path like '%5.md'").withColumn("raw", F.upper("raw")), f"file://{root}")
+    edited = _files(root)
+    assert {p for p in before if edited[p] != before[p]} == {p for p in before if p.endswith("5.md")} and set(edited) == set(before)
+    late = F.when(F.col("path").endswith("999.md"), F.raise_error(F.lit("stop"))).otherwise(F.lit("new"))
+    bad = [notes.withColumn("raw", late), notes.withColumn("path", F.lit("same.md")), notes.withColumn("path", F.concat(F.lit("../"), "path")), notes.withColumn("raw", F.lit(None).cast("string"))]
+    for rows in bad:
+        with pytest.raises(Exception):  # noqa: B017
+            write_notes(rows, str(root))
+        assert _files(root) == edited  # nothing written, nothing left over
+    # a driver that died: ahead of the mark nothing holds, behind it everything does
+    for name, whole in (("a", False), ("b", True)):
+        held = root / f"{HELD}{name}" / "t"
+        held.mkdir(parents=True)
+        (held / "0").write_text(f"late {name}")
+        (held.parent / "t.json").write_text(f'[["t/0", "new/{name}.md"], ["t/1", "moved.md"]]')
+        if whole:
+            (held.parent / WHOLE).write_text('["t.json"]')
+    assert finish_writes(str(root)) == {"finished": 1, "removed": 1}
+    assert _files(root) == edited | {"new/b.md": "late b"}
