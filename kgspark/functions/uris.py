@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kgspark.session import stage
+
 #: Fixed value: the scheme that links use.
 SCHEME = "obsidian"
 _URI = rf"(?is)^{SCHEME}://([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
@@ -129,8 +131,9 @@ def uri_places(notes: DataFrame, column: str = "raw", keep: tuple[str, ...] = ("
     Lines and columns count from 1, ``at`` from 0, columns and ``at`` in UTF-16 units. Fences carry over lines until a
     closing one or the end; code spans end on their line.
     """
-    rows = notes.withColumn("_id", F.monotonically_increasing_id())
-    some = rows.where(F.col(column).rlike(f"(?i){SCHEME}://"))  # the rest can't have any
+    # texts that have any, written once: their numbers must be the same wherever they are read
+    some = notes.where(F.col(column).rlike(f"(?i){SCHEME}://")).select(F.monotonically_increasing_id().alias("_id"), *keep, column)
+    some = stage(some, "uri-texts")
     links = pieces(some, column, LINK, 3, 4, 5).where(~F.col("g2").startswith("!"))
     code = pieces(some, column, CODE).select("_id", "at", "to")
     both = links.withColumn("end", F.lit(0).cast("long")).drop("to").unionByName(code.select("_id", "at", F.col("to").alias("end")), allowMissingColumns=True)
@@ -138,7 +141,7 @@ def uri_places(notes: DataFrame, column: str = "raw", keep: tuple[str, ...] = ("
     free = both.withColumn("_m", masked).where(F.col("_k").isNotNull() & (F.col("_m") <= F.col("at")))
     uri = F.when(F.col("g4") != "", F.col("g4")).otherwise(F.col("g5"))
     free = free.select("_id", F.col("_k").alias("ord"), uri.alias("uri"), F.col("g3").alias("label"), F.col("line").cast("long").alias("line"), "col", "at")
-    return free.join(rows.select("_id", *keep), "_id").select(*keep, "ord", "uri", "label", "line", "col", "at")
+    return free.join(some.select("_id", *keep), "_id").select(*keep, "ord", "uri", "label", "line", "col", "at")
 
 
 def note_uris(notes: DataFrame, column: str = "raw", keep: tuple[str, ...] = ("vault", "path")) -> DataFrame:

@@ -22,9 +22,17 @@ def with_signals(results: DataFrame, signals: DataFrame, key: str = "path", vaul
 
 
 def preview(text: Column, units: int = 200) -> Column:
-    """First ``units`` characters and a mark where there is more; white space runs become one blank."""
+    """First ``units`` UTF-16 units and a mark where there is more; white space runs become one blank.
+
+    A character of two units that the cut would halve is left out: a half is no text.
+    """
     flat = F.regexp_replace(text, f"[{WS}]+", " ")
-    return F.when(utf16_length(flat) > units, F.concat(F.substring(flat, 1, units), F.lit("..."))).otherwise(flat)
+    wide = r"[\x{10000}-\x{10FFFF}]"
+    # a filler behind each wide character makes places count units
+    cut = F.substring(F.regexp_replace(flat, f"({wide})", "$1\uffff"), 1, units)
+    cut = F.regexp_replace(F.regexp_replace(cut, wide + r"\z", ""), "\uffff", "")
+    cut = F.when(F.length(flat) == utf16_length(flat), F.substring(flat, 1, units)).otherwise(cut)
+    return F.when(utf16_length(flat) > units, F.concat(cut, F.lit("..."))).otherwise(flat)
 
 
 def best_of_variants(hits: DataFrame, key: list[str], scores: list[str]) -> DataFrame:

@@ -56,7 +56,8 @@ def broken_places(notes: DataFrame, column: str = "raw") -> DataFrame:
 
 
 def stale(notes: DataFrame, as_of: dt.datetime, days: int = 90, kind: str | None = None, skip: tuple[str, ...] = ()) -> DataFrame:
-    """(vault, path, days): notes not changed for ``days`` days before ``as_of``; ``kind`` compares the type field without case."""
+    """(vault, path, days): notes not changed for ``days`` days before ``as_of``, the oldest first, then by path; ``kind``
+    compares the type field without case."""
     at = F.lit(as_of).cast("timestamp")
     age = F.floor((F.unix_millis(at) - F.unix_millis(F.col("mtime").cast("timestamp"))) / 86_400_000)
     rows = notes.where(F.unix_millis(F.col("mtime").cast("timestamp")) < F.unix_millis(at) - days * 86_400_000)
@@ -64,7 +65,7 @@ def stale(notes: DataFrame, as_of: dt.datetime, days: int = 90, kind: str | None
         rows = rows.where(F.lower(F.try_variant_get("props", "$.type", "string")) == kind.lower())
     for prefix in skip:
         rows = rows.where(~F.col("path").startswith(prefix))
-    return rows.select("vault", "path", age.cast("long").alias("days"))
+    return rows.select("vault", "path", age.cast("long").alias("days")).orderBy(F.desc("days"), "path")
 
 
 def vault_health(notes: DataFrame, links: DataFrame, as_of: dt.datetime, days: int = 90) -> DataFrame:

@@ -216,8 +216,9 @@ def test_beside_results(spark):
     hits = notes_of(spark, {"Café.md": "", "x.md": ""}).select("vault", "path")
     signals = spark.createDataFrame([("v", "Café.md", 3), ("w", "x.md", 4)], "vault string, path string, n int")
     assert {r["path"]: r["graph"] and r["graph"]["n"] for r in annotate.with_signals(hits, signals).collect()} == {"Café.md": 3, "x.md": None}
-    text = spark.createDataFrame([("a \n b",), ("x" * 300,)], "t string").select(annotate.preview(F.col("t")).alias("p")).collect()
-    assert text[0]["p"] == "a b" and len(text[1]["p"]) == 203
+    texts = ["a \n b", "x" * 300, "x" * 199 + "🙂y", "🙂" * 150, "🙂" * 100, "x" * 198 + "🙂y"]
+    text = [r["p"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(annotate.preview(F.col("t")).alias("p")).collect()]
+    assert text == ["a b", "x" * 200 + "...", "x" * 199 + "...", "🙂" * 100 + "...", "🙂" * 100, "x" * 198 + "🙂..."]
     assert annotate.Completeness.exact(5, 3).as_dict() == {"state": "exact", "total": 5, "returned": 3, "truncated": True, "has_more": True}
     assert annotate.Completeness.of_limited(11, 10).state == "limit_reached" and annotate.Completeness.partial(3, 2, ["a"] * 20).reasons == ("a",)
     at = F.lit(dt.datetime(2024, 3, 5, 7, 8, 9))
