@@ -8,7 +8,8 @@ share ``overlap(a, b) - max(rest a, rest b)`` shingles (rest: what is behind the
 
 Groups of copies would make all their pairs. So equal sets are one node; then every node is compared with a leader of
 its lists, and nodes that verify join the leader's star. Lists hold a row a star afterwards. Two stars meet once: their
-centres link, or are further apart than both radii allow (Jaccard distance is a metric), or their members are compared.
+centres link, or are further apart than both radii allow (Jaccard distance is a metric), or their members are compared:
+the few next to the centre first, which connect most that can be connected, and all of them only where that didn't.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ CELL_BITS, SLICES = 20, 64  # of the sketch: fixed, whatever the input
 FOLDS = (1, 2, 4, 8, 16, 32, 64)
 ROW_COST, VERIFY_COST = 1.0, 0.1  # of a row of a list, and of a shingle of a partner: about one in ten has a size that fits and is read
 BLOCK = 1 << 21
+FEW = 4  # members next to its centre that stand for a star at first
 SLACK = 1e-9  # distances are compared a little too widely, links by whole numbers
 
 
@@ -301,16 +303,25 @@ def links(docs: DataFrame, owners: DataFrame, size: int, percent: int, cells: np
     if not open_.limit(1).count():
         return found
     members = placed.where("r > 0").select("centre", F.col("node").alias("x"), "r")
-    for nearest in (True, False):
-        found = stage(found, "join-found")
-        left = apart(open_, found)
+    few = members.withColumn("_k", F.row_number().over(Window.partitionBy("centre").orderBy("r", "x"))).where(F.col("_k") <= FEW).drop("_k")
+    few = stage(few, "join-few")
+    open_ = stage(apart(open_, found), "join-left")
+    if not open_.limit(1).count():
+        return found
+    ends = halves(open_, members, wide).select(F.explode(F.array("a", "b")).alias("node"))
+    sets = sets_of(docs, owners, ends, size)
+    for some, nearest in ((few, True), (members, True), (members, False)):
+        left = open_
         if nearest:
             first = left.groupBy("low", "high").agg(F.min_by(F.struct("a", "b"), F.struct("d", "a", "b")).alias("p")).select("p.a", "p.b")
-            left = left.join(first, ["a", "b"], "left_semi")
-        left = stage(left.drop("low", "high"), "join-left")
-        if not left.limit(1).count():
+            left = stage(left.join(first, ["a", "b"], "left_semi"), "join-left")
+        new = stage(member_links(left, some, sets, percent, wide), "join-member-links")
+        found = found.unionByName(new.select("a", "b"))
+        if some is members:  # all of these pairs is known now
+            open_ = open_.join(left.select("a", "b"), ["a", "b"], "left_anti")
+        open_ = stage(merged(open_, new), "join-left")
+        if not open_.limit(1).count():
             break
-        found = found.unionByName(member_links(docs, owners, left, members, size, percent, wide))
     return found
 
 
@@ -322,19 +333,39 @@ def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return pairs.withColumns({"low": F.least("root_a", "root_b"), "high": F.greatest("root_a", "root_b")}).where("low <> high").drop("root_a", "root_b")
 
 
-def member_links(docs: DataFrame, owners: DataFrame, pairs: DataFrame, members: DataFrame, size: int, percent: int, wide: float) -> DataFrame:
-    """Links between the stars of ``pairs``: each member against the other centre, then what distances allow of both stars."""
-    half = lambda c, o: pairs.join(members.withColumnRenamed("centre", c), c).where(F.col("d") - F.col("r") <= wide + F.col(f"r_{o}")).select("x", F.col(o).alias("y"), "r", F.col(f"r_{o}").alias("r_y"), F.lit(c).alias("of"), "a", "b")
-    halves = stage(half("a", "b").unionByName(half("b", "a")), "join-halves")
-    sets = sets_of(docs, owners, halves.select(F.col("x").alias("node")).unionByName(halves.select(F.col("y").alias("node"))), size)
-    seen = verified(halves.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), sets).select(F.col("a").alias("x"), F.col("b").alias("y"), "common", "union")
-    seen = stage(halves.join(seen, ["x", "y"]).withColumn("d", distance()), "join-half-tried")
-    left = seen.where(~near(percent)).where(F.col("d") <= wide + F.col("r_y"))
-    one = left.where("of = 'a'").select("a", "b", F.col("x").alias("xa"), F.col("r").alias("ra"), F.col("d").alias("da"))
-    two = left.where("of = 'b'").select("a", "b", F.col("x").alias("xb"), F.col("r").alias("rb"), F.col("d").alias("db"))
-    last = one.join(two, ["a", "b"]).where((F.col("da") - F.col("rb") <= wide) & (F.col("db") - F.col("ra") <= wide))
-    last = verified(last.select(F.col("xa").alias("a"), F.col("xb").alias("b")).distinct(), sets)
-    return seen.where(near(percent)).select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(last.where(near(percent)).select("a", "b"))
+def merged(pairs: DataFrame, new: DataFrame) -> DataFrame:
+    """``pairs`` (low, high, ...) that are still apart when ``new`` has connected its components (low, high)."""
+    root = stage(components(new.select(F.col("low").alias("a"), F.col("high").alias("b"))), "join-roots")
+    for c in ("low", "high"):
+        pairs = pairs.join(root.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left").withColumn(f"root_{c}", F.coalesce(f"root_{c}", c))
+    pairs = pairs.withColumns({"low": F.least("root_low", "root_high"), "high": F.greatest("root_low", "root_high")})
+    return pairs.where("low <> high").drop("root_low", "root_high")
+
+
+def halves(pairs: DataFrame, members: DataFrame, wide: float) -> DataFrame:
+    """(a, b): members and the other star's centre, where distances let them or any member of the other star link.
+
+    A member has one star, so it meets a centre once. ``pair``: the two centres; ``of``: whose member a is.
+    """
+    rows = []
+    for c, o in ("ab", "ba"):
+        both = pairs.join(members.withColumnRenamed("centre", c), c).where(F.col("d") - F.col("r") <= wide + F.col(f"r_{o}"))
+        rows.append(both.select(F.col("x").alias("a"), F.col(o).alias("b"), "r", F.col(f"r_{o}").alias("r_other"), F.lit(c).alias("of"), F.struct("a", "b").alias("pair"), "low", "high"))
+    return rows[0].unionByName(rows[1])
+
+
+def member_links(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int, wide: float) -> DataFrame:
+    """Links (a, b) between the stars of ``pairs``, with the components (low, high) that they connect.
+
+    Each member against the other centre, then what distances allow of both stars.
+    """
+    seen = stage(verified(stage(halves(pairs, members, wide), "join-halves"), sets).withColumn("d", distance()), "join-half-tried")
+    left = seen.where(~near(percent)).where(F.col("d") <= wide + F.col("r_other"))
+    one = left.where("of = 'a'").select("pair", "low", "high", F.col("a").alias("xa"), F.col("r").alias("ra"), F.col("d").alias("da"))
+    two = left.where("of = 'b'").select("pair", F.col("a").alias("xb"), F.col("r").alias("rb"), F.col("d").alias("db"))
+    last = one.join(two, "pair").where((F.col("da") - F.col("rb") <= wide) & (F.col("db") - F.col("ra") <= wide))
+    last = verified(last.select(F.col("xa").alias("a"), F.col("xb").alias("b"), "low", "high"), sets)
+    return seen.where(near(percent)).select("a", "b", "low", "high").unionByName(last.where(near(percent)).select("a", "b", "low", "high"))
 
 
 def similar_documents(docs: DataFrame, percent: int = PERCENT, size: int = SIZE) -> DataFrame:

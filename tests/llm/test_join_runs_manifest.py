@@ -84,6 +84,28 @@ def test_join_of_groups(spark, percent, size, seed):
     assert joined(got) == brute_components(rows, percent, size)
 
 
+def test_stars_try_few_members_first(spark, monkeypatch):
+    """Texts just out of reach of a large star's centre meet a few members first, and all of them only if that is needed."""
+    from kgspark.llm import jaccard_join
+
+    rng = random.Random(21)
+    base, rows, staged = [f"w{k}" for k in range(150)], [], []
+
+    def edited(k):
+        words = list(base)
+        for i in rng.sample(range(len(words)), k):
+            words[i] = f"e{rng.randrange(10**9)}"
+        return " ".join(words)
+
+    rows = list(enumerate([edited(rng.choice([1, 2, 3])) for _ in range(150)] + [edited(rng.choice([3, 4, 5, 6])) for _ in range(60)]))
+    kept = jaccard_join.stage
+    monkeypatch.setattr(jaccard_join, "stage", lambda df, name: staged.append((name, kept(df, name))) or staged[-1][1])
+    got = jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    assert joined(got) == brute_components(rows)
+    compared = [df.count() for name, df in staged if name == "join-halves"]
+    assert 0 < sum(compared) <= 1500  # 3591 when every member met the centres at once
+
+
 def test_join_at_the_limit_and_long_texts(spark):
     from kgspark.llm.jaccard_join import similar_documents
 
