@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kgspark.llm.charvec import SCRIPT_NAMES, Chars, ngram_hashes, script_table, word_runs
-from kgspark.llm.common import id_fold, keep_rows, one_text_an_id, read_table, text_blocks
+from kgspark.llm.common import PACKED, id_fold, keep_rows, one_text_an_id, packed_counts, read_table, summed_counts, text_blocks
 
 BITS = 16
 CELLS = 1 << 24  # trigram counts of all languages together: with over 256 languages each has fewer hash buckets
@@ -249,23 +249,25 @@ def fit_documents(docs: DataFrame, per_lang: int = 400, modulus: int = 4, held_o
     ids = thin.withColumn("_k", F.row_number().over(lot)).where(F.col("_k") <= per_lang)
     ids = ids.select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"))
     sample = rows.join(F.broadcast(ids), (F.col("doc_id") == F.col("_id")) & (F.col("lang") == F.col("_lang"))).select("doc_id", "lang", "text")
-    number = {name: k for k, name in enumerate(names)}
+    number, width = {name: k for k, name in enumerate(names)}, (1 << bits) + len(SCRIPT_NAMES)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for b in text_blocks(batch, "text", 3 << 20):
+            for b in text_blocks(batch, "text", 1 << 20):
                 langs, texts = b.column(0).to_pylist(), [x.as_py() or "" for x in b.column(1)]
                 for name in set(langs):
                     # buckets of trigrams, and behind them scripts
                     n = np.concatenate(count_words([t for t, x in zip(texts, langs) if x == name], bits))
-                    at = np.flatnonzero(n)
-                    columns = [pa.array(np.full(len(at), number[name], np.int32)), pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64))]
-                    yield pa.RecordBatch.from_arrays(columns, ["k", "cell", "n"])
-
-    cells = one_text_an_id(sample, "doc_id", "lang").select("lang", "text").mapInArrow(count, "k int, cell int, n long")
-    got = cells.groupBy("k", "cell").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(((1 << bits) + len(SCRIPT_NAMES), len(names)))
-    table[got["cell"].to_numpy(), got["k"].to_numpy()] = got["n"].to_numpy()
+                    k = number[name]
+                    sums[k] = sums[k] + n if k in sums else n
+                    if len(sums) * width > 1 << 21:  # many languages: no task holds them all
+                        yield from packed_counts(sums)
+                        sums = {}
+        yield from packed_counts(sums)
+
+    cells = one_text_an_id(sample, "doc_id", "lang").select("lang", "text").mapInArrow(count, PACKED)
+    table = summed_counts(cells, len(names), width).T
     return from_counts(names, table[: 1 << bits], table[1 << bits :])
 
 

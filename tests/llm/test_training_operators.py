@@ -194,6 +194,24 @@ def test_language(spark, docs, empty):
     assert {r["lang_pred"] for r in nobody} == {"und"}
 
 
+def test_language_counts_are_packed(spark, monkeypatch):
+    """Fits over many tasks equal one over all texts, and no step makes a row for each count."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from kgspark.llm.langid import fit, fit_documents
+
+    rng, made = random.Random(4), []
+    words = {x: [f"{x}{rng.randrange(10**6):x}".replace("0", "q") for _ in range(300)] for x in ("en", "de", "fi")}
+    rows = [(i, " ".join(rng.choice(words[x]) for _ in range(40)), x) for i, x in enumerate(rng.choice(["en", "de", "fi"]) for _ in range(200))]
+    kept = DataFrame.mapInArrow
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda df, f, schema, **more: made.append(kept(df, f, schema, **more)) or made[-1])
+    got = fit_documents(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(16))
+    learned = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    want = fit([r[1] for r in learned], [r[2] for r in learned])
+    assert got.langs == want.langs and np.array_equal(got.weight, want.weight) and np.array_equal(got.scripts, want.scripts)
+    assert made and all(df.count() <= 3 * 16 * 4 for df in made)  # languages, parts, tasks
+
+
 def test_language_held_out(spark, data_dir):
     from kgspark.llm.langid import op2_language_id
 
