@@ -1,8 +1,8 @@
 """Quality rules: an isolation forest on rule statistics.
 
-Each document gives counts (words, symbols, repeated lines and windows, ...) and ratios of them. Trees split a small
-sample of documents at random; documents that few splits set apart are anomalous. The score at which a document is
-rejected is calibrated on labelled rows.
+Each document gives counts (words, symbols, repeated lines and windows, ...) and ratios of them. Trees split their
+range at random, and all good labelled documents are counted in the leaves; documents that few splits set apart from
+them are anomalous. The score at which a document is rejected is calibrated on all labelled rows.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import keep_rows, read_table
+from kgspark.llm.common import PACKED, keep_rows, packed_counts, read_table, stage, summed_counts
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -23,6 +23,7 @@ SYMBOLS = tuple(bytes([c]) for c in b"#*$%&|<>")
 SPACES = tuple(bytes([c]) for c in b" \t\n\x0b\x0c\r")
 UPPER, LOUD = bytes(range(65, 91)), b"!?"
 FEATURES = ("symbols", "upper", "loud", "dup_lines", "repeats")
+CELLS = 1 << 16  # of scores, when the limit is set
 _MIX = np.array([pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(WINDOW)], dtype=np.uint64)
 
 
@@ -74,31 +75,42 @@ def statistics(raw: bytes) -> tuple[list[int], list[float]]:
 STATS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
-def rule_statistics(docs: DataFrame, keep: list[str] | None = None, forest: Forest | None = None) -> DataFrame:
-    """Statistics of each document; with ``forest`` its anomaly score, without it the features. ``keep``: columns to carry.
-
-    A null text has no words.
-    """
+def rule_statistics(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """Statistics and features of each document. ``keep``: columns to carry. A null text has no words."""
     keep = keep or []
-    shared = docs.sparkSession.sparkContext.broadcast(forest)
     kept = ", ".join(f"`{n}` {k}" for n, k in docs.select(*keep).dtypes) if keep else ""
-    schema = (f"{kept}, " if kept else "") + STATS + (", anomaly double" if forest else ", features array<double>")
+    schema = (f"{kept}, " if kept else "") + STATS + ", features array<double>"
     names = [x.strip().split()[0] for x in STATS.split(",")]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = shared.value
         for b in batches:
             found = [statistics((x.as_py() or b"")) for x in b.column(1)]
             counts = np.array([x[0] for x in found], dtype=np.int64).reshape(len(found), 5)
-            features = np.array([x[1] for x in found], dtype=np.float64).reshape(len(found), len(FEATURES))
-            last = pa.array(f.score(features)) if f else pa.array(list(features), pa.list_(pa.float64()))
-            columns = [*(b.column(i) for i in range(2, b.num_columns)), b.column(0), *(pa.array(counts[:, i]) for i in range(5)), last]
-            yield pa.RecordBatch.from_arrays(columns, [*keep, *names, "anomaly" if f else "features"])
+            features = pa.array([x[1] for x in found], pa.list_(pa.float64()))
+            columns = [*(b.column(i) for i in range(2, b.num_columns)), b.column(0), *(pa.array(counts[:, i]) for i in range(5)), features]
+            yield pa.RecordBatch.from_arrays(columns, [*keep, *names, "features"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("binary").alias("_text"), *keep)
     return rows.mapInArrow(scan, schema)
 
 
+def scored(stats: DataFrame, forest: Forest) -> DataFrame:
+    """``stats`` with ``anomaly`` in place of ``features``."""
+    shared = stats.sparkSession.sparkContext.broadcast(forest)
+    rest = [c for c in stats.columns if c != "features"]
+    kinds = dict(stats.dtypes)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(shared.value.score(matrix(b.columns[-1])))], [*rest, "anomaly"])
+
+    return stats.select(*rest, "features").mapInArrow(scan, ", ".join(f"{c} {kinds[c]}" for c in rest) + ", anomaly double")
+
+
+def matrix(features: pa.Array) -> np.ndarray:
+    return np.asarray(features.flatten(), dtype=np.float64).reshape(len(features), len(FEATURES))
+
+
 @dataclass
 class Forest:
     """Trees of one depth in arrays: node k has children 2k+1 and 2k+2; a leaf's path length is its depth and c(rows)."""
@@ -117,80 +129,129 @@ class Forest:
         return np.where(n > 1, 2 * (np.log(m - 1) + 0.5772156649) - 2 * (m - 1) / m, 0.0) * np.where(n == 2, 1 / max(1e-9, 0.15443133), 1)
 
     @classmethod
-    def fit(cls, rows: np.ndarray, box: np.ndarray | None = None, trees: int = 200, sample: int = 256, seed: int = 5) -> Forest:
-        """Splits are uniform in a node's part of ``box`` (least and most of each feature), not only between its rows.
+    def grow(cls, box: np.ndarray, rows: int, trees: int = 200, sample: int = 256, seed: int = 5) -> Forest:
+        """Trees of splits that are uniform in a node's part of ``box`` (least and most of each feature), lengths still 0.
 
-        So a region that no row of the sample reaches is cut off by few splits, even where a feature never varies.
+        No row takes part in a split, so all rows can be counted in the leaves afterwards, and a region that none of
+        them reaches is cut off by few splits, even where a feature never varies. Depths are those of ``sample`` rows.
         """
         rng = np.random.default_rng(seed)
-        box = np.array([rows.min(0), rows.max(0)]) if box is None else box
-        sample = min(sample, len(rows))
+        sample = min(sample, rows)
         depth = max(1, int(np.ceil(np.log2(max(2, sample)))))
         inner, leaves = 2**depth - 1, 2**depth
-        feature, split, length = np.zeros((trees, inner), np.int32), np.full((trees, inner), np.inf), np.zeros((trees, leaves))
+        feature, split = np.zeros((trees, inner), np.int32), np.full((trees, inner), np.inf)
         for t in range(trees):
-            at = {0: (rows[rng.choice(len(rows), sample, replace=False)], box, None)}
-            for node in range(inner + leaves):
-                x, part, ended = at.pop(node)
-                if ended is None and (node >= inner or len(x) <= 1 or not (part[1] > part[0]).any()):
-                    ended = int(np.log2(node + 1)) + float(cls.c(len(x)))
-                if node >= inner:
-                    length[t, node - inner] = ended
-                elif ended is not None:  # everything goes left; both children say the same
-                    at[2 * node + 1] = at[2 * node + 2] = (x, part, ended)
-                else:
-                    j = int(rng.choice(np.flatnonzero(part[1] > part[0])))
+            parts = {0: box}
+            for node in range(inner):
+                part = parts.pop(node)
+                wide = np.flatnonzero(part[1] > part[0])
+                lower, upper = part.copy(), part.copy()
+                if len(wide):  # without a split everything goes left
+                    j = int(rng.choice(wide))
                     feature[t, node], split[t, node] = j, rng.uniform(part[0, j], part[1, j])
-                    lower, upper, less = part.copy(), part.copy(), x[:, j] < split[t, node]
                     lower[1, j] = upper[0, j] = split[t, node]
-                    at[2 * node + 1], at[2 * node + 2] = (x[less], lower, None), (x[~less], upper, None)
-        return cls(feature, split, length, sample)
+                parts[2 * node + 1], parts[2 * node + 2] = lower, upper
+        return cls(feature, split, np.zeros((trees, leaves)), sample)
 
-    def score(self, rows: np.ndarray) -> np.ndarray:
-        """2 ^ (- mean path length / c(sample)): near 1 for anomalies, 0.5 and less for ordinary rows."""
-        total, inner = np.zeros(len(rows)), self.feature.shape[1]
-        index = np.arange(len(rows))
-        for feature, split, length in zip(self.feature, self.split, self.length):
+    def leaves(self, rows: np.ndarray) -> Iterator[np.ndarray]:
+        """The leaf of each row, tree by tree."""
+        inner, index = self.feature.shape[1], np.arange(len(rows))
+        for feature, split in zip(self.feature, self.split):
             node = np.zeros(len(rows), dtype=np.int64)
             for _ in range(int(np.log2(inner + 1))):
                 node = 2 * node + 1 + (rows[index, feature[node]] >= split[node])
-            total += length[node - inner]
+            yield node - inner
+
+    def counts(self, rows: np.ndarray) -> np.ndarray:
+        """(trees, leaves): how many rows each leaf has."""
+        return np.stack([np.bincount(x, minlength=self.length.shape[1]) for x in self.leaves(rows)])
+
+    def lengthen(self, counts: np.ndarray, rows: int) -> Forest:
+        """Set path lengths by the rows of all leaves: a path ends where at most one row in ``sample`` is left, or nothing can be split."""
+        mass = counts * (self.sample / rows)
+        depth = int(np.log2(counts.shape[1]))
+        self.length = depth + self.mean_path(mass)
+        for level in range(depth - 1, -1, -1):  # the highest end counts
+            first, width = 2**level - 1, counts.shape[1] >> level
+            at = mass.reshape(len(mass), -1, width).sum(2)
+            ended = (at <= 1 + 1e-9) | np.isinf(self.split[:, first : 2 * first + 1])
+            self.length = np.where(np.repeat(ended, width, axis=1), np.repeat(level + self.mean_path(at), width, axis=1), self.length)
+        return self
+
+    @classmethod
+    def mean_path(cls, mass: np.ndarray) -> np.ndarray:
+        """``c`` of numbers that needn't be whole: straight lines between 1, 2 and 3."""
+        return np.where(mass < 3, np.interp(mass, [1, 2, 3], cls.c(np.array([1, 2, 3]))), cls.c(np.maximum(mass, 3)))
+
+    @classmethod
+    def fit(cls, rows: np.ndarray, box: np.ndarray | None = None, trees: int = 200, sample: int = 256, seed: int = 5) -> Forest:
+        forest = cls.grow(np.array([rows.min(0), rows.max(0)]) if box is None else box, len(rows), trees, sample, seed)
+        return forest.lengthen(forest.counts(rows), len(rows))
+
+    def score(self, rows: np.ndarray) -> np.ndarray:
+        """2 ^ (- mean path length / c(sample)): near 1 for anomalies, 0.5 and less for ordinary rows."""
+        total = np.zeros(len(rows))
+        for length, leaf in zip(self.length, self.leaves(rows)):
+            total += length[leaf]
         return 2.0 ** (-total / len(self.feature) / max(float(self.c(self.sample)), 1e-9))
 
 
 def calibrate(scores: np.ndarray, good: np.ndarray, keep: float = 0.995) -> float:
     """The highest balanced accuracy's limit among those that keep ``keep`` of the good rows; 1 (all kept) without both labels."""
-    if not good.any() or good.all():
+    values, at = np.unique(scores, return_inverse=True)
+    return limit_of(values, values, np.bincount(at, weights=good), np.bincount(at, weights=~good), keep)
+
+
+def limit_of(low: np.ndarray, high: np.ndarray, good: np.ndarray, bad: np.ndarray, keep: float = 0.995) -> float:
+    """``calibrate`` from counts of good and bad rows in cells of scores, in order, between ``low`` and ``high``."""
+    if not good.sum() or not bad.sum():
         return 1.0
-    cuts = np.unique(scores)
-    cuts = np.append((cuts[1:] + cuts[:-1]) / 2, cuts[-1] + 1e-9) if len(cuts) > 1 else np.array([1.0])
-    kept_good, kept_bad = np.sort(scores[good]), np.sort(scores[~good])
-    tpr = np.searchsorted(kept_good, cuts, side="right") / len(kept_good)
-    fpr = np.searchsorted(kept_bad, cuts, side="right") / len(kept_bad)
+    cuts = np.append((high[:-1] + low[1:]) / 2, high[-1] + 1e-9) if len(low) > 1 else np.array([1.0])
+    tpr, fpr = np.cumsum(good) / good.sum(), np.cumsum(bad) / bad.sum()
     value = np.where(tpr >= keep, tpr - fpr, -1)
     best = np.flatnonzero(value == value.max())
     return float(cuts[best].mean()) if value.max() > 0 else 1.0
 
 
-def fit_forest(docs: DataFrame, labels: DataFrame, sample_rows: int = 4000, seed: int = 5) -> Forest | None:
-    """A forest on up to ``sample_rows`` labelled documents (chosen by hash of id); only features reach the driver.
+def text_statistics(docs: DataFrame) -> DataFrame:
+    """Statistics, features and the text's hash of all documents, worked out once."""
+    return stage(rule_statistics(docs.select("doc_id", "text", F.xxhash64("text").alias("h")), ["h"]), "rule-statistics")
+
+
+def fit_forest(docs: DataFrame, labels: DataFrame, seed: int = 5, stats: DataFrame | None = None) -> Forest | None:
+    """A forest on all labelled documents: none is left out, and their rows stay in tasks.
 
-    Trees grow on the sample's good rows that pass the base rules, within the range of all its rows; the limit is set on
-    all of the sample. An id that several documents have stands for the one whose text has the smallest hash. None only
-    where no good row passes the base rules; of very few rows the trees are shallow and reject little.
+    Trees split the range of all labelled rows that pass the base rules; every good one of them is counted in its leaf
+    of every tree, and the limit is set on counts of all of them, in 65,536 cells of scores. The driver gets the range,
+    the leaves' counts and the cells' counts. An id that several documents have stands for the one whose text has the
+    smallest hash. None only where no good row passes the base rules; of very few rows the trees are shallow and reject
+    little. ``stats``: ``text_statistics`` of ``docs``, where they are there already.
     """
-    ids = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("y"))
-    ids = ids.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample_rows)
-    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(F.broadcast(ids), "doc_id")
-    stats = rule_statistics(rows, ["y", "h"]).groupBy("doc_id").agg(F.min(F.struct("h", "n_words", "n_repeat_words", "y", "features")).alias("s"))
-    got = sorted((r["doc_id"], *r["s"][1:]) for r in stats.collect())
-    got = [r for r in got if not base_failed(r[1], r[2])]
-    good = np.array([r[3] == 1 for r in got], dtype=bool)
-    if not good.any():
+    ids = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("y"))
+    rows = (text_statistics(docs) if stats is None else stats).join(ids, "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("h", "n_words", "n_repeat_words", "y", "features")).alias("s")).select("s.*")
+    rows = rows.where(~base_failed(F.col("n_words"), F.col("n_repeat_words"))).select((F.col("y") == 1).cast("int").alias("good"), "features")
+    rows = stage(rows, "rule-labelled")
+    ends = [f(F.col("features")[i]) for f in (F.min, F.max) for i in range(len(FEATURES))]
+    n, *ends = rows.agg(F.coalesce(F.sum("good"), F.lit(0)), *ends).first()
+    if not n:
         return None
-    x = np.array([r[4] for r in got])
-    forest = Forest.fit(x[good], np.array([x.min(0), x.max(0)]), seed=seed)
-    forest.limit = calibrate(forest.score(x), good)
+    forest = Forest.grow(np.array(ends, dtype=np.float64).reshape(2, -1), n, seed=seed)
+    shared = docs.sparkSession.sparkContext.broadcast(forest)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(forest_cells, np.int64)
+        for b in batches:
+            total += shared.value.counts(matrix(b.column(0))).ravel()
+        yield from packed_counts({0: total})
+
+    forest_cells = forest.length.size
+    counts = summed_counts(rows.where("good = 1").select("features").mapInArrow(count, PACKED), 1, forest_cells)
+    forest = forest.lengthen(counts.reshape(forest.length.shape), n)
+    cell = F.floor(F.col("anomaly") * CELLS).cast("int").alias("cell")
+    got = scored(rows, forest).groupBy(cell).agg(F.sum("good").alias("good"), F.count("*").alias("n")).orderBy("cell").toArrow()
+    cells, good = (got[x].to_numpy().astype(np.float64) for x in ("cell", "good"))
+    forest.limit = limit_of(cells / CELLS, (cells + 1) / CELLS, good, got["n"].to_numpy() - good)
     return forest
 
 
@@ -204,8 +265,9 @@ def quality_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     A null text has no words and fails the base rule. Repeated rows are scored each. Extra columns don't matter. Without
     a good labelled row that passes the base rules the forest is absent and only the base rules reject.
     """
-    forest = fit_forest(docs, labels)
-    out = rule_statistics(docs, forest=forest)
+    stats = text_statistics(docs)
+    forest = fit_forest(docs, labels, stats=stats)
+    out = scored(stats.drop("h"), forest) if forest else stats.drop("h")
     failed = base_failed(F.col("n_words"), F.col("n_repeat_words"))
     passed = (F.col("anomaly") <= F.lit(forest.limit)) if forest else F.lit(True)
     out = out.withColumn("base_failed", failed).withColumn("kept", ~failed & passed)

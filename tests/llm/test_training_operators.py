@@ -876,6 +876,23 @@ def test_kept_by_hand(spark):
             assert len([i for i in kept if i % 3]) >= 78 and len([i for i in kept if i % 3 == 0]) <= 4
 
 
+def test_forest_counts_all_labelled_rows(spark):
+    """Of over 4,000 labelled documents all are counted: range, leaves and limit are those of a fit on every one."""
+    from kgspark.llm.quality_rules import Forest, calibrate, fit_forest, statistics
+
+    rng = random.Random(15)
+    texts = [" ".join(rng.choice(["word", "Word", "x%", "hey!"] if i % 9 else ["$$", "BUY!!"]) + str(rng.randrange(900)) for _ in range(rng.randrange(21, 40))) for i in range(4300)]
+    labels = [(i, int(i % 9 > 0)) for i in range(4300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = fit_forest(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    x, good = np.array([statistics(t.encode())[1] for t in texts]), np.array([y == 1 for _, y in labels])
+    want = Forest.fit(x[good], np.array([x.min(0), x.max(0)]))
+    assert np.array_equal(got.split, want.split) and np.allclose(got.length, want.length)
+    scores = want.score(x)
+    assert got.limit == pytest.approx(calibrate(scores, good), abs=1e-3)
+    assert (scores[good] <= got.limit).mean() >= 0.995 and (scores[~good] > got.limit).mean() > 0.9
+
+
 def test_forest_finds_the_odd():
     from kgspark.llm.quality_rules import Forest, calibrate
 
