@@ -30,7 +30,7 @@ SIZE, PERCENT = 5, 80
 CELL_BITS, SLICES = 20, 64  # of the sketch: fixed, whatever the input
 FOLDS = (1, 2, 4, 8, 16, 32, 64)
 ROW_COST, VERIFY_COST = 1.0, 0.1  # of a row of a list, and of a shingle of a partner: about one in ten has a size that fits and is read
-BLOCK = 1 << 21
+BLOCK = 1 << 20  # bytes of text whose arrays a task holds at once
 FEW = 4  # members next to its centre that stand for a star at first
 SLACK = 1e-9  # distances are compared a little too widely, links by whole numbers
 

@@ -22,6 +22,7 @@ from kgspark.llm.common import PACKED, id_fold, keep_rows, one_text_an_id, packe
 BITS = 16
 CELLS = 1 << 24  # trigram counts of all languages together: with over 256 languages each has fewer hash buckets
 CHUNK = 1024
+BLOCK = 1 << 20  # bytes of text whose arrays a task holds at once
 ORDER = 3
 UNKNOWN = "und"
 OUT_OF_SCRIPT = -1e4
@@ -254,7 +255,7 @@ def fit_documents(docs: DataFrame, per_lang: int = 400, modulus: int = 4, held_o
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for b in text_blocks(batch, "text", 1 << 20):
+            for b in text_blocks(batch, "text", BLOCK):
                 langs, texts = b.column(0).to_pylist(), [x.as_py() or "" for x in b.column(1)]
                 for name in set(langs):
                     # buckets of trigrams, and behind them scripts
@@ -274,7 +275,7 @@ def fit_documents(docs: DataFrame, per_lang: int = 400, modulus: int = 4, held_o
 COLUMNS = "doc_id long, held_out boolean, lang_pred string, score double, n_spans int, spans array<struct<first: int, end: int, lang: string>>"
 
 
-def identify_documents(docs: DataFrame, max_bytes: int = 3 << 20, model: Model | None = None) -> DataFrame:
+def identify_documents(docs: DataFrame, max_bytes: int = BLOCK, model: Model | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score, n_spans, spans for each document.
 
     ``score``: the language's share of the letters. ``spans``: the runs of words of one language, by first character and
@@ -316,7 +317,7 @@ def language_stage(spark, docs: DataFrame, sf_dir: str, least: float = 0.3) -> D
         found = identify(shared.value, [t.decode("utf-8", "replace") for t in texts])
         return (np.array(found.lang, dtype=object) != UNKNOWN) & (found.share >= least)
 
-    return keep_rows(docs, decide, 3 << 20)
+    return keep_rows(docs, decide, BLOCK)
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:

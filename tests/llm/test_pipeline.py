@@ -108,6 +108,28 @@ def test_simhash_majority():
     assert [int(x) for x in majority(h, start)] == want
 
 
+def test_blocks_bound_memory():
+    """What a worker holds for a block of text: arrays of languages and shingles stay under 48 MB (98 and 64 before)."""
+    import tracemalloc
+
+    from kgspark.llm import jaccard_join, langid
+    from kgspark.llm.shingling import majority, shingles
+
+    text = "the cat and the dog went to the house of her mother on a rainy morning in may "
+    texts = lambda size: [f"{i} {text * 25}" for i in range(size // (25 * len(text)))]
+    model = langid.fit([text * 20, "der hund und die katze " * 20], ["en", "de"])
+    for work, size in (
+        (lambda x: langid.identify(model, x), getattr(langid, "BLOCK", 3 << 20)),
+        (lambda x: majority(*shingles([t.encode() for t in x], 5)), jaccard_join.BLOCK),
+    ):
+        x = texts(size)
+        tracemalloc.start()
+        work(x)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 48 << 20, peak >> 20
+
+
 def test_mix_and_pack(stages):
     from test_training_operators import WORDS, brute_targets
 
