@@ -308,7 +308,8 @@ def links(docs: DataFrame, owners: DataFrame, size: int, percent: int, cells: np
     open_ = stage(apart(open_, found), "join-left")
     if not open_.limit(1).count():
         return found
-    ends = halves(open_, members, wide).select(F.explode(F.array("a", "b")).alias("node"))
+    stars_left = open_.select(F.explode(F.array("a", "b")).alias("centre")).distinct()
+    ends = stars_left.select(F.col("centre").alias("node")).unionByName(members.join(stars_left, "centre", "left_semi").select(F.col("x").alias("node")))
     sets = sets_of(docs, owners, ends, size)
     for some, nearest in ((few, True), (members, True), (members, False)):
         left = open_
