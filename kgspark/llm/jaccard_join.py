@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kgspark.llm.common import read_table, stage, text_blocks
+from kgspark.llm.common import dropped, read_table, stage, text_blocks
 from kgspark.llm.graph import components
 from kgspark.llm.shingling import majority, mixed, shingles
 
@@ -179,9 +179,10 @@ def sets_of(docs: DataFrame, owners: DataFrame, wanted: DataFrame, size: int) ->
     but none is missed; so no text is shuffled.
     """
     kind = F.xxhash64(F.lit(53), "doc_id")
+    about = wanted.agg(F.approx_count_distinct("node")).first()[0]  # only sizes the bits
+    bits = min(27, max(10, (16 * max(1, about)).bit_length()))
     ids = owners.join(wanted.select("node").distinct(), "node", "left_semi").select(kind.alias("k"))
-    bits = min(27, max(10, (16 * max(1, ids.count())).bit_length()))
-    slots = ids.select((F.shiftrightunsigned("k", 64 - bits)).alias("at")).distinct()
+    slots = ids.select((F.shiftrightunsigned("k", 64 - bits)).alias("at"))
     words = slots.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("b"))
     got = words.select("w", "b").toArrow()
     table = np.zeros(max(1, 1 << (bits - 6)), np.uint64)
@@ -231,17 +232,18 @@ def needed(percent: int, na: str, nb: str, rest_a: str, rest_b: str) -> Column:
     return F.greatest(F.lit(1).cast("long"), overlap(F.col(na), F.col(nb), percent) - F.greatest(rest_a, rest_b))
 
 
-def chosen(open_: DataFrame, shared: DataFrame, nodes: DataFrame, turn: int, percent: int) -> DataFrame:
+def chosen(open_: DataFrame, shared: DataFrame, turn: int, percent: int) -> DataFrame:
     """(a, b): each node with the leader that most of its lists have, where sizes and shared shingles let them link.
 
     A list's leader is its first node in an order that each turn draws anew, so that lists of one group agree on it and
-    what one leader doesn't reach the next may.
+    what one leader doesn't reach the next may. Lists have their nodes' sizes, so a pair's are known where it is made; a
+    node makes a row a shingle of its prefix at most, and both sums over these are made where they meet.
     """
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("rest").alias(f"rest_{c}"))
-    first = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node")).alias("l")
-    lists = shared.groupBy("token").agg(first).select("token", F.col("l.node").alias("leader"))
-    pairs = open_.join(lists, "token").where("node <> leader").groupBy(F.col("node").alias("a"), F.col("leader").alias("b")).agg(F.count("*").alias("c"))
-    pairs = pairs.join(side("a"), "a").join(side("b"), "b").where(sizes_fit(percent, "n_a", "n_a", "n_b", "n_b"))
+    first = F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "n", "rest")).alias("l")
+    lists = shared.groupBy("token").agg(first).select("token", F.col("l.node").alias("b"), F.col("l.n").alias("n_b"), F.col("l.rest").alias("rest_b"))
+    pairs = open_.select("token", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("rest").alias("rest_a")).join(lists, "token").where("a <> b").drop("token")
+    pairs = pairs.where(sizes_fit(percent, "n_a", "n_a", "n_b", "n_b")).repartition("a")
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("c"), *[F.first(x).alias(x) for x in ("n_a", "rest_a", "n_b", "rest_b")])
     pairs = pairs.where(F.col("c") >= needed(percent, "n_a", "n_b", "rest_a", "rest_b"))
     return pairs.groupBy("a").agg(F.max_by("b", F.struct("c", -F.col("b"))).alias("b"))
 
@@ -251,16 +253,20 @@ def stars(docs: DataFrame, owners: DataFrame, shared: DataFrame, nodes: DataFram
 
     ``hints`` (a, b) are leaders b of nodes a that are tried first. Only saves work: whatever has no star is compared below.
     """
-    out, open_ = None, shared.select("token", "node")
+    out, open_ = None, shared
     for turn in range(0 if hints is None else -1, rounds):
-        best = stage(chosen(open_, shared, nodes, turn, percent) if turn >= 0 else hints.join(nodes.select(F.col("node").alias("a")), "a", "left_semi"), "join-leaders")
-        if not best.limit(1).count():
+        best = stage(chosen(open_, shared, turn, percent) if turn >= 0 else hints.join(nodes.select(F.col("node").alias("a")), "a", "left_semi"), "join-leaders")
+        if best.isEmpty():
             continue
         sets = sets_of(docs, owners, best.select(F.explode(F.array("a", "b")).alias("node")), size)
         new = stage(verified(best, sets).where(near(percent)).select(F.col("a").alias("node"), F.col("b").alias("leader"), distance().alias("r")), "join-stars")
-        out = new if out is None else stage(out.unionByName(new), "join-stars")
+        dropped(best, sets)
+        if out is not None:
+            old, new = (out, new), stage(out.unionByName(new), "join-stars")
+            dropped(*old)
+        out = new
         gone = out.select(F.explode(F.array("node", "leader")).alias("node")).distinct()
-        open_ = open_.join(gone, "node", "left_anti")
+        open_ = shared.join(gone, "node", "left_anti")  # of all turns so far
     return out if out is not None else nodes.limit(0).select("node", F.col("node").alias("leader"), F.lit(0.0).alias("r"))
 
 
@@ -282,6 +288,7 @@ def links(docs: DataFrame, owners: DataFrame, size: int, percent: int, cells: np
     centres = placed.groupBy("centre").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"), F.max("r").alias("r"))
     centres = stage(centres, "join-centres")
     rows = stage(shared.select("token", "node").join(placed.select("node", "centre"), "node").groupBy("token", "centre").agg(F.count("*").alias("_")).drop("_"), "join-rows")
+    dropped(shared)
 
     met = rows.select("token", F.col("centre").alias("a")).join(rows.select("token", F.col("centre").alias("b")), "token").where("a < b")
     met = met.groupBy("a", "b").agg(F.count("*").alias("c"))
@@ -290,23 +297,26 @@ def links(docs: DataFrame, owners: DataFrame, size: int, percent: int, cells: np
     met = met.where(sizes_fit(percent, "least_a", "most_a", "least_b", "most_b"))
     met = met.where(F.col("c") >= needed(percent, "least_a", "least_b", "rest_a", "rest_b"))
     met = stage(met.select("a", "b", "r_a", "r_b"), "join-met")
-    if not met.limit(1).count():
+    dropped(rows, centres)
+    if met.isEmpty():
         return found
     ends = met.select(F.explode(F.array("a", "b")).alias("node"))
-    tried = stage(verified(met, sets_of(docs, owners, ends, size)).withColumn("d", distance()), "join-tried")
+    sets = sets_of(docs, owners, ends, size)
+    tried = stage(verified(met, sets).withColumn("d", distance()), "join-tried")
+    dropped(met, sets)
     found = found.unionByName(tried.where(near(percent)).select("a", "b"))
 
     # stars whose centres don't link, though members may; where two components have several, the nearest goes first
     wide = 1 - percent / 100 + SLACK
     open_ = tried.where(~near(percent)).where(F.col("d") <= wide + F.col("r_a") + F.col("r_b")).where("r_a > 0 or r_b > 0")
     open_ = stage(open_.select("a", "b", "r_a", "r_b", "d"), "join-open")
-    if not open_.limit(1).count():
+    if open_.isEmpty():
         return found
     members = placed.where("r > 0").select("centre", F.col("node").alias("x"), "r")
     few = members.withColumn("_k", F.row_number().over(Window.partitionBy("centre").orderBy("r", "x"))).where(F.col("_k") <= FEW).drop("_k")
     few = stage(few, "join-few")
     open_ = stage(apart(open_, found), "join-left")
-    if not open_.limit(1).count():
+    if open_.isEmpty():
         return found
     stars_left = open_.select(F.explode(F.array("a", "b")).alias("centre")).distinct()
     ends = stars_left.select(F.col("centre").alias("node")).unionByName(members.join(stars_left, "centre", "left_semi").select(F.col("x").alias("node")))
@@ -321,8 +331,9 @@ def links(docs: DataFrame, owners: DataFrame, size: int, percent: int, cells: np
         if some is members:  # all of these pairs is known now
             open_ = open_.join(left.select("a", "b"), ["a", "b"], "left_anti")
         open_ = stage(merged(open_, new), "join-left")
-        if not open_.limit(1).count():
+        if open_.isEmpty():
             break
+    dropped(sets)
     return found
 
 

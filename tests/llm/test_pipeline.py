@@ -191,3 +191,68 @@ def test_dedup_keeps_texts_under_shared_ids(spark):
     got = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["text"]) for r in dedup_stage(spark, docs, "").collect()))
     want = [(True, 0, text(k)) for k in range(4)] + [(False, 9, text(4)), (False, 3, text(10)), (False, 7, text(11)), (False, 8, text(12))]
     assert got == sorted(want)
+
+
+def near_copies():
+    """Rows in groups of near copies and of exact ones, and rows on their own."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for g in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 60)]
+        for k in range(5 if g % 2 else 1):
+            own = list(words)
+            own[int(rng.integers(60))] = f"x{k}" if k else own[0]
+            rows.append((len(rows), " ".join(own)))
+    return rows
+
+
+def test_dedup_leaves_one_table(spark, monkeypatch, tmp_path):
+    """Of all tables that the stage writes on its way, only the one that its result reads is left (all were left before)."""
+    from kgspark.llm import common, near_texts
+
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{tmp_path}")
+    rows = near_copies()
+    out = near_texts.dedup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert [p.name.rpartition("-")[0] for p in tmp_path.iterdir()] == ["near-keep"]
+    group = brute_groups([t for _, t in rows])
+    assert {r["doc_id"] for r in out.collect()} == {group.index(g) for g in set(group)}
+
+
+def test_staged_write_frees_shuffle_files(spark):
+    """The shuffle files of a staged table go with its write, not when the driver collects garbage; the setting is as it was."""
+    import time
+    from pathlib import Path
+
+    from kgspark.llm import common
+
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {p.name for d in blocks.localDirs() for p in Path(str(d)).rglob("shuffle_*.data")}
+    before, set_to = files(), spark.conf.get(common.FREED, None)
+    out = common.stage(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count(), "test-freed")
+    for _ in range(20):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert spark.conf.get(common.FREED, None) == set_to
+    assert out.count() == 10
+
+
+def test_leaders_in_few_shuffles(spark):
+    """Leaders are chosen in three shuffles of lists and pairs; sizes come with the lists (they were joined twice before)."""
+    from kgspark.llm.jaccard_join import chosen
+
+    shared = spark.createDataFrame([(t, n, 10, 2) for t in range(20) for n in range(4)] + [(99, 9, 100, 2), (99, 1, 10, 2)], "token long, node long, n int, rest int")
+    with_conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in with_conf}
+    try:
+        for k, v in with_conf.items():
+            spark.conf.set(k, v)
+        got = chosen(shared, shared, 0, 80)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") <= 4, plan
+        rows = {r["a"]: r["b"] for r in got.collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(rows) == 3 and len(set(rows.values())) == 1 and 9 not in rows
