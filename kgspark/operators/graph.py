@@ -51,26 +51,34 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, round
     """(vault, node, rank) over unique unweighted edges, each vault by itself; dangling rank is spread evenly.
 
     Stops after the first round in which no vault changed by ``tolerance`` in all. A round is a join and a sum over
-    edges; one small sum a vault gives both its change and the dangling rank of the next round. Rounds are kept in
+    edges; one small sum a vault gives both its change and the dangling rank of the next round. Nodes without any edge
+    have the same rank in a vault: they are one number of it, and rounds work on the others. Rounds are kept in
     memory where there is room, and every ``cut_every`` of them the ranks are written to the shared folder, so that a
     lost executor costs a few rounds at most.
     """
     links = stage(edges.select("vault", "src", "dst").distinct(), "rank-edges")
     outs = links.groupBy("vault", F.col("src").alias("node")).agg(F.count("*").alias("outs"))
-    sizes = nodes.groupBy("vault").agg(F.count("*").alias("n"))
-    rank = nodes.select("vault", "node").join(outs, ["vault", "node"], "left").join(F.broadcast(sizes), "vault")  # a row a vault
-    rank = stage(rank.withColumn("rank", 1 / F.col("n")).withColumn("change", F.lit(1.0)), "rank-nodes")
+    ends = links.select("vault", F.col("src").alias("node")).unionByName(links.select("vault", F.col("dst").alias("node"))).distinct().withColumn("linked", F.lit(True))
+    every = stage(nodes.select("vault", "node").join(outs, ["vault", "node"], "left").join(ends, ["vault", "node"], "left"), "rank-nodes")
+    sizes = {r["vault"]: r for r in every.groupBy("vault").agg(F.count("*").alias("n"), F.count(F.when(F.col("linked").isNull(), 1)).alias("alone")).collect()}  # a row a vault
+    of_vault = lambda values: F.create_map(*[x for v, y in values.items() for x in (F.lit(v), F.lit(y))])[F.col("vault")]
+    base, moved = {v: 1 / r["n"] for v, r in sizes.items()}, dict.fromkeys(sizes, 1.0)  # rank and change of a node without edges
+    if not sizes:
+        return every.select("vault", "node", F.lit(0.0).alias("rank"))
+    rank = every.where("linked").select("vault", "node", "outs", of_vault(base).alias("rank"), F.lit(1.0).alias("change"))
     sums = [F.sum("change").alias("change"), F.coalesce(F.sum(F.when(F.col("outs").isNull(), F.col("rank"))), F.lit(0.0)).alias("loose")]
     kept: list[DataFrame] = []
     for k in range(1, rounds + 1):
-        state = rank.groupBy("vault").agg(*sums).collect()
-        if not state or max(r["change"] for r in state) < tolerance:
+        state = {r["vault"]: r for r in rank.groupBy("vault").agg(*sums).collect()}
+        own = lambda v, what: (state[v][what] if v in state else 0.0) + sizes[v]["alone"] * (moved if what == "change" else base)[v]  # noqa: B023, E731
+        if max(own(v, "change") for v in sizes) < tolerance:
             break
-        loose = F.create_map(*[x for r in state for x in (F.lit(r["vault"]), F.lit(r["loose"]))])[F.col("vault")]
+        new_base = {v: (1 - damping) / r["n"] + damping * own(v, "loose") / r["n"] for v, r in sizes.items()}
+        base, moved = new_base, {v: abs(x - base[v]) for v, x in new_base.items()}
         share = rank.where("outs is not null").select("vault", F.col("node").alias("src"), (F.col("rank") / F.col("outs")).alias("part"))
         got = links.join(share, ["vault", "src"]).groupBy("vault", F.col("dst").alias("node")).agg(F.sum("part").alias("got"))
-        new = (1 - damping) / F.col("n") + damping * F.coalesce("got", F.lit(0.0)) + damping * loose / F.col("n")
-        rank = rank.join(got, ["vault", "node"], "left").select("vault", "node", "outs", "n", new.alias("rank"), F.abs(new - F.col("rank")).alias("change"))
+        new = of_vault(base) + damping * F.coalesce("got", F.lit(0.0))
+        rank = rank.join(got, ["vault", "node"], "left").select("vault", "node", "outs", new.alias("rank"), F.abs(new - F.col("rank")).alias("change"))
         if k % cut_every and k < rounds:
             rank = rank.persist()
             kept.append(rank)
@@ -82,7 +90,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = DAMPING, round
         rank = stage(rank, "rank")
         while kept:
             kept.pop().unpersist()
-    return rank.select("vault", "node", "rank")
+    return rank.select("vault", "node", "rank").unionByName(every.where("linked is null").select("vault", "node", of_vault(base).alias("rank")))
 
 
 def cuts(values: DataFrame, at: tuple[float, ...], column: str = "rank", key: str = "vault", per_octave: int = 64) -> DataFrame:
@@ -120,10 +128,14 @@ def levels(ranked: DataFrame, in_degree: DataFrame) -> DataFrame:
 
 
 def signals(notes: DataFrame, edges: DataFrame, where: list[Condition] | None = None) -> DataFrame:
-    """(vault, node, in_degree, out_degree, ratio, rank, level, excluded): degrees of the whole graph, rank and level of the pruned one."""
-    nodes = notes.select("vault", F.col("path").alias("node"))
-    out = excluded(notes, where)
+    """(vault, node, in_degree, out_degree, ratio, rank, level, excluded): degrees of the whole graph, rank and level of the pruned one.
+
+    Notes are parsed and links resolved once: what both come to is written before it is read again and again.
+    """
+    nodes, out = stage(notes.select("vault", F.col("path").alias("node")), "signal-nodes"), stage(excluded(notes, where), "signal-excluded")
+    edges = stage(edges.select("vault", "src", "dst"), "signal-edges")
     kept, pruned = prune(nodes, edges, out)
+    kept, pruned = stage(kept, "signal-kept"), stage(pruned, "signal-pruned")
     inner = pruned.groupBy("vault", F.col("dst").alias("node")).agg(F.count_distinct("src").alias("in_degree"))
     banded = levels(pagerank(kept, pruned), inner)
     rows = degrees(nodes, edges).join(banded, ["vault", "node"], "left")

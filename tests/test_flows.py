@@ -226,3 +226,41 @@ def test_search_leaves_blocks_unread(spark, tmp_path):
     assert less >= 6
     few, report = search_blocks(spark, path, "gamma", ["id"], cohort.limit(0), 5)
     assert few.count() == 0 and report["read_blocks"] == report["blocks"]
+
+
+def test_rank_rounds_leave_out_nodes_without_edges(spark, monkeypatch):
+    """Rounds keep only nodes with edges; the others' common rank is right, also in a vault that has no edge at all."""
+    sizes, stage = {}, graph.stage
+
+    def seen(df, name):
+        out = stage(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(graph, "stage", seen)
+    nodes = spark.createDataFrame([("v", str(i)) for i in range(40)] + [("w", "x"), ("w", "y")], "vault string, node string")
+    edges = spark.createDataFrame([("v", "0", "1"), ("v", "1", "2"), ("v", "3", "1")], "vault string, src string, dst string")
+    got = {(r["vault"], r["node"]): r["rank"] for r in graph.pagerank(nodes, edges, rounds=6, tolerance=0.0).collect()}
+    rank = dict.fromkeys(range(40), 1 / 40)
+    for _ in range(6):
+        loose = sum(v for k, v in rank.items() if k not in (0, 1, 3))
+        rank = {k: (0.15 + 0.85 * loose) / 40 + 0.85 * sum(rank[s] for s, d in ((0, 1), (1, 2), (3, 1)) if d == k) for k in rank}
+    assert got == pytest.approx({("v", str(k)): v for k, v in rank.items()} | {("w", "x"): 0.5, ("w", "y"): 0.5}, abs=1e-12)
+    assert sizes["rank"] == 4
+
+
+def test_signals_parse_notes_once(spark):
+    """Metadata is parsed for each note once, not for every step that asks what is excluded."""
+    from kgspark.functions.notes import parse_notes
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(raw):
+        seen.add(1)
+        return raw
+
+    texts = spark.createDataFrame([("v", f"{n}.md", f"---\nnode_type: {'log' if n == 'd' else 'x'}\n---\ntext", 0) for n in "abcd"], "vault string, path string, raw string, mtime long")
+    edges = spark.createDataFrame([("v", "a.md", "b.md", 1), ("v", "d.md", "c.md", 1)], "vault string, src string, dst string, cnt long")
+    rows = {r["node"]: (r["in_degree"], r["excluded"]) for r in graph.signals(parse_notes(texts.withColumn("raw", counted("raw"))), edges).collect()}
+    assert rows == {"a.md": (0, False), "b.md": (1, False), "c.md": (1, False), "d.md": (0, True)} and seen.value <= 4
