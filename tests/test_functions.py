@@ -175,3 +175,30 @@ def test_hints_for_all_targets_at_once(spark):
     for a in asked:
         want = [(r["distance"], r["name"]) for r in closest(own, a).collect()] if a else []
         assert sorted(got.get(a, [])) == sorted(want), a
+
+
+def test_hints_among_names_that_share_a_half(spark):
+    """Numbered names all share a half: hints are exact, and no step makes a row for every two of them."""
+    import random
+
+    from kgspark.operators.links import closest_all, near_names
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    names = [f"Customer_{i:05d}" for i in range(3000)] + [f"{i:03d}_supplier" for i in range(0, 999, 7)]
+    wanted = [f"Customer{i:05d}x" for i in range(3000)] + [f"customer_{i}x" for i in range(100, 900, 9)]
+    rows = lambda texts, column: spark.createDataFrame([("v", t) for t in texts], f"vault string, {column} string")
+    got = {}
+    for r in closest_all(rows(names, "name"), rows(wanted, "wanted")).collect():
+        got.setdefault(r["wanted"], []).append((r["distance"], r["name"]))
+    for w in random.Random(2).sample(wanted, 12):
+        pairs = ((edits(n.lower(), w.lower()), n) for n in names)
+        assert sorted(got.get(w, [])) == sorted(p for p in pairs if p[0] <= 3)[:3], w
+    low = rows(names, "name").selectExpr("vault", "name", "lower(name) AS low")
+    assert near_names(low, rows([w.lower() for w in wanted], "y"), 3, 3).count() < len(names) * len(wanted) // 20
