@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kgspark.operators.annotate import Completeness
+from kgspark.session import stage
 
 MAX_BYTES = 50 * 1024 * 1024
 
@@ -27,6 +28,95 @@ def read_markdown(spark: SparkSession, root: str, vault: str, max_bytes: int = M
     return rows.select(F.lit(vault).alias("vault"), "path", F.decode("content", "UTF-8").alias("raw"), F.col("modificationTime").alias("mtime"), F.col("length").alias("size"))
 
 
+def list_notes(spark: SparkSession, root: str) -> DataFrame:
+    """(path) of the ``.md`` files under ``root`` whose path has no dot-led part, listed by tasks: a folder a row, a level a round.
+
+    For vaults of more files than a driver should know. ``root`` is a path or a URI that pyarrow opens; links to folders aren't followed.
+    """
+    folders_, found = spark.createDataFrame([("",)], "path string"), []
+    while True:
+        seen = stage(folders_.mapInArrow(_lister(root), "path string, folder boolean"), "note-paths")
+        found.append(seen.where(~F.col("folder") & F.col("path").endswith(".md")).select("path"))
+        folders_ = seen.where("folder").select("path").repartition("path")
+        if not folders_.limit(1).count():
+            break
+    out = found[0]
+    for rows in found[1:]:
+        out = out.unionByName(rows)
+    return out
+
+
+def read_notes(files: DataFrame, root: str, vault: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """``read_markdown`` of listed files (path): tasks open them, a few MB at a time, and the driver knows none of them."""
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by number: paths are small, what they name isn't
+    rows = files.select("path").repartition(tasks, "path").mapInArrow(_reader(root, max_bytes), "path string, content binary, mtime timestamp, size long")
+    return rows.select(F.lit(vault).alias("vault"), "path", F.decode("content", "UTF-8").alias("raw"), "mtime", "size")
+
+
+def _batches(rows, names: list[str], types: list, most_rows: int, most_bytes: int):
+    import pyarrow as pa
+
+    held, size = [], 0
+    batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names=names)
+    for row, n in rows:
+        held.append(row)
+        size += n
+        if len(held) >= most_rows or size >= most_bytes:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
+
+
+def _lister(root: str):
+    def run(batches):
+        import os
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        from kgspark.sources.note_writer import _place
+
+        files, folder = _place(root)
+
+        def entries(path: str):
+            if isinstance(files, fs.LocalFileSystem):  # name by name: a folder may have millions
+                with os.scandir(path) as found:
+                    yield from ((e.name, e.is_dir(follow_symlinks=False)) for e in found)
+            else:
+                yield from ((i.base_name, i.type == fs.FileType.Directory) for i in files.get_file_info(fs.FileSelector(path)))
+
+        def rows():
+            for batch in batches:
+                for sub in batch.column(0).to_pylist():
+                    yield from (((f"{sub}/{n}" if sub else n, d), 0) for n, d in entries(f"{folder}/{sub}" if sub else folder) if not n.startswith("."))
+
+        yield from _batches(rows(), ["path", "folder"], [pa.string(), pa.bool_()], 10_000, 1)
+
+    return run
+
+
+def _reader(root: str, max_bytes: int):
+    def run(batches):
+        import pyarrow as pa
+
+        from kgspark.sources.note_writer import _place
+
+        files, folder = _place(root)
+
+        def rows():
+            for batch in batches:
+                for path in batch.column(0).to_pylist():
+                    info = files.get_file_info(f"{folder}/{path}")
+                    if info.size is None or info.size <= max_bytes:
+                        with files.open_input_stream(info.path) as f:  # fails where the file is gone
+                            yield (path, f.read(), info.mtime and info.mtime.replace(microsecond=info.mtime.microsecond // 1000 * 1000), info.size), info.size or 0
+
+        yield from _batches(rows(), ["path", "content", "mtime", "size"], [pa.string(), pa.binary(), pa.timestamp("us", "UTC"), pa.int64()], 1000, 4 << 20)
+
+    return run
+
+
 def scan_markdown(spark: SparkSession, root: str, vault: str, max_bytes: int = MAX_BYTES) -> DataFrame:
     """As ``read_markdown``, but a file that can't be read, or is too large, stays as a row without text and says why.
 

@@ -147,3 +147,22 @@ def test_notes_are_written_whole_or_not_at_all(spark, tmp_path):
             (held.parent / WHOLE).write_text('["t.json"]')
     assert finish_writes(str(root)) == {"finished": 1, "removed": 1}
     assert _files(root) == edited | {"new/b.md": "late b"}
+
+
+def test_notes_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    """The rows of ``read_markdown``, from files that only tasks list: the query never asks the driver for them."""
+    from kgspark.plans import flows
+    from kgspark.sources import markdown
+
+    for name, text in {"a.md": "a", "d/é +1.md": "b\n🙂", "d/e/_c.md": "", "d/x.txt": "-", ".h/z.md": "-", "d/.z.md": "-", "big.md": "x" * 99}.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(text)
+    for root in (str(tmp_path), f"file://{tmp_path}/"):
+        listed = markdown.list_notes(spark, root)
+        assert sorted(r["path"] for r in listed.collect()) == ["a.md", "big.md", "d/e/_c.md", "d/é +1.md"]
+        got = {tuple(r) for r in markdown.read_notes(listed.where("path not like '%\\_c.md'"), root, "v", 50).collect()}
+        assert got == {tuple(r) for r in markdown.read_markdown(spark, root, "v", 50).collect()} and len(got) == 2
+    empty = tmp_path / "none"
+    empty.mkdir()
+    assert markdown.list_notes(spark, str(empty)).count() == 0
+    assert not hasattr(flows, "read_markdown")
