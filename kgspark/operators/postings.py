@@ -48,9 +48,35 @@ def postings(rows: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
     """
     words = [F.array_append(tokens(F.col(c)), F.lit("")) for c in columns]  # the blank term keeps columns apart
     rows = rows.select(*key, F.flatten(F.array(*words)).alias("_w")).withColumn("length", F.size("_w") - len(columns))
-    each = rows.select(*key, "length", F.posexplode("_w").alias("_at", "term")).where("term <> ''")
-    found = each.groupBy(*key, "term").agg(F.first("length").alias("length"), F.array_sort(F.collect_list("_at")).alias("at"))
-    return found.withColumns({"bucket": bucket_of(F.col("term")), "class": F.floor(F.log2("length") * 4).cast("int")})
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*key, "length").schema)
+    found = rows.select(*key, "length", "_w").mapInArrow(_gather, f"{kinds}, term string, at array<int>")
+    return found.select(*key, "term", "length", "at", bucket_of(F.col("term")).alias("bucket"), class_of(F.col("length")).alias("class"))
+
+
+def _gather(batches):
+    """Rows whose last column is a list of words to rows of (..., word, its places), some hundred at a time; no shuffle is needed."""
+    import numpy as np
+    import pyarrow as pa
+
+    for whole in batches:
+        for start in range(0, whole.num_rows, 256):
+            batch = whole.slice(start, 256)
+            words = batch.column(batch.num_columns - 1)
+            ends = words.offsets.to_numpy()
+            row, coded = np.repeat(np.arange(len(words)), np.diff(ends)), words.flatten().dictionary_encode()
+            at, code = np.arange(len(row)) - (ends[:-1] - ends[0])[row], coded.indices.to_numpy()
+            blank = coded.dictionary.index("").as_py()
+            row, at, code = (x[code != blank] for x in (row, at, code))
+            order = np.argsort(row * (len(coded.dictionary) + 1) + code, kind="stable")
+            row, at, code = row[order], at[order], code[order]
+            first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (code[1:] != code[:-1])]) if len(row) else np.array([], dtype=int)
+            places = pa.ListArray.from_arrays(pa.array(np.append(first, len(at)).astype("int32")), pa.array(at.astype("int32")))
+            own = [batch.column(k).take(pa.array(row[first])) for k in range(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*own, coded.dictionary.take(pa.array(code[first])), places], names=[*batch.schema.names[:-1], "term", "at"])
+
+
+def class_of(length: Column) -> Column:
+    return F.floor(F.log2(length) * 4).cast("int")
 
 
 def bucket_of(term: Column) -> Column:
@@ -71,22 +97,29 @@ def weight(n: Column | int, d: Column | int) -> Column:
 def write_postings(rows: DataFrame, path: str, key: list[str], columns: list[str], block_rows: int = 4096) -> None:
     """Store postings by bucket, sorted by term and block, a table of blocks, and one row of totals.
 
-    Texts are split into terms once. Blocks have about ``block_rows`` documents, and a hot term's rows are written by as
-    many tasks as it has blocks, so no task holds all of them.
+    ``key`` names a row. Blocks have about ``block_rows`` documents, and a hot term's rows are written by as many tasks as
+    it has blocks, so no task holds all of them. Postings lie on disk once while they are sorted, and once as stored: lengths
+    are counted ahead, by a split of the texts of its own.
     """
     spark = rows.sparkSession
-    found = stage(postings(rows, key, columns), "postings-rows")
-    sums = found.agg(F.sum(F.size("at")).alias("total"), F.count_distinct("class").alias("classes"), F.max("class").alias("top")).first()
-    n = rows.count()
-    spark.createDataFrame([(n, sums["total"] or 0)], "n long, total long").write.mode("overwrite").parquet(f"{path}/totals")
-    # a row a class of length, some hundred at most; a document counts once, by its first term
-    sizes = found.groupBy(*key, "class").agg(F.lit(1).alias("_")).groupBy("class").agg(F.count("*").alias("m")).collect()
+    length = sum((F.size(tokens(F.col(c))) for c in columns), F.lit(0))
+    sizes = rows.select(length.alias("length")).groupBy(class_of(F.col("length")).alias("class")).agg(F.count("*").alias("m"), F.sum("length").alias("total")).collect()  # a row a class, some hundred at most
+    n, total = sum(r["m"] for r in sizes), sum(r["total"] for r in sizes)
+    spark.createDataFrame([(n, total)], "n long, total long").write.mode("overwrite").parquet(f"{path}/totals")
+    sizes = [r for r in sizes if r["class"] is not None]
     parts = F.create_map(*[x for r in sizes for x in (F.lit(r["class"]), F.lit(-(-r["m"] // block_rows)))])[F.col("class")] if sizes else F.lit(1)
-    placed = found.withColumn("part", F.pmod(F.xxhash64(F.lit(11), *key), parts).cast("int"))
+    placed = postings(rows, key, columns).withColumn("part", F.pmod(F.xxhash64(F.lit(11), *key), parts).cast("int"))
+    schema = placed.schema
     placed = placed.repartition("bucket", "term", "class", "part").sortWithinPartitions("bucket", "term", "class", "part")
-    placed.write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/terms")
-    best = F.max(gain(F.size("at"), F.col("length"), (sums["total"] or 0) / n if n else 1.0)).alias("best")
-    blocks = spark.read.schema(placed.schema).parquet(f"{path}/terms").groupBy("bucket", "term", "class", "part").agg(F.count("*").alias("rows"), best)
+    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"  # the sorted rows' shuffle files go once they are stored
+    was = spark.conf.get(clean, None)
+    spark.conf.set(clean, "true")
+    try:
+        placed.write.partitionBy("bucket").mode("overwrite").option("compression", "zstd").parquet(f"{path}/terms")
+    finally:
+        spark.conf.unset(clean) if was is None else spark.conf.set(clean, was)
+    best = F.max(gain(F.size("at"), F.col("length"), total / n if n else 1.0)).alias("best")
+    blocks = spark.read.schema(schema).parquet(f"{path}/terms").groupBy("bucket", "term", "class", "part").agg(F.count("*").alias("rows"), best)
     blocks.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/blocks")
 
 

@@ -264,3 +264,21 @@ def test_signals_parse_notes_once(spark):
     edges = spark.createDataFrame([("v", "a.md", "b.md", 1), ("v", "d.md", "c.md", 1)], "vault string, src string, dst string, cnt long")
     rows = {r["node"]: (r["in_degree"], r["excluded"]) for r in graph.signals(parse_notes(texts.withColumn("raw", counted("raw"))), edges).collect()}
     assert rows == {"a.md": (0, False), "b.md": (1, False), "c.md": (1, False), "d.md": (0, True)} and seen.value <= 4
+
+
+def test_postings_take_one_shuffle(spark, tmp_path, monkeypatch):
+    """Places are gathered where the text is: nothing is shuffled or written ahead of the stored postings."""
+    from kgspark.operators import postings
+
+    docs = spark.createDataFrame([(1, "b a B", "x"), (2, None, ""), (3, "Å", None), (4, "", "a z a")], "id long, file string, text string")
+    rows = postings.postings(docs, ["id"], ["file", "text"])
+    got = sorted((r["id"], r["term"], r["length"], r["at"]) for r in rows.collect())
+    assert got == [(1, "a", 4, [1]), (1, "b", 4, [0, 2]), (1, "x", 4, [4]), (3, "a", 1, [0]), (4, "a", 3, [1, 3]), (4, "z", 3, [2])]
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+
+    def never(df, name):
+        raise AssertionError(f"{name} written")
+
+    monkeypatch.setattr(postings, "stage", never)
+    write_postings(docs, f"{tmp_path}/p", ["id"], ["file", "text"])
+    assert tuple(spark.read.parquet(f"{tmp_path}/p/totals").first()) == (4, 8) and spark.read.parquet(f"{tmp_path}/p/terms").count() == 6
